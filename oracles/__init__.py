@@ -1,5 +1,5 @@
 """SQL counterparts of the registered queries, for checking results against another engine."""
 
-from . import targets
+from . import states, tables, targets
 
-SQL: dict[str, str] = {**targets.SQL}
+SQL: dict[str, str] = {**tables.SQL, **states.SQL, **targets.SQL}

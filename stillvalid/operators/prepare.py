@@ -78,7 +78,7 @@ def window_rule(sizes: DataFrame) -> DataFrame:
     many = F.floor(n / top)
     k = F.when(many > MAX_WINDOWS, F.ceil(many / F.lit(float(MAX_WINDOWS)))).when(
         window.isNotNull(), 1)
-    return sizes.select("stream_id", "n_rows", window.alias("window"), k.cast("bigint").alias(
+    return sizes.select("stream_id", "n_rows", window.alias("window_size"), k.cast("bigint").alias(
         "keep_every"), F.when(window.isNull(), F.lit(
             f"fewer than {MIN_WINDOWS} windows of {low} rows")).alias("refused_because"))
 

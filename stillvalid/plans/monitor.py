@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..operators import reference as ref
 from ..operators import risk as rk
 from ..operators import scorer, targets, windows
+from ..operators import state as st
+from ..operators.geometry import window_geometry
 from ..session import freeze
 from ..sources.stream_log import StreamSpec, numbered_log
 from ..sources.tables import table
@@ -106,6 +108,78 @@ class Monitor:
         return freeze(ref.fit_geometry(self.reference_sample, self.reference_features),
                       "reference-geometry")
 
+    # -- state blocks ----------------------------------------------------------------------
+    @cached_property
+    def scales(self) -> DataFrame:
+        return freeze(ref.scale_vectors(self.reference_features), "scales")
+
+    @cached_property
+    def geometry_block(self) -> DataFrame:
+        n_axes = min(ref.COMPONENTS, len(self.spec.features))
+        return freeze(window_geometry(self.deployment, self.reference_sample,
+                                      self.reference_features, self.geometry, n_axes),
+                      "geometry-block")
+
+    def embedded(self, rows: DataFrame) -> DataFrame:
+        """Rows with ``z``, the linear model's embedding: inputs in frozen reference units."""
+        return ref.standardise(rows, self.scales)
+
+    @cached_property
+    def embedding_reference(self) -> DataFrame:
+        return freeze(st.embedding_reference(self.embedded(self.pre)), "embedding-reference")
+
+    def blocks(self, interventions: DataFrame | None = None) -> dict[str, DataFrame]:
+        """The state blocks this stream supports, keyed by prefix; feature blocks need inputs."""
+        s = self.spec
+        if s.classes:
+            out = {"pred": st.class_prediction_block(self.deployment, self.reference_behaviour,
+                                                     s.classes),
+                   "unc": st.class_uncertainty_block(self.deployment, s.classes, s.members)}
+            ece = st.calibration_error(self.deployment)
+        else:
+            out = {"pred": st.value_prediction_block(self.deployment),
+                   "unc": st.value_uncertainty_block(self.deployment)}
+            ece = None
+        if s.features:
+            cols = self.geometry_block.columns
+            own = st.representation_block(self.embedded(self.deployment), self.embedding_reference)
+            out["rep"] = own.join(self.geometry_block.select(
+                *st.KEY, *[c for c in cols if c.startswith("rep_")]), st.KEY)
+            out["dist"] = st.moment_block(self.deployment, self.reference_features).join(
+                self.geometry_block.select(*st.KEY, *[c for c in cols if c.startswith("dist_")]),
+                st.KEY)
+        out["fb"] = st.feedback_block(self.risk, self.reference_risk, s.delay, ece=ece)
+        out["ctx"] = st.context_block(self.risk)
+        out["adapt"] = st.adaptation_block(self.risk, interventions)
+        return out
+
+    def state(self, blocks: tuple[str, ...] = st.BLOCKS,
+              interventions: DataFrame | None = None) -> DataFrame:
+        """State table: one row per deployment window, features in sorted order."""
+        made = self.blocks(interventions)
+        unknown = set(blocks) - set(st.BLOCKS)
+        if unknown:
+            raise ValueError(f"unknown state blocks {sorted(unknown)}")
+        chosen = {b: made[b] for b in blocks if b in made}
+        if not chosen:
+            raise ValueError("no state block was chosen")
+        base = st.assemble(list(chosen.values()))
+        heads = {"pred": "pred_msp_mean" if self.spec.classes else "pred_mean",
+                 "rep": "rep_centroid_shift", "dist": "dist_mmd2",
+                 "unc": "unc_entropy_mean" if self.spec.classes else "unc_pred_var"}
+        wanted = {f"{b}_volatility": c for b, c in heads.items() if b in chosen}
+        if not wanted:
+            return base
+        trend = {"dist_trend": "dist_mmd2"} if "dist" in chosen else None
+        # The volatility features look back over the base table, which is frozen first so that the
+        # blocks are not computed twice.
+        base = freeze(base, "state-base")
+        return st.assemble([base, st.volatility(base, wanted, trend)])
+
+    @cached_property
+    def states(self) -> DataFrame:
+        return freeze(self.state(), "states")
+
     # -- targets ---------------------------------------------------------------------------
     @cached_property
     def origins(self) -> DataFrame:

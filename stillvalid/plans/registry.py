@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import targets_queries  # noqa: F401  (importing registers)
+from . import state_queries, table_queries, targets_queries  # noqa: F401  (importing registers)
 from .catalog import QUERIES, tidy
 from .monitor import monitor
 from .specs import EVENTS, small
