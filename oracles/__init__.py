@@ -1,5 +1,6 @@
 """SQL counterparts of the registered queries, for checking results against another engine."""
 
-from . import states, tables, targets
+from . import metrics, models, states, tables, targets
 
-SQL: dict[str, str] = {**tables.SQL, **states.SQL, **targets.SQL}
+SQL: dict[str, str] = {**tables.SQL, **states.SQL, **targets.SQL,
+                       **models.SQL, **metrics.SQL}

@@ -226,14 +226,14 @@ _CTX |= {"ctx_is_weekend": "CAST(isodow(t_start) >= 6 AS DOUBLE)", "ctx_regime":
 SQL["s31_context"] = events("SELECT stream_id, window_idx, " + ", ".join(f"{r6(e)} AS {c}" for c, e in _CTX.items())
                             + " FROM risk")
 SQL["s34_interventions"] = events("SELECT stream_id, window_idx, " + ", ".join(f"{r6(e)} AS {c}" for c, e in {
-    "adapt_windows_since_update": "CAST(window_idx - coalesce(at, 0) AS DOUBLE)", "adapt_n_updates": "CAST(n AS DOUBLE)",
+    "adapt_windows_since_update": "CAST(window_idx - coalesce(seen_at, 0) AS DOUBLE)", "adapt_n_updates": "CAST(n AS DOUBLE)",
     "adapt_last_magnitude": "coalesce(magnitude, 0e0)", "adapt_last_risk_delta": "coalesce(risk_delta, 0e0)",
     "adapt_ever_updated": "CASE WHEN n > 0 THEN 1e0 ELSE 0e0 END",
     "adapt_update_rate": "n / greatest(window_idx, 1)"}.items()) + " FROM seen", """
 steps AS (SELECT stream_id, window_idx, risk, eps, lag(risk) OVER w AS before, lead(risk) OVER w AS after FROM risk
  JOIN eps USING (stream_id) WINDOW w AS (PARTITION BY stream_id ORDER BY window_idx)),
 hits AS (SELECT *, CASE WHEN risk > eps AND before <= eps THEN window_idx END AS hit FROM steps),
-seen AS (SELECT stream_id, window_idx, count(hit) OVER w AS n, last_value(hit IGNORE NULLS) OVER w AS at,
+seen AS (SELECT stream_id, window_idx, count(hit) OVER w AS n, last_value(hit IGNORE NULLS) OVER w AS seen_at,
  last_value(CASE WHEN hit IS NOT NULL THEN risk - eps END IGNORE NULLS) OVER w AS magnitude,
  last_value(CASE WHEN hit IS NOT NULL THEN coalesce(after - risk, 0) END IGNORE NULLS) OVER w AS risk_delta FROM hits
  WINDOW w AS (PARTITION BY stream_id ORDER BY window_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""")

@@ -10,6 +10,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def normal_cdf(z: float) -> float:
@@ -98,18 +99,18 @@ def signed_rank_p(w_plus: float, n: int, tie_sum: float, n_zero: int, n_far: int
     return normal_cdf((w_plus - mean) / math.sqrt(var)) if var > 0 else 1.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def signed_rank_p_col(w: pd.Series, n: pd.Series, ties: pd.Series, zero: pd.Series,
                       far: pd.Series) -> pd.Series:
     return pd.Series([signed_rank_p(a, int(b), c, int(d), int(e))
                       for a, b, c, d, e in zip(w, n, ties, zero, far)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_sf_col(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([chi2_sf(a, int(b)) for a, b in zip(x, df)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def correlation_p_col(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) else correlation_p(a, int(b)) for a, b in zip(r, n)])

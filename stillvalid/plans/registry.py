@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import state_queries, table_queries, targets_queries  # noqa: F401  (importing registers)
+from . import (metric_queries, model_queries, state_queries,  # noqa: F401  (importing registers)
+               table_queries, targets_queries)
 from .catalog import QUERIES, tidy
 from .monitor import monitor
 from .specs import EVENTS, small
