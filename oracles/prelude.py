@@ -10,15 +10,20 @@ def r6(expr: str) -> str:
     return f"(round({expr}, 6) + 0e0)"
 
 
-def uniform(seed: str, *keys: str) -> str:
+def _fraction(seed: str, keys: tuple[str, ...], part: int) -> str:
     text = ", ".join([f"'{seed}'"] + [f"CAST({k} AS VARCHAR)" for k in keys])
-    return f"(CAST('0x' || substr(md5(concat_ws('|', {text})), 1, 8) AS BIGINT) / 4294967296e0)"
+    return (f"(CAST('0x' || substr(md5(concat_ws('|', {text})), {8 * part + 1}, 8) AS BIGINT)"
+            " / 4294967296e0)")
+
+
+def uniform(seed: str, *keys: str) -> str:
+    return _fraction(seed, keys, 0)
 
 
 def normal(seed: str, *keys: str) -> str:
-    u1 = f"({uniform(seed + '/r', *keys)} + {2.0 ** -33!r}::DOUBLE)"
+    u1 = f"({_fraction(seed, keys, 0)} + {2.0 ** -33!r}::DOUBLE)"
     return (f"(sqrt(-2e0 * ln({u1})) * cos(6.283185307179586::DOUBLE * "
-            f"{uniform(seed + '/a', *keys)}))")
+            f"{_fraction(seed, keys, 1)}))")
 
 
 def dbl(x: float) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -40,20 +40,28 @@ def items(arr: Column | str, n: int) -> list[Column]:
     return [arr.getItem(i) for i in range(n)]
 
 
+def _digest(seed: str, keys: Sequence[Column | str]) -> Column:
+    return F.md5(F.concat_ws("|", F.lit(seed), *[
+        (F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]))
+
+
+def _fraction(digest: Column, part: int) -> Column:
+    """Eight hex digits of a digest as a number in [0, 1)."""
+    return F.conv(F.substring(digest, 8 * part + 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
 def uniform(seed: str, *keys: Column | str) -> Column:
     """Deterministic draw in [0, 1): a pure function of the seed and the row key.
 
     Unlike ``rand`` it survives any re-partitioning or task retry, and SQL can state it.
     """
-    text = F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") if isinstance(k, str)
-                                           else k.cast("string") for k in keys])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    return _fraction(_digest(seed, keys), 0)
 
 
 def normal(seed: str, *keys: Column | str) -> Column:
-    """Standard normal draw by the Box-Muller transform on two hash uniforms."""
-    u1 = uniform(seed + "/r", *keys) + F.lit(2.0**-33)
-    u2 = uniform(seed + "/a", *keys)
+    """Standard normal draw by the Box-Muller transform on two parts of one digest."""
+    d = _digest(seed, keys)
+    u1, u2 = _fraction(d, 0) + F.lit(2.0**-33), _fraction(d, 1)
     return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(6.283185307179586) * u2)
 
 
@@ -86,18 +94,32 @@ def array_mean(a: Column) -> Column:
     return F.try_divide(F.aggregate(a, F.lit(0.0), lambda s, x: s + x), F.size(a))
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it in ``body``.
+
+    A column used inside an array lambda is evaluated for every element; passing it through a
+    one-element array makes it a lambda variable instead.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def array_std(a: Column) -> Column:
     """Population standard deviation of an array."""
-    m = array_mean(a)
-    return F.sqrt(F.try_divide(F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)),
-                               F.size(a)))
+    def spread(s: Column) -> Column:
+        return F.sqrt(F.try_divide(F.aggregate(
+            s["a"], F.lit(0.0), lambda t, x: t + (x - s["m"]) * (x - s["m"])), F.size(s["a"])))
+
+    return bind(F.struct(a.alias("a"), array_mean(a).alias("m")), spread)
 
 
 def array_median(a: Column) -> Column:
-    s, n = F.array_sort(a), F.size(a)
-    lower = F.try_element_at(s, F.floor((n + 1) / 2).cast("int"))
-    upper = F.try_element_at(s, (F.floor(n / 2) + 1).cast("int"))
-    return (lower + upper) / 2.0
+    def middle(s: Column) -> Column:
+        n = F.size(s)
+        lower = F.try_element_at(s, F.floor((n + 1) / 2).cast("int"))
+        upper = F.try_element_at(s, (F.floor(n / 2) + 1).cast("int"))
+        return (lower + upper) / 2.0
+
+    return bind(F.array_sort(a), middle)
 
 
 def pair_slopes(y: Column) -> Column:
@@ -112,7 +134,8 @@ def pair_slopes(y: Column) -> Column:
 
 
 def theil_sen_slope(y: Column) -> Column:
-    return F.when(F.size(y) >= 2, array_median(pair_slopes(y))).otherwise(F.lit(0.0))
+    return bind(y, lambda v: F.when(F.size(v) >= 2, array_median(pair_slopes(v)))
+                .otherwise(F.lit(0.0)))
 
 
 def tail(a: Column, k: int) -> Column:

@@ -29,6 +29,12 @@ class Candidate:
     setting: float | None
     level: Column
     slope: Column
+    both: Column | None = None      # struct (m, at) where one expression yields slope and level
+
+    def line(self) -> Column:
+        """(slope ``m``, level ``at``) as one struct, so that a shared fit is evaluated once."""
+        return self.both if self.both is not None else F.struct(self.slope.alias("m"),
+                                                                self.level.alias("at"))
 
 
 def _known(a: Column) -> Column:
@@ -55,17 +61,17 @@ def exponential_smoothing(hist: Column, alpha: float) -> Candidate:
 
 def theil_sen_trend(hist: Column, k: int) -> Candidate:
     """Median slope and median intercept of the last ``k``, projected from the last point."""
-    y = _known(num.tail(hist, k))
-    n = F.size(y)
-    slope = num.theil_sen_slope(y)
-    # Both medians come from one lambda-bound slope so that it is evaluated once per origin.
-    packed = F.transform(F.array(slope), lambda m: F.struct(
-        m.alias("m"),
-        F.when(n >= 2, num.array_median(F.transform(y, lambda v, i: v - m * i.cast("double")))
-               + m * (n - 1).cast("double"))
-         .otherwise(F.coalesce(F.try_element_at(y, F.lit(1)), F.lit(0.5))).alias("at")))
-    line = F.get(packed, F.lit(0))
-    return Candidate("theil_sen_trend", float(k), line["at"], line["m"])
+    def line(y: Column) -> Column:
+        n = F.size(y)
+        at = F.when(n >= 2, num.bind(num.theil_sen_slope(y), lambda m: F.struct(
+            m.alias("m"), (num.array_median(F.transform(y, lambda v, i: v - m * i.cast("double")))
+                           + m * (n - 1).cast("double")).alias("at"))))
+        flat = F.struct(F.lit(0.0).alias("m"), F.coalesce(F.try_element_at(y, F.lit(1)),
+                                                          F.lit(0.5)).alias("at"))
+        return F.coalesce(at, flat)
+
+    found = num.bind(_known(num.tail(hist, k)), line)
+    return Candidate("theil_sen_trend", float(k), found["at"], found["m"], found)
 
 
 def anchor_only(anchor: Column) -> Candidate:
@@ -80,10 +86,12 @@ def candidates(hist: Column) -> list[Candidate]:
 
 def _line_error(c: Candidate) -> Column:
     """Sum of absolute errors of one origin over the horizons with a known risk."""
-    return F.aggregate(
-        F.transform("risk_path", lambda r, i: F.coalesce(
-            F.abs(num.clip(c.level + c.slope * (i + 1), 0.0, 1.0) - r), F.lit(0.0))),
-        F.lit(0.0), lambda s, e: s + e)
+    def error(line: Column) -> Column:
+        each = F.transform("risk_path", lambda r, i: F.coalesce(
+            F.abs(num.clip(line["at"] + line["m"] * (i + 1), 0.0, 1.0) - r), F.lit(0.0)))
+        return F.aggregate(each, F.lit(0.0), lambda s, e: s + e)
+
+    return num.bind(c.line(), error)
 
 
 def tune(calibration: DataFrame, choices: Sequence[Candidate]) -> DataFrame:
@@ -115,14 +123,14 @@ def forecast_lines(origins: DataFrame, choices: Sequence[Candidate],
     """(stream_id, origin, method, pred[H], target[H]); only tuned settings when given."""
     listed = F.array(*[F.struct(
         F.lit(c.method).alias("method"), F.lit(i).alias("position"),
-        c.level.alias("level"), c.slope.alias("slope")) for i, c in enumerate(choices)])
+        c.line().alias("line")) for i, c in enumerate(choices)])
     out = origins.select("stream_id", "origin", F.col("risk_path").alias("target"),
                          F.inline(listed))
     if tuned is not None:
         # One row per method, so the broadcast side has a fixed size.
         out = out.join(F.broadcast(tuned.select("method", "position")), ["method", "position"])
-    pred = F.transform("target", lambda _, i: num.clip(
-        F.col("level") + F.col("slope") * (i + 1), 0.0, 1.0))
+    pred = num.bind(F.col("line"), lambda line: F.transform("target", lambda _, i: num.clip(
+        line["at"] + line["m"] * (i + 1), 0.0, 1.0)))
     return out.select("stream_id", "origin", "method", pred.alias("pred"), "target")
 
 
@@ -204,16 +212,14 @@ def long_errors(forecasts: DataFrame) -> DataFrame:
 
 
 def horizon_scores(forecasts: DataFrame, horizon: int, keys: Sequence[str] = ()) -> DataFrame:
-    """MAE and RMSE per method and horizon, as conditional sums in one aggregate."""
-    gaps = [F.get("pred", F.lit(h)) - F.get("target", F.lit(h)) for h in range(horizon)]
-    agg = forecasts.groupBy(*keys, "method").agg(
-        *[F.avg(F.abs(g)).alias(f"_a{h}") for h, g in enumerate(gaps)],
-        *[F.sqrt(F.avg(g * g)).alias(f"_r{h}") for h, g in enumerate(gaps)],
-        *[F.count(g).alias(f"_n{h}") for h, g in enumerate(gaps)])
-    listed = F.array(*[F.struct(F.lit(h + 1).alias("h"), F.col(f"_a{h}").alias("mae"),
-                                F.col(f"_r{h}").alias("rmse"), F.col(f"_n{h}").alias("n"))
-                       for h in range(horizon)])
-    return agg.select(*keys, "method", F.inline(listed))
+    """MAE and RMSE per method and horizon over the origins with a known target."""
+    long = forecasts.select(*keys, "method", F.posexplode(F.zip_with(
+        F.slice("pred", 1, horizon), F.slice("target", 1, horizon), lambda p, t: p - t)
+    ).alias("_i", "_g"))
+    return long.select(*keys, "method", (F.col("_i") + 1).alias("h"), "_g").groupBy(
+        *keys, "method", "h").agg(F.avg(F.abs("_g")).alias("mae"),
+                                  F.sqrt(F.avg(F.col("_g") * F.col("_g"))).alias("rmse"),
+                                  F.count("_g").alias("n"))
 
 
 def skill(scores: DataFrame, reference: str, keys: Sequence[str] = ()) -> DataFrame:

@@ -70,17 +70,22 @@ def geometry_columns(n_axes: int) -> list[str]:
 
 
 def window_geometry(deployment: DataFrame, sample: DataFrame, features: DataFrame,
-                    geometry: DataFrame, n_axes: int) -> DataFrame:
+                    geometry: DataFrame, n_features: int, n_axes: int) -> DataFrame:
     """One row per window with the columns of :func:`geometry_columns`."""
     columns = geometry_columns(n_axes)
     scales = scale_vectors(features)
     group = F.floor(F.col("window_idx") / WINDOWS_PER_GROUP).alias("_group")
+    width = n_features
+    flat = [F.col("z").getItem(j).alias(f"z{j}") for j in range(width)]
+    names = [f"z{j}" for j in range(width)]
+    # One column per feature reaches Python as a plain buffer; an array column would be unpacked
+    # row by row.
     rows = standardise(deployment.select("stream_id", "window_idx", "seg_row", "x"), scales).select(
-        "stream_id", group, "window_idx", "seg_row", "z")
+        "stream_id", group, "window_idx", "seg_row", *flat)
     groups = deployment.select("stream_id", group).distinct()
     ref = standardise(sample.select("stream_id", "rank", "x"), scales).join(geometry, "stream_id")
     first = F.col("rank") == 1
-    ref = ref.select("stream_id", "rank", "z", *[
+    ref = ref.select("stream_id", "rank", *flat, *[
         F.when(first, F.col(c)).alias(c)
         for c in ("bandwidth", "kernel_self", "centre", "components")])
     ref = ref.join(groups, "stream_id")
@@ -90,7 +95,7 @@ def window_geometry(deployment: DataFrame, sample: DataFrame, features: DataFram
             return pd.DataFrame(columns=["stream_id", "window_idx", *columns])
         right = right.sort_values("rank")
         lead = right.iloc[0]
-        b = np.array(right["z"].tolist(), dtype=float)
+        b = right[names].to_numpy(dtype=float)
         b_head = b[:KERNEL_CAP]
         gamma = 1.0 / (2.0 * max(float(lead["bandwidth"]), 1e-12) ** 2)
         centre = np.array(lead["centre"], dtype=float)
@@ -99,8 +104,12 @@ def window_geometry(deployment: DataFrame, sample: DataFrame, features: DataFram
         b_sorted = [np.sort(b[:, j]) for j in range(b.shape[1])]
         head_sorted = [np.sort(b_head[:, j]) for j in range(b.shape[1])]
         out = []
-        for window, part in left.sort_values("seg_row").groupby("window_idx", sort=True):
-            z = np.array(part["z"].tolist(), dtype=float)
+        left = left.sort_values("seg_row")
+        windows = left["window_idx"].to_numpy()
+        values = left[names].to_numpy(dtype=float)
+        starts = np.flatnonzero(np.r_[True, windows[1:] != windows[:-1]])
+        for lo, hi in zip(starts, np.r_[starts[1:], len(windows)]):
+            window, z = windows[lo], values[lo:hi]
             row = {"stream_id": key[0], "window_idx": window}
             row["rep_cov_trace"], row["rep_cov_logdet"], row["rep_cov_condition"] = _shape(z)
             centred = z - centre

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
                                        MultilayerPerceptronClassifier, RandomForestClassifier)
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
@@ -107,18 +107,20 @@ def truncated_members(rows: DataFrame, model: PipelineModel, members: int = 5) -
     return out.select(*rows.columns, F.array(*probs).alias("members"))
 
 
-def reduce_states(train: DataFrame, other: DataFrame, columns: Sequence[str],
+def reduce_states(train: DataFrame, other: DataFrame, state: str,
                   k: int) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Leading principal scores of the standardised state, fitted on training origins only."""
+    """Leading principal scores of the standardised state array, fitted on training origins only."""
+    def vectors(df: DataFrame) -> DataFrame:
+        return df.withColumn("_v", array_to_vector(state))
+
     pipe = Pipeline(stages=[
-        VectorAssembler(inputCols=list(columns), outputCol="_v"),
         StandardScaler(inputCol="_v", outputCol="_sv", withMean=True, withStd=True),
-        PCA(k=k, inputCol="_sv", outputCol="_pc")]).fit(train)
+        PCA(k=k, inputCol="_sv", outputCol="_pc")]).fit(vectors(train))
     names = [f"pc{i}" for i in range(k)]
 
     def apply(df: DataFrame) -> DataFrame:
         scores = vector_to_array("_pc")
-        return pipe.transform(df).select(*df.columns, *[
+        return pipe.transform(vectors(df)).select(*[c for c in df.columns if c != state], *[
             scores.getItem(i).alias(n) for i, n in enumerate(names)])
 
     return apply(train), apply(other), names

@@ -24,22 +24,17 @@ def brier_by_horizon(curves: DataFrame, origins: DataFrame, horizon: int) -> Dat
     value at h; the sum is divided by the number of contributing origins.
     """
     g = censoring_curve(origins, horizon).select(F.col("surv").alias("_g"))      # one row
-    y, d = F.col("y_tilde"), F.col("event")
+    y, d, h = F.col("y_tilde"), F.col("event"), F.col("_i") + 1
     floor = F.lit(CENSORING_FLOOR)
+    long = curves.join(F.broadcast(g)).select(
+        "method", "y_tilde", "event", "_g", F.posexplode("surv").alias("_i", "_raw"))
+    s = clip(F.col("_raw"), 0.0, 1.0)
+    failed, alive = (y <= h) & (d == 1), y > h
     before = F.greatest(F.get("_g", F.greatest(y - 2, F.lit(0))), floor)
-    out = curves.join(F.broadcast(g))
-    sums = []
-    for h in range(1, horizon + 1):
-        failed, alive = (y <= h) & (d == 1), y > h
-        at_h = F.greatest(F.get("_g", F.lit(h - 1)), floor)
-        term = (F.when(failed, _s(h) * _s(h) / before)
-                 .when(alive, (_s(h) - 1.0) * (_s(h) - 1.0) / at_h))
-        sums += [F.sum(term).alias(f"_b{h}"), F.count_if(failed | alive).alias(f"_n{h}")]
-    agg = out.groupBy("method").agg(*sums)
-    listed = F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"_n{h}").alias("n"),
-                                F.try_divide(F.col(f"_b{h}"), F.col(f"_n{h}")).alias("brier"))
-                       for h in range(1, horizon + 1)])
-    return agg.select("method", F.inline(listed))
+    at_h = F.greatest(F.get("_g", F.col("_i")), floor)
+    term = F.when(failed, s * s / before).when(alive, (s - 1.0) * (s - 1.0) / at_h)
+    scored = long.select("method", h.alias("h"), term.alias("_t"))
+    return scored.groupBy("method", "h").agg(F.count("_t").alias("n"), F.avg("_t").alias("brier"))
 
 
 def integrated_brier(by_horizon: DataFrame) -> DataFrame:

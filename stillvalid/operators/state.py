@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,16 +88,29 @@ def value_prediction_block(deployment: DataFrame) -> DataFrame:
 def class_uncertainty_block(deployment: DataFrame, classes: int, members: int) -> DataFrame:
     """Entropy, energy and the aleatoric / epistemic split over the member probabilities."""
     floor = num.PROBA_FLOOR
-    each = [[num.clip(F.col("members").getItem(m).getItem(k), floor, 1.0) for k in range(classes)]
-            for m in range(members)]
-    mean_p = [num.total([each[m][k] for m in range(members)]) / members for k in range(classes)]
-    aleatoric = num.total([num.entropy(p) for p in each]) / members
-    mean_last = num.total([p[-1] for p in each]) / members
-    spread = num.total([(p[-1] - mean_last) * (p[-1] - mean_last) for p in each]) / members
-    rows = deployment.select(
-        *KEY, num.entropy(num.items("proba", classes)).alias("ent"),
+    # Members are unpacked and clipped into plain columns first: every later expression then reads
+    # a column instead of repeating the array access.
+    flat = deployment.select(
+        *KEY, "raw", *[num.clip(p, floor, 1.0).alias(f"p{k}")
+                       for k, p in enumerate(num.items("proba", classes))],
+        *[num.clip(F.col("members").getItem(m).getItem(k), floor, 1.0).alias(f"m{m}_{k}")
+          for m in range(members) for k in range(classes)])
+
+    def plain_entropy(p: Sequence[Column]) -> Column:
+        return -num.total([x * F.log(x) for x in p])
+
+    each = [[F.col(f"m{m}_{k}") for k in range(classes)] for m in range(members)]
+    flat = flat.select(
+        *KEY, plain_entropy([F.col(f"p{k}") for k in range(classes)]).alias("ent"),
         (-num.log_sum_exp(num.items("raw", classes))).alias("energy"),
-        aleatoric.alias("alea"), num.entropy(mean_p).alias("total"), spread.alias("spread"))
+        (num.total([plain_entropy(p) for p in each]) / members).alias("alea"),
+        *[(num.total([p[k] for p in each]) / members).alias(f"q{k}") for k in range(classes)],
+        *[p[-1].alias(f"l{m}") for m, p in enumerate(each)])
+    gaps = [F.col(f"l{m}") - F.col(f"q{classes - 1}") for m in range(members)]
+    rows = flat.select(
+        *KEY, "ent", "energy", "alea",
+        plain_entropy([F.col(f"q{k}") for k in range(classes)]).alias("total"),
+        (num.total([g * g for g in gaps]) / members).alias("spread"))
     return rows.groupBy(*KEY).agg(
         F.avg("ent").alias("unc_entropy_mean"),
         F.percentile("ent", F.lit(0.9)).alias("unc_entropy_q90"),

@@ -19,32 +19,40 @@ CENSORING_FLOOR = 1e-8
 def running_product(factors: Column) -> Column:
     """Cumulative product of an array (exact zeros stay zero, unlike a sum of logarithms)."""
     return F.aggregate(
-        factors, F.struct(F.lit(1.0).alias("s"), F.array().cast("array<double>").alias("out")),
-        lambda a, f: F.struct((a["s"] * f).alias("s"),
-                              F.concat(a["out"], F.array(a["s"] * f)).alias("out")),
-        lambda a: a["out"])
+        factors, F.array().cast("array<double>"),
+        lambda a, f: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(1.0))
+                                         * f)))
 
 
-def _km(origins: DataFrame, horizon: int, ended: Column, keys: Sequence[str]) -> DataFrame:
-    """Product-limit curve per key from 2H conditional counts: one pass, no self-join."""
+def _km(origins: DataFrame, horizon: int, ended: int, keys: Sequence[str]) -> DataFrame:
+    """Product-limit curve per key.
+
+    Each origin contributes one row per period at risk; these rows are summed on the map side, so
+    at most H rows per key leave a task.
+    """
     y = F.col("y_tilde")
-    hs = range(1, horizon + 1)
-    counts = origins.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_origins"), F.sum("event").cast("bigint").alias("n_events"),
-        *[F.count_if(y >= h).alias(f"_r{h}") for h in hs],
-        *[F.count_if((y == h) & ended).alias(f"_d{h}") for h in hs])
-    factors = F.array(*[F.when(F.col(f"_r{h}") > 0, 1.0 - F.col(f"_d{h}") / F.col(f"_r{h}"))
-                        .otherwise(F.lit(1.0)) for h in hs])
-    return counts.select(*keys, "n_origins", "n_events", running_product(factors).alias("surv"))
+    periods = origins.select(*keys, "event", y.alias("_y"),
+                             F.explode(F.sequence(F.lit(1), y.cast("int"))).alias("h"))
+    last = F.col("h") == F.col("_y")
+    counts = periods.groupBy(*keys, "h").agg(
+        F.count(F.lit(1)).alias("_r"), F.count_if(last & (F.col("event") == ended)).alias("_d"),
+        F.count_if(last).alias("_n"), F.count_if(last & (F.col("event") == 1)).alias("_e"))
+    factor = F.struct("h", (1.0 - F.col("_d") / F.col("_r")).alias("f"))
+    per = counts.groupBy(*keys).agg(
+        F.sum("_n").alias("n_origins"), F.sum("_e").alias("n_events"),
+        F.map_from_entries(F.collect_list(factor)).alias("_f"))
+    factors = F.transform(F.sequence(F.lit(1), F.lit(horizon)),
+                          lambda h: F.coalesce(F.try_element_at("_f", h), F.lit(1.0)))
+    return per.select(*keys, "n_origins", "n_events", running_product(factors).alias("surv"))
 
 
 def kaplan_meier(origins: DataFrame, horizon: int, keys: Sequence[str] = ()) -> DataFrame:
-    return _km(origins, horizon, F.col("event") == 1, keys)
+    return _km(origins, horizon, 1, keys)
 
 
 def censoring_curve(origins: DataFrame, horizon: int, keys: Sequence[str] = ()) -> DataFrame:
     """Kaplan-Meier of the censoring times, floored away from zero."""
-    out = _km(origins, horizon, F.col("event") == 0, keys)
+    out = _km(origins, horizon, 0, keys)
     return out.withColumn("surv", F.transform("surv", lambda g: F.greatest(
         g, F.lit(CENSORING_FLOOR))))
 
@@ -192,17 +200,15 @@ def sample_paths(forecasts: DataFrame, spread: Sequence[float], persistence: flo
     One row per origin and draw; the path stays an array.
     """
     horizon = len(spread)
-    out = forecasts.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    # Few small rows become many expensive ones here, so they are spread over all tasks first.
+    tasks = int(forecasts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = forecasts.repartition(tasks, "stream_id", "origin").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     z = [normal(f"{seed}{h}", "stream_id", "origin", "draw") for h in range(horizon)]
     fresh = float(np.sqrt(max(0.0, 1.0 - persistence ** 2)))
     noise = F.aggregate(
-        F.array(*z), F.struct(F.lit(None).cast("double").alias("e"),
-                              F.array().cast("array<double>").alias("out")),
-        lambda a, v: F.struct(
-            F.coalesce(persistence * a["e"] + fresh * v, v).alias("e"),
-            F.concat(a["out"], F.array(F.coalesce(persistence * a["e"] + fresh * v, v)))
-            .alias("out")),
-        lambda a: a["out"])
+        F.array(*z), F.array().cast("array<double>"),
+        lambda a, v: F.concat(a, F.array(F.coalesce(
+            persistence * F.try_element_at(a, F.lit(-1)) + fresh * v, v))))
     scale = F.array(*[F.lit(float(s)) for s in spread])
     shifted = F.zip_with(F.zip_with(noise, scale, lambda e, s: e * s), "centre",
                          lambda e, c: e + c)
@@ -210,23 +216,25 @@ def sample_paths(forecasts: DataFrame, spread: Sequence[float], persistence: flo
     return out.select("stream_id", "origin", "draw", "eps", path.alias("path"))
 
 
-def first_passage(paths: DataFrame, horizon: int, eps: Column | None = None) -> DataFrame:
+def first_passage(paths: DataFrame, eps: Column | None = None) -> DataFrame:
     """Share of sampled paths that stay at or below the threshold up to each horizon."""
     limit = eps if eps is not None else F.col("eps")
     peaks = paths.select("stream_id", "origin", limit.alias("_eps"), F.aggregate(
-        "path", F.struct(F.lit(0.0).alias("m"), F.array().cast("array<double>").alias("out")),
-        lambda a, r: F.struct(F.greatest(a["m"], r).alias("m"),
-                              F.concat(a["out"], F.array(F.greatest(a["m"], r))).alias("out")),
-        lambda a: a["out"]).alias("_peak"))
-    agg = peaks.groupBy("stream_id", "origin").agg(*[
-        F.avg((F.get("_peak", F.lit(h)) <= F.col("_eps")).cast("double")).alias(f"_s{h}")
-        for h in range(horizon)])
-    return agg.select("stream_id", "origin",
-                      F.array(*[F.col(f"_s{h}") for h in range(horizon)]).alias("surv"))
-
-
-def mean_path(paths: DataFrame, horizon: int) -> DataFrame:
-    agg = paths.groupBy("stream_id", "origin").agg(*[
-        F.avg(F.get("path", F.lit(h))).alias(f"_p{h}") for h in range(horizon)])
-    return agg.select("stream_id", "origin",
-                      F.array(*[F.col(f"_p{h}") for h in range(horizon)]).alias("pred"))
+        "path", F.array().cast("array<double>"),
+        lambda a, r: F.concat(a, F.array(F.greatest(r, F.try_element_at(a, F.lit(-1))))))
+        .alias("_peak"))
+    alive = F.transform("_peak", lambda p: (p <= F.col("_eps")).cast("double"))
+    return _mean_array(peaks.withColumn("_a", alive), "_a", "surv")
+
+
+def mean_path(paths: DataFrame) -> DataFrame:
+    return _mean_array(paths, "path", "pred")
+
+
+def _mean_array(rows: DataFrame, column: str, out: str) -> DataFrame:
+    """Element-wise mean of an array over the draws of each origin."""
+    long = rows.select("stream_id", "origin", F.posexplode(column).alias("_i", "_v"))
+    means = long.groupBy("stream_id", "origin", "_i").agg(F.avg("_v").alias("_m"))
+    packed = means.groupBy("stream_id", "origin").agg(
+        F.array_sort(F.collect_list(F.struct("_i", "_m"))).alias("_p"))
+    return packed.select("stream_id", "origin", F.col("_p._m").alias(out))

@@ -84,11 +84,14 @@ class Contest:
     def cox_curves(self, columns: list[str]) -> DataFrame:
         """Cox model on at most eight principal scores of the latest state."""
         m = self.monitor
-        states = m.states.select("stream_id", F.col("window_idx").alias("origin"), *columns)
-        train = self.part("train").join(states, ["stream_id", "origin"])
-        test = self.part("test").join(states, ["stream_id", "origin"])
+        key = ["stream_id", "origin"]
+        states = freeze(m.states.select("stream_id", F.col("window_idx").alias("origin"),
+                                        F.array(*columns).alias("state")), "state-vectors")
+        base = [*key, "y_tilde", "event"]
+        train = self.part("train").select(*base).join(states, key)
+        test = self.part("test").select(*base).join(states, key)
         k = int(min(8, len(columns), max(2, train.count() // 25)))
-        ztrain, ztest, names = learned.reduce_states(train, test, columns, k)
+        ztrain, ztest, names = learned.reduce_states(train, test, "state", k)
         ztrain = freeze(ztrain.select("y_tilde", "event", *names), "cox-train")
         beta, base = survival.cox_fit(ztrain, names, m.spec.horizon)
         return survival.cox_predict(ztest, names, beta, base)

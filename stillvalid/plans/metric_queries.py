@@ -173,6 +173,7 @@ def _stream_results(spark, folder):
     ibs = metrics.integrated_brier(metrics.brier_by_horizon(tagged, c.part("test"), 20))
     out = scores.join(ibs, "method").withColumn("d_cal_p", chi2_sf_col("chi2", "df"))
     parts = F.split("method", r"\|")
+    out = out.filter("concordance is not null")      # a stream without comparable pairs
     return out.select(parts[0].alias("method"), parts[1].alias("seed"), "concordance", "ipcw_ibs",
                       "d_cal_p", (F.col("concordance") - 0.5).alias("effect_delta"),
                       F.lit(0.01).alias("p_adjusted"), (F.col("concordance") > 0.5).alias("beats"))

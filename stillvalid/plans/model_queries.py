@@ -141,7 +141,7 @@ def _(spark, folder):
     out, sigma, rho = _risk_model(events_contest(spark, folder))
     paths = survival.sample_paths(out.select("stream_id", "origin", "eps", "centre"), sigma, rho,
                                   64)
-    return curve_rows(survival.first_passage(paths, 20), "stream_id", "origin")
+    return curve_rows(survival.first_passage(paths), "stream_id", "origin")
 
 
 def _anchor_paths(spark, folder):
@@ -154,14 +154,14 @@ def _anchor_paths(spark, folder):
 @query("m15_first_passage")
 def _(spark, folder):
     """First-passage survival from paths sampled around the anchor."""
-    return curve_rows(survival.first_passage(_anchor_paths(spark, folder), 20), "stream_id",
+    return curve_rows(survival.first_passage(_anchor_paths(spark, folder)), "stream_id",
                       "origin")
 
 
 @query("m17_mean_path")
 def _(spark, folder):
     """Mean of the sampled risk paths."""
-    out = survival.mean_path(_anchor_paths(spark, folder), 20)
+    out = survival.mean_path(_anchor_paths(spark, folder))
     return out.select("stream_id", "origin", F.posexplode("pred").alias("_i", "pred")).select(
         "stream_id", "origin", (F.col("_i") + 1).alias("h"), "pred")
 

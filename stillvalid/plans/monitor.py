@@ -117,7 +117,8 @@ class Monitor:
     def geometry_block(self) -> DataFrame:
         n_axes = min(ref.COMPONENTS, len(self.spec.features))
         return freeze(window_geometry(self.deployment, self.reference_sample,
-                                      self.reference_features, self.geometry, n_axes),
+                                      self.reference_features, self.geometry,
+                                      len(self.spec.features), n_axes),
                       "geometry-block")
 
     def embedded(self, rows: DataFrame) -> DataFrame:
