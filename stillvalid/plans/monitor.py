@@ -40,19 +40,27 @@ class Monitor:
                                                self.spec.pre_fraction), "sizes")
 
     @cached_property
-    def rows(self) -> DataFrame:
+    def _placed(self) -> DataFrame:
+        return windows.assign_windows(self._numbered, self.sizes, self.spec.window)
+
+    @cached_property
+    def scorer_tables(self) -> tuple[DataFrame, DataFrame]:
+        """The frozen rate table by key and by stream, fitted on pre-deployment rows only."""
+        s, pre = self.spec, self._placed.filter("segment = 'pre'")
+        keyed, by_stream = (scorer.fit_class_rates(pre, s.classes, s.members) if s.classes
+                            else scorer.fit_means(pre))
+        return freeze(keyed, "key-rates"), freeze(by_stream, "stream-rates")
+
+    def scored(self, rows: DataFrame) -> DataFrame:
+        """Predictions and loss of any rows with stream_id, score_key and y (batch or streaming)."""
         s = self.spec
-        placed = windows.assign_windows(self._numbered, self.sizes, s.window)
-        pre = placed.filter("segment = 'pre'")
         if s.classes:
-            keyed, by_stream = scorer.fit_class_rates(pre, s.classes, s.members)
-            scored = scorer.score_classes(placed, freeze(keyed, "key-rates"),
-                                          freeze(by_stream, "stream-rates"), s.classes, s.members)
-        else:
-            keyed, by_stream = scorer.fit_means(pre)
-            scored = scorer.score_means(placed, freeze(keyed, "key-means"),
-                                        freeze(by_stream, "stream-means"))
-        scored = scored.drop("n_rows", "n_pre_windows", "n_windows", "refused")
+            return scorer.score_classes(rows, *self.scorer_tables, s.classes, s.members)
+        return scorer.score_means(rows, *self.scorer_tables)
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        scored = self.scored(self._placed).drop("n_rows", "n_pre_windows", "n_windows", "refused")
         return freeze(scored, "scored", partition_by=("segment",))
 
     @property

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (metric_queries, model_queries, state_queries,  # noqa: F401  (importing registers)
+               stream_queries, stress_queries,
                table_queries, targets_queries)
 from .catalog import QUERIES, tidy
 from .monitor import monitor
