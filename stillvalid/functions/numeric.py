@@ -70,24 +70,39 @@ def argmax(p: Column) -> Column:
     return (F.array_position(p, F.array_max(p)) - 1).cast("int")
 
 
-def entropy(p: Sequence[Column]) -> Column:
-    clipped = [clip(x, PROBA_FLOOR, 1.0) for x in p]
-    return -total([x * F.log(x) for x in clipped])
+def clipped(p: Column) -> Column:
+    return F.transform(p, lambda x: clip(x, PROBA_FLOOR, 1.0))
 
 
-def top_two_gap(p: Sequence[Column]) -> Column:
+def entropy(p: Column) -> Column:
+    """Entropy of a probability array.
+
+    Array folds keep the generated code small: the same formula unrolled over classes and members
+    grows past the size the JVM compiles and then runs many times slower.
+    """
+    return -F.aggregate(clipped(p), F.lit(0.0), lambda s, x: s + x * F.log(x))
+
+
+def mean_distribution(members: Column) -> Column:
+    """Element-wise mean of an array of probability arrays."""
+    first = F.transform(F.get(members, F.lit(0)), lambda _: F.lit(0.0))
+    summed = F.aggregate(members, first, lambda s, p: F.zip_with(s, p, lambda a, b: a + b))
+    return bind(F.size(members).cast("double"), lambda n: F.transform(summed, lambda v: v / n))
+
+
+def top_two_gap(p: Column) -> Column:
     """Largest minus second largest probability; 0 with a single class."""
-    if len(p) < 2:
-        return F.lit(0.0)
-    ranked = F.sort_array(F.array(*[clip(x, PROBA_FLOOR, 1.0) for x in p]), asc=False)
-    return ranked.getItem(0) - ranked.getItem(1)
+    ranked = F.sort_array(clipped(p), asc=False)
+    return bind(ranked, lambda r: F.when(F.size(r) >= 2, F.get(r, F.lit(0)) - F.get(r, F.lit(1)))
+                .otherwise(F.lit(0.0)))
 
 
-def log_sum_exp(scores: Sequence[Column]) -> Column:
+def log_sum_exp(scores: Column) -> Column:
     """A single score is a binary margin and is read as the pair (0, margin)."""
-    scores = [F.lit(0.0), scores[0]] if len(scores) == 1 else list(scores)
-    top = F.greatest(*scores)
-    return top + F.log(total([F.exp(s - top) for s in scores]))
+    full = F.when(F.size(scores) == 1, F.array(F.lit(0.0), F.get(scores, F.lit(0)))
+                  ).otherwise(scores)
+    return bind(full, lambda r: bind(F.array_max(r), lambda top: top + F.log(
+        F.aggregate(r, F.lit(0.0), lambda s, v: s + F.exp(v - top)))))
 
 
 def array_mean(a: Column) -> Column:

@@ -7,7 +7,6 @@ candidate is two numbers per origin and tuning is one aggregate over the calibra
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -23,20 +22,6 @@ TREND_GRID = (5, 8, 10, 15, 20)
 ORDER_GRID = (1, 2, 3, 5)
 
 
-@dataclass(frozen=True)
-class Candidate:
-    method: str
-    setting: float | None
-    level: Column
-    slope: Column
-    both: Column | None = None      # struct (m, at) where one expression yields slope and level
-
-    def line(self) -> Column:
-        """(slope ``m``, level ``at``) as one struct, so that a shared fit is evaluated once."""
-        return self.both if self.both is not None else F.struct(self.slope.alias("m"),
-                                                                self.level.alias("at"))
-
-
 def _known(a: Column) -> Column:
     return F.filter(a, lambda r: r.isNotNull())
 
@@ -45,70 +30,92 @@ def _last(hist: Column) -> Column:
     return F.coalesce(F.try_element_at(_known(hist), F.lit(-1)), F.lit(0.5))
 
 
-def persistence(hist: Column) -> Candidate:
-    return Candidate("persistence", None, _last(hist), F.lit(0.0))
+def _tail(a: Column, k: Column) -> Column:
+    take = F.least(k.cast("int"), F.size(a))
+    return F.when(take > 0, F.slice(a, -take, take)).otherwise(a)
 
 
-def moving_average(hist: Column, k: int) -> Candidate:
-    level = F.coalesce(num.array_mean(_known(num.tail(hist, k))), _last(hist))
-    return Candidate("moving_average", float(k), level, F.lit(0.0))
+def _line(method: str, setting: Column, level: Column, slope: Column) -> Column:
+    return F.struct(F.lit(method).alias("method"), setting.cast("double").alias("setting"),
+                    level.alias("level"), slope.alias("slope"))
 
 
-def exponential_smoothing(hist: Column, alpha: float) -> Candidate:
-    return Candidate("exponential_smoothing", alpha,
-                     F.coalesce(num.smooth(_known(hist), alpha), _last(hist)), F.lit(0.0))
-
-
-def theil_sen_trend(hist: Column, k: int) -> Candidate:
-    """Median slope and median intercept of the last ``k``, projected from the last point."""
-    def line(y: Column) -> Column:
-        n = F.size(y)
-        at = F.when(n >= 2, num.bind(num.theil_sen_slope(y), lambda m: F.struct(
-            m.alias("m"), (num.array_median(F.transform(y, lambda v, i: v - m * i.cast("double")))
-                           + m * (n - 1).cast("double")).alias("at"))))
-        flat = F.struct(F.lit(0.0).alias("m"), F.coalesce(F.try_element_at(y, F.lit(1)),
-                                                          F.lit(0.5)).alias("at"))
-        return F.coalesce(at, flat)
+def _grid(values: Sequence[float]) -> Column:
+    return F.array(*[F.lit(float(v)) for v in values])
 
-    found = num.bind(_known(num.tail(hist, k)), line)
-    return Candidate("theil_sen_trend", float(k), found["at"], found["m"], found)
 
+def persistence(hist: Column) -> Column:
+    """The last known risk for every horizon."""
+    return F.array(_line("persistence", F.lit(None), _last(hist), F.lit(0.0)))
 
-def anchor_only(anchor: Column) -> Candidate:
-    return Candidate("anchor", None, anchor, F.lit(0.0))
 
+def moving_average(hist: Column, grid: Sequence[int] = MOVING_AVERAGE_GRID) -> Column:
+    """The mean of the last k known risks, for each k."""
+    return F.transform(_grid(grid), lambda k: _line(
+        "moving_average", k, F.coalesce(num.array_mean(_known(_tail(hist, k))), _last(hist)),
+        F.lit(0.0)))
 
-def candidates(hist: Column) -> list[Candidate]:
-    return ([persistence(hist)] + [moving_average(hist, k) for k in MOVING_AVERAGE_GRID]
-            + [exponential_smoothing(hist, a) for a in SMOOTHING_GRID]
-            + [theil_sen_trend(hist, k) for k in TREND_GRID])
 
+def exponential_smoothing(hist: Column, grid: Sequence[float] = SMOOTHING_GRID) -> Column:
+    """The smoothed level, for each factor."""
+    return F.transform(_grid(grid), lambda a: _line(
+        "exponential_smoothing", a, F.coalesce(num.smooth(_known(hist), a), _last(hist)),
+        F.lit(0.0)))
 
-def _line_error(c: Candidate) -> Column:
-    """Sum of absolute errors of one origin over the horizons with a known risk."""
-    def error(line: Column) -> Column:
-        each = F.transform("risk_path", lambda r, i: F.coalesce(
-            F.abs(num.clip(line["at"] + line["m"] * (i + 1), 0.0, 1.0) - r), F.lit(0.0)))
-        return F.aggregate(each, F.lit(0.0), lambda s, e: s + e)
 
-    return num.bind(c.line(), error)
-
-
-def tune(calibration: DataFrame, choices: Sequence[Candidate]) -> DataFrame:
-    """Best setting per method by mean absolute error; the earlier grid entry wins a tie.
-
-    One row in, one row per method out: all candidates are columns of a single aggregate.
-    """
-    known = F.size(_known(F.col("risk_path")))
-    sums = calibration.select(known.alias("_n"), *[
-        _line_error(c).alias(f"_e{i}") for i, c in enumerate(choices)])
-    row = sums.agg(F.sum("_n").alias("_n"),
-                   *[F.sum(f"_e{i}").alias(f"_e{i}") for i in range(len(choices))])
-    listed = F.array(*[F.struct(
-        F.lit(c.method).alias("method"), F.lit(c.setting).cast("double").alias("setting"),
-        F.lit(i).alias("position"), F.try_divide(F.col(f"_e{i}"), F.col("_n")).alias("mae"))
-        for i, c in enumerate(choices)])
-    return _best(row.select(F.inline(listed)))
+def theil_sen_trend(hist: Column, grid: Sequence[int] = TREND_GRID) -> Column:
+    """Median slope and median intercept of the last k, projected from the last point."""
+    def fit(y: Column, k: Column) -> Column:
+        n = F.size(y)
+        steps = (n - 1).cast("double")
+        trend = num.bind(num.theil_sen_slope(y), lambda m: _line(
+            "theil_sen_trend", k, num.array_median(
+                F.transform(y, lambda v, i: v - m * i.cast("double"))) + m * steps, m))
+        flat = _line("theil_sen_trend", k, F.coalesce(F.get(y, F.lit(0)), F.lit(0.5)), F.lit(0.0))
+        return F.when(n >= 2, trend).otherwise(flat)
+
+    return F.transform(_grid(grid), lambda k: num.bind(_known(_tail(hist, k)),
+                                                       lambda y: fit(y, k)))
+
+
+def anchor_only(anchor: Column) -> Column:
+    return F.array(_line("anchor", F.lit(None), anchor, F.lit(0.0)))
+
+
+def candidates(hist: Column, anchor: Column | None = None) -> Column:
+    """Array of (method, setting, level, slope): every method and grid setting, in grid order."""
+    parts = [persistence(hist), moving_average(hist), exponential_smoothing(hist),
+             theil_sen_trend(hist)]
+    if anchor is not None:
+        parts.append(anchor_only(anchor))
+    return F.concat(*parts)
+
+
+def candidate_lines(origins: DataFrame, *keep: str) -> DataFrame:
+    """One row per origin and candidate; ``position`` is its place in the grid."""
+    tasks = int(origins.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Few rows, much work per row: spread them before the fits.
+    spread = origins.repartition(tasks, "stream_id", "origin")
+    out = spread.select("stream_id", "origin", *keep, F.posexplode(
+        candidates(F.col("risk_hist"), F.col("anchor"))).alias("position", "line"))
+    return out.select("stream_id", "origin", *keep, "position", "line.*")
+
+
+def _path(length: Column) -> Column:
+    return F.transform(length, lambda _, i: num.clip(
+        F.col("level") + F.col("slope") * (i + 1), 0.0, 1.0))
+
+
+def tune(calibration: DataFrame) -> DataFrame:
+    """Best setting per method by mean absolute error; the earlier grid entry wins a tie."""
+    lines = candidate_lines(calibration, "risk_path")
+    gaps = F.zip_with(_path(F.col("risk_path")), "risk_path",
+                      lambda p, r: F.coalesce(F.abs(p - r), F.lit(0.0)))
+    scores = lines.select(
+        "method", "setting", "position", F.size(_known(F.col("risk_path"))).alias("_n"),
+        F.aggregate(gaps, F.lit(0.0), lambda s, e: s + e).alias("_e")).groupBy(
+        "method", "setting", "position").agg(F.try_divide(F.sum("_e"), F.sum("_n")).alias("mae"))
+    return _best(scores)
 
 
 def _best(scores: DataFrame) -> DataFrame:
@@ -118,20 +125,14 @@ def _best(scores: DataFrame) -> DataFrame:
     return (scores.withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r"))
 
 
-def forecast_lines(origins: DataFrame, choices: Sequence[Candidate],
-                   tuned: DataFrame | None = None) -> DataFrame:
+def forecast_lines(origins: DataFrame, tuned: DataFrame | None = None) -> DataFrame:
     """(stream_id, origin, method, pred[H], target[H]); only tuned settings when given."""
-    listed = F.array(*[F.struct(
-        F.lit(c.method).alias("method"), F.lit(i).alias("position"),
-        c.line().alias("line")) for i, c in enumerate(choices)])
-    out = origins.select("stream_id", "origin", F.col("risk_path").alias("target"),
-                         F.inline(listed))
+    lines = candidate_lines(origins, "risk_path")
     if tuned is not None:
         # One row per method, so the broadcast side has a fixed size.
-        out = out.join(F.broadcast(tuned.select("method", "position")), ["method", "position"])
-    pred = num.bind(F.col("line"), lambda line: F.transform("target", lambda _, i: num.clip(
-        line["at"] + line["m"] * (i + 1), 0.0, 1.0)))
-    return out.select("stream_id", "origin", "method", pred.alias("pred"), "target")
+        lines = lines.join(F.broadcast(tuned.select("method", "position")), ["method", "position"])
+    return lines.select("stream_id", "origin", "method", _path(F.col("risk_path")).alias("pred"),
+                        F.col("risk_path").alias("target"))
 
 
 # -- autoregression --------------------------------------------------------------------------

@@ -19,7 +19,9 @@ WINDOWS_PER_GROUP = 64
 
 def _neighbour_distance(z: np.ndarray, ref: np.ndarray, k: int) -> np.ndarray:
     """Mean distance of each row to its ``k`` nearest reference rows."""
-    d2 = (z * z).sum(1)[:, None] + (ref * ref).sum(1)[None, :] - 2.0 * (z @ ref.T)
+    d2 = z @ ref.T
+    d2 *= -2.0                       # in place: this matrix dominates the memory traffic
+    d2 += (ref * ref).sum(1)
     near = np.argpartition(d2, k - 1, axis=1)[:, :k]
     exact = ((z[:, None, :] - ref[near]) ** 2).sum(-1)
     return np.sqrt(exact).mean(axis=1)
@@ -138,6 +140,10 @@ def window_geometry(deployment: DataFrame, sample: DataFrame, features: DataFram
             out.append(row)
         return pd.DataFrame(out)[["stream_id", "window_idx", *columns]]
 
+    # A fixed partition count keeps adaptive execution from merging these small but costly groups
+    # into a few tasks.
+    n = int(deployment.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows, ref = (df.repartition(n, "stream_id", "_group") for df in (rows, ref))
     schema = "stream_id string, window_idx bigint, " + ", ".join(f"{c} double" for c in columns)
     return (rows.groupBy("stream_id", "_group")
                 .cogroup(ref.groupBy("stream_id", "_group"))

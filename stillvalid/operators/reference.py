@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import argmax, entropy, items, uniform
+from ..functions.numeric import argmax, entropy, uniform
 from .ordered import CHUNK, quantiles_of_counts
 
 # Sizes that are part of the statistics' definitions.
@@ -101,7 +101,7 @@ def behaviour_reference(pre: DataFrame, classes: int) -> DataFrame:
     return pre.groupBy("stream_id").agg(
         F.array(*[F.count_if(top == k) / n for k in range(classes)]).alias("prior"),
         F.avg(F.array_max("proba")).alias("confidence_mean"),
-        F.avg(entropy(items("proba", classes))).alias("entropy_mean"))
+        F.avg(entropy(F.col("proba"))).alias("entropy_mean"))
 
 
 GEOMETRY_SCHEMA = ("stream_id string, bandwidth double, kernel_self double, "

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import PROBA_FLOOR, argmax, clip, items
+from ..functions.numeric import argmax, clipped
 from .risk import bounded_absolute_error, zero_one_loss
 
 
@@ -42,13 +42,12 @@ def fit_class_rates(pre: DataFrame, classes: int, members: int) -> tuple[DataFra
     return keyed, by_stream.select("stream_id", table(by_stream, "s_")[0].alias("stream_members"))
 
 
-def score_classes(rows: DataFrame, keyed: DataFrame, by_stream: DataFrame, classes: int,
+def score_classes(rows: DataFrame, keyed: DataFrame, by_stream: DataFrame,
                   members: int) -> DataFrame:
     out = rows.join(by_stream, "stream_id").join(keyed, ["stream_id", "score_key"], "left")
     out = out.withColumn("members", F.coalesce("members", "stream_members")).drop("stream_members")
     out = out.withColumn("proba", F.col("members").getItem(members - 1))
-    out = out.withColumn("raw", F.array(*[F.log(clip(p, PROBA_FLOOR, 1.0))
-                                          for p in items("proba", classes)]))
+    out = out.withColumn("raw", F.transform(clipped(F.col("proba")), lambda p: F.log(p)))
     out = out.withColumn("y_pred", argmax(F.col("proba")).cast("double"))
     return out.withColumn("loss", zero_one_loss(F.col("y"), F.col("y_pred")))
 

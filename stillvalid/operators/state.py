@@ -48,11 +48,10 @@ def assert_same_schema(tables: dict[str, DataFrame]) -> None:
 
 # -- predictions -----------------------------------------------------------------------------
 def class_prediction_block(deployment: DataFrame, behaviour: DataFrame, classes: int) -> DataFrame:
-    p = num.items("proba", classes)
-    msp = F.greatest(*[num.clip(x, num.PROBA_FLOOR, 1.0) for x in p]) if classes > 1 else p[0]
-    rows = deployment.select(*KEY, msp.alias("msp"), num.entropy(p).alias("ent"),
-                             num.top_two_gap(p).alias("gap"),
-                             num.argmax(F.col("proba")).alias("top"))
+    p = F.col("proba")
+    rows = deployment.select(*KEY, num.clip(F.array_max(p), num.PROBA_FLOOR, 1.0).alias("msp"),
+                             num.entropy(p).alias("ent"), num.top_two_gap(p).alias("gap"),
+                             num.argmax(p).alias("top"))
     n = F.count(F.lit(1))
     win = rows.groupBy(*KEY).agg(
         F.avg("msp").alias("pred_msp_mean"), F.stddev_pop("msp").alias("pred_msp_std"),
@@ -85,32 +84,18 @@ def value_prediction_block(deployment: DataFrame) -> DataFrame:
 
 
 # -- uncertainty -----------------------------------------------------------------------------
-def class_uncertainty_block(deployment: DataFrame, classes: int, members: int) -> DataFrame:
+def class_uncertainty_block(deployment: DataFrame) -> DataFrame:
     """Entropy, energy and the aleatoric / epistemic split over the member probabilities."""
-    floor = num.PROBA_FLOOR
-    # Members are unpacked and clipped into plain columns first: every later expression then reads
-    # a column instead of repeating the array access.
     flat = deployment.select(
-        *KEY, "raw", *[num.clip(p, floor, 1.0).alias(f"p{k}")
-                       for k, p in enumerate(num.items("proba", classes))],
-        *[num.clip(F.col("members").getItem(m).getItem(k), floor, 1.0).alias(f"m{m}_{k}")
-          for m in range(members) for k in range(classes)])
-
-    def plain_entropy(p: Sequence[Column]) -> Column:
-        return -num.total([x * F.log(x) for x in p])
-
-    each = [[F.col(f"m{m}_{k}") for k in range(classes)] for m in range(members)]
-    flat = flat.select(
-        *KEY, plain_entropy([F.col(f"p{k}") for k in range(classes)]).alias("ent"),
-        (-num.log_sum_exp(num.items("raw", classes))).alias("energy"),
-        (num.total([plain_entropy(p) for p in each]) / members).alias("alea"),
-        *[(num.total([p[k] for p in each]) / members).alias(f"q{k}") for k in range(classes)],
-        *[p[-1].alias(f"l{m}") for m, p in enumerate(each)])
-    gaps = [F.col(f"l{m}") - F.col(f"q{classes - 1}") for m in range(members)]
+        *KEY, num.entropy(F.col("proba")).alias("ent"),
+        (-num.log_sum_exp(F.col("raw"))).alias("energy"),
+        F.transform("members", num.clipped).alias("_m"))
     rows = flat.select(
-        *KEY, "ent", "energy", "alea",
-        plain_entropy([F.col(f"q{k}") for k in range(classes)]).alias("total"),
-        (num.total([g * g for g in gaps]) / members).alias("spread"))
+        *KEY, "ent", "energy",
+        num.array_mean(F.transform("_m", num.entropy)).alias("alea"),
+        num.entropy(num.mean_distribution(F.col("_m"))).alias("total"),
+        num.array_std(F.transform("_m", lambda p: F.element_at(p, -1))).alias("sd"))
+    rows = rows.withColumn("spread", F.col("sd") * F.col("sd"))
     return rows.groupBy(*KEY).agg(
         F.avg("ent").alias("unc_entropy_mean"),
         F.percentile("ent", F.lit(0.9)).alias("unc_entropy_q90"),
@@ -145,13 +130,12 @@ def moment_block(deployment: DataFrame, features: DataFrame) -> DataFrame:
         *[F.count_if((F.col("_bin") == b) & F.col("z").isNotNull()).alias(f"_b{b}")
           for b in range(bins)])
     # The reference share is taken as 1 / bins even where equal cut points were merged.
-    share = F.greatest(1.0 / F.col("n_bins"), F.lit(1e-6))
-    parts = []
-    for b in range(bins):
-        c = F.greatest(F.col(f"_b{b}") / F.greatest(F.col("_n"), F.lit(1)), F.lit(1e-6))
-        parts.append(F.when(F.col("n_bins") > b, (c - share) * F.log(c / share)).otherwise(
-            F.lit(0.0)))
-    per = per.withColumn("_psi", num.total(parts))
+    per = per.withColumn("_r", F.greatest(1.0 / F.col("n_bins"), F.lit(1e-6)))
+    used = F.slice(F.array(*[F.col(f"_b{b}") for b in range(bins)]), 1, F.col("n_bins"))
+    size = F.greatest(F.col("_n"), F.lit(1))
+    shares = F.transform(used, lambda c: F.greatest(c / size, F.lit(1e-6)))
+    per = per.withColumn("_psi", F.aggregate(
+        shares, F.lit(0.0), lambda s, c: s + (c - F.col("_r")) * F.log(c / F.col("_r"))))
     d = F.count(F.lit(1))
     return per.groupBy(*KEY).agg(
         F.sqrt(F.sum(F.col("_m") * F.col("_m")) / d).alias("dist_mean_shift"),
@@ -212,14 +196,11 @@ def calibration_error(rows: DataFrame, bins: int = 10) -> DataFrame:
     base = rows.select(*KEY, conf.alias("c"),
                        F.coalesce((num.argmax(F.col("proba")) == F.col("y")).cast("double"),
                                   F.lit(0.0)).alias("ok"))
-    inside = [(F.col("c") > edges[i]) & (F.col("c") <= edges[i + 1]) for i in range(bins)]
-    agg = base.groupBy(*KEY).agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[F.sum(F.when(m, F.col("ok") - F.col("c")).otherwise(0.0)).alias(f"_g{i}")
-          for i, m in enumerate(inside)])
+    place = F.size(F.filter(F.array(*[F.lit(e) for e in edges[:-1]]), lambda e: F.col("c") > e))
+    per = base.groupBy(*KEY, place.alias("_bin")).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(F.col("ok") - F.col("c")).alias("_gap"))
     # |mean(ok) - mean(c)| * count / n equals |sum(ok - c)| / n.
-    return agg.select(*KEY, (num.total([F.abs(F.col(f"_g{i}")) for i in range(bins)])
-                             / F.col("_n")).alias("ece"))
+    return per.groupBy(*KEY).agg((F.sum(F.abs("_gap")) / F.sum("_n")).alias("ece"))
 
 
 def matured_risks(risk: DataFrame, delay: int) -> DataFrame:

@@ -37,18 +37,14 @@ class Contest:
         return self.split.filter(F.col("split") == name)
 
     # -- risk paths ------------------------------------------------------------------------
-    def choices(self) -> list[fc.Candidate]:
-        return [*fc.candidates(F.col("risk_hist")), fc.anchor_only(F.col("anchor"))]
-
     @cached_property
     def tuned(self) -> DataFrame:
-        return freeze(fc.tune(self.part("calibration"), self.choices()), "tuned")
+        return freeze(fc.tune(self.part("calibration")), "tuned")
 
     @cached_property
     def forecasts(self) -> DataFrame:
         """Tuned forecasts of the test origins, one row per origin and method."""
-        return freeze(fc.forecast_lines(self.part("test"), self.choices(), self.tuned),
-                      "forecasts")
+        return freeze(fc.forecast_lines(self.part("test"), self.tuned), "forecasts")
 
     def path_scores(self, reference: str = "persistence") -> DataFrame:
         return fc.skill(fc.horizon_scores(self.forecasts, self.monitor.spec.horizon), reference)

@@ -34,13 +34,8 @@ def origin_states(m: Monitor, part, columns):
 @query("m1_forecast_candidates")
 def _(spark, folder):
     """M1-M4, M7: level and slope of every method and grid setting at each origin."""
-    o = monitor(spark, folder, EVENTS).origins
-    choices = [*fc.candidates(F.col("risk_hist")), fc.anchor_only(F.col("anchor"))]
-    listed = F.array(*[F.struct(
-        F.lit(c.method).alias("method"),
-        F.lit(-1.0 if c.setting is None else c.setting).alias("setting"),
-        c.level.alias("level"), c.slope.alias("slope")) for c in choices])
-    return o.select("stream_id", "origin", F.inline(listed))
+    out = fc.candidate_lines(monitor(spark, folder, EVENTS).origins)
+    return out.withColumn("setting", F.coalesce("setting", F.lit(-1.0))).drop("position")
 
 
 @query("m5_ar_one")

@@ -55,7 +55,7 @@ class Monitor:
         """Predictions and loss of any rows with stream_id, score_key and y (batch or streaming)."""
         s = self.spec
         if s.classes:
-            return scorer.score_classes(rows, *self.scorer_tables, s.classes, s.members)
+            return scorer.score_classes(rows, *self.scorer_tables, s.members)
         return scorer.score_means(rows, *self.scorer_tables)
 
     @cached_property
@@ -143,7 +143,7 @@ class Monitor:
         if s.classes:
             out = {"pred": st.class_prediction_block(self.deployment, self.reference_behaviour,
                                                      s.classes),
-                   "unc": st.class_uncertainty_block(self.deployment, s.classes, s.members)}
+                   "unc": st.class_uncertainty_block(self.deployment)}
             ece = st.calibration_error(self.deployment)
         else:
             out = {"pred": st.value_prediction_block(self.deployment),

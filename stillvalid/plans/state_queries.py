@@ -103,7 +103,7 @@ def _(spark, folder):
     """Spread and trend of headline statistics over the five previous windows."""
     m = monitor(spark, folder, LINES)
     base = st.class_prediction_block(m.deployment, m.reference_behaviour, 3).join(
-        st.class_uncertainty_block(m.deployment, 3, 5), KEY)
+        st.class_uncertainty_block(m.deployment), KEY)
     return st.volatility(base, {"pred_volatility": "pred_msp_mean",
                                 "unc_volatility": "unc_entropy_mean"},
                          {"pred_trend": "pred_msp_mean"})
@@ -147,7 +147,7 @@ def _(spark, folder):
 def _(spark, folder):
     """Entropy, energy score, aleatoric and epistemic parts, member spread."""
     m = monitor(spark, folder, LINES)
-    return st.class_uncertainty_block(m.deployment, 3, 5)
+    return st.class_uncertainty_block(m.deployment)
 
 
 @query("s17_members")
