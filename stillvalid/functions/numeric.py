@@ -109,6 +109,15 @@ def array_mean(a: Column) -> Column:
     return F.try_divide(F.aggregate(a, F.lit(0.0), lambda s, x: s + x), F.size(a))
 
 
+def spread(x: Column) -> Column:
+    """Population deviation, exactly 0 for a constant column.
+
+    Merging partial aggregates can leave a deviation of about 1e-16 on a constant, which would
+    pass a ``> 0`` test and then blow up a division.
+    """
+    return F.when(F.max(x) > F.min(x), F.stddev_pop(x)).otherwise(F.lit(0.0))
+
+
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it in ``body``.
 
@@ -120,11 +129,11 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def array_std(a: Column) -> Column:
     """Population standard deviation of an array."""
-    def spread(s: Column) -> Column:
+    def deviation(s: Column) -> Column:
         return F.sqrt(F.try_divide(F.aggregate(
             s["a"], F.lit(0.0), lambda t, x: t + (x - s["m"]) * (x - s["m"])), F.size(s["a"])))
 
-    return bind(F.struct(a.alias("a"), array_mean(a).alias("m")), spread)
+    return bind(F.struct(a.alias("a"), array_mean(a).alias("m")), deviation)
 
 
 def array_median(a: Column) -> Column:

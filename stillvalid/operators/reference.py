@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import argmax, entropy, uniform
+from ..functions.numeric import argmax, entropy, spread, uniform
 from .ordered import CHUNK, quantiles_of_counts
 
 # Sizes that are part of the statistics' definitions.
@@ -43,7 +43,7 @@ def feature_reference(pre: DataFrame, width: int, bins: int = PSI_BINS) -> DataF
     """
     long = long_features(pre, vector="x").filter(F.col("value").isNotNull())
     moments = long.groupBy("stream_id", "feature").agg(
-        F.avg("value").alias("mean"), F.stddev_pop("value").alias("_std"),
+        F.avg("value").alias("mean"), spread(F.col("value")).alias("_std"),
         F.min("value").alias("_low"), F.max("value").alias("_high"))
     counts = long.groupBy("stream_id", "feature", "value").agg(F.count(F.lit(1)).alias("copies"))
     qs = {f"e{i}": i / bins for i in range(bins + 1)}

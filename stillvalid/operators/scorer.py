@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import argmax, clipped
+from ..functions.numeric import argmax, clipped, spread
 from .risk import bounded_absolute_error, zero_one_loss
 
 
@@ -55,7 +55,7 @@ def score_classes(rows: DataFrame, keyed: DataFrame, by_stream: DataFrame,
 def fit_means(pre: DataFrame) -> tuple[DataFrame, DataFrame]:
     keyed = pre.groupBy("stream_id", "score_key").agg(F.avg("y").alias("key_mean"))
     by_stream = pre.groupBy("stream_id").agg(F.avg("y").alias("stream_mean"),
-                                             F.stddev_pop("y").alias("scale"))
+                                             spread(F.col("y")).alias("scale"))
     return keyed, by_stream
 
 

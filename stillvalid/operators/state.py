@@ -166,7 +166,7 @@ def embedding_reference(pre: DataFrame, vector: str = "z") -> DataFrame:
     """Mean and population spread of the embedding on the reference; zero spread becomes 1."""
     long = long_features(pre, vector=vector)
     out = long.groupBy("stream_id", "feature").agg(F.avg("value").alias("mean"),
-                                                   F.stddev_pop("value").alias("_s"))
+                                                   num.spread(F.col("value")).alias("_s"))
     return out.select("stream_id", "feature", "mean",
                       F.when(F.col("_s") > 0, F.col("_s")).otherwise(F.lit(1.0)).alias("std"))
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import normal, uniform
+from ..functions.numeric import normal, spread, uniform
 from .ordered import index_bucket, running_sum
 from .reference import long_features
 
@@ -91,7 +91,7 @@ def severity(shift: Shift, n_rows: Column, start: Column | None = None,
 def _scales(rows: DataFrame) -> DataFrame:
     """Spread and mean of each feature over the unshifted table, one row per stream."""
     long = long_features(rows)
-    per = long.groupBy("stream_id", "feature").agg(F.stddev_pop("value").alias("_s"),
+    per = long.groupBy("stream_id", "feature").agg(spread(F.col("value")).alias("_s"),
                                                    F.avg("value").alias("_m"))
     sd = F.when(F.col("_s") > 0, F.col("_s")).otherwise(F.lit(1.0))
     packed = per.groupBy("stream_id").agg(
