@@ -60,9 +60,9 @@ def uniform(seed: str, *keys: Column | str) -> Column:
 
 def normal(seed: str, *keys: Column | str) -> Column:
     """Standard normal draw by the Box-Muller transform on two parts of one digest."""
-    d = _digest(seed, keys)
-    u1, u2 = _fraction(d, 0) + F.lit(2.0**-33), _fraction(d, 1)
-    return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(6.283185307179586) * u2)
+    return bind(_digest(seed, keys), lambda d: F.sqrt(
+        F.lit(-2.0) * F.log(_fraction(d, 0) + F.lit(2.0**-33)))
+        * F.cos(F.lit(6.283185307179586) * _fraction(d, 1)))
 
 
 def argmax(p: Column) -> Column:

@@ -17,11 +17,16 @@ from .reference import KERNEL_CAP, NEIGHBOURS, rbf, scale_vectors, standardise
 WINDOWS_PER_GROUP = 64
 
 
-def _neighbour_distance(z: np.ndarray, ref: np.ndarray, k: int) -> np.ndarray:
-    """Mean distance of each row to its ``k`` nearest reference rows."""
+def _squared_distances(z: np.ndarray, ref: np.ndarray, ref_norm: np.ndarray) -> np.ndarray:
     d2 = z @ ref.T
     d2 *= -2.0                       # in place: this matrix dominates the memory traffic
-    d2 += (ref * ref).sum(1)
+    d2 += ref_norm
+    d2 += (z * z).sum(1)[:, None]
+    return d2
+
+
+def _neighbour_distance(z: np.ndarray, ref: np.ndarray, d2: np.ndarray, k: int) -> np.ndarray:
+    """Mean distance of each row to its ``k`` nearest reference rows (recomputed exactly)."""
     near = np.argpartition(d2, k - 1, axis=1)[:, :k]
     exact = ((z[:, None, :] - ref[near]) ** 2).sum(-1)
     return np.sqrt(exact).mean(axis=1)
@@ -72,11 +77,15 @@ def geometry_columns(n_axes: int) -> list[str]:
 
 
 def window_geometry(deployment: DataFrame, sample: DataFrame, features: DataFrame,
-                    geometry: DataFrame, n_features: int, n_axes: int) -> DataFrame:
-    """One row per window with the columns of :func:`geometry_columns`."""
+                    geometry: DataFrame, sizes: DataFrame, n_features: int,
+                    n_axes: int) -> DataFrame:
+    """One row per window with the columns of :func:`geometry_columns`.
+
+    ``sizes`` has stream_id and n_windows (deployment windows of the stream).
+    """
     columns = geometry_columns(n_axes)
     scales = scale_vectors(features)
-    group = F.floor(F.col("window_idx") / WINDOWS_PER_GROUP).alias("_group")
+    group = F.floor(F.col("window_idx") / WINDOWS_PER_GROUP).cast("bigint").alias("_group")
     width = n_features
     flat = [F.col("z").getItem(j).alias(f"z{j}") for j in range(width)]
     names = [f"z{j}" for j in range(width)]
@@ -84,13 +93,19 @@ def window_geometry(deployment: DataFrame, sample: DataFrame, features: DataFram
     # row by row.
     rows = standardise(deployment.select("stream_id", "window_idx", "seg_row", "x"), scales).select(
         "stream_id", group, "window_idx", "seg_row", *flat)
-    groups = deployment.select("stream_id", group).distinct()
-    ref = standardise(sample.select("stream_id", "rank", "x"), scales).join(geometry, "stream_id")
+    # The sample is copied once per group of windows. The number of groups is known from the sizes
+    # table, so no join with the windows is needed, and the sample rows of one stream are spread
+    # over all tasks before they are copied.
+    n = int(deployment.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    last = F.floor((F.col("n_windows") - 1) / WINDOWS_PER_GROUP).cast("bigint")
+    ref = standardise(sample.select("stream_id", "rank", "x"), scales).join(
+        geometry, "stream_id").join(sizes.select("stream_id", "n_windows"), "stream_id")
     first = F.col("rank") == 1
-    ref = ref.select("stream_id", "rank", *flat, *[
-        F.when(first, F.col(c)).alias(c)
-        for c in ("bandwidth", "kernel_self", "centre", "components")])
-    ref = ref.join(groups, "stream_id")
+    ref = ref.repartition(n, "stream_id", "rank").select(
+        "stream_id", "rank", *flat, *[F.when(first, F.col(c)).alias(c)
+                                      for c in ("bandwidth", "kernel_self", "centre",
+                                                "components")],
+        F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("_group"))
 
     def summarise(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -98,7 +113,7 @@ def window_geometry(deployment: DataFrame, sample: DataFrame, features: DataFram
         right = right.sort_values("rank")
         lead = right.iloc[0]
         b = right[names].to_numpy(dtype=float)
-        b_head = b[:KERNEL_CAP]
+        b_head, b_norm = b[:KERNEL_CAP], (b * b).sum(1)
         gamma = 1.0 / (2.0 * max(float(lead["bandwidth"]), 1e-12) ** 2)
         centre = np.array(lead["centre"], dtype=float)
         axes = np.array([np.array(c, dtype=float) for c in lead["components"]])
@@ -120,7 +135,8 @@ def window_geometry(deployment: DataFrame, sample: DataFrame, features: DataFram
                 row[f"rep_pca{i + 1}_mean"] = float(projected[:, i].mean())
             row["rep_pca_energy"] = float((projected ** 2).sum()
                                           / max(float((centred ** 2).sum()), 1e-12))
-            near = _neighbour_distance(z, b, k)
+            d2 = _squared_distances(z, b, b_norm)
+            near = _neighbour_distance(z, b, d2, k)
             row["rep_knn_dist_mean"] = float(near.mean())
             row["rep_knn_dist_q90"] = float(np.quantile(near, 0.9))
             row["rep_knn_dist_max"] = float(near.max())
@@ -132,7 +148,8 @@ def window_geometry(deployment: DataFrame, sample: DataFrame, features: DataFram
                 own = rbf(a, a, gamma)
                 row["dist_mmd2"] = float((own.sum() - np.trace(own)) / (n * (n - 1))
                                          + lead["kernel_self"]
-                                         - 2.0 * rbf(a, b_head, gamma).mean())
+                                         - 2.0 * np.exp(-gamma * np.maximum(
+                                             d2[:n, :KERNEL_CAP], 0.0)).mean())
             wasserstein, ks, energy = _distances(z, b_sorted, head_sorted)
             row["dist_energy"] = float(np.mean(energy))
             row.update(_summary("dist_wasserstein", wasserstein))
@@ -142,7 +159,6 @@ def window_geometry(deployment: DataFrame, sample: DataFrame, features: DataFram
 
     # A fixed partition count keeps adaptive execution from merging these small but costly groups
     # into a few tasks.
-    n = int(deployment.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows, ref = (df.repartition(n, "stream_id", "_group") for df in (rows, ref))
     schema = "stream_id string, window_idx bigint, " + ", ".join(f"{c} double" for c in columns)
     return (rows.groupBy("stream_id", "_group")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,42 +122,48 @@ def cox_fit(train: DataFrame, covariates: Sequence[str], horizon: int, *, penalt
     k = len(covariates)
     x = [F.col(c) for c in covariates]
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    products = F.array(F.lit(1.0), *x, *[x[i] * x[j] for i, j in pairs])
+    prepared = freeze(train.select("y_tilde", "event", *covariates, products.alias("_p")),
+                      "cox-products")
     beta = np.zeros(k)
-    n_total = None
 
-    def sums(beta: np.ndarray) -> tuple[np.ndarray, ...]:
-        nonlocal n_total
+    def totals(weight: Column) -> dict[tuple[int, int], np.ndarray]:
+        weighted = prepared.withColumn("_w", weight).select(
+            "y_tilde", "event", array_to_vector(F.transform("_p", lambda p: p * F.col("_w")))
+            .alias("_v"))
+        rows = weighted.groupBy("y_tilde", "event").agg(
+            Summarizer.sum(F.col("_v")).alias("s")).collect()          # at most 2H rows
+        out: dict[tuple[int, int], np.ndarray] = {}
+        for r in rows:
+            at = (min(int(r["y_tilde"]), horizon), int(r["event"]))
+            out[at] = out.get(at, 0.0) + np.asarray(r["s"])
+        return out
+
+    plain = totals(F.lit(1.0))
+    n = np.zeros((horizon + 1, 2))
+    xs = np.zeros((horizon + 1, k))
+    for (t, d), v in plain.items():
+        n[t, d] = v[0]
+        if d == 1:
+            xs[t] = v[1:k + 1]
+    n_total = n.sum()
+
+    def sums(beta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         score = total([F.lit(float(b)) * v for b, v in zip(beta, x)])
-        based = train.select("y_tilde", "event", *covariates, F.exp(score).alias("_w"))
-        rows = based.groupBy("y_tilde", "event").agg(
-            F.count(F.lit(1)).alias("n"), F.sum("_w").alias("w"),
-            *[F.sum(v * F.col("_w")).alias(f"w{i}") for i, v in enumerate(x)],
-            *[F.sum(x[i] * x[j] * F.col("_w")).alias(f"w{i}_{j}") for i, j in pairs],
-            *[F.sum(v).alias(f"x{i}") for i, v in enumerate(x)]).collect()   # at most 2H rows
-        n = np.zeros((horizon + 1, 2))
         w0 = np.zeros((horizon + 1, 2))
         w1 = np.zeros((horizon + 1, 2, k))
         w2 = np.zeros((horizon + 1, 2, k, k))
-        xs = np.zeros((horizon + 1, k))
-        for r in rows:
-            t, d = min(int(r["y_tilde"]), horizon), int(r["event"])
-            n[t, d] += r["n"]
-            w0[t, d] += r["w"]
-            w1[t, d] += [r[f"w{i}"] for i in range(k)]
-            for i, j in pairs:
-                w2[t, d, i, j] += r[f"w{i}_{j}"]
-                if i != j:
-                    w2[t, d, j, i] += r[f"w{i}_{j}"]
-            if d == 1:
-                xs[t] += [r[f"x{i}"] for i in range(k)]
-        n_total = n.sum()
-        return n, w0, w1, w2, xs
+        for (t, d), v in totals(F.exp(score)).items():
+            w0[t, d], w1[t, d] = v[0], v[1:k + 1]
+            for value, (i, j) in zip(v[k + 1:], pairs):
+                w2[t, d, i, j] = w2[t, d, j, i] = value
+        return w0, w1, w2
 
     def tail_sum(a: np.ndarray) -> np.ndarray:
         return a.sum(axis=1)[::-1].cumsum(axis=0)[::-1]
 
     for _ in range(iterations):
-        n, w0, w1, w2, xs = sums(beta)
+        w0, w1, w2 = sums(beta)
         r0, r1, r2 = tail_sum(w0), tail_sum(w1), tail_sum(w2)
         grad, hess = np.zeros(k), np.zeros((k, k))
         for t in range(1, horizon + 1):
@@ -176,7 +184,7 @@ def cox_fit(train: DataFrame, covariates: Sequence[str], horizon: int, *, penalt
         beta = beta - move
         if np.abs(move).max() < tolerance:
             break
-    n, w0, *_ = sums(beta)
+    w0, _, _ = sums(beta)
     risk = tail_sum(w0)
     base = np.where(risk[1:] > 0, n[1:, 1] / np.where(risk[1:] > 0, risk[1:], 1.0), 0.0)
     return beta, base.cumsum()
@@ -217,14 +225,23 @@ def sample_paths(forecasts: DataFrame, spread: Sequence[float], persistence: flo
 
 
 def first_passage(paths: DataFrame, eps: Column | None = None) -> DataFrame:
-    """Share of sampled paths that stay at or below the threshold up to each horizon."""
+    """Share of sampled paths that stay at or below the threshold up to each horizon.
+
+    A path only matters through the first horizon above the threshold, so paths are counted by it.
+    """
     limit = eps if eps is not None else F.col("eps")
-    peaks = paths.select("stream_id", "origin", limit.alias("_eps"), F.aggregate(
-        "path", F.array().cast("array<double>"),
-        lambda a, r: F.concat(a, F.array(F.greatest(r, F.try_element_at(a, F.lit(-1))))))
-        .alias("_peak"))
-    alive = F.transform("_peak", lambda p: (p <= F.col("_eps")).cast("double"))
-    return _mean_array(peaks.withColumn("_a", alive), "_a", "surv")
+    first = F.array_position(F.transform("path", lambda r: r > F.col("_eps")), F.lit(True))
+    crossed = paths.withColumn("_eps", limit).select(
+        "stream_id", "origin", F.size("path").alias("_len"),
+        F.when(first > 0, first).otherwise(F.size("path") + 1).alias("_t"))
+    counts = crossed.groupBy("stream_id", "origin", "_t", "_len").agg(
+        F.count(F.lit(1)).alias("_n"))
+    packed = counts.groupBy("stream_id", "origin", "_len").agg(
+        F.collect_list(F.struct("_t", "_n")).alias("_c"), F.sum("_n").alias("_all"))
+    alive = F.transform(F.sequence(F.lit(1), F.col("_len")), lambda h: F.aggregate(
+        F.filter("_c", lambda c: c["_t"] > h), F.lit(0).cast("bigint"),
+        lambda s, c: s + c["_n"]) / F.col("_all"))
+    return packed.select("stream_id", "origin", alive.alias("surv"))
 
 
 def mean_path(paths: DataFrame) -> DataFrame:

@@ -88,7 +88,6 @@ class Contest:
         test = self.part("test").select(*base).join(states, key)
         k = int(min(8, len(columns), max(2, train.count() // 25)))
         ztrain, ztest, names = learned.reduce_states(train, test, "state", k)
-        ztrain = freeze(ztrain.select("y_tilde", "event", *names), "cox-train")
         beta, base = survival.cox_fit(ztrain, names, m.spec.horizon)
         return survival.cox_predict(ztest, names, beta, base)
 

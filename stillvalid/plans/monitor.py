@@ -125,7 +125,7 @@ class Monitor:
     def geometry_block(self) -> DataFrame:
         n_axes = min(ref.COMPONENTS, len(self.spec.features))
         return freeze(window_geometry(self.deployment, self.reference_sample,
-                                      self.reference_features, self.geometry,
+                                      self.reference_features, self.geometry, self.sizes,
                                       len(self.spec.features), n_axes),
                       "geometry-block")
 

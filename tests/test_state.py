@@ -154,7 +154,8 @@ def test_geometry_matches_direct_formulas(spark):
     feats = reference.feature_reference(rows, 3)
     sample = reference.reference_sample(rows, None, cap=200)
     g = reference.fit_geometry(sample, feats)
-    out = geometry.window_geometry(dep, sample, feats, g, 3, 3).toPandas().set_index("window_idx")
+    sizes = spark.createDataFrame([("a", 2)], "stream_id string, n_windows bigint")
+    out = geometry.window_geometry(dep, sample, feats, g, sizes, 3, 3).toPandas().set_index("window_idx")
     mu, sd = pre.mean(0), pre.std(0)
     f = feats.toPandas().sort_values("feature")
     np.testing.assert_allclose(f["mean"], mu)
