@@ -17,7 +17,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import clip
+from ..functions.numeric import bind, clip
 from .survival import hazard_to_survival
 from .targets import person_periods
 
@@ -146,9 +146,9 @@ def hazard_curves(model, origins: DataFrame, covariates: Sequence[str],
     levels = [0.0, *w[:horizon - 1]]
     slope = sum((F.lit(b) * F.col(c) for b, c in zip(w[horizon - 1:], covariates)),
                 F.lit(float(model.intercept)))
-    hazard = F.array(*[1.0 / (1.0 + F.exp(-(F.lit(v) + F.col("_b")))) for v in levels])
-    out = origins.withColumn("_b", slope)
-    return out.select("stream_id", "origin", "y_tilde", "event",
+    hazard = bind(slope, lambda b: F.transform(
+        F.array(*[F.lit(v) for v in levels]), lambda v: 1.0 / (1.0 + F.exp(-(v + b)))))
+    return origins.select("stream_id", "origin", "y_tilde", "event",
                       hazard_to_survival(hazard).alias("surv"),
                       F.lit("discrete_hazard").alias("method"))
 
@@ -195,7 +195,7 @@ def risk_path_centres(model, origins: DataFrame, covariates: Sequence[str], hori
     slope = sum((F.lit(b) * F.col(c) for b, c in zip(w[horizon - 1:], covariates)),
                 F.lit(float(model.intercept)))
     base = logit(F.col("anchor")) if residual else F.lit(0.0)
-    out = origins.withColumn("_b", slope + base)
-    centre = F.array(*[F.col("_b") + F.lit(v) for v in levels])
-    return out.withColumn("centre", centre).withColumn(
-        "pred", F.transform("centre", lambda v: 1.0 / (1.0 + F.exp(-v)))).drop("_b")
+    centre = bind(slope + base, lambda b: F.transform(
+        F.array(*[F.lit(v) for v in levels]), lambda v: v + b))
+    return origins.withColumn("centre", centre).withColumn(
+        "pred", F.transform("centre", lambda v: 1.0 / (1.0 + F.exp(-v))))

@@ -10,7 +10,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import clip, normal, total
+from ..functions.numeric import bind, normal, total
 from ..session import freeze
 from .ordered import exact_quantiles, index_bucket
 
@@ -193,10 +193,10 @@ def cox_fit(train: DataFrame, covariates: Sequence[str], horizon: int, *, penalt
 def cox_predict(test: DataFrame, covariates: Sequence[str], beta: np.ndarray,
                 cumulative: np.ndarray) -> DataFrame:
     score = total([F.lit(float(b)) * F.col(c) for b, c in zip(beta, covariates)])
-    out = test.withColumn("_w", F.exp(score))
-    surv = F.array(*[clip(F.exp(-F.lit(float(c)) * F.col("_w")), 0.0, 1.0) for c in cumulative])
-    return out.select("stream_id", "origin", "y_tilde", "event", surv.alias("surv"),
-                      F.lit("cox").alias("method"))
+    hazards = F.array(*[F.lit(float(c)) for c in cumulative])
+    surv = bind(F.exp(score), lambda w: F.transform(hazards, lambda c: F.exp(-c * w)))
+    return test.select("stream_id", "origin", "y_tilde", "event", surv.alias("surv"),
+                       F.lit("cox").alias("method"))
 
 
 # -- first passage ---------------------------------------------------------------------------
