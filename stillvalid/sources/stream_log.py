@@ -65,10 +65,13 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str], label: str,
     The random last sort key spreads rows that are equal in every order column over several
     partitions; equal rows are interchangeable, so the numbering does not change.
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.withColumn("_salt", F.rand(7))
-                .repartitionByRange(n, *keys, *order, "_salt")
+    by = [*keys, *order, "_salt"]
+    salted = df.withColumn("_salt", F.rand(7))
+    # Without a fixed number, adaptive execution merges neighbouring small ranges; the partition
+    # number is taken after that and stored with the row.
+    ranged = (salted.repartitionByRange(partitions, *by) if partitions
+              else salted.repartitionByRange(*by))
+    ranged = (ranged
                 .sortWithinPartitions(*keys, *order, "_salt")
                 .withColumn("_part", F.spark_partition_id())
                 .withColumn("_pos", F.monotonically_increasing_id())
