@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stillvalid.sources.tables import table
 
-from . import packing, secret_scan, token_files, topk, url_filter
+from . import decontaminate, near_dedup, packing, secret_scan, suffix_dedup, token_files, topk, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,10 @@ def op2_threshold_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op3_latent_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op4_bin_slack_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
@@ -33,6 +37,20 @@ def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.scan(table(spark, folder, "documents"))
 
 
+def op7_kneser_ney_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels")).select(
+        "doc_id", "held_out", "score", "predicted")
+
+
+def op8_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.classes(table(spark, folder, "documents"))
+
+
+def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.remove(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_url_filters, op2_threshold_topk, op4_bin_slack_packing, op5_token_files, op6_secret_scan)}
+    op1_url_filters, op2_threshold_topk, op3_latent_decontamination, op4_bin_slack_packing, op5_token_files,
+    op6_secret_scan, op7_kneser_ney_toxicity, op8_order_minhash, op10_suffix_dedup)}
 SQL: dict[str, str] = {"op1_url_filters": url_filter.sql(), "op2_threshold_topk": topk.SQL}
