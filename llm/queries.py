@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stillvalid.sources.tables import table
 
-from . import decontaminate, near_dedup, packing, secret_scan, suffix_dedup, token_files, topk, toxicity, url_filter
+from . import decontaminate, near_dedup, packing, secret_scan, suffix_dedup, token_files, topk, toxicity, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,11 +46,15 @@ def op8_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.classes(table(spark, folder, "documents"))
 
 
+def op9_warc_index(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages"))
+
+
 def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.remove(table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_url_filters, op2_threshold_topk, op3_latent_decontamination, op4_bin_slack_packing, op5_token_files,
-    op6_secret_scan, op7_kneser_ney_toxicity, op8_order_minhash, op10_suffix_dedup)}
+    op6_secret_scan, op7_kneser_ney_toxicity, op8_order_minhash, op9_warc_index, op10_suffix_dedup)}
 SQL: dict[str, str] = {"op1_url_filters": url_filter.sql(), "op2_threshold_topk": topk.SQL}

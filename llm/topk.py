@@ -46,9 +46,10 @@ def threshold_search(query: np.ndarray, own: int, ids: np.ndarray, rows: np.ndar
     while depth < n:
         end = min(n, depth + step)
         at = np.where(up[None, :], order[n - 1 - np.arange(depth, end)][:, used], order[depth:end, used]) if len(used) else np.arange(n)[:, None]
-        met = np.unique(at)
-        met = met[~seen[met]]
-        seen[met] = True
+        new = np.zeros(n, bool)
+        new[at] = True
+        met = np.flatnonzero(new & ~seen)
+        seen |= new
         met = met[ids[met] != own]
         cand_id, cand = np.concatenate([best_id, ids[met]]), np.concatenate([best, rows[met] @ query])
         keep = _best(cand_id, cand, k)

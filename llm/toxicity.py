@@ -42,6 +42,8 @@ SOFTEN = 20.0
 FIT_ROWS = 20_000
 #: Labels up to so many rows are sent to all tasks; more are joined by a shuffle.
 BROADCAST_ROWS = 250_000
+#: Bytes of text whose distinct words are looked up together.
+SLICE = 4 << 20
 START, END = 2, 3  # bytes around a word
 FOLD = 5
 
@@ -56,16 +58,12 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, toxic) to distinct words of each slice with their counts in either class."""
     for b in batches:
         toxic = b.column(1).to_numpy(zero_copy_only=False).astype(float)
-        for c in words.cut(b.column(0)):
-            bounds = np.union1d(np.append(c.starts, c.ends), [0, len(c.raw)]).astype(np.int64)
-            runs = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(c.raw))])
-            coded = runs.dictionary_encode()
-            code = coded.indices.to_numpy()[np.searchsorted(bounds, c.starts)]
-            n = np.bincount(code, minlength=len(coded.dictionary))
-            t = np.bincount(code, weights=toxic[c.docs], minlength=len(coded.dictionary)).astype(np.int64)
-            some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(some)).cast(pa.binary()), pa.array(t[some]), pa.array(n[some] - t[some])],
-                                             ["word", "toxic", "ordinary"])
+        for c in words.cut(b.column(0), size=SLICE):
+            code, place = words.coded(c)
+            n = np.bincount(code, minlength=len(place))
+            t = np.bincount(code, weights=toxic[c.docs], minlength=len(place)).astype(np.int64)
+            own = [c.raw[i:j].tobytes() for i, j in zip(c.starts[place].tolist(), c.ends[place].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array(t), pa.array(n - t)], ["word", "toxic", "ordinary"])
 
 
 def packed(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,17 +140,17 @@ def fit_counts(labelled: DataFrame, path: str, *, bits: int = SLOTS) -> str:
 
 
 def tables(rows: pd.DataFrame, bits: int) -> np.ndarray:
-    """[order - 1, class, what, place]; what: a string's discounted count, one over its context's count, the
-    context's share that backs off."""
-    out = np.zeros((ORDER, 2, 3, 1 << bits), np.float32)
-    out[:, :, 2] = 1
+    """[order - 1, place, what]; what: a string's discounted count in either class (0, 1), one over its context's
+    count (2, 3), the context's share that backs off (4, 5)."""
+    out = np.zeros((ORDER, 1 << bits, 6), np.float32)
+    out[:, :, 4:] = 1
     for k in range(1, ORDER + 1):
         for c, name in enumerate(("toxic", "ordinary")):
             own = rows[(rows["order"] == k) & (rows["kind"] == 0)]
-            out[k - 1, c, 0, own["place"]] = own[f"{name}_less"]
+            out[k - 1, own["place"], c] = own[f"{name}_less"]
             ctx = rows[(rows["order"] == k) & (rows["kind"] == 1) & (rows[name] > 0)]
-            out[k - 1, c, 1, ctx["place"]] = 1 / ctx[name]
-            out[k - 1, c, 2, ctx["place"]] = (ctx[name] - ctx[f"{name}_less"]) / ctx[name]
+            out[k - 1, ctx["place"], 2 + c] = 1 / ctx[name]
+            out[k - 1, ctx["place"], 4 + c] = (ctx[name] - ctx[f"{name}_less"]) / ctx[name]
     return out
 
 
@@ -160,33 +158,27 @@ def tables(rows: pd.DataFrame, bits: int) -> np.ndarray:
 
 @lru_cache(maxsize=1)
 def model(path: str, bits: int) -> np.ndarray:
-    return np.frombuffer(store.mapped(path).read_buffer(), np.float32).reshape(ORDER, 2, 3, 1 << bits)
+    return np.frombuffer(store.mapped(path).read_buffer(), np.float32).reshape(ORDER, 1 << bits, 6)
 
 
 def evidence(key: np.ndarray, m: np.ndarray, bits: int) -> np.ndarray:
     """log P(byte | before, toxic) - log P(byte | before, ordinary)."""
-    p = [np.full(len(key), 1 / 256), np.full(len(key), 1 / 256)]
+    p = np.full((len(key), 2), 1 / 256, np.float32)
     for k in range(1, ORDER + 1):
         own = key & np.uint64((1 << (8 * k)) - 1)
-        at, before = slot(own, k, bits), slot(own >> np.uint64(8), k + 16, bits)
-        for c in (0, 1):
-            if c and k <= SHARED:
-                p[1] = p[0].copy()
-            else:
-                p[c] = m[k - 1, c, 0][at] * m[k - 1, c, 1][before] + m[k - 1, c, 2][before] * p[c]
-    return np.log(np.maximum(p[0], 1e-12)) - np.log(np.maximum(p[1], 1e-12))
+        count, ctx = m[k - 1, slot(own, k, bits), :2], m[k - 1, slot(own >> np.uint64(8), k + 16, bits), 2:]
+        p = count * ctx[:, :2] + ctx[:, 2:] * p
+    p = np.log(np.maximum(p, 1e-12))
+    return (p[:, 0] - p[:, 1]).astype(np.float64)
 
 
 def features(texts: pa.Array, m: np.ndarray, bits: int) -> np.ndarray:
     """For each text: the highest evidence of a passage, and of the whole, each over its length."""
     doc, value, size = [], [], []
-    for c in words.cut(texts):
+    for c in words.cut(texts, size=SLICE):
         if not len(c.starts):
             continue
-        bounds = np.union1d(np.append(c.starts, c.ends), [0, len(c.raw)]).astype(np.int64)
-        runs = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(c.raw))])
-        code = runs.dictionary_encode().indices.to_numpy()[np.searchsorted(bounds, c.starts)]
-        kinds, first, code = np.unique(code, return_index=True, return_inverse=True)
+        code, first = words.coded(c)
         key, n = packed(c.raw, c.starts[first], c.ends[first] - c.starts[first])
         own = np.add.reduceat(evidence(key, m, bits), np.cumsum(n) - n)
         doc.append(c.docs)
@@ -216,7 +208,7 @@ def measured(df: DataFrame, path: str, bits: int) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path, bits)
         for whole in batches:
-            for b in words.by_size(whole, b_text):
+            for b in words.by_size(whole, b_text, SLICE):
                 x = features(b.column(b_text), m, bits)
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in others), pa.array(x[:, 0]), pa.array(x[:, 1])],
                                                  [*(f.name for f in rest), "highest", "mean"])

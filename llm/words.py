@@ -60,13 +60,13 @@ class Cut(NamedTuple):
     docs: np.ndarray     # the text of each word, numbered in the batch
 
 
-def cut(texts: pa.Array, *, lower: bool = True) -> Iterator[Cut]:
+def cut(texts: pa.Array, *, lower: bool = True, size: int = SLICE) -> Iterator[Cut]:
     """The words of a batch, slice by slice in order; longer texts are cut between words."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     raw, off = flat_bytes(pc.utf8_lower(texts) if lower else texts)
     i = 0
     while i < len(raw):
-        j = min(len(raw), i + SLICE)
+        j = min(len(raw), i + size)
         while j < len(raw) and _WORD[raw[j]]:
             j += 1
         part = raw[i:j]
@@ -82,6 +82,18 @@ def cut(texts: pa.Array, *, lower: bool = True) -> Iterator[Cut]:
         i = j
 
 
+def coded(c: Cut) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each word, equal for equal words, and the place in the slice of one word of each number."""
+    bounds = np.concatenate([[0], np.stack([c.starts, c.ends], axis=1).ravel(), [len(c.raw)]]).astype(np.int64)
+    bounds = bounds[np.append(True, np.diff(bounds) > 0)]
+    runs = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(c.raw))])
+    code = runs.dictionary_encode().indices.to_numpy()[np.searchsorted(bounds, c.starts)]
+    place = np.full(int(code.max(initial=-1)) + 1, -1)
+    place[code] = np.arange(len(code))
+    number = np.cumsum(place >= 0) - 1  # runs between words have numbers too
+    return number[code], place[place >= 0]
+
+
 def hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in a row, and where each text's begin (with the end)."""
     parts, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
