@@ -4,8 +4,9 @@ A string of `LENGTH` bytes that starts twice has the same lowest-ranked `GRAM`-b
 start p is given to the anchor of its string (the leftmost gram of lowest hash), starts with one anchor form a run, and
 a run's context is all bytes its strings reach. Runs whose anchor hash is found once cannot repeat and are dropped; a
 context found twice repeats whole. What is left are different contexts around one anchor: they are gathered by anchor
-into shards of bounded size, each shard's suffix array is built by induced sorting (suffixes are classified, the
-leftmost-smaller substrings are sorted and named, recursively, the rest is induced in linear scans), and a start
+into shards of bounded size and trimmed to where they agree with any other one around the anchor. Each shard's suffix
+array is built by induced sorting (suffixes are classified, the leftmost-smaller substrings are sorted and named, and
+their order found recursively, the rest is induced in linear scans), and a start
 repeats if the permuted common prefix of its suffix and a neighbour's reaches `LENGTH`. Anchors with more than
 `HOT` different contexts are split further: each start is a key of its own there, its string's 128-bit hash.
 
@@ -50,11 +51,12 @@ def lowest(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[:len(values) - rest], values[rest:]) if rest else values
 
 
-def runs(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First start and number of starts of each run, hash of its anchor and of its context."""
+def runs(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """First start and number of starts of each run, hash of its anchor and of its context, and the anchor's place
+    in the context."""
     none = np.zeros(0, np.int64)
     if len(raw) < length:
-        return none, none, none, none
+        return none, none, none, none, none
     at = np.arange(len(raw) - gram + 1)
     gram_hash = words.substring_hashes(raw, at, at + gram)
     place = np.uint64((1 << _PLACE) - 1)
@@ -62,11 +64,11 @@ def runs(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nd
     first = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
     n = np.diff(np.append(first, len(anchor)))
     context = words.substring_hashes(raw, first, first + n + length - 1)
-    return first, n, gram_hash[anchor[first]].view(np.int64), context.view(np.int64)
+    return first, n, gram_hash[anchor[first]].view(np.int64), context.view(np.int64), anchor[first] - first
 
 
 def found_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(uid, text) to the runs of every text: anchor, context, uid, lo, n."""
+    """(uid, text) to the runs of every text: anchor, context, uid, lo, n, at."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in words.by_size(whole, 1):
@@ -74,14 +76,14 @@ def found_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 uid, out = b.column(0).to_numpy(), []
                 for d in range(b.num_rows):
                     for s in range(int(off[d]), max(int(off[d]) + 1, int(off[d + 1]) - length + 1), SEGMENT):
-                        lo, n, anchor, context = runs(raw[s:min(int(off[d + 1]), s + SEGMENT + length - 1)], length, gram)
+                        lo, n, anchor, context, at = runs(raw[s:min(int(off[d + 1]), s + SEGMENT + length - 1)], length, gram)
                         if len(lo):
-                            out.append((anchor, context, np.full(len(lo), uid[d]), lo + s - off[d], n))
+                            out.append((anchor, context, np.full(len(lo), uid[d]), lo + s - off[d], n, at))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)],
-                                                     ["anchor", "context", "uid", "lo", "n"])
+                                                     ["anchor", "context", "uid", "lo", "n", "at"])
 
-    return docs.mapInArrow(task, "anchor long, context long, uid long, lo long, n long")
+    return docs.mapInArrow(task, "anchor long, context long, uid long, lo long, n long, at long")
 
 
 # Suffix arrays
@@ -98,7 +100,7 @@ def smaller_types(s: np.ndarray) -> np.ndarray:
 
 
 def _induce(s: list[int], small: list[bool], order: list[int], counts: np.ndarray) -> list[int]:
-    """All suffixes in order, from the leftmost-smaller ones in (any or full) order."""
+    """All suffixes in order, from the leftmost-smaller ones in order."""
     n = len(s)
     ends = np.cumsum(counts)
     heads, tails = (ends - counts).tolist(), ends.tolist()
@@ -123,30 +125,72 @@ def _induce(s: list[int], small: list[bool], order: list[int], counts: np.ndarra
     return sa
 
 
+def substring_names(s: np.ndarray, small: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Dense ranks of the leftmost-smaller substrings (each up to the next one's start), in text order.
+
+    A symbol and its type are one code; codes are compared a few at a time, and only substrings still equal to
+    another go on. Equal codes end at the same place, so no substring is a prefix of another.
+    """
+    ends, code = np.append(left[1:], len(s) - 1), 2 * s + small
+    bits = int(code.max()).bit_length()
+    per, rank, done = max(1, 62 // bits), np.zeros(len(left), np.int64), 0
+    active = np.arange(len(left))
+    while len(active):
+        key = np.zeros(len(active), np.int64)
+        for q in range(done, done + per):
+            at = left[active] + q
+            key = key << bits | np.where(at <= ends[active], code[np.minimum(at, len(s) - 1)], 0)
+        order = np.lexsort((key, rank[active]))
+        r, k, i = rank[active][order], key[order], np.arange(len(order))
+        new_class = np.append(True, r[1:] != r[:-1])
+        new = new_class | np.append(True, k[1:] != k[:-1])
+        rank[active[order]] = r + np.maximum.accumulate(np.where(new, i, 0)) - np.maximum.accumulate(np.where(new_class, i, 0))
+        alone = new & np.append(new[1:], True)
+        done += per
+        rest = active[order[~alone]]
+        active = rest[left[rest] + done <= ends[rest]]
+    count = np.zeros(len(left) + 1, np.int64)
+    count[rank + 1] = 1
+    return np.cumsum(count)[rank]
+
+
 def suffix_array(s: np.ndarray) -> list[int]:
     """Suffix array of small whole numbers, the last of which is 0 and the only 0."""
-    n = len(s)
-    if n == 1:
+    if len(s) == 1:
         return [0]
     small = smaller_types(s)
     left = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    counts = np.bincount(s)
-    symbols, kinds = s.tolist(), small.tolist()
-    sa = _induce(symbols, kinds, left.tolist(), counts)
-    ends = dict(zip(left.tolist(), [*left[1:].tolist(), n - 1], strict=True))
-    names, name, before = {}, -1, None
-    for p in sa:
-        if p in ends:
-            own = symbols[p:ends[p] + 1]
-            if own != before:
-                name, before = name + 1, own
-            names[p] = name
-    short = np.fromiter((names[p] for p in left.tolist()), np.int64, len(left))
-    if name + 1 < len(left):
-        order = [int(left[i]) for i in suffix_array(short)]
+    names = substring_names(s, small, left)
+    if names.max() + 1 < len(left):
+        order = left[suffix_array(names)]
     else:
-        order = left[np.argsort(short)].tolist()
-    return _induce(symbols, kinds, order, counts)
+        order = left[np.argsort(names)]
+    return _induce(s.tolist(), small.tolist(), order.tolist(), np.bincount(s))
+
+
+def alike(strings: list[bytes]) -> list[int]:
+    """The longest prefix that each string shares with another one."""
+    order = sorted(range(len(strings)), key=strings.__getitem__)
+    out = [0] * len(strings)
+    for i, j in zip(order, order[1:]):
+        a, b = strings[i], strings[j]
+        low, high = 0, min(len(a), len(b))
+        while low < high:
+            mid = (low + high + 1) // 2
+            if a[low:mid] == b[low:mid]:
+                low = mid
+            else:
+                high = mid - 1
+        out[i], out[j] = max(out[i], low), max(out[j], low)
+    return out
+
+
+def trimmed(contexts: list[bytes], anchors: list[int], gram: int, length: int) -> list[tuple[int, int]]:
+    """Of contexts around one anchor gram (at anchors[i]), the parts that can hold repeats: as far as a context
+    agrees with any other one to the left and to the right. (0, 0) where that is too short."""
+    left = alike([c[:a][::-1] for c, a in zip(contexts, anchors, strict=True)])
+    right = alike([c[a + gram:] for c, a in zip(contexts, anchors, strict=True)])
+    return [(a - x, a + gram + y) if x + gram + y >= length else (0, 0) for a, x, y in zip(anchors, left, right, strict=True)]
 
 
 def repeated(contexts: list[bytes], starts: list[int], length: int = LENGTH) -> list[np.ndarray]:
@@ -192,12 +236,17 @@ def ranges(hit: np.ndarray) -> list[tuple[int, int]]:
 FOUND = "anchor long, context long, covered array<struct<a: long, b: long>>"
 
 
-def by_suffix_arrays(parts: DataFrame, shards: int, length: int) -> DataFrame:
-    """(anchor, context, times, n, bytes) to the repeated starts of contexts that are there once."""
+def by_suffix_arrays(parts: DataFrame, shards: int, length: int, gram: int) -> DataFrame:
+    """(anchor, context, times, n, at, bytes) to the repeated starts of contexts that are there once."""
     def task(pdf: pd.DataFrame) -> pd.DataFrame:
-        hits = repeated(pdf["bytes"].tolist(), pdf["n"].tolist(), length)
-        rows = [(a, c, [{"a": x, "b": y} for x, y in ranges(h)])
-                for a, c, t, h in zip(pdf["anchor"], pdf["context"], pdf["times"], hits, strict=True) if t == 1 and h.any()]
+        pdf = pdf.sort_values("anchor", ignore_index=True)
+        edge = np.flatnonzero(np.append(True, pdf["anchor"].to_numpy()[1:] != pdf["anchor"].to_numpy()[:-1])).tolist() + [len(pdf)]
+        raw, at = pdf["bytes"].tolist(), pdf["at"].tolist()
+        part = [x for i, j in zip(edge, edge[1:]) for x in trimmed(raw[i:j], at[i:j], gram, length)]
+        some = [i for i, (x, y) in enumerate(part) if y]
+        hits = repeated([raw[i][slice(*part[i])] for i in some], [part[i][1] - part[i][0] - length + 1 for i in some], length) if some else []
+        rows = [(pdf["anchor"][i], pdf["context"][i], [{"a": part[i][0] + x, "b": part[i][0] + y} for x, y in ranges(h)])
+                for i, h in zip(some, hits, strict=True) if pdf["times"][i] == 1 and h.any()]
         return pd.DataFrame(rows, columns=["anchor", "context", "covered"])
 
     return parts.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")).applyInPandas(task, FOUND)
@@ -230,9 +279,9 @@ def repeats(docs: DataFrame, length: int, gram: int, shard: int, hot: int) -> tu
     all_runs = store.kept(found_runs(docs.select("uid", "text"), length, gram), "repeat-runs")
     twice = all_runs.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
     again = store.kept(all_runs.join(twice, "anchor"), "repeat-again")
-    kinds = store.kept(again.groupBy("anchor", "context").agg(F.count("*").alias("times"), F.min(F.struct("uid", "lo", "n")).alias("one")), "repeat-kinds")
+    kinds = store.kept(again.groupBy("anchor", "context").agg(F.count("*").alias("times"), F.min(F.struct("uid", "lo", "n", "at")).alias("one")), "repeat-kinds")
     mixed = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("times").alias("fewest")).where("kinds > 1 and fewest = 1")
-    asked = (kinds.join(mixed, "anchor").select("one.uid", F.struct("anchor", "context", "times", "kinds", F.col("one.lo").alias("lo"), F.col("one.n").alias("n")).alias("ask"))
+    asked = (kinds.join(mixed, "anchor").select("one.uid", F.struct("anchor", "context", "times", "kinds", F.col("one.lo").alias("lo"), F.col("one.n").alias("n"), F.col("one.at").alias("at")).alias("ask"))
              .groupBy("uid").agg(F.collect_list("ask").alias("asks")))
     needed = again.groupBy("uid").agg(F.count("*").alias("k")).join(asked, "uid", "left").select("uid", "asks")
     texts = store.kept(docs.select("uid", "text").join(needed, "uid"), "repeat-texts")
@@ -241,17 +290,17 @@ def repeats(docs: DataFrame, length: int, gram: int, shard: int, hot: int) -> tu
         for b in batches:
             for r in b.to_pylist():
                 raw = r["text"].encode()
-                rows = {(a["anchor"], a["context"]): (a["times"], a["kinds"], a["n"], raw[a["lo"]:a["lo"] + a["n"] + length - 1]) for a in r["asks"]}
+                rows = {(a["anchor"], a["context"]): (a["times"], a["kinds"], a["n"], a["at"], raw[a["lo"]:a["lo"] + a["n"] + length - 1]) for a in r["asks"]}
                 cols = list(zip(*((*k, *v) for k, v in rows.items()), strict=True))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.binary())],
-                                                 ["anchor", "context", "times", "kinds", "n", "bytes"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:6]), pa.array(cols[6], pa.binary())],
+                                                 ["anchor", "context", "times", "kinds", "n", "at", "bytes"])
 
     parts = store.kept(texts.where("asks is not null").select("text", "asks").mapInArrow(
-        task, "anchor long, context long, times long, kinds long, n long, bytes binary").dropDuplicates(["anchor", "context"]), "repeat-parts")
+        task, "anchor long, context long, times long, kinds long, n long, at long, bytes binary").dropDuplicates(["anchor", "context"]), "repeat-parts")
     plain, split = parts.where(F.col("kinds") <= hot), parts.where(F.col("kinds") > hot)
     total = plain.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
     covered = (kinds.where("times > 1").select("anchor", "context", F.array(F.struct(F.lit(0).cast("long").alias("a"), (F.col("one.n") - 1).alias("b"))).alias("covered"))
-               .unionByName(by_suffix_arrays(plain.drop("kinds"), max(1, -(-total // shard)), length))
+               .unionByName(by_suffix_arrays(plain.drop("kinds"), max(1, -(-total // shard)), length, gram))
                .unionByName(by_starts(split.drop("kinds"), length)))
     return texts.select("uid", "text"), again.join(covered, ["anchor", "context"]).select("uid", "lo", "covered")
 

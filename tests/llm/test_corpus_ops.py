@@ -95,7 +95,7 @@ def test_long_text_is_cut_into_segments(monkeypatch, spark):
     monkeypatch.setattr(suffix_dedup, "SEGMENT", 64)
     t = prose(random.Random(6), 60)
     raw = np.frombuffer(t.encode(), np.uint8)
-    lo, n, _, _ = suffix_dedup.runs(raw, 40, 8)
+    lo, n, _, _, _ = suffix_dedup.runs(raw, 40, 8)
     assert n.sum() == len(raw) - 39 and lo[0] == 0 and (lo[1:] == lo[:-1] + n[:-1]).all()
 
 
