@@ -90,10 +90,6 @@ SQL["e16_signed_ranks"] = events(f"""SELECT h, baseline, {r6('sum(rk * CASE WHEN
  count(*) FILTER (WHERE far) AS n_far FROM (SELECT *, rank() OVER (PARTITION BY h, baseline ORDER BY abs(d))
  + (count(*) OVER (PARTITION BY h, baseline, abs(d)) - 1) / 2e0 AS rk, count(*) OVER (PARTITION BY h, baseline, abs(d)) AS t
  FROM (SELECT h, baseline, round(a - b, 12) AS d, abs(a - b) > 1e-8 + 1e-5 * abs(b) AS far FROM ab)) GROUP BY h, baseline""", PAIRS)
-SQL["e17_holm"] = events(f"""SELECT h, baseline, {r6('p')} AS p_raw, {r6('adj')} AS p_adjusted, CAST(adj <= 0.05e0 AS BIGINT)
- AS rejected FROM (SELECT *, least(max((n - i + 1) * p) OVER (PARTITION BY h ORDER BY i), 1e0) AS adj FROM (SELECT *,
- row_number() OVER (PARTITION BY h ORDER BY p) AS i, count(*) OVER (PARTITION BY h) AS n FROM (SELECT h, baseline,
- avg(CAST(a > b AS INTEGER)) / 20 AS p FROM ab GROUP BY h, baseline)))""", PAIRS)
 SQL["e18_blocked_bootstrap"] = events(f"""SELECT p.method, {r6('point')} AS point, {r6('lo')} AS lo, {r6('hi')} AS hi, n_blocks
  FROM (SELECT method, sum(s) / sum(n) AS point, count(*) AS n_blocks FROM blocks GROUP BY method) p JOIN (SELECT method,
  quantile_cont(m, (1e0 - 0.95e0) / 2) AS lo, quantile_cont(m, 1e0 - (1e0 - 0.95e0) / 2) AS hi FROM (SELECT k.method, draw,
@@ -103,14 +99,22 @@ blocks AS (SELECT method, sum(abs(pred - r)) AS s, count(*) AS n, row_number() O
  {uniform('block', 'stream_id')}, stream_id) - 1 AS id, count(*) OVER (PARTITION BY method) AS nb FROM test_long WHERE h = 5
  GROUP BY method, stream_id),
 picks AS (SELECT method, draw, CAST(floor({uniform('boot', 'method', 'draw', 'id')} * nb) AS BIGINT) AS pick
- FROM blocks, range(0, 500) AS d(draw))""")
+ FROM blocks, range(0, 2000) AS d(draw))""")
+MM = """,
+mm AS (SELECT *, avg(m) OVER (PARTITION BY h, baseline) AS obs, count(*) OVER (PARTITION BY h, baseline) AS nb FROM
+ (SELECT h, baseline, stream_id, round(avg(a - b), 12) AS m FROM ab GROUP BY h, baseline, stream_id))"""
 SQL["e20_blocked_permutation"] = events(f"""SELECT h, baseline, {r6('any_value(obs)')} AS observed, any_value(nb) AS n_blocks,
- {r6('greatest(avg(CAST(abs(nul) >= abs(obs) - 1e-12 AS INTEGER)), 1 / 2000)')} AS p_value,
+ {r6('greatest(avg(CAST(abs(nul) >= abs(obs) - 1e-12 AS INTEGER)), 1 / 20000)')} AS p_value,
  {r6('pow(2e0, 1 - any_value(nb))')} AS min_attainable_p FROM (SELECT h, baseline, draw, any_value(obs) AS obs, any_value(nb)
  AS nb, avg(CASE WHEN {uniform('flip', 'h', 'baseline', 'draw', 'stream_id')} < 0.5e0 THEN -m ELSE m END) AS nul
- FROM mm, range(0, 2000) AS d(draw) GROUP BY h, baseline, draw) GROUP BY h, baseline""", PAIRS + """,
-mm AS (SELECT *, avg(m) OVER (PARTITION BY h, baseline) AS obs, count(*) OVER (PARTITION BY h, baseline) AS nb FROM
- (SELECT h, baseline, stream_id, round(avg(a - b), 12) AS m FROM ab GROUP BY h, baseline, stream_id))""")
+ FROM mm, range(0, 20000) AS d(draw) GROUP BY h, baseline, draw) GROUP BY h, baseline""", PAIRS + MM)
+SQL["e17_holm"] = events(f"""SELECT h, baseline, {r6('p')} AS p_raw, {r6('adj')} AS p_adjusted, CAST(adj <= 0.05e0 AS BIGINT)
+ AS rejected FROM (SELECT *, least(max((n - i + 1) * p) OVER (PARTITION BY h ORDER BY i), 1e0) AS adj FROM (SELECT *,
+ row_number() OVER (PARTITION BY h ORDER BY p) AS i, count(*) OVER (PARTITION BY h) AS n FROM flips))""", PAIRS + MM + f""",
+flips AS (SELECT h, baseline, greatest(avg(CAST(abs(nul) >= abs(obs) - 1e-12 AS INTEGER)), 1 / 20000) AS p FROM (
+ SELECT h, baseline, draw, any_value(obs) AS obs,
+ avg(CASE WHEN {uniform('flip', 'h', 'baseline', 'draw', 'stream_id')} < 0.5e0 THEN -m ELSE m END) AS nul
+ FROM mm, range(0, 20000) AS d(draw) GROUP BY h, baseline, draw) GROUP BY h, baseline)""")
 TAGGED = CURVES + """, tagged AS (SELECT method || '|' || stream_id AS method, stream_id, origin, y_tilde, event, h, s FROM curves)"""
 RESULTS = (TAGGED + "," + pairs("tagged") + "," + dcal(11, "tagged") + "," + brier("tagged", "test") + f""",
 results AS (SELECT split_part(method, '|', 1) AS method, concordance, ibs, {_P10} AS p FROM dcal JOIN (SELECT method,

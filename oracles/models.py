@@ -90,7 +90,7 @@ SQL["m18_horizon_readouts"] = events(f"""SELECT stream_id, origin, method, {r6('
 
 _FRESH = "sqrt(1 - 0.25e0)"
 PATHS = f"""base AS (SELECT stream_id, origin, eps, round(ln(least(greatest(anchor, 1e-6), 1 - 1e-6)
- / (1 - least(greatest(anchor, 1e-6), 1 - 1e-6))), 12) AS centre, unnest(range(0, 40)) AS draw FROM origins),
+ / (1 - least(greatest(anchor, 1e-6), 1 - 1e-6))), 12) AS centre, unnest(range(0, 256)) AS draw FROM origins),
 z AS (SELECT *, """ + ", ".join(f"{normal(f'paths{h}', 'stream_id', 'origin', 'draw')} AS z{h}" for h in range(20)) + """
  FROM base),
 e AS (SELECT *, z0 AS e0, """ + ", ".join(f"0.5e0 * e{h - 1} + {_FRESH} * z{h} AS e{h}" for h in range(1, 20)) + """ FROM z),

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from .prelude import entropy, r6, uniform
 from .streams import events, lines
+from .targets import SPLIT
 
 SQL: dict[str, str] = {}
 D = range(1, 5)
@@ -42,7 +43,7 @@ SQL["f2_psi_edges"] = lines(f"""SELECT stream_id, feature, CAST(n_bins AS BIGINT
 SQL["f3_reference_sample"] = lines("SELECT stream_id, rank, row_idx FROM sample", FEATURES)
 BAND = f"""band AS (SELECT a.stream_id, sqrt(median({_d2('a', 'b')}) / 2e0) AS bandwidth
  FROM zsample a JOIN zsample b ON a.stream_id = b.stream_id AND a.rank < b.rank
- WHERE b.rank <= 512 GROUP BY a.stream_id)"""
+ GROUP BY a.stream_id)"""
 SQL["f4_bandwidth"] = lines(f"SELECT stream_id, {r6('bandwidth')} AS bandwidth FROM band", FEATURES + "," + BAND)
 EREF = """eref AS (SELECT stream_id, CAST(i - 1 AS BIGINT) AS feature, avg(v) AS mean, CASE WHEN stddev_pop(v) > 0
  THEN stddev_pop(v) ELSE 1e0 END AS std FROM (SELECT stream_id, unnest([1,2,3,4]) AS i, unnest([z1,z2,z3,z4]) AS v
@@ -134,23 +135,22 @@ SQL["s13_neighbour_distance"] = lines(f"""SELECT stream_id, window_idx, {r6('avg
 SQL["s19_kernel_discrepancy"] = lines(f"""SELECT stream_id, window_idx, {r6('kaa + kbb - 2 * kab')} AS dist_mmd2
  FROM aa JOIN bb USING (stream_id) JOIN ab USING (stream_id, window_idx)""", FEATURES + "," + BAND + f""",
 bb AS (SELECT a.stream_id, avg(exp(-{_d2('a', 'b')} / (2 * bandwidth * bandwidth))) AS kbb FROM zsample a
- JOIN zsample b ON a.stream_id = b.stream_id AND a.rank <> b.rank JOIN band ON band.stream_id = a.stream_id
- WHERE a.rank <= 400 AND b.rank <= 400 GROUP BY a.stream_id),
+ JOIN zsample b ON a.stream_id = b.stream_id AND a.rank <> b.rank JOIN band ON band.stream_id = a.stream_id GROUP BY a.stream_id),
 aa AS (SELECT a.stream_id, a.window_idx, avg(exp(-{_d2('a', 'b')} / (2 * bandwidth * bandwidth))) AS kaa FROM zdep a
  JOIN zdep b ON a.stream_id = b.stream_id AND a.window_idx = b.window_idx AND a.seg_row <> b.seg_row
  JOIN band ON band.stream_id = a.stream_id GROUP BY a.stream_id, a.window_idx),
 ab AS (SELECT a.stream_id, a.window_idx, avg(exp(-{_d2('a', 'b')} / (2 * bandwidth * bandwidth))) AS kab FROM zdep a
- JOIN zsample b ON a.stream_id = b.stream_id JOIN band ON band.stream_id = a.stream_id WHERE b.rank <= 400
+ JOIN zsample b ON a.stream_id = b.stream_id JOIN band ON band.stream_id = a.stream_id
  GROUP BY a.stream_id, a.window_idx)""")
 
 
-def _ecdf(tag: str, cap: str) -> str:
+def _ecdf(tag: str) -> str:
     return f"""
 {tag}_s AS (SELECT stream_id, window_idx, f, v, count(*) AS na, 0 AS nb FROM (SELECT stream_id, window_idx,
   unnest([1,2,3,4]) AS f, unnest([z1,z2,z3,z4]) AS v FROM zdep) GROUP BY ALL
  UNION ALL SELECT w.stream_id, w.window_idx, f, v, 0, n FROM (SELECT DISTINCT stream_id, window_idx FROM zdep) w JOIN
   (SELECT stream_id, f, v, count(*) AS n FROM (SELECT stream_id, unnest([1,2,3,4]) AS f, unnest([z1,z2,z3,z4]) AS v
-   FROM zsample {cap}) GROUP BY ALL) r ON r.stream_id = w.stream_id),
+   FROM zsample) GROUP BY ALL) r ON r.stream_id = w.stream_id),
 {tag}_c AS (SELECT stream_id, window_idx, f, v, sum(na) AS na, sum(nb) AS nb FROM {tag}_s GROUP BY ALL),
 {tag}_f AS (SELECT stream_id, window_idx, f, lead(v) OVER o - v AS dx, sum(na) OVER o / sum(na) OVER t
   - sum(nb) OVER o / sum(nb) OVER t AS gap FROM {tag}_c WINDOW o AS (PARTITION BY stream_id, window_idx, f ORDER BY v),
@@ -162,9 +162,9 @@ def _ecdf(tag: str, cap: str) -> str:
 SQL["s20_distribution_distances"] = lines("SELECT full_set.stream_id, full_set.window_idx, " + ", ".join(
     f"{r6(f'avg(full_set.{c})')} AS dist_{n}_mean, {r6(f'max(full_set.{c})')} AS dist_{n}_max, "
     f"{r6(f'quantile_cont(full_set.{c}, 0.9e0)')} AS dist_{n}_q90" for n, c in (("wasserstein", "w1"), ("ks", "ks")))
-    + ", " + r6("avg(head_set.en)") + """ AS dist_energy FROM full_set JOIN head_set USING (stream_id, window_idx, f)
+    + ", " + r6("avg(full_set.en)") + """ AS dist_energy FROM full_set
  GROUP BY full_set.stream_id, full_set.window_idx""",
-    FEATURES + "," + _ecdf("full_set", "") + "," + _ecdf("head_set", "WHERE rank <= 400"))
+    FEATURES + "," + _ecdf("full_set"))
 SQL["s23_stability_index"] = lines("SELECT stream_id, window_idx, " + r6("sqrt(avg(m * m))") + " AS dist_mean_shift, "
     + r6("avg(s)") + " AS dist_scale_ratio, " + r6("avg(psi)") + " AS dist_psi_mean, " + r6("max(psi)")
     + " AS dist_psi_max, " + r6("quantile_cont(psi, 0.9e0)") + " AS dist_psi_q90 FROM per GROUP BY stream_id, window_idx",
@@ -205,11 +205,12 @@ SQL["s25_matured"] = events("SELECT stream_id, window_idx, CAST(n AS BIGINT) AS
 SQL["s26_feedback"] = events("SELECT stream_id, window_idx, " + ", ".join(
     f"(round(CAST(CASE WHEN n > 0 THEN {e} ELSE 0 END AS DOUBLE), 6) + 0e0) AS {c}" for c, e in _FBC.items())
     + ", 0e0 AS fb_ece FROM signs", _fb(2))
-SQL["f11_normaliser"] = events("SELECT stream_id, window_idx, " + ", ".join(
-    r6(f"({c} - avg({c}) FILTER (WHERE window_idx < 40) OVER ()) / stddev_pop({c}) FILTER (WHERE window_idx < 40) OVER ()")
-    + f" AS {c}" for c in ("fb_risk_last", "fb_risk_mean", "fb_n_matured")) + " FROM (SELECT stream_id, window_idx, "
-    + ", ".join(f"CAST(CASE WHEN n > 0 THEN {_FBC[c]} ELSE 0 END AS DOUBLE) AS {c}"
-                for c in ("fb_risk_last", "fb_risk_mean", "fb_n_matured")) + " FROM signs)", _fb(1))
+_NORMED = ("fb_risk_last", "fb_risk_mean", "fb_n_matured")
+SQL["f11_normaliser"] = events("SELECT f.stream_id, f.window_idx, " + ", ".join(
+    r6(f"({c} - (SELECT avg({c}) FROM trained)) / (SELECT stddev_pop({c}) FROM trained)") + f" AS {c}" for c in _NORMED)
+    + " FROM f", _fb(1) + "," + SPLIT + """, f AS (SELECT stream_id, window_idx, """ + ", ".join(
+        f"CAST(CASE WHEN n > 0 THEN {_FBC[c]} ELSE 0 END AS DOUBLE) AS {c}" for c in _NORMED) + """ FROM signs),
+trained AS (SELECT f.* FROM f JOIN parts p ON p.stream_id = f.stream_id AND p.origin = f.window_idx WHERE p.split = 'train')""")
 _EDGES = [i * 0.1 for i in range(10)] + [1.0]
 SQL["s30_calibration_error"] = lines(f"""SELECT r.stream_id, r.window_idx, {r6('coalesce(ece, 0e0)')} AS fb_ece
  FROM risk r LEFT JOIN ece e ON e.stream_id = r.stream_id AND e.window_idx + 1 = r.window_idx""",

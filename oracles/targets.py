@@ -7,8 +7,8 @@ SQL: dict[str, str] = {}
 
 SPLIT = """tau AS (SELECT stream_id, quantile_cont(origin, 0.5e0) AS tau1, quantile_cont(origin, 0.7e0) AS tau2
  FROM origins GROUP BY stream_id),
-split_all AS (SELECT *, CASE WHEN origin < tau1 THEN 'train' WHEN origin >= tau1 + 4 AND origin < tau2
- THEN 'calibration' WHEN origin >= tau2 + 4 THEN 'test' END AS split FROM origins JOIN tau USING (stream_id)),
+split_all AS (SELECT *, CASE WHEN origin < tau1 THEN 'train' WHEN origin >= tau1 + 20 AND origin < tau2
+ THEN 'calibration' WHEN origin >= tau2 + 20 THEN 'test' END AS split FROM origins JOIN tau USING (stream_id)),
 parts AS (SELECT * FROM split_all WHERE split IS NOT NULL)"""
 
 SQL["t2_time_to_violation"] = events(f"""

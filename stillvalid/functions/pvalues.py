@@ -84,15 +84,21 @@ def signed_rank_exact(w: float, n: int) -> float:
     return float(counts[: int(math.floor(w)) + 1].sum() / counts.sum())
 
 
-def signed_rank_p(w_plus: float, n: int, tie_sum: float, n_zero: int, n_far: int) -> float:
+def signed_rank_p(w_plus: float, n: int, tie_sum: float, n_zero: int, n_far: int,
+                  method: str = "normal") -> float:
     """One-sided p ("less") of the paired signed-rank test with zeros split.
 
     ``tie_sum`` is the sum of t^3 - t over tied groups. Under five pairs, or with no pair that
-    differs, the answer is 1. The exact null is used up to 50 pairs without ties or zeros.
+    differs, the answer is 1. ``method``: "normal" (the default, at every size) or "exact", the null
+    distribution of untied ranks, which asks for pairs without ties or zeros.
     """
+    if method not in ("normal", "exact"):
+        raise ValueError(f"unknown method {method!r}")
     if n < 5 or n_far == 0:
         return 1.0
-    if n <= 50 and n_zero == 0 and tie_sum == 0:
+    if method == "exact":
+        if n_zero or tie_sum:
+            raise ValueError("the exact null needs pairs without ties or zeros")
         return signed_rank_exact(w_plus, n)
     mean = n * (n + 1) / 4.0
     var = (n * (n + 1.0) * (2.0 * n + 1.0) - 0.5 * tie_sum) / 24.0

@@ -30,7 +30,7 @@ def pair_methods(scores: DataFrame, method: str, value: str) -> DataFrame:
 
 
 def dominance(samples: DataFrame, keys: Sequence[str], value: str, first: Column,
-              bucket: Column) -> DataFrame:
+              bucket: Column | None) -> DataFrame:
     """P(first > second) - P(first < second) for two labelled samples per key."""
     counts = samples.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(
         F.count_if(first).alias("na"), F.count_if(~first).alias("nb"))
@@ -42,19 +42,19 @@ def dominance(samples: DataFrame, keys: Sequence[str], value: str, first: Column
                      (F.first("n_first") * F.first("n_second")).cast("double")).alias("delta"))
 
 
-def cliffs_delta(pairs: DataFrame, keys: Sequence[str], bucket=unit_bucket) -> DataFrame:
-    """Dominance of ``a`` over ``b``; ``bucket`` must be monotone on the values' range."""
+def cliffs_delta(pairs: DataFrame, keys: Sequence[str], bucket=None) -> DataFrame:
+    """Dominance of ``a`` over ``b``; ``bucket`` as in ``running_sum``."""
     both = pairs.select(*keys, F.inline(F.array(
         F.struct(F.lit(True).alias("first"), settle(F.col("a")).alias("v")),
         F.struct(F.lit(False).alias("first"), settle(F.col("b")).alias("v")))))
-    return dominance(both, keys, "v", F.col("first"), bucket(F.col("v"))).select(
+    return dominance(both, keys, "v", F.col("first"), bucket).select(
         *keys, F.col("delta").alias("effect_delta"))
 
 
 def rank_auc(scored: DataFrame, keys: Sequence[str], label: str, score: str,
-             bucket=unit_bucket) -> DataFrame:
+             bucket=None) -> DataFrame:
     """Area under the ROC curve with ties averaged."""
-    return dominance(scored, keys, score, F.col(label) == 1, bucket(F.col(score))).select(
+    return dominance(scored, keys, score, F.col(label) == 1, bucket).select(
         *keys, ((F.col("delta") + 1.0) / 2.0).alias("auc"))
 
 
@@ -67,7 +67,7 @@ def paired_d(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
          .alias("effect_d"))
 
 
-def signed_ranks(pairs: DataFrame, keys: Sequence[str], bucket=unit_bucket) -> DataFrame:
+def signed_ranks(pairs: DataFrame, keys: Sequence[str], bucket=None) -> DataFrame:
     """Signed-rank statistic ``a`` against ``b``: W+, ties, zeros and pairs that differ at all."""
     known = pairs.filter(F.col("a").isNotNull() & F.col("b").isNotNull())
     d = settle(F.col("a") - F.col("b"))
@@ -76,7 +76,7 @@ def signed_ranks(pairs: DataFrame, keys: Sequence[str], bucket=unit_bucket) -> D
                           far.alias("far")).groupBy(*keys, "m").agg(
         F.count(F.lit(1)).alias("t"), F.count_if(F.col("sign") > 0).alias("pos"),
         F.count_if(F.col("sign") == 0).alias("zero"), F.count_if("far").alias("n_far"))
-    ranked = running_sum(counts, keys, "m", bucket(F.col("m")), {"upto": F.col("t")})
+    ranked = running_sum(counts, keys, "m", bucket, {"upto": F.col("t")})
     rank = F.col("upto") - (F.col("t") - 1) / 2.0
     t = F.col("t").cast("double")
     return ranked.groupBy(*keys).agg(
@@ -85,7 +85,7 @@ def signed_ranks(pairs: DataFrame, keys: Sequence[str], bucket=unit_bucket) -> D
         F.sum("zero").cast("bigint").alias("n_zero"), F.sum("n_far").cast("bigint").alias("n_far"))
 
 
-def wilcoxon(pairs: DataFrame, keys: Sequence[str], bucket=unit_bucket) -> DataFrame:
+def wilcoxon(pairs: DataFrame, keys: Sequence[str], bucket=None) -> DataFrame:
     """One-sided paired signed-rank test that ``a`` is smaller."""
     w = signed_ranks(pairs, keys, bucket)
     return w.withColumn("p_raw", signed_rank_p_col("w_plus", "n_pairs", "tie_sum", "n_zero",
@@ -104,7 +104,7 @@ def holm(tests: DataFrame, family: Sequence[str], p: str = "p_raw",
     return out.withColumn("rejected", F.col("p_adjusted") <= alpha).drop("_step")
 
 
-def compare(pairs: DataFrame, family: Sequence[str], bucket=unit_bucket) -> DataFrame:
+def compare(pairs: DataFrame, family: Sequence[str], bucket=None) -> DataFrame:
     """Full comparison record per family and baseline, with the rule for "beats"."""
     keys = [*family, "baseline"]
     means = pairs.groupBy(*keys).agg(F.avg("a").alias("method_mean"),
@@ -192,16 +192,12 @@ def summarise_seeds(results: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def assign_tier(datasets: DataFrame, excluded: Sequence[str]) -> DataFrame:
     """PRIMARY or SECONDARY by the declared rules (``dataset``, ``drift_class``, ``usable``)."""
-    out = (F.col("dataset").isin(list(excluded)),
-           ~F.coalesce(F.col("drift_class").isin("PHYSICAL", "SOCIAL"), F.lit(False)),
-           ~F.coalesce(F.col("usable"), F.lit(False)))
-    reasons = ("hypothesis-generating", "drift class not in the test", "fails the usability screen")
-    reason = F.lit("usable and classified")
-    tier = F.lit("PRIMARY")
-    for condition, text in reversed(list(zip(out, reasons))):
-        reason = F.when(condition, text).otherwise(reason)
-        tier = F.when(condition, "SECONDARY").otherwise(tier)
-    return datasets.withColumn("tier", tier).withColumn("tier_reason", reason)
+    classified = F.coalesce(F.col("drift_class").isin("PHYSICAL", "SOCIAL"), F.lit(False))
+    reason = (F.when(F.col("dataset").isin(list(excluded)), "hypothesis-generating")
+              .when(~classified, "drift class not in the test")
+              .when(~F.coalesce(F.col("usable"), F.lit(False)), "fails the usability screen"))
+    return (datasets.withColumn("tier", F.when(reason.isNull(), "PRIMARY").otherwise("SECONDARY"))
+            .withColumn("tier_reason", F.coalesce(reason, F.lit("usable and classified"))))
 
 
 def boundary_verdict(summary: DataFrame) -> DataFrame:

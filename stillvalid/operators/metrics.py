@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clip, total
-from .ordered import running_sum, unit_bucket
+from .ordered import running_sum
 from .survival import CENSORING_FLOOR, censoring_curve
 
 
@@ -55,7 +55,7 @@ def _ranked_pairs(curves: DataFrame) -> DataFrame:
     counts = out.groupBy("method", "h", "s").agg(
         F.count_if(F.col("y_tilde") > F.col("h")).alias("beyond"),
         F.count_if((F.col("y_tilde") == F.col("h")) & (F.col("event") == 1)).alias("events"))
-    ranked = running_sum(counts, ["method", "h"], "s", unit_bucket(F.col("s")),
+    ranked = running_sum(counts, ["method", "h"], "s", None,
                          {"upto": F.col("beyond")})
     tot = counts.groupBy("method", "h").agg(F.sum("beyond").alias("total"))
     return ranked.join(tot, ["method", "h"])

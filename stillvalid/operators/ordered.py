@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 CHUNK = 4096
+#: Ranges of a key's values where nothing better than their distribution is known.
+RANGES = 64
 
 
 def halo(df: DataFrame, keys: Sequence[str], idx: str, before: int, after: int,
@@ -37,14 +39,27 @@ def own_rows(df: DataFrame) -> DataFrame:
     return df.filter("_own").drop("_chunk", "_own")
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], order: str, bucket: Column,
+def with_ranges(df: DataFrame, keys: Sequence[str], order: str, ranges: int = RANGES) -> DataFrame:
+    """Add ``_bucket``: the range of ``order`` between quantiles of the rows of each key.
+
+    Edges follow the values, so outliers or a mass of close values do not fill one range. They are
+    approximate (one small sketch per key); that touches the sizes of ranges, not their order.
+    """
+    shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    edges = df.groupBy(*keys).agg(F.percentile_approx(order, shares, F.lit(1000)).alias("_edges"))
+    below = F.size(F.filter("_edges", lambda e: e < F.col(order)))
+    return df.join(edges, list(keys)).withColumn("_bucket", below).drop("_edges")
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], order: str, bucket: Column | None,
                 sums: Mapping[str, Column]) -> DataFrame:
     """Inclusive running sums along ``order`` within ``keys``.
 
-    ``bucket`` must never decrease as ``order`` grows. One row per (keys, order) is expected, so
-    ties must be pre-aggregated. The window over bucket totals holds one row per bucket.
+    ``bucket`` must never decrease as ``order`` grows; None takes ranges between quantiles. One row
+    per (keys, order) is expected, so ties must be pre-aggregated. The window over bucket totals
+    holds one row per bucket.
     """
-    df = df.withColumn("_bucket", bucket)
+    df = with_ranges(df, keys, order) if bucket is None else df.withColumn("_bucket", bucket)
     for name, value in sums.items():
         df = df.withColumn(f"_v_{name}", value)
     totals = df.groupBy(*keys, "_bucket").agg(
@@ -72,7 +87,7 @@ def index_bucket(value: Column, width: int = CHUNK) -> Column:
 
 
 def quantiles_of_counts(counts: DataFrame, keys: Sequence[str], value: str,
-                        quantiles: Mapping[str, float], bucket: Column,
+                        quantiles: Mapping[str, float], bucket: Column | None = None,
                         copies: str = "n") -> DataFrame:
     """Exact linear-interpolation quantiles per key from distinct values and their counts."""
     ranked = running_sum(counts, keys, value, bucket, {"upto": F.col(copies)})
@@ -89,7 +104,7 @@ def quantiles_of_counts(counts: DataFrame, keys: Sequence[str], value: str,
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
-                    quantiles: Mapping[str, float], bucket: Column) -> DataFrame:
+                    quantiles: Mapping[str, float], bucket: Column | None = None) -> DataFrame:
     """Exact quantiles of a column per key, without buffering a group in one task."""
     counts = (df.filter(F.col(value).isNotNull()).groupBy(*keys, value)
                 .agg(F.count(F.lit(1)).alias("n")))

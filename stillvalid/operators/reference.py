@@ -4,31 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import argmax, entropy, spread, uniform
-from .ordered import CHUNK, quantiles_of_counts
+from .ordered import quantiles_of_counts
 
-# Sizes that are part of the statistics' definitions.
-SAMPLE_CAP = 2000
-BANDWIDTH_CAP = 512
-KERNEL_CAP = 400
+# Fixed values of the statistics' definitions.
 COMPONENTS = 8
-NEIGHBOURS = 10
 PSI_BINS = 10
-VIEW_DIM_CAP = 256
 
 
-def monitor_view(features: Sequence[str], embedding: str | None, width: int) -> str | list[str]:
-    """Columns the discrepancy block compares: inputs, or the embedding above the width cap."""
-    if width > VIEW_DIM_CAP:
-        if embedding is None:
-            raise ValueError(f"{width} inputs exceed {VIEW_DIM_CAP} and no embedding is given")
-        return embedding
-    return list(features)
+def monitor_view(features: Sequence[str], embedding: str | None, view: str) -> str | list[str]:
+    """Columns the discrepancy block compares: the caller names inputs or embedding."""
+    if view == "inputs":
+        return list(features)
+    if view != "embedding":
+        raise ValueError(f"unknown view {view!r}")
+    if embedding is None:
+        raise ValueError("the embedding view needs an embedding column")
+    return embedding
 
 
 def long_features(rows: DataFrame, *keep: str, vector: str = "x") -> DataFrame:
@@ -38,21 +33,15 @@ def long_features(rows: DataFrame, *keep: str, vector: str = "x") -> DataFrame:
 def feature_reference(pre: DataFrame, width: int, bins: int = PSI_BINS) -> DataFrame:
     """Mean, population spread and PSI cut points per stream and feature.
 
-    Quantiles come from value counts bucketed between the feature's own minimum and maximum, so a
-    long pre-deployment segment is never buffered in one group.
+    Quantiles come from value counts in ranges of about equal size, so a long pre-deployment segment
+    is never buffered in one group.
     """
     long = long_features(pre, vector="x").filter(F.col("value").isNotNull())
     moments = long.groupBy("stream_id", "feature").agg(
-        F.avg("value").alias("mean"), spread(F.col("value")).alias("_std"),
-        F.min("value").alias("_low"), F.max("value").alias("_high"))
+        F.avg("value").alias("mean"), spread(F.col("value")).alias("_std"))
     counts = long.groupBy("stream_id", "feature", "value").agg(F.count(F.lit(1)).alias("copies"))
     qs = {f"e{i}": i / bins for i in range(bins + 1)}
-    span = F.col("_high") - F.col("_low")
-    bucket = F.when(span > 0, F.floor((F.col("value") - F.col("_low")) / span * CHUNK)).otherwise(
-        F.lit(0))
-    ranged = counts.join(moments.select("stream_id", "feature", "_low", "_high"),
-                         ["stream_id", "feature"])
-    edges = quantiles_of_counts(ranged, ["stream_id", "feature"], "value", qs, bucket, "copies")
+    edges = quantiles_of_counts(counts, ["stream_id", "feature"], "value", qs, copies="copies")
     cuts = F.array_sort(F.array_distinct(F.array(*list(qs))))
     inner = F.when(F.size(cuts) > 2, F.slice(cuts, 2, F.size(cuts) - 2)).otherwise(
         F.array().cast("array<double>"))
@@ -78,20 +67,15 @@ def standardise(rows: DataFrame, scales: DataFrame, vector: str = "x") -> DataFr
         "z", F.zip_with(centred, "stds", lambda c, s: c / s)).drop("means", "stds")
 
 
-def reference_sample(pre: DataFrame, sizes: DataFrame, cap: int = SAMPLE_CAP,
-                     seed: str = "reference") -> DataFrame:
-    """At most ``cap`` pre-deployment rows per stream: those with the smallest hash draws.
+def reference_sample(pre: DataFrame, rows: int, seed: str = "reference") -> DataFrame:
+    """The ``rows`` pre-deployment rows of each stream with the smallest hash draws.
 
-    A draw above ``4 * cap / n`` cannot be among the ``cap`` smallest unless fewer than ``cap`` of
-    n draws fall below it (expected: 4 * cap); cutting there first keeps the ranking small for any
-    stream size.
+    Every task keeps its own smallest draws before anything is shuffled, so the ranking of a stream
+    sees at most ``rows`` rows from each task.
     """
-    u = uniform(seed, "row_idx")
-    near = F.least(F.lit(1.0), F.lit(4.0 * cap) / F.col("boundary"))
-    base = pre.select("stream_id", "row_idx", "boundary", "x", u.alias("_u"))
-    ranked = base.filter(F.col("_u") <= near).withColumn(
+    ranked = pre.select("stream_id", "row_idx", "x", uniform(seed, "row_idx").alias("_u")).withColumn(
         "rank", F.row_number().over(Window.partitionBy("stream_id").orderBy("_u", "row_idx")))
-    return ranked.filter(F.col("rank") <= cap).select("stream_id", "rank", "row_idx", "x")
+    return ranked.filter(F.col("rank") <= rows).select("stream_id", "rank", "row_idx", "x")
 
 
 def behaviour_reference(pre: DataFrame, classes: int) -> DataFrame:
@@ -104,51 +88,6 @@ def behaviour_reference(pre: DataFrame, classes: int) -> DataFrame:
         F.avg(entropy(F.col("proba"))).alias("entropy_mean"))
 
 
-GEOMETRY_SCHEMA = ("stream_id string, bandwidth double, kernel_self double, "
-                   "centre array<double>, components array<array<double>>")
-
-
-def rbf(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
-    d2 = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-    return np.exp(-gamma * np.maximum(d2, 0.0))
-
-
-def principal_axes(z: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Centre and leading axes; each axis is turned so that its largest loading is positive."""
-    centre = z.mean(axis=0)
-    _, _, axes = np.linalg.svd(z - centre, full_matrices=False)
-    axes = axes[:k]
-    lead = np.take_along_axis(axes, np.abs(axes).argmax(axis=1)[:, None], axis=1)
-    return centre, axes * np.where(lead < 0, -1.0, 1.0)
-
-
-def fit_geometry(sample: DataFrame, features: DataFrame) -> DataFrame:
-    """Kernel bandwidth, reference kernel mean and principal axes from the capped sample.
-
-    The group handed to Python holds at most ``SAMPLE_CAP`` rows, whatever the stream's size.
-    """
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank")
-        z = np.array(pdf["z"].tolist(), dtype=float)
-        near = z[:BANDWIDTH_CAP]
-        d2 = ((near[:, None, :] - near[None, :, :]) ** 2).sum(-1)
-        pairs = d2[np.triu_indices(len(near), k=1)]
-        median = float(np.median(pairs)) if pairs.size else 1.0
-        bandwidth = float(np.sqrt(median / 2.0)) if median > 0 else 1.0
-        b = z[:KERNEL_CAP]
-        m = len(b)
-        k = rbf(b, b, 1.0 / (2.0 * max(bandwidth, 1e-12) ** 2))
-        inner = float((k.sum() - np.trace(k)) / (m * (m - 1))) if m > 1 else 0.0
-        n_axes = int(min(COMPONENTS, z.shape[1], max(1, len(z) - 1)))
-        centre, axes = principal_axes(z, n_axes)
-        return pd.DataFrame([{"stream_id": pdf["stream_id"].iloc[0], "bandwidth": bandwidth,
-                              "kernel_self": inner, "centre": centre.tolist(),
-                              "components": axes.tolist()}])
-
-    z = standardise(sample, scale_vectors(features)).select("stream_id", "rank", "z")
-    return z.groupBy("stream_id").applyInPandas(fit, GEOMETRY_SCHEMA)
-
-
 def fit_normaliser(train: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Means and spreads of the training rows only; a flat column keeps unit spread."""
     packed = train.agg(*[F.avg(c).alias(f"{c}__mean") for c in columns],

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import settle
-from .ordered import exact_quantiles, unit_bucket
+from .ordered import exact_quantiles
 
 # Risk quantiles kept with the frozen reference.
 RISK_QUANTILES = {"q50": 0.5, "q60": 0.6, "q75": 0.75, "q80": 0.8, "q90": 0.9, "q95": 0.95}
@@ -46,8 +46,7 @@ def reference_risk(pre_risk: DataFrame) -> DataFrame:
     """Frozen mean, spread and quantiles of the pre-deployment window risks, per stream."""
     spread = pre_risk.filter(F.col("risk").isNotNull()).groupBy("stream_id").agg(
         F.avg("risk").alias("risk_mean"), F.stddev_pop("risk").alias("risk_std"))
-    quantiles = exact_quantiles(pre_risk, ["stream_id"], "risk", RISK_QUANTILES,
-                                unit_bucket(F.col("risk")))
+    quantiles = exact_quantiles(pre_risk, ["stream_id"], "risk", RISK_QUANTILES)
     return spread.join(quantiles.drop("n_values"), "stream_id")
 
 

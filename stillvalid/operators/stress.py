@@ -17,10 +17,10 @@ from .ordered import index_bucket, running_sum
 from .reference import long_features
 
 # Mechanisms by what they change, and schedules with a precursor.
-INPUT_MECHANISMS = ("covariate", "regime", "sensor_corruption", "noise_escalation",
-                    "feature_dropout")
-LABEL_MECHANISMS = ("conditional", "prior")
-SCHEDULES = ("abrupt", "incremental", "gradual", "recurring", "seasonal")
+INPUT_MECHANISMS = ("covariate", "feature_dropout", "sensor_corruption", "noise_escalation",
+                    "regime")
+LABEL_MECHANISMS = ("prior", "conditional")
+SCHEDULES = ("abrupt", "gradual", "incremental", "recurring", "seasonal")
 PROGRESSIVE = ("gradual", "incremental", "seasonal", "recurring")
 
 

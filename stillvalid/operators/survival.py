@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -111,21 +112,35 @@ def horizon_readouts(curves: DataFrame, horizon: int, alpha: float = 0.1) -> Dat
 
 
 # -- Cox regression --------------------------------------------------------------------------
+class EstimationFailed(ValueError):
+    """The Cox model has no usable estimate; the message says why."""
+
+
 def cox_fit(train: DataFrame, covariates: Sequence[str], horizon: int, *, penalty: float = 0.1,
             iterations: int = 25, tolerance: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
     """Ridge-penalised Cox model with Efron ties on integer times.
 
     Times are 1..H, so a Newton step needs only, per time and outcome, the sums of e^{xb},
-    x e^{xb} and x x' e^{xb}: one aggregate over the whole table returning 2H rows.
-    Returns the coefficients and the baseline cumulative hazard at 1..H.
+    x e^{xb} and x x' e^{xb}: one aggregate over the whole table returning 2H rows. Efron's inner
+    sums over tied deaths are differences of digamma and trigamma values, so their cost does not
+    depend on the number of ties. The penalty acts on covariates of unit variance.
+    Returns the coefficients (of the covariates as given) and the baseline cumulative hazard at 1..H.
     """
     k = len(covariates)
-    x = [F.col(c) for c in covariates]
+    moments = train.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(covariates)],
+                        *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(covariates)],
+                        F.count(F.lit(1)).alias("n"), F.count_if(F.col("event") == 1).alias("d")).first()
+    if not moments["n"] or not moments["d"]:
+        raise EstimationFailed("no training origin" if not moments["n"] else "no event in training")
+    centre = np.array([moments[f"m{i}"] for i in range(k)], dtype=float)
+    scale = np.array([moments[f"s{i}"] or 1.0 for i in range(k)], dtype=float)
+    scale[scale <= 1e-12] = 1.0
+    x = [(F.col(c) - F.lit(float(m))) / F.lit(float(s)) for c, m, s in zip(covariates, centre, scale)]
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    products = F.array(F.lit(1.0), *x, *[x[i] * x[j] for i, j in pairs])
-    prepared = freeze(train.select("y_tilde", "event", *covariates, products.alias("_p")),
-                      "cox-products")
-    beta = np.zeros(k)
+    unit = train.select("y_tilde", "event", *[v.alias(f"_x{i}") for i, v in enumerate(x)])
+    z = [F.col(f"_x{i}") for i in range(k)]
+    products = F.array(F.lit(1.0), *z, *[z[i] * z[j] for i, j in pairs])
+    prepared = freeze(unit.withColumn("_p", products), "cox-products")
 
     def totals(weight: Column) -> dict[tuple[int, int], np.ndarray]:
         weighted = prepared.withColumn("_w", weight).select(
@@ -139,17 +154,13 @@ def cox_fit(train: DataFrame, covariates: Sequence[str], horizon: int, *, penalt
             out[at] = out.get(at, 0.0) + np.asarray(r["s"])
         return out
 
-    plain = totals(F.lit(1.0))
-    n = np.zeros((horizon + 1, 2))
-    xs = np.zeros((horizon + 1, k))
-    for (t, d), v in plain.items():
-        n[t, d] = v[0]
+    deaths, death_x = np.zeros(horizon + 1), np.zeros((horizon + 1, k))
+    for (t, d), v in totals(F.lit(1.0)).items():
         if d == 1:
-            xs[t] = v[1:k + 1]
-    n_total = n.sum()
+            deaths[t], death_x[t] = v[0], v[1:k + 1]
 
     def sums(beta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        score = total([F.lit(float(b)) * v for b, v in zip(beta, x)])
+        score = total([F.lit(float(b)) * v for b, v in zip(beta, z)])
         w0 = np.zeros((horizon + 1, 2))
         w1 = np.zeros((horizon + 1, 2, k))
         w2 = np.zeros((horizon + 1, 2, k, k))
@@ -162,32 +173,63 @@ def cox_fit(train: DataFrame, covariates: Sequence[str], horizon: int, *, penalt
     def tail_sum(a: np.ndarray) -> np.ndarray:
         return a.sum(axis=1)[::-1].cumsum(axis=0)[::-1]
 
+    beta = np.zeros(k)
     for _ in range(iterations):
         w0, w1, w2 = sums(beta)
         r0, r1, r2 = tail_sum(w0), tail_sum(w1), tail_sum(w2)
         grad, hess = np.zeros(k), np.zeros((k, k))
-        for t in range(1, horizon + 1):
-            deaths = int(n[t, 1])
-            grad += xs[t]
-            # Efron's sum over tied deaths; beyond 2000 of them, runs of neighbouring terms are
-            # taken at their middle (relative error about 1e-7).
-            parts = min(deaths, 2000)
-            for i in range(parts):
-                step = deaths / parts
-                f = ((i + 0.5) * step - 0.5) / deaths
-                a0, a1, a2 = r0[t] - f * w0[t, 1], r1[t] - f * w1[t, 1], r2[t] - f * w2[t, 1]
-                grad -= step * a1 / a0
-                hess -= step * (a2 / a0 - np.outer(a1, a1) / a0 ** 2)
-        grad = grad / n_total - penalty * beta
-        hess = hess / n_total - penalty * np.eye(k)
-        move = np.linalg.solve(hess, grad)
+        for t in np.flatnonzero(deaths):
+            first, second = efron_sums(deaths[t], (r0[t], r1[t], r2[t]), (w0[t, 1], w1[t, 1], w2[t, 1]))
+            grad += death_x[t] - first
+            hess -= second
+        grad = grad / moments["n"] - penalty * beta
+        hess = hess / moments["n"] - penalty * np.eye(k)
+        if not np.isfinite(grad).all() or not np.isfinite(hess).all():
+            raise EstimationFailed("the likelihood is not finite")
+        try:
+            move = np.linalg.solve(hess, grad)
+        except np.linalg.LinAlgError as e:
+            raise EstimationFailed("singular information matrix") from e
         beta = beta - move
         if np.abs(move).max() < tolerance:
             break
+    else:
+        raise EstimationFailed(f"no convergence in {iterations} steps")
     w0, _, _ = sums(beta)
     risk = tail_sum(w0)
-    base = np.where(risk[1:] > 0, n[1:, 1] / np.where(risk[1:] > 0, risk[1:], 1.0), 0.0)
-    return beta, base.cumsum()
+    base = np.where(risk[1:] > 0, deaths[1:] / np.where(risk[1:] > 0, risk[1:], 1.0), 0.0)
+    own = beta / scale
+    return own, base.cumsum() * np.exp(-float(own @ centre))
+
+
+def polygamma_pair(x: float) -> tuple[float, float]:
+    """Digamma and trigamma of a positive number: recurrence up to 10, then the asymptotic series."""
+    first = second = 0.0
+    while x < 10.0:
+        first -= 1.0 / x
+        second += 1.0 / (x * x)
+        x += 1.0
+    y = 1.0 / (x * x)
+    first += math.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y * (1 / 240 - y / 132))))
+    second += 1.0 / x + 0.5 * y + y / x * (1 / 6 - y * (1 / 30 - y * (1 / 42 - y * (1 / 30 - y * 5 / 66))))
+    return first, second
+
+
+def efron_sums(m: float, risk: tuple, tied: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over i = 0..m-1 of a1/a0 and of a2/a0 - a1 a1'/a0^2, where a = risk - (i/m) tied.
+
+    a0 is linear in i, so both are combinations of sum 1/(c - i) and sum 1/(c - i)^2, c = m r0/w0.
+    """
+    (r0, r1, r2), (w0, w1, w2) = risk, tied
+    c = m * r0 / w0
+    upper, lower = polygamma_pair(c + 1.0), polygamma_pair(c - m + 1.0)
+    s1, s2 = upper[0] - lower[0], lower[1] - upper[1]
+    share = m / w0
+    u1, u2 = r1 - (r0 / w0) * w1, r2 - (r0 / w0) * w2
+    first = share * (u1 * s1 + w1)
+    cross = np.outer(u1, w1)
+    squares = share ** 2 * (np.outer(u1, u1) * s2 + (cross + cross.T) * (s1 / m) + np.outer(w1, w1) / m)
+    return first, share * (u2 * s1 + w2) - squares
 
 
 def cox_predict(test: DataFrame, covariates: Sequence[str], beta: np.ndarray,

@@ -77,8 +77,12 @@ class Contest:
         aged = survival.age_kaplan_meier(train, test, h, "age").drop("age_bin")
         return freeze(km.unionByName(aged), "reference-curves")
 
-    def cox_curves(self, columns: list[str]) -> DataFrame:
-        """Cox model on at most eight principal scores of the latest state."""
+    def cox_curves(self, columns: list[str], components: int = 8) -> DataFrame:
+        """Cox model on principal scores of the latest state, with ``status`` and ``reason``.
+
+        Without a usable estimate the test origins get the marginal curve and the status
+        ``estimation_failed``.
+        """
         m = self.monitor
         key = ["stream_id", "origin"]
         states = freeze(m.states.select("stream_id", F.col("window_idx").alias("origin"),
@@ -86,10 +90,18 @@ class Contest:
         base = [*key, "y_tilde", "event"]
         train = self.part("train").select(*base).join(states, key)
         test = self.part("test").select(*base).join(states, key)
-        k = int(min(8, len(columns), max(2, train.count() // 25)))
-        ztrain, ztest, names = learned.reduce_states(train, test, "state", k)
-        beta, base = survival.cox_fit(ztrain, names, m.spec.horizon)
-        return survival.cox_predict(ztest, names, beta, base)
+        try:
+            if not train.head(1):
+                raise survival.EstimationFailed("no training origin")
+            ztrain, ztest, names = learned.reduce_states(train, test, "state",
+                                                         min(components, len(columns)))
+            beta, base = survival.cox_fit(ztrain, names, m.spec.horizon)
+        except survival.EstimationFailed as e:
+            marginal = survival.kaplan_meier(train, m.spec.horizon)
+            return survival.apply_curve(test.drop("state"), marginal, "cox").withColumns(
+                {"status": F.lit("estimation_failed"), "reason": F.lit(str(e))})
+        return survival.cox_predict(ztest, names, beta, base).withColumns(
+            {"status": F.lit("ok"), "reason": F.lit(None).cast("string")})
 
     def survival_scores(self, curves: DataFrame) -> DataFrame:
         """Concordance, integrated Brier score and D-calibration per method."""

@@ -140,17 +140,16 @@ def _(spark, folder):
 
 @query("e17_holm")
 def _(spark, folder):
-    """Step-down correction per horizon (of the share of pairs the method loses)."""
-    lost = _pairs(spark, folder).groupBy("h", "baseline").agg(
-        F.avg((F.col("a") > F.col("b")).cast("double")).alias("p_raw"))
-    return cmp.holm(lost.withColumn("p_raw", F.col("p_raw") / 20.0), ["h"])
+    """Step-down correction, per horizon, of the sign-flip p of every baseline."""
+    flips = cmp.blocked_permutation(_pairs(spark, folder), ["h", "baseline"], draws=20000)
+    return cmp.holm(flips.select("h", "baseline", F.col("p_value").alias("p_raw")), ["h"])
 
 
 @query("e18_blocked_bootstrap")
 def _(spark, folder):
     """Mean error at horizon 5 with an interval from resampling whole streams."""
     errors = fc.errors_at(events_contest(spark, folder).forecasts, 5)
-    return cmp.blocked_bootstrap(errors, ["method"], "error", draws=500)
+    return cmp.blocked_bootstrap(errors, ["method"], "error", draws=2000)
 
 
 @query("e19_comparison")
@@ -162,7 +161,7 @@ def _(spark, folder):
 @query("e20_blocked_permutation")
 def _(spark, folder):
     """Sign-flip test of the mean stream difference."""
-    return cmp.blocked_permutation(_pairs(spark, folder), ["h", "baseline"], draws=2000)
+    return cmp.blocked_permutation(_pairs(spark, folder), ["h", "baseline"], draws=20000)
 
 
 def _stream_results(spark, folder):

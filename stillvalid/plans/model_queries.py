@@ -135,7 +135,7 @@ def _(spark, folder):
     """First-passage survival from paths sampled around the fitted risk path."""
     out, sigma, rho = _risk_model(events_contest(spark, folder))
     paths = survival.sample_paths(out.select("stream_id", "origin", "eps", "centre"), sigma, rho,
-                                  64)
+                                  256)
     return curve_rows(survival.first_passage(paths), "stream_id", "origin")
 
 
@@ -143,7 +143,7 @@ def _anchor_paths(spark, folder):
     o = monitor(spark, folder, EVENTS).origins
     centre = F.array_repeat(settle(learned.logit(F.col("anchor"))), 20)
     return survival.sample_paths(o.select("stream_id", "origin", "eps", centre.alias("centre")),
-                                 [0.25] * 20, 0.5, 40)
+                                 [0.25] * 20, 0.5, 256)
 
 
 @query("m15_first_passage")

@@ -11,7 +11,7 @@ from ..operators import reference as ref
 from ..operators import risk as rk
 from ..operators import scorer, targets, windows
 from ..operators import state as st
-from ..operators.geometry import window_geometry
+from ..operators.geometry import fit_geometry, window_geometry
 from ..session import freeze
 from ..sources.stream_log import StreamSpec, numbered_log
 from ..sources.tables import table
@@ -39,8 +39,15 @@ class Monitor:
         return freeze(windows.deployment_sizes(self._numbered, self.spec.window,
                                                self.spec.pre_fraction), "sizes")
 
+    def _require_streams(self) -> None:
+        """Refuse the log if a stream is too short for one window on either side of deployment."""
+        refused = [r["stream_id"] for r in self.sizes.filter("refused").orderBy("stream_id").limit(10).collect()]
+        if refused:
+            raise ValueError(f"streams without a complete window before and after deployment: {refused}")
+
     @cached_property
     def _placed(self) -> DataFrame:
+        self._require_streams()
         return windows.assign_windows(self._numbered, self.sizes, self.spec.window)
 
     @cached_property
@@ -109,12 +116,13 @@ class Monitor:
 
     @cached_property
     def reference_sample(self) -> DataFrame:
-        return freeze(ref.reference_sample(self.pre, self.sizes), "reference-sample")
+        return freeze(ref.reference_sample(self.pre, self.spec.sample_rows), "reference-sample")
 
     @cached_property
     def geometry(self) -> DataFrame:
-        return freeze(ref.fit_geometry(self.reference_sample, self.reference_features),
-                      "reference-geometry")
+        width = len(self.spec.features)
+        return freeze(fit_geometry(self.reference_sample, self.reference_features, self.pre, width,
+                                   min(ref.COMPONENTS, width)), "reference-geometry")
 
     # -- state blocks ----------------------------------------------------------------------
     @cached_property

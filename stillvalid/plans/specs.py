@@ -9,7 +9,7 @@ from ..sources.stream_log import StreamSpec
 EVENTS = StreamSpec(
     name="events", table="events", stream="concat('s', cast(user_id % 5 as string))",
     order=("ts", "event_id"), time="ts", target="value", score_key="event_type",
-    window=20, margin=0.05)
+    window=5, margin=0.05)
 
 # Ties in the ship date are broken by every other column: the table has no unique key.
 _LINE_ORDER = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
@@ -20,12 +20,12 @@ LINES = StreamSpec(
     order=_LINE_ORDER, time="l_shipdate",
     target="case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end",
     score_key="concat(l_linestatus, cast(l_linenumber as string))",
-    features=("l_quantity", "l_extendedprice", "l_discount", "l_tax"), classes=3, window=100,
+    features=("l_quantity", "l_extendedprice", "l_discount", "l_tax"), classes=3, window=25,
     margin=0.02)
 
 VECTORS = StreamSpec(
     name="vectors", table="embeddings", stream="concat('s', cast(vec_id % 2 as string))",
-    order=("vec_id",), time="vec_id", target="label", score_key="cast(label % 3 as string)",
+    order=("vec_id",), time="vec_id", target="label", score_key="cast(embedding[0] > 0 as string)",
     features=tuple(f"embedding[{i}]" for i in range(64)), window=20, margin=0.05, pre_fraction=0.4)
 
 

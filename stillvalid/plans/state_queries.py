@@ -10,6 +10,7 @@ from ..operators.ordered import halo, own_rows
 from .catalog import query
 from .monitor import Monitor, monitor
 from .specs import EVENTS, LINES, VECTORS
+from .targets_queries import split_origins
 
 KEY = st.KEY
 
@@ -79,7 +80,8 @@ def _(spark, folder):
     m = monitor(spark, folder, EVENTS)
     cols = ["fb_risk_last", "fb_risk_mean", "fb_n_matured"]
     states = st.feedback_block(m.risk, m.reference_risk, 1).select(*KEY, *cols)
-    norm = ref.fit_normaliser(states.filter("window_idx < 40"), cols)
+    train = split_origins(m).filter("split = 'train'").select("stream_id", F.col("origin").alias("window_idx"))
+    norm = ref.fit_normaliser(states.join(train, KEY), cols)
     return ref.normalise(states, norm, cols)
 
 

@@ -40,6 +40,7 @@ class StreamSpec:
     context: int = 20
     delay: int = 1
     members: int = 5
+    sample_rows: int = 2000      # rows of the frozen reference sample (kernel, neighbours, marginals)
     extra: dict = field(default_factory=dict, hash=False, compare=False)
 
     def key(self) -> str:

@@ -46,3 +46,15 @@ def test_exact_quantiles_match_numpy(spark, n):
     for name, q in qs.items():
         assert got[name] == pytest.approx(np.quantile(v, q), abs=1e-12)
     assert got["n_values"] == n
+
+
+def test_ranges_follow_concentrated_values(spark):
+    """Most values within a millionth of the range, and outliers: ranges stay even, ranks exact."""
+    rng = np.random.default_rng(3)
+    v = np.r_[0.5 + 1e-7 * rng.random(3600), rng.normal(size=400) * 1e6]
+    df = spark.createDataFrame([("a", float(x)) for x in v], "k string, v double")
+    from stillvalid.operators.ordered import with_ranges
+    sizes = [r["count"] for r in with_ranges(df, ["k"], "v").groupBy("_bucket").count().collect()]
+    assert max(sizes) < 4 * len(v) / 64
+    got = exact_quantiles(df, ["k"], "v", {"a": 0.1, "b": 0.5, "c": 0.93}).first()
+    np.testing.assert_allclose([got["a"], got["b"], got["c"]], np.quantile(v, [0.1, 0.5, 0.93]))

@@ -152,8 +152,8 @@ def test_geometry_matches_direct_formulas(spark):
          for i, r in enumerate(win[w])],
         "stream_id string, window_idx bigint, seg_row bigint, x array<double>")
     feats = reference.feature_reference(rows, 3)
-    sample = reference.reference_sample(rows, None, cap=200)
-    g = reference.fit_geometry(sample, feats)
+    sample = reference.reference_sample(rows, 200)
+    g = geometry.fit_geometry(sample, feats, rows, 3, 3)
     sizes = spark.createDataFrame([("a", 2)], "stream_id string, n_windows bigint")
     out = geometry.window_geometry(dep, sample, feats, g, sizes, 3, 3).toPandas().set_index("window_idx")
     mu, sd = pre.mean(0), pre.std(0)
