@@ -194,7 +194,7 @@ def test_cox_recovers_a_known_effect(spark):
             d = dead.sum()
             ll += b * x[dead].sum() - sum(
                 np.log(w[at].sum() - k / d * w[dead].sum()) for k in range(d))
-        return ll / len(x) - .05 * b * b
+        return ll / len(x) - .05 * (b * x.std()) ** 2
 
     grid = np.linspace(beta[0] - .05, beta[0] + .05, 11)
     assert np.argmax([objective(g) for g in grid]) == 5
@@ -253,3 +253,24 @@ def test_forecasts_against_numpy(spark):
             buf.append(rho[0] * buf[-1] + rho[1] * buf[-2])
             want.append(buf[-1] + known.mean())
         assert out[i] == pytest.approx(list(np.clip(want, 0, 1)))
+
+
+@pytest.mark.parametrize("m,r0,w0", [(1, 5.0, 1.3), (7, 9.0, 9.0), (4000, 5000.0, 3100.0)])
+def test_efron_sums_equal_the_loop(m, r0, w0):
+    rng = np.random.default_rng(m)
+    r1, w1 = rng.normal(size=2) * r0, rng.normal(size=2) * w0
+    r2, w2 = np.outer(r1, r1) / r0 + np.eye(2), np.outer(w1, w1) / w0 + np.eye(2)
+    first, second = np.zeros(2), np.zeros((2, 2))
+    for i in range(m):
+        a0, a1, a2 = r0 - i / m * w0, r1 - i / m * w1, r2 - i / m * w2
+        first += a1 / a0
+        second += a2 / a0 - np.outer(a1, a1) / a0 ** 2
+    got = survival.efron_sums(float(m), (r0, r1, r2), (w0, w1, w2))
+    np.testing.assert_allclose(got[0], first, rtol=1e-8)
+    np.testing.assert_allclose(got[1], second, rtol=1e-7, atol=1e-6)
+
+
+def test_cox_without_events_has_no_estimate(spark):
+    df = spark.createDataFrame([(5, 0, 1.0), (6, 0, 2.0)], "y_tilde bigint, event int, x double")
+    with pytest.raises(survival.EstimationFailed, match="no event"):
+        survival.cox_fit(df, ["x"], 10)
