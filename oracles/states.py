@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 from .prelude import entropy, r6, uniform
-from .streams import events, lines
+from .streams import events, given, lines
 from .targets import SPLIT
 
 SQL: dict[str, str] = {}
@@ -226,6 +226,30 @@ for _n, _e, _p in (("hour", "hour(t_start)", 24), ("dow", "(isodow(t_start) - 1)
 _CTX |= {"ctx_is_weekend": "CAST(isodow(t_start) >= 6 AS DOUBLE)", "ctx_regime": "0e0"}
 SQL["s31_context"] = events("SELECT stream_id, window_idx, " + ", ".join(f"{r6(e)} AS {c}" for c, e in _CTX.items())
                             + " FROM risk")
+_EMB = (1, 2, 3)
+_GIVEN_STATE = ({"pred_mean": "p.m", "pred_std": "p.s", "pred_range": "p.g", "unc_pred_var": "p.v", "unc_pred_iqr": "p.iqr",
+                 "rep_norm_mean": "p.nm", "rep_norm_std": "p.ns", "rep_centroid_shift": "p.shift"}
+                | {f"pred_{n}": f"p.{n}" for n, _ in _QS}
+                | {c: "0e0" for c in ("unc_energy_mean", "unc_epistemic", "unc_aleatoric", "unc_ensemble_var", "fb_ece")}
+                | {c: f"CAST(CASE WHEN n > 0 THEN {e} ELSE 0 END AS DOUBLE)" for c, e in _FBC.items()}
+                | {"adapt_windows_since_update": "CAST(p.window_idx AS DOUBLE)"}
+                | {c: "0e0" for c in ("adapt_n_updates", "adapt_last_magnitude", "adapt_last_risk_delta", "adapt_ever_updated", "adapt_update_rate")}
+                | {"pred_volatility": "p.pred_vol", "unc_volatility": "p.unc_vol", "rep_volatility": "p.rep_vol", "risk": "risk.risk"})
+SQL["s39_given_log"] = given("SELECT p.stream_id, p.window_idx, " + ", ".join(
+    f"{r6(e)} AS {c}" for c, e in (_GIVEN_STATE | {c: e.replace('window_idx', 'p.window_idx') for c, e in _CTX.items()}).items())
+    + " FROM pv p JOIN signs USING (stream_id, window_idx) JOIN risk USING (stream_id, window_idx)",
+    _fb(1) + ", eref AS (SELECT stream_id, " + ", ".join(
+        f"avg(x[{i}]) AS em{i}, CASE WHEN stddev_pop(x[{i}]) > 0 THEN stddev_pop(x[{i}]) ELSE 1e0 END AS es{i}" for i in _EMB)
+    + " FROM seg WHERE segment = 'pre' GROUP BY stream_id), p AS (SELECT scored.stream_id, window_idx, avg(y_pred) AS m, "
+    "stddev_pop(y_pred) AS s, max(y_pred) - min(y_pred) AS g, var_pop(y_pred) AS v, "
+    "quantile_cont(y_pred, 0.75e0) - quantile_cont(y_pred, 0.25e0) AS iqr, "
+    + ", ".join(f"quantile_cont(y_pred, {q}e0) AS {n}" for n, q in _QS)
+    + ", avg(nrm) AS nm, stddev_pop(nrm) AS ns, sqrt((" + " + ".join(
+        f"pow((avg(x[{i}]) - any_value(em{i})) / any_value(es{i}), 2)" for i in _EMB) + ") / 3) AS shift FROM (SELECT *, sqrt("
+    + " + ".join(f"x[{i}] * x[{i}]" for i in _EMB) + ") AS nrm FROM " + _DEP + ") scored JOIN eref USING (stream_id) "
+    "GROUP BY scored.stream_id, window_idx), pv AS (SELECT *, " + ", ".join(
+        f"{_vol(c)} AS {n}" for c, n in (("m", "pred_vol"), ("v", "unc_vol"), ("shift", "rep_vol")))
+    + " FROM p WINDOW p AS (PARTITION BY stream_id ORDER BY window_idx ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING))")
 SQL["s34_interventions"] = events("SELECT stream_id, window_idx, " + ", ".join(f"{r6(e)} AS {c}" for c, e in {
     "adapt_windows_since_update": "CAST(window_idx - coalesce(seen_at, 0) AS DOUBLE)", "adapt_n_updates": "CAST(n AS DOUBLE)",
     "adapt_last_magnitude": "coalesce(magnitude, 0e0)", "adapt_last_risk_delta": "coalesce(risk_delta, 0e0)",

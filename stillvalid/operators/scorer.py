@@ -52,6 +52,48 @@ def score_classes(rows: DataFrame, keyed: DataFrame, by_stream: DataFrame,
     return out.withColumn("loss", zero_one_loss(F.col("y"), F.col("y_pred")))
 
 
+# -- given prediction logs -------------------------------------------------------------------
+def log_violations(rows: DataFrame, classes: int, embedding: bool) -> DataFrame:
+    """Per stream: rows whose logged prediction is missing or no probability vector, and rows whose
+    embedding is missing, has missing entries or another length than the first. No row: all is well."""
+    if classes:
+        p = F.col("proba")
+        inside = F.forall(p, lambda v: v.isNotNull() & ~F.isnan(v) & (v >= 0))
+        total = F.aggregate(p, F.lit(0.0), lambda s, v: s + v)
+        good = (F.size(p) == classes) & inside & (F.abs(total - 1.0) <= 1e-6)
+    else:
+        good = F.col("y_pred").isNotNull()
+    bad = [F.count_if(~F.coalesce(good, F.lit(False))).alias("n_bad_predictions")]
+    if embedding:
+        e = F.col("embedding")
+        whole = F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v))
+        bad += [F.count_if(~F.coalesce(whole, F.lit(False))).alias("n_bad_embeddings"),
+                (F.max(F.size(e)) - F.min(F.size(e))).alias("width_range")]
+    out = rows.groupBy("stream_id").agg(*bad)
+    return out.filter(" or ".join(f"{c} > 0" for c in out.columns[1:]))
+
+
+def given_classes(rows: DataFrame) -> DataFrame:
+    """Loss of logged class probabilities; missing parts follow from the probabilities."""
+    out = rows
+    if "raw" not in rows.columns:
+        out = out.withColumn("raw", F.transform(clipped(F.col("proba")), lambda p: F.log(p)))
+    if "members" not in rows.columns:
+        out = out.withColumn("members", F.array("proba"))
+    out = out.withColumn("y_pred", argmax(F.col("proba")).cast("double"))
+    return out.withColumn("loss", zero_one_loss(F.col("y"), F.col("y_pred")))
+
+
+def given_values(rows: DataFrame, scale: DataFrame) -> DataFrame:
+    """Loss of logged numbers, in units of the target's pre-deployment spread."""
+    return rows.join(scale, "stream_id").withColumn(
+        "loss", bounded_absolute_error(F.col("y"), F.col("y_pred"), F.col("scale")))
+
+
+def target_scale(pre: DataFrame) -> DataFrame:
+    return pre.groupBy("stream_id").agg(spread(F.col("y")).alias("scale"))
+
+
 def fit_means(pre: DataFrame) -> tuple[DataFrame, DataFrame]:
     keyed = pre.groupBy("stream_id", "score_key").agg(F.avg("y").alias("key_mean"))
     by_stream = pre.groupBy("stream_id").agg(F.avg("y").alias("stream_mean"),

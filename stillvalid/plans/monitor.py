@@ -44,6 +44,12 @@ class Monitor:
         refused = [r["stream_id"] for r in self.sizes.filter("refused").orderBy("stream_id").limit(10).collect()]
         if refused:
             raise ValueError(f"streams without a complete window before and after deployment: {refused}")
+        s = self.spec
+        if s.given or s.embedding:
+            log = self._numbered if s.given else self._numbered.withColumn("y_pred", F.lit(0.0))
+            bad = scorer.log_violations(log, s.classes if s.given else 0, bool(s.embedding)).limit(10).collect()
+            if bad:
+                raise ValueError(f"invalid prediction log: {[r.asDict() for r in bad]}")
 
     @cached_property
     def _placed(self) -> DataFrame:
@@ -58,9 +64,17 @@ class Monitor:
                             else scorer.fit_means(pre))
         return freeze(keyed, "key-rates"), freeze(by_stream, "stream-rates")
 
+    @cached_property
+    def target_scale(self) -> DataFrame:
+        return freeze(scorer.target_scale(self._placed.filter("segment = 'pre'")), "target-scale")
+
     def scored(self, rows: DataFrame) -> DataFrame:
-        """Predictions and loss of any rows with stream_id, score_key and y (batch or streaming)."""
+        """Predictions and loss of any rows with stream_id, score_key and y (batch or streaming);
+        for a given log, of rows that carry its predictions."""
         s = self.spec
+        if s.given:
+            return (scorer.given_classes(rows) if s.classes
+                    else scorer.given_values(rows, self.target_scale))
         if s.classes:
             return scorer.score_classes(rows, *self.scorer_tables, s.members)
         return scorer.score_means(rows, *self.scorer_tables)
@@ -138,7 +152,9 @@ class Monitor:
                       "geometry-block")
 
     def embedded(self, rows: DataFrame) -> DataFrame:
-        """Rows with ``z``, the linear model's embedding: inputs in frozen reference units."""
+        """Rows with ``z``: the logged embedding, or inputs in frozen reference units."""
+        if self.spec.embedding:
+            return rows.withColumn("z", F.col("embedding"))
         return ref.standardise(rows, self.scales)
 
     @cached_property
@@ -157,6 +173,9 @@ class Monitor:
             out = {"pred": st.value_prediction_block(self.deployment),
                    "unc": st.value_uncertainty_block(self.deployment)}
             ece = None
+        if s.embedding and not s.features:
+            out["rep"] = st.representation_block(self.embedded(self.deployment),
+                                                 self.embedding_reference)
         if s.features:
             cols = self.geometry_block.columns
             own = st.representation_block(self.embedded(self.deployment), self.embedding_reference)

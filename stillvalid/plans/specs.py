@@ -23,6 +23,13 @@ LINES = StreamSpec(
     features=("l_quantity", "l_extendedprice", "l_discount", "l_tax"), classes=3, window=25,
     margin=0.02)
 
+# A log that a deployed model has written: its predictions and its embedding come with the rows.
+GIVEN = StreamSpec(
+    name="given", table="lineitem", stream="concat('s', cast(l_suppkey % 5 as string))",
+    order=_LINE_ORDER, time="l_shipdate", target="l_extendedprice / 1000", score_key="l_linestatus",
+    y_pred="l_quantity * 1.5", embedding="array(l_quantity, l_discount * 10, l_tax * 10)",
+    window=25, margin=0.02)
+
 VECTORS = StreamSpec(
     name="vectors", table="embeddings", stream="concat('s', cast(vec_id % 2 as string))",
     order=("vec_id",), time="vec_id", target="label", score_key="cast(embedding[0] > 0 as string)",

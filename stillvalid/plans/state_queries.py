@@ -9,7 +9,7 @@ from ..operators import state as st
 from ..operators.ordered import halo, own_rows
 from .catalog import query
 from .monitor import Monitor, monitor
-from .specs import EVENTS, LINES, VECTORS
+from .specs import EVENTS, GIVEN, LINES, VECTORS
 from .targets_queries import split_origins
 
 KEY = st.KEY
@@ -238,6 +238,13 @@ def _(spark, folder):
                                   st.value_uncertainty_block(m.deployment)]))
 
 
+@query("s39_given_log")
+def _(spark, folder):
+    """The state table of a given prediction log with its own embedding, and its risk."""
+    m = monitor(spark, folder, GIVEN)
+    return m.states.join(m.risk.select(*KEY, "risk"), KEY)
+
+
 @query("s39_monitor")
 def _(spark, folder):
     """The full state table of a classification stream in one call."""

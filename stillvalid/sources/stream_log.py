@@ -40,9 +40,20 @@ class StreamSpec:
     context: int = 20
     delay: int = 1
     members: int = 5
+    # A given prediction log: expressions for what a deployed model has written beside its inputs.
+    # Empty: the frozen rate table predicts.
+    y_pred: str = ""            # regression: the prediction
+    proba: str = ""             # classification: array of class probabilities
+    raw: str = ""               # array of scores before normalisation; default: log probabilities
+    member_probas: str = ""     # array of arrays, one per ensemble member; default: proba alone
+    embedding: str = ""         # array: the view of the representation block instead of the inputs
     sample_rows: int = 2000      # rows of the frozen reference sample (kernel, neighbours, marginals)
     extra: dict = field(default_factory=dict, hash=False, compare=False)
 
+    @property
+    def given(self) -> bool:
+        return bool(self.proba if self.classes else self.y_pred)
+
     def key(self) -> str:
         """Identity of the cached log: any parameter change gives another key."""
         return hashlib.sha256(json.dumps(asdict(self), sort_keys=True).encode()).hexdigest()
@@ -55,6 +66,17 @@ def select_stream(df: DataFrame, spec: StreamSpec) -> DataFrame:
             F.expr(spec.score_key).cast("string").alias("score_key")]
     if spec.features:
         cols.append(F.array(*[finite(F.expr(f)) for f in spec.features]).alias("x"))
+    if spec.given:
+        if spec.classes:
+            cols.append(F.expr(spec.proba).cast("array<double>").alias("proba"))
+            if spec.raw:
+                cols.append(F.expr(spec.raw).cast("array<double>").alias("raw"))
+            if spec.member_probas:
+                cols.append(F.expr(spec.member_probas).cast("array<array<double>>").alias("members"))
+        else:
+            cols.append(finite(F.expr(spec.y_pred)).alias("y_pred"))
+    if spec.embedding:
+        cols.append(F.expr(spec.embedding).cast("array<double>").alias("embedding"))
     cols += [F.expr(o).alias(f"_o{i}") for i, o in enumerate(spec.order)]
     return df.select(*cols)
 
