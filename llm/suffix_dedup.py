@@ -277,10 +277,12 @@ def with_uid(df: DataFrame, key: str, text: str) -> DataFrame:
 def repeats(docs: DataFrame, length: int, gram: int, shard: int, hot: int) -> tuple[DataFrame, DataFrame]:
     """(uid, text) to the texts with a repeated anchor, and their covered ranges of starts (uid, lo, covered)."""
     all_runs = store.kept(found_runs(docs.select("uid", "text"), length, gram), "repeat-runs")
-    twice = all_runs.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
+    # Counts are written before they are joined: both sides of the join are then plain shuffles, whose hot anchors
+    # adaptive execution can split.
+    twice = store.kept(all_runs.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor"), "repeat-twice")
     again = store.kept(all_runs.join(twice, "anchor"), "repeat-again")
     kinds = store.kept(again.groupBy("anchor", "context").agg(F.count("*").alias("times"), F.min(F.struct("uid", "lo", "n", "at")).alias("one")), "repeat-kinds")
-    mixed = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("times").alias("fewest")).where("kinds > 1 and fewest = 1")
+    mixed = store.kept(kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("times").alias("fewest")).where("kinds > 1 and fewest = 1"), "repeat-mixed")
     asked = (kinds.join(mixed, "anchor").select("one.uid", F.struct("anchor", "context", "times", "kinds", F.col("one.lo").alias("lo"), F.col("one.n").alias("n"), F.col("one.at").alias("at")).alias("ask"))
              .groupBy("uid").agg(F.collect_list("ask").alias("asks")))
     needed = again.groupBy("uid").agg(F.count("*").alias("k")).join(asked, "uid", "left").select("uid", "asks")
