@@ -9,8 +9,8 @@ passage and by the whole, put on a scale from 0 to 1 by a logistic fit.
 
 Counts come from all labelled rows of three training folds: words are counted before they are shuffled, then
 character strings are counted over the distinct words. The fitted tables have `SLOTS` places for each order; strings
-share a place by hash, none is dropped, and the tables' size does not depend on the input. They are one file in the
-shared folder, memory-mapped by the tasks. The logistic fit uses at most `FIT_ROWS` labelled rows of a fourth
+share a place by hash, none is dropped, and the tables' size does not depend on the input. Tasks write them to the
+shared folder, one file for each order, and memory-map them to score. The logistic fit uses at most `FIT_ROWS` labelled rows of a fourth
 training fold, which the counts have not seen; the held-out fold is used for nothing.
 
 Defined cases: a null text is empty; a text without words has evidence 0; rows without a label are scored alike; a
@@ -116,7 +116,7 @@ def place(bits: int):
 
 
 def fit_counts(labelled: DataFrame, path: str, *, bits: int = SLOTS) -> str:
-    """Count the models over (text, toxic) rows and write their tables as one file."""
+    """Count the models over (text, toxic) rows and write their tables, one file for each order."""
     spark = labelled.sparkSession
     distinct = (labelled.select("text", F.col("toxic").cast("int")).mapInArrow(count_words, "word binary, toxic long, ordinary long")
                 .groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")))
@@ -134,45 +134,53 @@ def fit_counts(labelled: DataFrame, path: str, *, bits: int = SLOTS) -> str:
     for p in parts[1:]:
         rows = rows.unionAll(p)
     sums = rows.mapInArrow(place(bits), "order int, kind int, place int, toxic double, ordinary double, toxic_less double, ordinary_less double")
-    table = sums.groupBy("order", "kind", "place").agg(*(F.sum(c).alias(c) for c in ("toxic", "ordinary", "toxic_less", "ordinary_less"))).toPandas()
-    store.publish(path, [tables(table, bits).tobytes()])
+    total = sums.groupBy("order", "kind", "place").agg(*(F.sum(c).alias(c) for c in ("toxic", "ordinary", "toxic_less", "ordinary_less")))
+
+    def written(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:  # at most 2 ** (bits + 1) rows
+        store.publish(f"{path}-{key[0]}", [table(rows, bits).tobytes()])
+        return pd.DataFrame({"order": [key[0]]})
+
+    there = {row["order"] for row in total.groupBy("order").applyInPandas(written, "order int").collect()}
+    for k in {*range(1, ORDER + 1)} - there:  # no labelled words
+        store.publish(f"{path}-{k}", [table(pd.DataFrame(columns=["kind", "place", "toxic", "ordinary", "toxic_less", "ordinary_less"]), bits).tobytes()])
     return path
 
 
-def tables(rows: pd.DataFrame, bits: int) -> np.ndarray:
-    """[order - 1, place, what]; what: a string's discounted count in either class (0, 1), one over its context's
+def table(rows: pd.DataFrame, bits: int) -> np.ndarray:
+    """One order's [place, what]; what: a string's discounted count in either class (0, 1), one over its context's
     count (2, 3), the context's share that backs off (4, 5)."""
-    out = np.zeros((ORDER, 1 << bits, 6), np.float32)
-    out[:, :, 4:] = 1
-    for k in range(1, ORDER + 1):
-        for c, name in enumerate(("toxic", "ordinary")):
-            own = rows[(rows["order"] == k) & (rows["kind"] == 0)]
-            out[k - 1, own["place"], c] = own[f"{name}_less"]
-            ctx = rows[(rows["order"] == k) & (rows["kind"] == 1) & (rows[name] > 0)]
-            out[k - 1, ctx["place"], 2 + c] = 1 / ctx[name]
-            out[k - 1, ctx["place"], 4 + c] = (ctx[name] - ctx[f"{name}_less"]) / ctx[name]
+    out = np.zeros((1 << bits, 6), np.float32)
+    out[:, 4:] = 1
+    own = rows[rows["kind"] == 0]
+    for c, name in enumerate(("toxic", "ordinary")):
+        out[own["place"].astype(int), c] = own[f"{name}_less"]
+        ctx = rows[(rows["kind"] == 1) & (rows[name] > 0)]
+        at = ctx["place"].astype(int)
+        out[at, 2 + c] = 1 / ctx[name]
+        out[at, 4 + c] = (ctx[name] - ctx[f"{name}_less"]) / ctx[name]
     return out
 
 
 # Scoring
 
 @lru_cache(maxsize=1)
-def model(path: str, bits: int) -> np.ndarray:
-    return np.frombuffer(store.mapped(path).read_buffer(), np.float32).reshape(ORDER, 1 << bits, 6)
+def model(path: str, bits: int) -> list[np.ndarray]:
+    """The orders' tables, memory-mapped where the folder is local."""
+    return [np.frombuffer(store.mapped(f"{path}-{k}").read_buffer(), np.float32).reshape(1 << bits, 6) for k in range(1, ORDER + 1)]
 
 
-def evidence(key: np.ndarray, m: np.ndarray, bits: int) -> np.ndarray:
+def evidence(key: np.ndarray, m: list[np.ndarray], bits: int) -> np.ndarray:
     """log P(byte | before, toxic) - log P(byte | before, ordinary)."""
     p = np.full((len(key), 2), 1 / 256, np.float32)
     for k in range(1, ORDER + 1):
         own = key & np.uint64((1 << (8 * k)) - 1)
-        count, ctx = m[k - 1, slot(own, k, bits), :2], m[k - 1, slot(own >> np.uint64(8), k + 16, bits), 2:]
+        count, ctx = m[k - 1][slot(own, k, bits), :2], m[k - 1][slot(own >> np.uint64(8), k + 16, bits), 2:]
         p = count * ctx[:, :2] + ctx[:, 2:] * p
     p = np.log(np.maximum(p, 1e-12))
     return (p[:, 0] - p[:, 1]).astype(np.float64)
 
 
-def features(texts: pa.Array, m: np.ndarray, bits: int) -> np.ndarray:
+def features(texts: pa.Array, m: list[np.ndarray], bits: int) -> np.ndarray:
     """For each text: the highest evidence of a passage, and of the whole, each over its length."""
     doc, value, size = [], [], []
     for c in words.cut(texts, size=SLICE):
