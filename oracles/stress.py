@@ -28,7 +28,7 @@ STEP = f"CASE WHEN row_idx >= {S} THEN 1e0 ELSE 0e0 END"
 
 
 def digest(xs: dict[int, str], y: str = "y", source: str = "q") -> str:
-    cols = ", ".join(f"{r6(f'avg({xs.get(i, f'x[{i + 1}]')})')} AS x{i}" for i in range(4))
+    cols = ", ".join(f"{r6(f'avg({xs.get(i, f'x[{i + 1}]')}) / {1000 if i == 1 else 1}')} AS x{i}" for i in range(4))
     return (f"SELECT stream_id, row_idx // 97 AS block, {cols}, {r6(f'avg({y})')} AS y FROM {source} "
             "GROUP BY stream_id, row_idx // 97")
 

@@ -46,9 +46,8 @@ SQL["a13_remaining_life"] = """SELECT user_id, event_id, max(event_id) OVER (PAR
 SQL["a14_array_moments"] = f"""WITH u AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v
  FROM embeddings) SELECT vec_id, {r6('avg(v)')} AS mean, {r6('stddev_pop(v)')} AS std FROM u
  GROUP BY vec_id"""
-SQL["a15_concat"] = f"""SELECT CAST(CASE event_type WHEN 'error' THEN 0 WHEN 'click' THEN 1 ELSE 2 END
- AS BIGINT) AS batch, event_type, count(*) AS n, {r6('sum(value)')} AS total FROM events
- WHERE event_type IN ('error', 'click', 'purchase') GROUP BY event_type"""
+SQL["a15_concat"] = f"""SELECT CAST(list_position(['error', 'click', 'purchase', 'view', 'signup'], event_type) - 1
+ AS BIGINT) AS batch, event_type, count(*) AS n, {r6('sum(value)')} AS total FROM events GROUP BY event_type"""
 
 _TARGETS = {"returned": "l_returnflag = 'R'", "expensive": "l_extendedprice > 50000",
             "taxed": "l_tax > 0.079e0", "bulk": "l_quantity > 49.5e0"}

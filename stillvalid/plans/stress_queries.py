@@ -20,9 +20,9 @@ def _rows(spark, folder):
 
 
 def _digest(rows):
-    """Per stream and block of rows: mean of each feature and of the label."""
+    """Per stream and block of rows: mean of each feature (the price in thousands) and of the label."""
     return rows.groupBy("stream_id", F.floor(F.col("row_idx") / BLOCK).cast("bigint").alias(
-        "block")).agg(*[F.avg(F.col("x").getItem(i)).alias(f"x{i}") for i in range(4)],
+        "block")).agg(*[(F.avg(F.col("x").getItem(i)) / (1000 if i == 1 else 1)).alias(f"x{i}") for i in range(4)],
                       F.avg("y").alias("y"))
 
 

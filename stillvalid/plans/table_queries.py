@@ -149,7 +149,7 @@ def _(spark, folder):
     """Batches concatenated in acquisition order."""
     e = table(spark, folder, "events").select("event_type", "value")
     parts = {i: e.filter(F.col("event_type") == t)
-             for i, t in enumerate(("error", "click", "purchase"))}
+             for i, t in enumerate(("error", "click", "purchase", "view", "signup"))}
     return prep.concat_batches(parts).groupBy("batch", "event_type").agg(
         F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
