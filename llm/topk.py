@@ -114,10 +114,10 @@ def top_k(df: DataFrame, is_query: Column, *, key: str = "vec_id", vector: str =
 
 
 SQL = """
-with v as (select vec_id, list_transform(embedding, x -> floor(1024 * x::double)::bigint) as q from embeddings
+with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as q from embeddings
            where embedding is not null and len(embedding) > 0
-             and list_bool_and(list_transform(embedding, x -> x is not null and isfinite(x)))),
-s as (select a.vec_id as query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), p -> p[1] * p[2]))::bigint as score
+             and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))),
+s as (select a.vec_id as query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2]))::bigint as score
       from v a join v b on a.vec_id % 100 = 0 and b.vec_id <> a.vec_id and len(a.q) = len(b.q)),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 10"""
