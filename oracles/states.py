@@ -128,6 +128,28 @@ SQL["s9_representation"] = lines(f"""SELECT stream_id, window_idx, {r6(f'avg({_N
     "SELECT stream_id, window_idx, (round(avg(sqrt", "SELECT zdep.stream_id, window_idx, (round(avg(sqrt")
 SQL["s11_covariance_trace"] = lines("SELECT stream_id, window_idx, " + r6(" + ".join(f"var_samp(z{i})" for i in D))
     + " AS rep_cov_trace FROM zdep GROUP BY stream_id, window_idx", FEATURES)
+
+
+def _logdet(ridge: float = 0.0) -> str:
+    """Logarithm of the determinant of the 4 x 4 matrix of cov(zi, zj), by 2 x 2 minors."""
+    m = lambda i, j: f"(m{min(i, j)}{max(i, j)}" + (f" + {ridge!r}::DOUBLE)" if i == j else ")")
+    minor = lambda a, b, i, j: f"({m(a, i)} * {m(b, j)} - {m(b, i)} * {m(a, j)})"
+    pairs = [(1, 2, 3, 4, "+"), (1, 3, 2, 4, "-"), (1, 4, 2, 3, "+"), (2, 3, 1, 4, "+"), (2, 4, 1, 3, "-"), (3, 4, 1, 2, "+")]
+    return "ln(0e0 " + " ".join(f"{s} {minor(1, 2, i, j)} * {minor(3, 4, k, l)}" for i, j, k, l, s in pairs) + ")"
+
+
+def _cov(kind: str) -> str:
+    return ", ".join(f"{kind}(z{i}, z{j}) AS m{i}{j}" for i in D for j in D if i <= j)
+
+
+SQL["s11_covariance_logdet"] = lines(f"SELECT stream_id, window_idx, {r6(_logdet(1e-9))} AS rep_cov_logdet FROM (SELECT stream_id, "
+    f"window_idx, {_cov('covar_samp')} FROM zdep GROUP BY stream_id, window_idx)", FEATURES)
+SQL["f6_axis_invariants"] = lines(f"SELECT stream_id, {r6('m11 + m22 + m33 + m44')} AS trace, {r6(_logdet())} AS log_determinant, "
+    f"0e0 AS skew FROM (SELECT stream_id, {_cov('covar_pop')} FROM zpre GROUP BY stream_id)", FEATURES)
+SQL["s12_coordinate_invariants"] = lines("SELECT zdep.stream_id, window_idx, 1e0 AS rep_pca_energy, " + r6(" + ".join(
+    f"pow(avg(zdep.z{i}) - any_value(c.m{i}), 2)" for i in D)) + " AS distance2 FROM zdep JOIN (SELECT stream_id, "
+    + ", ".join(f"avg(z{i}) AS m{i}" for i in D) + " FROM zpre GROUP BY stream_id) c USING (stream_id) "
+    "GROUP BY zdep.stream_id, window_idx", FEATURES)
 SQL["s13_neighbour_distance"] = lines(f"""SELECT stream_id, window_idx, {r6('avg(d)')} AS rep_knn_dist_mean,
  {r6('quantile_cont(d, 0.9e0)')} AS rep_knn_dist_q90, {r6('max(d)')} AS rep_knn_dist_max FROM (
  SELECT a.stream_id, a.window_idx, a.seg_row, list_avg(list_transform(min({_d2('a', 'b')}, 10), lambda v: sqrt(v))) AS d

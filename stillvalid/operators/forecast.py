@@ -136,22 +136,32 @@ def forecast_lines(origins: DataFrame, tuned: DataFrame | None = None) -> DataFr
 
 
 # -- autoregression --------------------------------------------------------------------------
+def levinson(gamma: np.ndarray) -> np.ndarray:
+    """Autoregressive coefficients of each row of autocovariances (lags 0..p) by the Levinson
+    recursion. A row whose prediction error vanishes on the way gets NaN; other rows are not touched."""
+    p = gamma.shape[1] - 1
+    a, error = np.zeros((len(gamma), p)), gamma[:, 0].copy()
+    for k in range(p):
+        rest = gamma[:, k + 1] - (a[:, :k] * gamma[:, k:0:-1]).sum(axis=1)
+        reflection = np.divide(rest, error, out=np.full(len(gamma), np.nan),
+                               where=error > 1e-12 * gamma[:, 0])
+        a[:, :k] -= reflection[:, None] * a[:, :k][:, ::-1]
+        a[:, k] = reflection
+        error = error * (1.0 - reflection ** 2)
+    return a
+
+
 def yule_walker_paths(hist: np.ndarray, p: int, horizon: int) -> np.ndarray:
     """AR(p) forecasts for many full histories at once (rows of ``hist``)."""
     n = hist.shape[1]
     mean = hist.mean(axis=1, keepdims=True)
     x = hist - mean
     gamma = np.stack([(x[:, :n - k] * x[:, k:]).sum(axis=1) / n for k in range(p + 1)], axis=1)
-    lags = np.abs(np.arange(p)[:, None] - np.arange(p)[None, :])
     out = np.repeat(hist[:, -1:], horizon, axis=1)
     # A constant history has no autocovariance to solve for; it keeps its last value.
     ok = gamma[:, 0] > 0
     if ok.any():
-        system = gamma[ok][:, lags]
-        try:
-            rho = np.linalg.solve(system, gamma[ok][:, 1:, None])[..., 0]
-        except np.linalg.LinAlgError:
-            rho = np.full((int(ok.sum()), p), np.nan)
+        rho = levinson(gamma[ok])
         recent = x[ok][:, ::-1][:, :p]
         steps = np.empty((int(ok.sum()), horizon))
         for h in range(horizon):

@@ -71,6 +71,28 @@ def principal_axes(moments: DataFrame, k: int, width: int) -> DataFrame:
         "stream_id", "_a.centre", "_a.components")
 
 
+def axis_spread(moments: DataFrame, axes: DataFrame) -> DataFrame:
+    """Per stream and axis: the variance of all rows along it; and how far the axes are from
+    orthonormal (sum of squared deviations of their inner products)."""
+    def dot(a, b):
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+
+    def outer(a):
+        return F.flatten(F.transform(a, lambda x: F.transform(a, lambda y: x * y)))
+
+    def skew(components):
+        return F.aggregate(F.flatten(F.transform(components, lambda a, i: F.transform(
+            components, lambda b, j: F.pow(dot(a, b) - (i == j).cast("double"), F.lit(2.0))))),
+            F.lit(0.0), lambda s, v: s + v)
+
+    long = moments.join(axes, "stream_id").select(
+        "stream_id", "n_whole", "total", "products", skew(F.col("components")).alias("skew"),
+        F.posexplode("components").alias("axis", "_a"))
+    return long.select("stream_id", "axis", "skew", (
+        dot(outer(F.col("_a")), F.col("products")) / F.col("n_whole")
+        - F.pow(dot(F.col("_a"), F.col("total")) / F.col("n_whole"), F.lit(2.0))).alias("variance"))
+
+
 def shape_columns(n_axes: int) -> list[str]:
     return ["rep_cov_trace", "rep_cov_logdet", "rep_cov_condition",
             *[f"rep_pca{i + 1}_mean" for i in range(n_axes)], "rep_pca_energy"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import geometry as geo
 from ..operators import reference as ref
 from ..operators import state as st
 from ..operators.ordered import halo, own_rows
@@ -66,6 +67,17 @@ def _(spark, folder):
         "stream_id", "axis", F.posexplode("_c").alias("feature", "loading"))
 
 
+@query("f6_axis_invariants")
+def _(spark, folder):
+    """all axes of the four inputs: orthonormal, and with the trace and determinant of the covariance."""
+    m = monitor(spark, folder, LINES)
+    moments = geo.second_moments(m.embedded(m.pre).select("stream_id", "z"), ["stream_id"], 4)
+    along = geo.axis_spread(moments, m.geometry.select("stream_id", "components"))
+    return along.groupBy("stream_id").agg(
+        F.sum("variance").alias("trace"), F.sum(F.log("variance")).alias("log_determinant"),
+        F.max("skew").alias("skew"))
+
+
 @query("f8_behaviour")
 def _(spark, folder):
     """F8: predicted-class shares, confidence and entropy on the reference."""
@@ -131,6 +143,21 @@ def _(spark, folder):
         *KEY, "rep_cov_logdet", "rep_cov_condition")
 
 
+@query("s11_covariance_logdet")
+def _(spark, folder):
+    """Log-determinant of the embedding covariance."""
+    return monitor(spark, folder, LINES).geometry_block.select(*KEY, "rep_cov_logdet")
+
+
+@query("s12_coordinate_invariants")
+def _(spark, folder):
+    """With all four axes kept, the energy is 1 and the coordinates keep the distance from the centre."""
+    g = monitor(spark, folder, LINES).geometry_block
+    squares = sum((F.pow(F.col(f"rep_pca{i}_mean"), F.lit(2.0)) for i in range(2, 5)),
+                  F.pow(F.col("rep_pca1_mean"), F.lit(2.0)))
+    return g.select(*KEY, "rep_pca_energy", squares.alias("distance2"))
+
+
 @query("s12_principal_coordinates")
 def _(spark, folder):
     """Window means and energy in the frozen principal axes (64-wide vectors)."""

@@ -274,3 +274,18 @@ def test_cox_without_events_has_no_estimate(spark):
     df = spark.createDataFrame([(5, 0, 1.0), (6, 0, 2.0)], "y_tilde bigint, event int, x double")
     with pytest.raises(survival.EstimationFailed, match="no event"):
         survival.cox_fit(df, ["x"], 10)
+
+
+def test_levinson_solves_each_row_alone():
+    from stillvalid.operators.forecast import levinson, yule_walker_paths
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(5, 40))
+    gamma = np.stack([(x[:, :40 - k] * x[:, k:]).sum(1) for k in range(5)], axis=1)
+    gamma[2] = 1.0                                     # perfectly predictable: no second order
+    got = levinson(gamma)
+    for i in (0, 1, 3, 4):
+        system = gamma[i][np.abs(np.subtract.outer(np.arange(4), np.arange(4)))]
+        np.testing.assert_allclose(got[i], np.linalg.solve(system, gamma[i, 1:]))
+    assert np.isnan(got[2]).any()
+    assert np.isfinite(yule_walker_paths(np.abs(x) / 4, 3, 6)).all()
