@@ -54,6 +54,9 @@ SQL["t16_age_hazard"] = events(f"""SELECT part, {r6('any_value(e[part])')} AS ag
  GROUP BY part""", AGED + f""",
 edges AS (SELECT list_sort(list_distinct([{', '.join(f'quantile_cont(age, {i}/5e0)' for i in range(6))}])) AS e FROM aged),
 rr AS (SELECT corr(event, age) AS r FROM aged)""")
+SQL["t17_transfer"] = events(f"""SELECT held_out, {r6('p')} AS pool_rate, {r6('e / n')} AS own_rate,
+ {r6('(e * pow(1 - p, 2) + (n - e) * p * p) / n')} AS brier FROM (SELECT stream_id AS held_out, count(*) AS n, sum(event) AS e,
+ (sum(sum(event)) OVER () - sum(event)) / (sum(count(*)) OVER () - count(*)) AS p FROM origins GROUP BY stream_id)""")
 SQL["t17_leave_one_out"] = events("""SELECT d.held_out, count(*) AS n_origins, CAST(sum(event) AS BIGINT) AS n_events,
  count(DISTINCT stream_id) AS n_streams FROM origins, (VALUES ('s0'), ('s1'), ('s2'), ('s3'), ('s4')) AS d(held_out)
  WHERE stream_id <> d.held_out GROUP BY d.held_out""")

@@ -72,6 +72,29 @@ def leave_one_out(rows: DataFrame, column: str, domains: Sequence[str]) -> DataF
     return rows.withColumn("held_out", F.explode(F.array_except(every, F.array(column))))
 
 
+def pool_sizes(rows: DataFrame, column: str) -> DataFrame:
+    """Size of each leave-one-out pool: the totals less the held-out domain's own, nothing copied."""
+    own = rows.groupBy(F.col(column).alias("held_out")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("event").alias("events"))
+    total = own.agg(F.sum("n").alias("all_n"), F.sum("events").alias("all_events"),
+                    F.count(F.lit(1)).alias("domains"))           # one row
+    return own.join(F.broadcast(total)).select(
+        "held_out", (F.col("all_n") - F.col("n")).alias("n_origins"),
+        (F.col("all_events") - F.col("events")).alias("n_events"),
+        (F.col("domains") - 1).alias("n_streams"))
+
+
+def transfer_scores(rows: DataFrame, column: str) -> DataFrame:
+    """Leave one domain out: the violation rate fitted on all other domains, and its Brier score and
+    the domain's own rate on the held-out domain."""
+    own = rows.groupBy(F.col(column).alias("held_out")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("event").alias("events"))
+    pool = own.join(pool_sizes(rows, column), "held_out").filter("n_origins > 0")
+    p, e, n = F.col("n_events") / F.col("n_origins"), F.col("events"), F.col("n")
+    return pool.select("held_out", p.alias("pool_rate"), (e / n).alias("own_rate"),
+                       ((e * F.pow(1 - p, F.lit(2.0)) + (n - e) * p * p) / n).alias("brier"))
+
+
 def regime_comparability(split_origins: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Mean realised risk ahead of test origins over that of training origins."""
     ahead = F.filter("risk_path", lambda r: r.isNotNull())

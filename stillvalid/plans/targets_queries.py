@@ -112,11 +112,13 @@ def _(spark, folder):
 @query("t17_leave_one_out")
 def _(spark, folder):
     """Pools of all streams but one."""
-    o = monitor(spark, folder, EVENTS).origins
-    pools = splits.leave_one_out(o, "stream_id", [f"s{i}" for i in range(5)])
-    return pools.groupBy("held_out").agg(F.count(F.lit(1)).alias("n_origins"),
-                                         F.sum("event").alias("n_events"),
-                                         F.countDistinct("stream_id").alias("n_streams"))
+    return splits.pool_sizes(monitor(spark, folder, EVENTS).origins, "stream_id")
+
+
+@query("t17_transfer")
+def _(spark, folder):
+    """Violation rate fitted without a stream, scored on that stream."""
+    return splits.transfer_scores(monitor(spark, folder, EVENTS).origins, "stream_id")
 
 
 @query("t18_person_periods")
