@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 from .prelude import r6, uniform
+from .states import _FBC as FEEDBACK_SQL
+from .states import _fb as feedback_ctes
 from .streams import events
 
 SQL: dict[str, str] = {}
@@ -32,14 +34,9 @@ SQL["r4_missing_labels"] = events(f"""SELECT stream_id, w AS w_start, w + {_SIX}
  epoch_us(ets) // {_SIX} * {_SIX} AS w, CASE WHEN label IS NOT NULL THEN least(abs(label - y_pred) / scale, 1e0) END AS loss
  FROM pred LEFT JOIN (SELECT * FROM lab WHERE late <= 3600) lab USING (event_id))
  WHERE w + {_SIX} <= (SELECT max(epoch_us(ts)) - 86400000000 FROM src) GROUP BY stream_id, w""", LABELS)
-_K = """known AS (SELECT stream_id, window_idx, list(risk) OVER (PARTITION BY stream_id ORDER BY window_idx) AS rs FROM risk),
-fb AS (SELECT r.stream_id, r.window_idx, coalesce(len(rs), 0) AS n, rs, rs[greatest(len(rs) - 4, 1):len(rs)] AS a FROM risk r
- LEFT JOIN known k ON k.stream_id = r.stream_id AND k.window_idx + 2 = r.window_idx)"""
-_C = {"fb_available": "1e0", "fb_n_matured": "n", "fb_risk_last": "a[len(a)]", "fb_risk_mean": "list_avg(a)",
-      "fb_risk_std": "list_stddev_pop(a)", "fb_risk_max": "list_max(a)",
-      "fb_risk_delta": "CASE WHEN len(a) >= 2 THEN a[len(a)] - a[len(a) - 1] ELSE 0 END"}
 SQL["r5_feedback"] = events("SELECT stream_id, window_idx, " + ", ".join(
-    f"(round(CAST(CASE WHEN n > 0 THEN {e} ELSE 0 END AS DOUBLE), 6) + 0e0) AS {c}" for c, e in _C.items()) + " FROM fb", _K)
+    f"(round(CAST(CASE WHEN n > 0 THEN {e} ELSE 0 END AS DOUBLE), 6) + 0e0) AS {c}" for c, e in FEEDBACK_SQL.items())
+    + " FROM signs", feedback_ctes(2))
 SQL["r6_count_windows"] = events(f"""SELECT stream_id, row_idx // 20 AS window_idx, {r6('avg(loss)')} AS risk FROM scored
  GROUP BY 1, 2 HAVING count(*) = 20""")
 SQL["r7_alarms"] = events("""SELECT v.stream_id, v.window_idx AS violation_at, coalesce(min(w.window_idx), -1) AS warning_at,

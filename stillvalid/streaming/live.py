@@ -76,8 +76,8 @@ def window_risk(losses: DataFrame, duration: str, slide: str | None = None) -> D
                       "n", "n_known", risk.alias("risk"))
 
 
-class _CountWindows(StatefulProcessor):
-    """Running (window number, rows, loss sum, unknown losses) of the open count window per key."""
+class _ArrivalWindows(StatefulProcessor):
+    """Running (window number, rows, loss sum, unknown losses) of the open count window per stream."""
 
     def __init__(self, size: int):
         self.size = size
@@ -113,116 +113,207 @@ class _CountWindows(StatefulProcessor):
         pass
 
 
-def count_window_risk(losses: DataFrame, size: int) -> DataFrame:
-    """Risk of every ``size`` consecutive rows of a stream, in order of arrival.
+class _PlacedWindows(StatefulProcessor):
+    """(rows, loss sum, unknown losses) of one window; it comes out once all its rows are there."""
 
-    Rows of one micro-batch are ordered by (ts, event_id). A row that comes in a later batch than
-    its successors joins the window open at that time: a count window has no place to put it back.
-    Only four numbers are kept per stream; a micro-batch bounds what one task receives.
+    def __init__(self, size: int):
+        self.size = size
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.sums = handle.getValueState("sums", T.StructType([
+            T.StructField("n", T.LongType()), T.StructField("total", T.DoubleType()),
+            T.StructField("unknown", T.LongType())]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        n, total, unknown = self.sums.get() if self.sums.exists() else (0, 0.0, 0)
+        for batch in rows:
+            loss = batch["loss"].to_numpy(dtype=float)
+            known = np.isfinite(loss)
+            n, total = n + len(loss), total + float(loss[known].sum())
+            unknown += int((~known).sum())
+        out = []
+        if n >= self.size:
+            out.append((key[0], int(key[1]), None if unknown else round(total / self.size, 12)))
+            self.sums.clear()
+        else:
+            self.sums.update((n, total, unknown))
+        yield pd.DataFrame(out, columns=["stream_id", "window_idx", "risk"])
+
+    def close(self) -> None:
+        pass
+
+
+def count_window_risk(losses: DataFrame, size: int, position: str | None = None) -> DataFrame:
+    """Risk of every ``size`` consecutive rows of a stream.
+
+    With ``position``, a column that numbers the rows of a stream (0, 1, 2, ...), a row's window is
+    known whenever it arrives: windows are keyed on their own, so rows may come in any order over any
+    number of micro-batches, and no task holds a stream. Without it windows follow arrival: rows
+    of one micro-batch are ordered by (ts, event_id), and a row that comes in a later batch than its
+    successors joins the window open at that time.
     """
     schema = T.StructType([T.StructField("stream_id", T.StringType()),
                            T.StructField("window_idx", T.LongType()),
                            T.StructField("risk", T.DoubleType())])
+    if position is not None:
+        placed = losses.select("stream_id", F.floor(F.col(position) / size).alias("_window"), "loss")
+        return placed.groupBy("stream_id", "_window").transformWithStateInPandas(
+            statefulProcessor=_PlacedWindows(size), outputStructType=schema, outputMode="Append",
+            timeMode="None")
     return losses.select("stream_id", "ts", "event_id", "loss").groupBy(
         "stream_id").transformWithStateInPandas(
-        statefulProcessor=_CountWindows(size), outputStructType=schema, outputMode="Append",
+        statefulProcessor=_ArrivalWindows(size), outputStructType=schema, outputMode="Append",
         timeMode="None")
 
 
-class _Feedback(StatefulProcessor):
+class _InOrder(StatefulProcessor):
+    """Hands the windows of a stream on in their order 0, 1, 2, ..., whatever order they arrive in.
+
+    A window waits until all earlier ones have come; one that comes again is ignored.
+    """
+
+    fields: tuple[str, ...] = ("risk",)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        kept = [T.StructField("window_idx", T.LongType())]
+        kept += [T.StructField(f, T.DoubleType()) for f in self.fields]
+        self.ahead = handle.getListState("ahead", T.StructType(kept))
+        self.next = handle.getValueState("next", T.StructType([
+            T.StructField("window_idx", T.LongType())]))
+
+    def in_order(self, rows) -> list[tuple]:
+        """(window_idx, fields...) of the windows that are now due."""
+        due = self.next.get()[0] if self.next.exists() else 0
+        waiting = {r[0]: tuple(r) for r in (self.ahead.get() if self.ahead.exists() else ())}
+        for batch in rows:
+            for r in batch[["window_idx", *self.fields]].itertuples(index=False, name=None):
+                if r[0] >= due:
+                    waiting[int(r[0])] = (int(r[0]), *(
+                        float(v) if v is not None and np.isfinite(v) else None for v in r[1:]))
+        out = []
+        while due in waiting:
+            out.append(waiting.pop(due))
+            due += 1
+        self.next.update((due,))
+        if waiting:
+            self.ahead.put(list(waiting.values()))
+        elif self.ahead.exists():
+            self.ahead.clear()
+        return out
+
+    def close(self) -> None:
+        pass
+
+
+def feedback_features(a: np.ndarray, n: int, reference: float | None) -> tuple[float, ...]:
+    """The batch operator's features of the latest known risks ``a`` (oldest first) out of ``n``."""
+    if n == 0:
+        return (0.0,) * (len(FEEDBACK_COLUMNS) - 2)
+    moves = np.diff(a)
+    signs = np.sign(moves)[np.sign(moves) != 0]
+    i, j = np.triu_indices(len(a), 1)
+    falls = np.flatnonzero(moves <= 0)
+    run = len(moves) - (falls[-1] + 1 if falls.size else 0)
+    many = len(a) >= 3
+    return (1.0, float(n), a[-1], a.mean(), a.std(), a.min(), a.max(),
+            float(np.median((a[j] - a[i]) / (j - i))) if len(a) >= 2 else 0.0,
+            moves[-1] if len(a) >= 2 else 0.0,
+            a[-1] - reference if reference is not None else 0.0,
+            float((signs[1:] != signs[:-1]).sum()) if many else 0.0, float(run) if many else 0.0)
+
+
+class _Feedback(_InOrder):
     """Last risks per stream: ``delay`` not yet usable ones and the ``k`` latest known ones."""
 
+    fields = ("risk", "risk_mean")
+
     def __init__(self, delay: int, k: int):
         self.delay, self.k = delay, k
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getListState("recent", T.StructType([
-            T.StructField("risk", T.DoubleType())]))
-        self.waiting = handle.getListState("waiting", T.StructType([
-            T.StructField("risk", T.DoubleType())]))
+        super().init(handle)
+        one = T.StructType([T.StructField("risk", T.DoubleType())])
+        self.recent, self.waiting = handle.getListState("recent", one), handle.getListState("waiting", one)
         self.seen = handle.getValueState("seen", T.StructType([T.StructField("n", T.LongType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("window_idx")
         recent = [r[0] for r in self.recent.get()] if self.recent.exists() else []
         waiting = [r[0] for r in self.waiting.get()] if self.waiting.exists() else []
         n = self.seen.get()[0] if self.seen.exists() else 0
         out = []
-        for window, risk in zip(batch["window_idx"], batch["risk"]):
-            waiting.append(None if risk is None or not np.isfinite(risk) else float(risk))
+        for window, risk, reference in self.in_order(rows):
+            waiting.append(risk)
             if len(waiting) > self.delay:
                 ready = waiting.pop(0)
                 if ready is not None:
                     recent = (recent + [ready])[-self.k:]
                     n += 1
-            a = np.asarray(recent)
-            if n == 0:
-                out.append((key[0], int(window), 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0))
-            else:
-                step = a[-1] - a[-2] if n >= 2 and len(a) >= 2 else 0.0
-                out.append((key[0], int(window), 1.0, float(n), a[-1], a.mean(), a.std(), a.max(),
-                            step))
-        self.recent.put([(v,) for v in recent])
-        self.waiting.put([(v,) for v in waiting])
+            out.append((key[0], window, *feedback_features(np.asarray(recent), n, reference)))
+        for state, values in ((self.recent, recent), (self.waiting, waiting)):
+            if values:
+                state.put([(v,) for v in values])
+            elif state.exists():
+                state.clear()
         self.seen.update((n,))
         yield pd.DataFrame(out, columns=FEEDBACK_COLUMNS)
 
-    def close(self) -> None:
-        pass
-
 
 FEEDBACK_COLUMNS = ["stream_id", "window_idx", "fb_available", "fb_n_matured", "fb_risk_last",
-                    "fb_risk_mean", "fb_risk_std", "fb_risk_max", "fb_risk_delta"]
+                    "fb_risk_mean", "fb_risk_std", "fb_risk_min", "fb_risk_max", "fb_risk_slope",
+                    "fb_risk_delta", "fb_risk_vs_reference", "fb_sign_changes",
+                    "fb_increasing_run"]
 
 
 def feedback(risks: DataFrame, delay: int, k: int = 5) -> DataFrame:
     """Feedback features from the risks a monitor may know at each window.
 
-    With delay 0 the window's own risk counts as known, as in the batch operator.
+    ``risks`` needs stream_id, window_idx (0, 1, 2, ...), risk and risk_mean (the reference's; it may
+    be NULL). With delay 0 the window's own risk counts as known, as in the batch operator. Windows
+    may arrive in any order.
     """
     schema = T.StructType([T.StructField("stream_id", T.StringType()),
                            T.StructField("window_idx", T.LongType())]
                           + [T.StructField(c, T.DoubleType()) for c in FEEDBACK_COLUMNS[2:]])
-    return risks.select("stream_id", "window_idx", "risk").groupBy(
+    return risks.select("stream_id", "window_idx", "risk", "risk_mean").groupBy(
         "stream_id").transformWithStateInPandas(
         statefulProcessor=_Feedback(delay, max(k, 2)), outputStructType=schema,
         outputMode="Append", timeMode="None")
 
 
-class _Alarm(StatefulProcessor):
+class _Alarm(_InOrder):
     """The earliest warning since the last violation."""
 
+    fields = ("risk", "eps")
+
     def __init__(self, margin: float):
         self.margin = margin
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.warned = handle.getValueState("warned", T.StructType([
             T.StructField("at", T.LongType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("window_idx")
         at = self.warned.get()[0] if self.warned.exists() else -1
         out = []
-        for window, risk, eps in zip(batch["window_idx"], batch["risk"], batch["eps"]):
-            if risk is None or not np.isfinite(risk):
+        for window, risk, eps in self.in_order(rows):
+            if risk is None:
                 continue
             if risk > eps:
-                out.append((key[0], int(window), at, int(window) - at if at >= 0 else -1))
+                out.append((key[0], window, at, window - at if at >= 0 else -1))
                 at = -1
             elif at < 0 and risk > eps - self.margin:
-                at = int(window)
+                at = window
         self.warned.update((at,))
         yield pd.DataFrame(out, columns=["stream_id", "violation_at", "warning_at", "lead_time"])
 
-    def close(self) -> None:
-        pass
-
 
 def alarms(risks: DataFrame, margin: float) -> DataFrame:
     """One row per violation with the warning that preceded it (-1 where there was none).
 
-    ``risks`` needs stream_id, window_idx, risk and eps. A warning is the first window since the
-    last violation whose risk is within ``margin`` of the threshold.
+    ``risks`` needs stream_id, window_idx (0, 1, 2, ...), risk and eps, in any order of arrival. A
+    warning is the first window since the last violation whose risk is within ``margin`` of the
+    threshold.
     """
     schema = T.StructType([T.StructField("stream_id", T.StringType())]
                           + [T.StructField(c, T.LongType())
