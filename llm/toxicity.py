@@ -43,7 +43,7 @@ FIT_ROWS = 20_000
 #: Labels up to so many rows are sent to all tasks; more are joined by a shuffle.
 BROADCAST_ROWS = 250_000
 #: Bytes of text whose distinct words are looked up together.
-SLICE = 4 << 20
+SLICE = 2 << 20
 START, END = 2, 3  # bytes around a word
 FOLD = 5
 
