@@ -5,7 +5,10 @@ Inverse document frequencies count the passages of all documents. The benchmark'
 matrix whose singular vectors come from a distributed randomised range finder: each task multiplies its passages
 with a shared thin matrix and only sums of term rows travel. Every passage of every document (`PASSAGE` words, half
 overlapping) is projected with them; a passage is a candidate for an item if the cosine of the two reaches `COSINE`
-and enough of its weight lies in the latent space. A candidate is confirmed if the longest common
+and enough of its weight lies in the latent space. A space of `RANK` directions keeps little of a passage once the
+benchmark has more passages than that, so rare terms give candidates too, and they miss none: whoever covers
+`OVERLAP` of an item covers a known number of its rarest words (`postings`), and every stretch of a document that has
+so many of them is a candidate. A candidate is confirmed if the longest common
 subsequence of the item and the words around the passage covers `OVERLAP` of the item, the covered terms hold
 `MASS` of its weight, and the answer (what follows "Answer:" or "A:", else the item's last third) is covered too.
 
@@ -46,6 +49,9 @@ class Latent(NamedTuple):
     items: list           # (item_id, numbers, first number of the answer)
     owner: np.ndarray     # of each benchmark passage, its item
     passages: np.ndarray  # latent vectors of length 1
+    begin: np.ndarray     # of each number's items in holders, with the end
+    holders: np.ndarray   # the items that have a number among their rarest words
+    least: np.ndarray     # of each item, how many of its rarest words a leak covers
 
 
 def numbers(hashes: np.ndarray, terms: np.ndarray) -> np.ndarray:
@@ -135,6 +141,27 @@ def frequencies(stream: DataFrame, size: int) -> np.ndarray:
     return out
 
 
+# Rare terms
+
+def needed(n: int) -> int:
+    """The fewest of n words that reach OVERLAP."""
+    return next(c for c in range(int(OVERLAP * n), n + 1) if c / n >= OVERLAP)
+
+
+def postings(items: list[tuple], df: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, holders and least of Latent. Of the n - needed + k rarest words of an item, any `needed` of its n words
+    hold at least k."""
+    pairs, least = [np.zeros((0, 2), np.int64)], np.zeros(len(items), np.int64)
+    for i, (_, x, _) in enumerate(items):
+        need = needed(len(x))
+        least[i] = max(1, need // 3)
+        rare = np.unique(x[np.argsort(df[x], kind="stable")[:len(x) - need + least[i]]])
+        pairs.append(np.stack([rare, np.full(len(rare), i)], axis=1))
+    both = np.concatenate(pairs)
+    both = both[np.argsort(both[:, 0], kind="stable")]
+    return np.searchsorted(both[:, 0], np.arange(len(df) + 1)), both[:, 1], least
+
+
 # The latent space
 
 def weighted(x: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,13 +222,14 @@ def fit(items: list[tuple], terms: np.ndarray, df: np.ndarray, docs: DataFrame,
             t, w = weighted(x[a:b], weight)
             rows.append((t.tolist(), w.tolist()))
             owner.append(i)
+    rare = postings(items, df)
     if not rows:
-        return Latent(terms, weight.astype(np.float32), np.zeros((len(weight), 1), np.float32), items, np.zeros(0, np.int64), np.zeros((0, 1), np.float32))
+        return Latent(terms, weight.astype(np.float32), np.zeros((len(weight), 1), np.float32), items, np.zeros(0, np.int64), np.zeros((0, 1), np.float32), *rare)
     matrix = spark.createDataFrame(rows, "terms array<long>, weights array<double>").repartition(max(1, len(rows) // 128))
     v = singular_vectors(matrix, len(terms), folder, min(rank, len(rows)))
     p = np.stack([np.asarray(w) @ v[t] for t, w in rows])
     p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-12)
-    return Latent(terms, weight.astype(np.float32), (weight[:, None] * v).astype(np.float32), items, np.asarray(owner), p.astype(np.float32))
+    return Latent(terms, weight.astype(np.float32), (weight[:, None] * v).astype(np.float32), items, np.asarray(owner), p.astype(np.float32), *rare)
 
 
 # The search
@@ -299,9 +327,56 @@ def found(m: Latent, x: np.ndarray, where: np.ndarray, halves: np.ndarray, ids:
             got = confirmed(m.items[k], text, m.weight)
             if got:
                 out[d, k] = (ids[d], m.items[k][0], float(cosine[p, j]), *got)
+    seen = np.zeros(len(m.weight), bool)
+    for d, k, h in stretches(m, x, doc[where], doc_begin, halves):
+        p = int(first[d]) + h
+        if (d, k) in out or (p, k) in tried:
+            continue
+        a, item = int(doc_begin[d]) + half * h, m.items[k][1]
+        text = x[max(doc_begin[d], a - len(item)):min(doc_end[d], a + PASSAGE + len(item))]
+        seen[text] = True
+        enough = seen[item].mean() >= OVERLAP
+        seen[text] = False
+        got = confirmed(m.items[k], text, m.weight) if enough else None
+        if got:
+            best = (m.passages[m.owner == k] @ whole[p]).max() / max(float(np.sqrt(inside[p])), 1e-9)
+            out[d, k] = (ids[d], m.items[k][0], float(best), *got)
     return list(out.values())
 
 
+#: Pairs of a word and an item that are sorted together, unless one document has more.
+PAIRS = 1 << 21
+
+
+def stretches(m: Latent, x: np.ndarray, doc: np.ndarray, doc_begin: np.ndarray, halves: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(document, item, half passage): where the words around a passage hold enough of the item's rarest words."""
+    half, size = PASSAGE // 2, np.array([len(i[1]) for i in m.items], np.int64)
+    n = m.begin[x + 1] - m.begin[x]
+    own = np.flatnonzero(n)
+    before = np.concatenate([[0], np.cumsum(n[own])])
+    ends = np.append(np.flatnonzero(np.diff(doc[own])) + 1, len(own))  # between documents
+    lo = 0
+    while lo < len(own):
+        hi = int(ends[max(np.searchsorted(before[ends], before[lo] + PAIRS, side="right") - 1, np.searchsorted(ends, lo, side="right"))])
+        w = own[lo:hi]
+        at, item = np.repeat(w, n[w]), m.holders[ragged(m.begin[x[w]], n[w])]
+        key = doc[at] * len(m.items) + item
+        order = np.argsort(key, kind="stable")
+        at, item, key = at[order], item[order], key[order]
+        j = np.minimum(np.arange(len(key)) + m.least[item] - 1, len(key) - 1)
+        enough = (np.arange(len(key)) + m.least[item] <= len(key)) & (key[j] == key) & (at[j] - at < PASSAGE + 2 * size[item])
+        i = np.flatnonzero(enough)
+        d, k = doc[at[i]], item[i]
+        a, b = at[i] - doc_begin[d], at[j[i]] - doc_begin[d]
+        low, high = np.maximum(0, (b - PASSAGE - size[k]) // half + 1), np.minimum(halves[d] - 1, (a + size[k]) // half)
+        n_h = np.maximum(0, high - low + 1)
+        most = int(halves.max(initial=0)) + 1
+        found = np.unique((np.repeat(d, n_h) * len(m.items) + np.repeat(k, n_h)) * most + ragged(low, n_h))
+        pair, h = np.divmod(found, most)
+        yield from zip((pair // len(m.items)).tolist(), (pair % len(m.items)).tolist(), h.tolist(), strict=True)
+        lo = hi
+
+
 def leaks(df: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id",
           item_text: str = "text", rank: int = RANK, block: int = BLOCK) -> DataFrame:
     """doc_id, item_id, cosine and the covered shares of item and answer, for each item found in a document."""

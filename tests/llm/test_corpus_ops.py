@@ -186,6 +186,26 @@ def test_leaks(spark):
     assert decontaminate.leaks(df.limit(0), bench).count() == 0 == decontaminate.leaks(df, bench.limit(0)).count()
 
 
+def test_leaks_of_more_passages_than_directions(spark):
+    rng = random.Random(21)
+    items = [prose(rng, 38) for _ in range(2100)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = {(i, 50 * i) for i in range(40)}
+    texts = [f"{prose(rng, 60)}. {edited(rng, items[50 * i], 0.1 * (i % 2))} {prose(rng, 60)}" for i in range(40)]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame(spark, texts + [prose(rng, 300) for _ in range(40)]), bench).collect()}
+    assert got == want
+
+
+def test_rare_words_miss_no_leak():
+    for n in range(1, 200):
+        need = decontaminate.needed(n)
+        assert need / n >= decontaminate.OVERLAP > (need - 1) / n
+        x = np.arange(1, n + 1)
+        begin, holders, least = decontaminate.postings([(0, x, 0)], np.append(0, x))
+        rare = x[np.diff(begin)[1:] > 0]
+        assert len(holders) == len(rare) and need - (n - len(rare)) == least[0] >= 1
+
+
 def test_randomised_vectors_span_the_passages(spark):
     rng = np.random.default_rng(1)
     a = rng.standard_normal((30, 4)) @ rng.standard_normal((4, 20))
