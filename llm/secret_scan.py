@@ -2,7 +2,9 @@
 
 Prose and identifiers reach several characters a token; random strings do not. A run of key characters that mixes
 letters and digits is a secret when it has fewer characters a token than `RATIO`, unless it is a digest (hex of a
-known digest's length), a UUID or an identifier made of words and numbers. Each text is one row of one narrow pass;
+known digest's length), a UUID or an identifier made of words and numbers. So that readable text around a random string
+does not hide it, a run is cut where fixed patterns match, and what is no secret as a whole is judged by its parts
+between separators and by its stretches of consecutive tokens, `SHORTEST` characters or more. Each text is one row of one narrow pass;
 nothing is shuffled.
 
 Defined cases: a null text is empty and has no span (the digest is that of the empty string); equal starts are
@@ -32,11 +34,14 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 RATIO = 2.0
+SHORTEST = 20
+PART = re.compile(r"[A-Za-z0-9+]+")
 #: Hex lengths of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGESTS = frozenset((32, 40, 56, 64, 96, 128))
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 #: Words joined by separators or capitals, each with at most a few digits after it.
-IDENTIFIER = re.compile(r"(?:[_+/=-]*(?:[A-Z]?[a-z]{3,}|[A-Z]{3,}|[0-9]{1,4}(?![0-9])))+[_+/=-]*")
+#: Each alternative takes all it can: split in several ways, a long word would take exponential time.
+IDENTIFIER = re.compile(r"(?:[_+/=-]*(?:[A-Z]?[a-z]{3,}(?![a-z])|[A-Z]{3,}(?![A-Z])|[0-9]{1,4}(?![0-9])))+[_+/=-]*")
 BULK_HEX = re.compile(r"[0-9a-fA-F]+")
 
 
@@ -59,6 +64,70 @@ def is_random(run: str, vocab, ratio: float = RATIO) -> bool:
     return len(core) < ratio * len(vocab.encode_ordinary(core))
 
 
+def stretch(sizes: list[int], ratio: float) -> tuple[int, int] | None:
+    """First and last token (excluded) of the stretch of SHORTEST characters or more with most tokens beyond
+    characters / ratio; None if none has any."""
+    at, value = [0], [0.0]
+    for n in sizes:
+        at.append(at[-1] + n)
+        value.append(value[-1] + ratio - n)
+    best, most, low, j = None, 0.0, 0, 0
+    for e in range(1, len(at)):
+        while at[j] <= at[e] - SHORTEST:
+            if value[j] < value[low]:
+                low = j
+            j += 1
+        if j and value[e] - value[low] > most:
+            best, most = (low, e), value[e] - value[low]
+    return best
+
+
+def random_parts(run: str, vocab, ratio: float = RATIO) -> list[tuple[int, int]]:
+    """Where the run is random: as a whole, else in parts between separators, else in stretches of tokens."""
+    if len(run) < SHORTEST:
+        return []
+    if is_random(run, vocab, ratio):
+        return [(0, len(run))]
+    if UUID.fullmatch(run.strip("=-_/+")):
+        return []
+    cuts, found = [], []  # cuts: parts that are judged already
+    for m in [*UUID.finditer(run), *PART.finditer(run)]:
+        if m.end() - m.start() >= SHORTEST and not any(a <= m.start() and m.end() <= b for a, b in cuts):
+            known = UUID.fullmatch(m[0]) or BULK_HEX.fullmatch(m[0]) and len(m[0]) in DIGESTS
+            if not known and is_random(m[0], vocab, ratio):
+                found.append(m.span())
+            if known or found and found[-1] == m.span():
+                cuts.append(m.span())
+    todo, at = [], 0
+    for a, b in [*sorted(cuts), (len(run), len(run))]:
+        todo.append((at, a))
+        at = max(at, b)
+    while todo:
+        a, b = todo.pop()
+        if b - a < SHORTEST:
+            continue
+        sizes = [len(x) for x in vocab.decode_tokens_bytes(vocab.encode_ordinary(run[a:b]))]
+        best = stretch(sizes, ratio)
+        if best is None:
+            continue
+        x, y = a + sum(sizes[:best[0]]), a + sum(sizes[:best[1]])
+        if is_random(run[x:y], vocab, ratio):
+            found.append((x, y))
+        todo += [(a, x), (y, b)]
+    return sorted(found)
+
+
+def outside(a: int, b: int, base: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What the sorted spans leave of a to b."""
+    for x, y in base:
+        if x < b and a < y:
+            if a < x:
+                yield a, x
+            a = y
+    if a < b:
+        yield a, b
+
+
 def spans(text: str, vocab, ratio: float = RATIO) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all secrets, by start, then kind as in KINDS. The base scan's spans are all there."""
     found = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]]
@@ -68,8 +137,8 @@ def spans(text: str, vocab, ratio: float = RATIO) -> list[tuple[int, int, str]]:
             found += [(m.start(), m.end(), kind) for m in pattern.finditer(text, a, b) if m.end() - m.start() >= LEAST[kind]]
     base = sorted((a, b) for a, b, _ in found)
     for a, b in runs:
-        if not any(x < b and a < y for x, y in base) and is_random(text[a:b], vocab, ratio):
-            found.append((a, b, "token"))
+        for x, y in outside(a, b, base):
+            found += [(x + i, x + j, "token") for i, j in random_parts(text[x:y], vocab, ratio)]
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 

@@ -184,3 +184,19 @@ def test_threshold_search_stops_early():
     order = np.argsort(-rows, axis=0, kind="stable")
     found, score, depth = topk.threshold_search(np.array([1, -1, 1]), -1, ids, rows, order, 1, step=4)
     assert found.tolist() == [7] and score.tolist() == [2700] and depth < 100
+
+
+@pytest.mark.parametrize("before,after", [
+    ("services/production/deployment/configuration/credentials/", ""), ("services/production/deployment/configuration/credentials", ""),
+    ("production_deployment_access_key=", "/services/production/deployment"), ("0123456789abcdef01234567/", "-0123456789abcdef01234567"), ("", "")])
+def test_random_strings_in_readable_runs(before, after):
+    vocab = secret_scan.vocabulary(pieces.vocabulary("byte_bpe_50k.tiktoken"))
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        own = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 40))
+        text = f"see {before}{own}{after} here"
+        at = text.index(own)
+        assert any(k == "token" and min(b, at + 40) - max(a, at) >= 34 for a, b, k in secret_scan.spans(text, vocab))
+    for run in ("services/production/2024/deployment/configuration2/credentials", "123e4567-e89b-12d3-a456-426614174000",
+                "images/" + "ABCDEF0123456789" * 2 + "/original", "release_notes_version_12_for_customers_2024"):
+        assert not [s for s in secret_scan.spans(f"see {run} here", vocab) if s[2] == "token"]
