@@ -8,9 +8,10 @@ passage's is the sum over its words, normalised by its length. A document is jud
 passage and by the whole, put on a scale from 0 to 1 by a logistic fit.
 
 Counts come from all labelled rows of three training folds: words are counted before they are shuffled, then
-character strings are counted over the distinct words. The fitted tables have `SLOTS` places for each order; strings
-share a place by hash, none is dropped, and the tables' size does not depend on the input. Tasks write them to the
-shared folder, one file for each order, and memory-map them to score. The logistic fit uses at most `FIT_ROWS` labelled rows of a fourth
+character strings are counted over the distinct words. The fitted tables hold every string and every
+context under a number of its own (a permutation of its bytes), so they grow with the corpus and an unseen string has
+no counts. Tasks write them to the shared folder in shards of about `SHARD` strings, sorted, and memory-map them to
+score by binary search. The logistic fit uses at most `FIT_ROWS` labelled rows of a fourth
 training fold, which the counts have not seen; the held-out fold is used for nothing.
 
 Defined cases: a null text is empty; a text without words has evidence 0; rows without a label are scored alike; a
@@ -20,8 +21,10 @@ are ignored.
 """
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -33,7 +36,8 @@ from . import store, words
 from .pieces import ragged
 
 ORDER, SHARED = 6, 3
-SLOTS = 20  # bits
+SLOTS = 20  # bits that tell shards apart, at most
+SHARD = 1 << 17
 DISCOUNT = 0.75
 #: Words of a passage, and how far apart passages begin.
 PASSAGE, STRIDE = 8, 4
@@ -91,38 +95,32 @@ def count_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int64)), *map(pa.array, sums)], ["key", "toxic", "ordinary"])
 
 
-def slot(key: np.ndarray, order: int, bits: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return ((key + np.uint64(order)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def place(bits: int):
+def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (order, key, toxic, ordinary) to sums by place: of the strings, and of what they follow."""
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            order, key = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.uint64)
-            t, o = b.column(2).to_numpy().astype(float), b.column(3).to_numpy().astype(float)
-            for k in np.unique(order):
-                own = order == k
-                for kind in (0, 1):
-                    at = slot(key[own] >> np.uint64(8 * kind), int(k) + 16 * kind, bits)
-                    places, code = np.unique(at, return_inverse=True)
-                    cols = [t[own], o[own], np.maximum(t[own] - DISCOUNT, 0), np.maximum(o[own] - DISCOUNT, 0)]
-                    sums = [np.bincount(code, weights=c, minlength=len(places)) for c in cols]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(places), k, np.int32)), pa.array(np.full(len(places), kind, np.int32)), pa.array(places.astype(np.int32)),
-                         *(pa.array(s) for s in sums)], ["order", "kind", "place", "toxic", "ordinary", "toxic_less", "ordinary_less"])
-    return task
+    for b in batches:
+        order, key = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.uint64)
+        t, o = b.column(2).to_numpy().astype(float), b.column(3).to_numpy().astype(float)
+        for k in np.unique(order):
+            own = order == k
+            for kind in (0, 1):
+                places, code = np.unique(words.mix(key[own] >> np.uint64(8 * kind)), return_inverse=True)
+                cols = [t[own], o[own], np.maximum(t[own] - DISCOUNT, 0), np.maximum(o[own] - DISCOUNT, 0)]
+                sums = [np.bincount(code, weights=c, minlength=len(places)) for c in cols]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(places), k, np.int32)), pa.array(np.full(len(places), kind, np.int32)), pa.array(places.view(np.int64)),
+                     *(pa.array(s) for s in sums)], ["order", "kind", "place", "toxic", "ordinary", "toxic_less", "ordinary_less"])
 
 
 def fit_counts(labelled: DataFrame, path: str, *, bits: int = SLOTS) -> str:
-    """Count the models over (text, toxic) rows and write their tables, one file for each order."""
+    """Count the models over (text, toxic) rows and write their tables in shards."""
     spark = labelled.sparkSession
     distinct = (labelled.select("text", F.col("toxic").cast("int")).mapInArrow(count_words, "word binary, toxic long, ordinary long")
                 .groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")))
     top = (distinct.mapInArrow(count_strings, "key long, toxic long, ordinary long")
            .groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")))
-    level = store.kept(top, "toxicity-strings").withColumn("both", F.lit(1))
+    top = store.kept(top, "toxicity-strings")
+    few = min(bits, max(0, (top.count() // SHARD).bit_length()))  # bits of the shards
+    level = top.withColumn("both", F.lit(1))
     parts = []
     for k in range(ORDER, 0, -1):
         if k < ORDER:  # a string's count is the number of different bytes seen before it
@@ -133,54 +131,84 @@ def fit_counts(labelled: DataFrame, path: str, *, bits: int = SLOTS) -> str:
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionAll(p)
-    sums = rows.mapInArrow(place(bits), "order int, kind int, place int, toxic double, ordinary double, toxic_less double, ordinary_less double")
+    sums = rows.mapInArrow(place, "order int, kind int, place long, toxic double, ordinary double, toxic_less double, ordinary_less double")
     total = sums.groupBy("order", "kind", "place").agg(*(F.sum(c).alias(c) for c in ("toxic", "ordinary", "toxic_less", "ordinary_less")))
+    total = total.withColumn("shard", F.shiftrightunsigned("place", 64 - few).cast("int") if few else F.lit(0))
 
-    def written(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:  # at most 2 ** (bits + 1) rows
-        store.publish(f"{path}-{key[0]}", [table(rows, bits).tobytes()])
-        return pd.DataFrame({"order": [key[0]]})
+    def written(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        name = tuple(map(int, key))
+        store.publish(shard(path, *name), [x.tobytes() for x in table(rows, name[1])])
+        return pd.DataFrame([name], columns=["order", "kind", "shard"])
 
-    there = {row["order"] for row in total.groupBy("order").applyInPandas(written, "order int").collect()}
-    for k in {*range(1, ORDER + 1)} - there:  # no labelled words
-        store.publish(f"{path}-{k}", [table(pd.DataFrame(columns=["kind", "place", "toxic", "ordinary", "toxic_less", "ordinary_less"]), bits).tobytes()])
+    there = total.groupBy("order", "kind", "shard").applyInPandas(written, "order int, kind int, shard int").collect()
+    store.publish(path, [json.dumps([few, sorted(map(list, there))]).encode()])
     return path
 
 
-def table(rows: pd.DataFrame, bits: int) -> np.ndarray:
-    """One order's [place, what]; what: a string's discounted count in either class (0, 1), one over its context's
-    count (2, 3), the context's share that backs off (4, 5)."""
-    out = np.zeros((1 << bits, 6), np.float32)
-    out[:, 4:] = 1
-    own = rows[rows["kind"] == 0]
-    for c, name in enumerate(("toxic", "ordinary")):
-        out[own["place"].astype(int), c] = own[f"{name}_less"]
-        ctx = rows[(rows["kind"] == 1) & (rows[name] > 0)]
-        at = ctx["place"].astype(int)
-        out[at, 2 + c] = 1 / ctx[name]
-        out[at, 4 + c] = (ctx[name] - ctx[f"{name}_less"]) / ctx[name]
-    return out
+def shard(path: str, order: int, kind: int, number: int) -> str:
+    return f"{path}-{order}-{kind}-{number}"
+
+
+def table(rows: pd.DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """A shard's places in order, and by place for strings (kind 0) the discounted count in either class, for contexts
+    one over the count in either class (0, 1) and the share that backs off (2, 3)."""
+    at = rows["place"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(at)
+    count, less = (rows[[f"toxic{x}", f"ordinary{x}"]].to_numpy(float)[order] for x in ("", "_less"))
+    if not kind:
+        return at[order], less.astype(np.float32)
+    some = np.maximum(count, 1e-300)
+    return at[order], np.hstack([np.where(count > 0, 1 / some, 0), np.where(count > 0, (count - less) / some, 1)]).astype(np.float32)
 
 
 # Scoring
 
+class Table(NamedTuple):
+    bits: int     # that tell shards apart
+    shards: dict  # number to (places, values)
+    unseen: tuple
+
+    def __call__(self, key: np.ndarray) -> np.ndarray:
+        """The values of each string or context."""
+        out = np.tile(np.array(self.unseen, np.float32), (len(key), 1))
+        at = words.mix(key)
+        order = np.argsort(at)
+        at = at[order]
+        number = (at >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(at), np.int64)
+        first = np.flatnonzero(np.diff(number, prepend=-1))
+        for i, j in zip(first, np.append(first[1:], len(at)), strict=True):
+            if int(number[i]) in self.shards:
+                places, values = self.shards[int(number[i])]
+                p = np.minimum(np.searchsorted(places, at[i:j]), len(places) - 1)
+                there = places[p] == at[i:j]
+                out[order[i:j][there]] = values[p[there]]
+        return out
+
+
 @lru_cache(maxsize=1)
-def model(path: str, bits: int) -> list[np.ndarray]:
-    """The orders' tables, memory-mapped where the folder is local."""
-    return [np.frombuffer(store.mapped(f"{path}-{k}").read_buffer(), np.float32).reshape(1 << bits, 6) for k in range(1, ORDER + 1)]
+def model(path: str, bits: int) -> list[tuple[Table, Table]]:
+    """The orders' tables of strings and contexts, memory-mapped where the folder is local."""
+    few, there = json.loads(store.mapped(path).read())
+    out = [(Table(few, {}, (0, 0)), Table(few, {}, (0, 0, 1, 1))) for _ in range(ORDER)]
+    for order, kind, number in there:
+        raw, width = store.mapped(shard(path, order, kind, number)).read_buffer(), 4 if kind else 2
+        n = raw.size // (8 + 4 * width)
+        out[order - 1][kind].shards[number] = np.frombuffer(raw, np.uint64, n), np.frombuffer(raw, np.float32, offset=8 * n).reshape(n, width)
+    return out
 
 
-def evidence(key: np.ndarray, m: list[np.ndarray], bits: int) -> np.ndarray:
+def evidence(key: np.ndarray, m: list[tuple[Table, Table]], bits: int) -> np.ndarray:
     """log P(byte | before, toxic) - log P(byte | before, ordinary)."""
     p = np.full((len(key), 2), 1 / 256, np.float32)
-    for k in range(1, ORDER + 1):
+    for k, (strings, contexts) in enumerate(m, 1):
         own = key & np.uint64((1 << (8 * k)) - 1)
-        count, ctx = m[k - 1][slot(own, k, bits), :2], m[k - 1][slot(own >> np.uint64(8), k + 16, bits), 2:]
+        count, ctx = strings(own), contexts(own >> np.uint64(8))
         p = count * ctx[:, :2] + ctx[:, 2:] * p
     p = np.log(np.maximum(p, 1e-12))
     return (p[:, 0] - p[:, 1]).astype(np.float64)
 
 
-def features(texts: pa.Array, m: list[np.ndarray], bits: int) -> np.ndarray:
+def features(texts: pa.Array, m: list[tuple[Table, Table]], bits: int) -> np.ndarray:
     """For each text: the highest evidence of a passage, and of the whole, each over its length."""
     doc, value, size = [], [], []
     for c in words.cut(texts, size=SLICE):

@@ -270,6 +270,24 @@ def test_kneser_ney_by_hand(spark, tmp_path):
     assert n.tolist() == [3] and got[1] == pytest.approx(np.log(t / o), abs=1e-4)
 
 
+@pytest.mark.parametrize("size", [1 << 17, 50])
+def test_strings_do_not_share_counts(spark, tmp_path, monkeypatch, size):
+    monkeypatch.setattr(toxicity, "SHARD", size)
+    rng = random.Random(5)
+    rows = [(prose(rng, 40), i % 2) for i in range(40)]
+    path = toxicity.fit_counts(spark.createDataFrame(rows, "text string, toxic int"), f"file://{tmp_path}/t", bits=6)
+    m, want = toxicity.model(path, 6), {}
+    for text, toxic in rows:
+        for w in text.encode().split():
+            key, _ = toxicity.packed(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))
+            for k in key.tolist():
+                want.setdefault(k, [0, 0])[1 - toxic] += 1
+    strings = m[toxicity.ORDER - 1][0]
+    got = strings(np.array([*want, 12345], np.uint64))
+    assert (len(strings.shards) > 1) == (size == 50)
+    assert np.allclose(got, [[max(0, n - toxicity.DISCOUNT) for n in v] for v in [*want.values(), [0, 0]]])
+
+
 # WARC
 
 def test_warc(spark, monkeypatch):
