@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stillvalid.sources.tables import table
 
-from . import decontaminate, near_dedup, packing, secret_scan, suffix_dedup, token_files, topk, toxicity, url_filter, warc
+from . import decontaminate, near_dedup, packing, prefix_trie, secret_scan, suffix_dedup, token_files, topk, toxicity, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,7 +54,13 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.remove(table(spark, folder, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_trie(*prefix_trie.rebuilt(table(spark, folder, "conversations")))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_url_filters, op2_threshold_topk, op3_latent_decontamination, op4_bin_slack_packing, op5_token_files,
-    op6_secret_scan, op7_kneser_ney_toxicity, op8_order_minhash, op9_warc_index, op10_suffix_dedup)}
-SQL: dict[str, str] = {"op1_url_filters": url_filter.sql(), "op2_threshold_topk": topk.SQL}
+    op6_secret_scan, op7_kneser_ney_toxicity, op8_order_minhash, op9_warc_index, op10_suffix_dedup,
+    op11_conversation_trie)}
+SQL: dict[str, str] = {"op1_url_filters": url_filter.sql(), "op2_threshold_topk": topk.SQL,
+                       "op11_conversation_trie": prefix_trie.SQL}
