@@ -4,12 +4,14 @@ Every conversation is a sequence of turns; every distinct sequence of its first
 from its deepest level upwards: the nodes of a level are the conversations that end there, merged with the nodes of the
 level below after these have lost their last turn, grouped again by what is left. Members, children, leaves and saved
 tokens are summed in the same grouping that finds a node, so each level is read once and only one row a node goes on.
+Depth costs nothing by itself: a subtree of at most `GROUP` conversations is peeled by one task, which holds one level at
+a time; only nodes with more members, whose depth is that of very common prefixes, take one small job for each level.
 
 * A prefix is named by a chained SHA-256 of its turns (role and text, with their lengths). Texts are read once; what is
   moved afterwards is 80 bytes a turn.
 * A node that survives is represented by its smallest member; stripping a turn is an equality join on that member with
   the next level's turns. Groups are summed before the shuffle, so a prefix that a third of all conversations share is
-  no task of its own. Work is linear in the number of turns, with one small job for each level of depth.
+  no task of its own. Work is linear in the number of turns.
 * The digest of the members that end in a node needs them in order in one stream: ids are range-partitioned by (node,
   id), written into pieces of text, and one pass over a node's pieces feeds the hash (constant memory, any group size).
 
@@ -30,6 +32,8 @@ from .store import kept
 
 #: Turns taken from the first conversation of a block of this many, fewer than TAKEN of them.
 BLOCK, TAKEN = 20, 4
+#: Conversations whose common subtree one task peels.
+GROUP = 20_000
 #: Bytes of one piece of a node's id list.
 PIECE = 1 << 16
 _SPACE = r"[^\x20\x09-\x0D]+"
@@ -129,28 +133,83 @@ def prefixes(turns: DataFrame, ids: DataFrame) -> DataFrame:
     rows = tops.unionByName(turns.select("conv_id", *order, "turn", "words"))
     chained = (rows.repartition("conv_id").sortWithinPartitions("conv_id", *order)
                .mapInArrow(_chain, "conv_id long, depth int, node binary, parent binary, words long, ends boolean"))
-    # Sorted by depth, so that the statistics of the files let a level's scan skip the others.
-    return kept(chained.sortWithinPartitions("depth"), "trie-prefixes")
 
+    return kept(chained, "trie-prefixes")
 
-def peel(chains: DataFrame) -> DataFrame | None:
-    """node, parent, depth, conv_id, n_convs, n_children, n_leaves, saved_tokens; None without conversations."""
-    deepest = chains.agg(F.max("depth")).first()[0]
-    levels: list[DataFrame] = []
+
+NODE = "node binary, parent binary, depth long, conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, top boolean"
+
+
+def _peel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Peel whole subtrees: rows come by subtree, deepest level first. One level is held at a time."""
+    names = [c.split()[0] for c in NODE.split(", ")]
+    types = [pa.binary(), pa.binary(), *[pa.int64()] * 6, pa.bool_()]
+    now, level, below = (None, None), {}, {}
+
+    def strip() -> Iterator[tuple]:
+        """The level is complete: merge it with what the level below left, strip the last turn."""
+        nonlocal below
+        above: dict[bytes, list[int]] = {}
+        for node, (parent, words, conv, n) in level.items():
+            first, more, children, leaves, saved = below.get(node, (conv, 0, 0, 0, 0))
+            conv, n, leaves = min(conv, first) if n else first, n + more, leaves or 1
+            saved += (n - 1) * words
+            yield node, parent, now[1], conv, n, children, leaves, saved, node == now[0]
+            up = above.setdefault(parent, [conv, 0, 0, 0, 0])
+            up[0], up[1], up[2], up[3], up[4] = min(up[0], conv), up[1] + n, up[2] + 1, up[3] + leaves, up[4] + saved
+        below = above
+
+    for batch in batches:
+        out: list[tuple] = []
+        for row in zip(*[batch.column(c).to_pylist() for c in ("subtree", "depth", "node", "parent", "words", "conv_id", "ends")], strict=True):
+            subtree, depth, node, parent, words, conv, ends = row
+            if (subtree, depth) != now:
+                out.extend(strip())
+                if subtree != now[0]:
+                    below = {}
+                now, level = (subtree, depth), {}
+            own = level.setdefault(node, [parent, words, conv, 0])
+            if ends:
+                own[2], own[3] = min(own[2], conv) if own[3] else conv, own[3] + 1
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types, strict=True)], names=names)
+    if out := list(strip()):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types, strict=True)], names=names)
+
+
+def peel(chains: DataFrame) -> DataFrame:
+    """node, parent, depth, conv_id, n_convs, n_children, n_leaves, saved_tokens.
+
+    Subtrees of at most GROUP conversations are peeled whole, each in one task that holds one level of it. What is above
+    them is the few nodes with more members: these are peeled level by level, each level one grouping.
+    """
+    large = kept(chains.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP).select("node"), "trie-large")
+    upper = kept(chains.join(large, "node"), "trie-upper")
+    cuts = upper.groupBy("conv_id").agg((F.max("depth") + 1).alias("cut"))
+    lower = chains.join(cuts, "conv_id", "left").withColumn("cut", F.coalesce("cut", F.lit(0))).where("depth >= cut")
+    heads = lower.where("depth = cut").select("conv_id", F.col("node").alias("subtree"))
+    small = (lower.join(heads, "conv_id").repartition("subtree").sortWithinPartitions("subtree", F.col("depth").desc())
+             .mapInArrow(_peel, NODE))
+    levels = [kept(small, "trie-subtrees")]
+    deepest = upper.agg(F.max("depth")).first()[0]
+    heads, below = levels[0].where("top"), None
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     for depth in range(deepest if deepest is not None else -1, -1, -1):
-        level = chains.where(F.col("depth") == depth)
-        zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-        rows = level.where("ends").select("node", "parent", "words", "conv_id", one.alias("n"), zero.alias("child"), zero.alias("leaves"), zero.alias("saved"))
-        if levels:  # the surviving nodes of the level below, stripped of their last turn
-            below = levels[-1].select("conv_id", "n_convs", "n_leaves", "saved_tokens")
-            rows = rows.unionByName(level.where("not ends").join(below, "conv_id").select(
-                "node", "parent", "words", "conv_id", F.col("n_convs").alias("n"), one.alias("child"),
-                F.col("n_leaves").alias("leaves"), F.col("saved_tokens").alias("saved")))
-        nodes = rows.groupBy("node").agg(
-            F.max("parent").alias("parent"), F.min("conv_id").alias("conv_id"), F.sum("n").alias("n_convs"), F.sum("child").alias("n_children"),
-            F.greatest(F.sum("leaves"), F.lit(1)).alias("n_leaves"), (F.sum("saved") + (F.sum("n") - 1) * F.max("words")).alias("saved_tokens"))
-        levels.append(kept(nodes.withColumn("depth", F.lit(depth).cast("long")), "trie-level"))
-    out = levels[0] if levels else None
+        level = upper.where(F.col("depth") == depth)
+        ended = level.where("ends").select("node", "parent", "words", "conv_id", one.alias("n"), zero.alias("child"), zero.alias("leaves"), zero.alias("saved"))
+        # The surviving nodes of the level below, represented by their smallest members, lose their last turn.
+        surviving = heads.where(F.col("depth") == depth + 1)
+        surviving = (surviving.unionByName(below) if below is not None else surviving).select("conv_id", "n_convs", "n_leaves", "saved_tokens")
+        stripped = level.where("not ends").join(surviving, "conv_id").select(
+            "node", "parent", "words", "conv_id", F.col("n_convs").alias("n"), one.alias("child"),
+            F.col("n_leaves").alias("leaves"), F.col("saved_tokens").alias("saved"))
+        nodes = ended.unionByName(stripped).groupBy("node").agg(
+            F.max("parent").alias("parent"), F.lit(depth).cast("long").alias("depth"), F.min("conv_id").alias("conv_id"), F.sum("n").alias("n_convs"),
+            F.sum("child").alias("n_children"), F.greatest(F.sum("leaves"), F.lit(1)).alias("n_leaves"),
+            (F.sum("saved") + (F.sum("n") - 1) * F.max("words")).alias("saved_tokens"), F.lit(False).alias("top"))
+        below = kept(nodes, "trie-level")
+        levels.append(below)
+    out = levels[0]
     for level in levels[1:]:
         out = out.unionByName(level)
     return out
@@ -170,12 +229,9 @@ def prefix_trie(turns: DataFrame, ids: DataFrame) -> DataFrame:
 
     `turns` has conv_id, k and optionally part (their order), turn (a hash) and words; `ids` all conversations.
     """
-    spark = turns.sparkSession
     chains = prefixes(turns, ids)
     nodes = peel(chains)
     out = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
-    if nodes is None:
-        return spark.createDataFrame([], ", ".join(f"{c} {'string' if c == 'ends_sha256' else 'long'}" for c in out))
     above = nodes.where("n_children > 0").select(F.col("node").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
     none = hashlib.sha256(b"").hexdigest()
     return (nodes.join(above, "parent", "left").join(endings(chains), "node", "left")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stillvalid.sources.tables import table
 
-from . import decontaminate, near_dedup, packing, prefix_trie, secret_scan, suffix_dedup, token_files, topk, toxicity, url_filter, warc
+from . import class_lm, decontaminate, near_dedup, packing, prefix_trie, secret_scan, spelling, suffix_dedup, token_files, topk, toxicity, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,9 +58,17 @@ def op11_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie.prefix_trie(*prefix_trie.rebuilt(table(spark, folder, "conversations")))
 
 
+def op12_brown_class_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return class_lm.score(table(spark, folder, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(spelling.words_of(table(spark, folder, "documents")))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_url_filters, op2_threshold_topk, op3_latent_decontamination, op4_bin_slack_packing, op5_token_files,
     op6_secret_scan, op7_kneser_ney_toxicity, op8_order_minhash, op9_warc_index, op10_suffix_dedup,
-    op11_conversation_trie)}
+    op11_conversation_trie, op12_brown_class_lm, op13_spelling_variants)}
 SQL: dict[str, str] = {"op1_url_filters": url_filter.sql(), "op2_threshold_topk": topk.SQL,
-                       "op11_conversation_trie": prefix_trie.SQL}
+                       "op11_conversation_trie": prefix_trie.SQL, "op13_spelling_variants": spelling.SQL}
