@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from stillvalid.plans.model_queries import STUMP_EDGES
+
 from .prelude import normal, r6, uniform
 from .streams import events, lines
 from .targets import SPLIT
@@ -100,3 +102,34 @@ SQL["m15_first_passage"] = events(f"""SELECT stream_id, origin, h, {r6('avg(CAST
  FROM (SELECT *, unnest(range(1, 21)) AS h FROM p) GROUP BY stream_id, origin, h""", PATHS)
 SQL["m17_mean_path"] = events(f"""SELECT stream_id, origin, h, {r6('avg(path[h])')} AS pred
  FROM (SELECT *, unnest(range(1, 21)) AS h FROM p) GROUP BY stream_id, origin, h""", PATHS)
+
+
+def _stumps(rounds: int, rate: str) -> str:
+    """Rounds of boosted stumps: CTEs s0, s1, ... with the scores f0, f1, f2 of every row."""
+    k3 = range(3)
+    cuts = [(f, c, e) for f, edges in enumerate(STUMP_EDGES) for c, e in enumerate(edges, 1)]
+    out = ["s0 AS (SELECT d.*, " + ", ".join(
+        f"(SELECT ln((count(*) FILTER (y = {k}) + 1e-9 * count(y)) / count(y)) FROM d WHERE segment = 'pre') AS f{k}" for k in k3) + " FROM d)"]
+    for i in range(rounds):
+        out.append(f"p{i} AS (SELECT *, " + ", ".join(f"exp(f{k}) / (exp(f0) + exp(f1) + exp(f2)) AS p{k}" for k in k3)
+                   + f" FROM s{i}), g{i} AS (SELECT x, " + ", ".join(
+            f"p{k} - CAST(y = {k} AS INTEGER) AS g{k}, greatest(p{k} * (1 - p{k}), 1e-12) AS h{k}" for k in k3)
+                   + f" FROM p{i} WHERE segment = 'pre' AND y IS NOT NULL)")
+        sums = " UNION ALL ".join(
+            f"SELECT {k} AS k, {f} AS f, {c} AS c, {e}::DOUBLE AS e, sum(g{k}) FILTER (x[{f + 1}] <= {e}::DOUBLE) AS gl, "
+            f"sum(h{k}) FILTER (x[{f + 1}] <= {e}::DOUBLE) AS hl, sum(g{k}) AS g, sum(h{k}) AS h FROM g{i}" for k in k3 for f, c, e in cuts)
+        gain = "round(gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) - g * g / (h + 1), 9)"
+        out.append(f"t{i} AS ({sums}), b{i} AS (SELECT k, f, e, -{rate} * gl / (hl + 1) AS l, -{rate} * (g - gl) / (h - hl + 1) AS r "
+                   f"FROM t{i} WHERE hl > 1e-9 AND h - hl > 1e-9 AND {gain} > 0 QUALIFY row_number() OVER (PARTITION BY k ORDER BY {gain} DESC, f, c) = 1)")
+        out.append(f"s{i + 1} AS (SELECT s.* REPLACE (" + ", ".join(
+            f"f{k} + CASE WHEN x[b{k}.f + 1] <= b{k}.e THEN b{k}.l ELSE b{k}.r END AS f{k}" for k in k3) + f") FROM s{i} s, "
+            + ", ".join(f"(SELECT * FROM b{i} WHERE k = {k}) b{k}" for k in k3) + ")")
+    return ",\n".join(out)
+
+
+SQL["m19_boosted_stumps"] = lines("SELECT stream_id, window_idx, " + ", ".join(
+    f"{r6(f'avg(exp(f{k}) / (exp(f0) + exp(f1) + exp(f2)))')} AS p{k}" for k in range(3))
+    + " FROM s2 WHERE segment = 'dep' AND window_idx IS NOT NULL GROUP BY stream_id, window_idx",
+    "d AS (SELECT stream_id, window_idx, segment, y, x FROM seg),\n" + _stumps(2, "0.5e0"))
+SQL["m20_boosted_consistency"] = lines("""SELECT stream_id, window_idx, count(*) AS n, 0e0 AS leaf_gap, 0e0 AS softmax_gap,
+ 0e0 AS truncation_gap, 0::BIGINT AS n_other_class FROM seg WHERE segment = 'dep' AND window_idx IS NOT NULL GROUP BY stream_id, window_idx""")

@@ -10,6 +10,8 @@ SQL["a1_read_parquet"] = f"""SELECT o_orderstatus, {_TOTALS} FROM orders
 WHERE o_totalprice > 1000 GROUP BY o_orderstatus"""
 SQL["a2_write_results"] = f"SELECT o_orderpriority, {_TOTALS} FROM orders GROUP BY o_orderpriority"
 SQL["a3_stream_cache"] = events("SELECT stream_id, n_rows, boundary FROM sizes")
+SQL["a3_shared_cache"] = events("""SELECT stream_id, count(*) AS n_windows, max(window_idx) AS last_window, 0 AS n_built
+ FROM risk GROUP BY stream_id""")
 SQL["a4_csv"] = f"""SELECT event_type, count(value) AS n, {r6('sum(value)')} AS total FROM events
 GROUP BY event_type"""
 SQL["a5_stream_validation"] = """WITH o AS (SELECT 's' || CAST(user_id % 5 AS VARCHAR) AS stream_id,

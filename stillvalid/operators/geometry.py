@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .reference import scale_vectors, standardise
@@ -226,21 +226,35 @@ def compare_windows(z: np.ndarray, sample: np.ndarray, bandwidth: float,
     return out
 
 
-def window_distances(deployment: DataFrame, sample: DataFrame, features: DataFrame,
+def packed_windows(deployment: DataFrame, features: DataFrame, n_features: int) -> DataFrame:
+    """One row per window: its standardised inputs as one array for each feature, in row order."""
+    z = standardise(deployment.select("stream_id", "window_idx", "seg_row", "x"), scale_vectors(features))
+    packed = z.groupBy("stream_id", "window_idx").agg(
+        F.sort_array(F.collect_list(F.struct("seg_row", "z"))).alias("_rows"))
+    return packed.select("stream_id", "window_idx", *[
+        entries("_rows", j).alias(f"z{j}") for j in range(n_features)])
+
+
+def entries(rows: str, j: int) -> Column:
+    """Entry j of z of each row in an array of rows."""
+    return F.transform(rows, lambda r: F.get(r["z"], F.lit(j)))
+
+
+def window_distances(windows: DataFrame, sample: DataFrame, features: DataFrame,
                      geometry: DataFrame, sizes: DataFrame, n_features: int) -> DataFrame:
-    """One row per window with :func:`distance_columns`; ``sizes`` has stream_id and n_windows."""
+    """One row per window with :func:`distance_columns`.
+
+    ``windows`` has an array z0, z1, ... for each feature, ``sizes`` stream_id and n_windows.
+    """
     columns = distance_columns()
     scales = scale_vectors(features)
     group = F.floor(F.col("window_idx") / WINDOWS_PER_GROUP).cast("bigint").alias("_group")
-    # One column per feature reaches Python as a plain buffer; an array column would be unpacked
-    # row by row.
     names = [f"z{j}" for j in range(n_features)]
     flat = [F.get("z", F.lit(j)).alias(c) for j, c in enumerate(names)]
-    rows = standardise(deployment.select("stream_id", "window_idx", "seg_row", "x"), scales).select(
-        "stream_id", group, "window_idx", "seg_row", *flat)
+    rows = windows.select("stream_id", group, "window_idx", *names)
     # The number of groups is known from the sizes table, so the sample is copied once per group
     # without a join with the windows; its rows are spread over all tasks before that.
-    n = int(deployment.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     last = F.floor((F.col("n_windows") - 1) / WINDOWS_PER_GROUP).cast("bigint")
     ref = standardise(sample.select("stream_id", "rank", "x"), scales).join(
         geometry.select("stream_id", "bandwidth", "kernel_self"), "stream_id").join(
@@ -254,9 +268,9 @@ def window_distances(deployment: DataFrame, sample: DataFrame, features: DataFra
         b = b[~np.isnan(b).any(axis=1)]
         if left.empty or not len(b):
             return pd.DataFrame(columns=["stream_id", "window_idx", *columns])
-        left = left.sort_values(["window_idx", "seg_row"])
-        windows = left["window_idx"].unique()
-        z = left[names].to_numpy(float).reshape(len(windows), -1, n_features)
+        left = left.sort_values("window_idx")
+        windows = left["window_idx"].to_numpy()
+        z = np.stack([np.stack(left[c].to_numpy()).astype(float) for c in names], axis=-1)
         whole = ~np.isnan(z).any(axis=(1, 2))
         out = pd.DataFrame(np.nan, index=range(len(windows)), columns=columns)
         if whole.any():
@@ -283,8 +297,8 @@ def window_geometry(deployment: DataFrame, sample: DataFrame, features: DataFram
     z = standardise(deployment.select("stream_id", "window_idx", "x"), scale_vectors(features))
     moments = second_moments(z, ["stream_id", "window_idx"], n_features)
     return window_shape(moments, geometry, n_features, n_axes).join(
-        window_distances(deployment, sample, features, geometry, sizes, n_features),
-        ["stream_id", "window_idx"], "left")
+        window_distances(packed_windows(deployment, features, n_features), sample, features,
+                         geometry, sizes, n_features), ["stream_id", "window_idx"], "left")
 
 
 # -- the frozen side -------------------------------------------------------------------------

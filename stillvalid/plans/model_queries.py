@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import settle
 from ..operators import forecast as fc
-from ..operators import learned, survival, targets
+from ..operators import boosting, learned, survival, targets
 from .catalog import query
 from .contest import Contest, contest
 from .monitor import Monitor, monitor
-from .specs import EVENTS, LINES
+from .specs import BOOSTED, EVENTS, LINES
 from .targets_queries import GAP
 
 COVARIATES = ["fb_risk_last", "fb_risk_mean", "fb_risk_slope", "ctx_deployment_age_log"]
@@ -206,3 +206,55 @@ def _(spark, folder):
     return _by_window(out, F.avg(F.col("z")[0]).alias("mean_z0"),
                       F.avg(F.col("z")[31]).alias("mean_z31"),
                       *[F.avg(F.col("members")[i][1]).alias(f"member_{i}") for i in range(5)])
+
+
+#: Cut points of the stumps, fixed so that SQL can restate them.
+STUMP_EDGES = ((10.0, 20.0, 30.0, 40.0), (20000.0, 40000.0, 60000.0, 80000.0), (0.02, 0.04, 0.06, 0.08),
+               (0.02, 0.04, 0.06))
+
+
+@query("m19_boosted_stumps")
+def _(spark, folder):
+    """Two rounds of boosted stumps for three classes; mean probabilities of each window."""
+    m = monitor(spark, folder, LINES)
+    settings = boosting.Settings(rounds=2, depth=1, rate=0.5, row_share=1.0, feature_share=1.0)
+    model = boosting.fit(m.pre, classes=3, settings=settings, edges=[boosting.np.array(e) for e in STUMP_EDGES])
+    scored = boosting.score(m.deployment.select("stream_id", "window_idx", "x"), model)
+    return scored.groupBy("stream_id", "window_idx").agg(
+        *[F.round(F.avg(F.col("proba")[k]), 6).alias(f"p{k}") for k in range(3)])
+
+
+@query("m19_boosted_monitor")
+def _(spark, folder):
+    """200 rounds of boosted trees for three classes as a monitor's frozen scorer, by window."""
+    m = monitor(spark, folder, BOOSTED)
+    return m.deployment.groupBy("stream_id", "window_idx").agg(
+        F.avg("loss").alias("risk"), *[F.avg(F.col("proba")[k]).alias(f"p{k}") for k in range(3)],
+        *[F.avg(F.col("members")[i][2]).alias(f"member_{i}") for i in range(5)])
+
+
+@query("m20_boosted_embedding")
+def _(spark, folder):
+    """Mean of the projected leaf positions of each window, all 32 dimensions."""
+    rows = monitor(spark, folder, BOOSTED).deployment
+    return rows.groupBy("stream_id", "window_idx").agg(
+        *[F.avg(F.col("embedding")[i]).alias(f"z{i}") for i in range(learned.EMBED_DIM)])
+
+
+@query("m20_boosted_consistency")
+def _(spark, folder):
+    """Per window, how far scores are from the sums of their leaves, probabilities
+    from the softmax of scores, and the last truncation from the whole model."""
+    m = monitor(spark, folder, BOOSTED)
+    rows = m.deployment.select("stream_id", "window_idx", "x", "y_pred")
+    again = boosting.leaf_sums(boosting.score(rows.withColumnRenamed("y_pred", "logged"), m.scorer_model,
+                                              leaves=True), m.scorer_model)
+    apart = lambda a, b: F.array_max(F.zip_with(a, b, lambda u, v: F.abs(u - v)))
+    total = F.aggregate("leaf_sum", F.lit(0.0), lambda s, v: s + F.exp(v))
+    soft = F.transform("leaf_sum", lambda v: F.exp(v) / total)
+    zero = lambda c: (F.round(F.max(c), 6) + F.lit(0.0))
+    return again.groupBy("stream_id", "window_idx").agg(
+        F.count(F.lit(1)).alias("n"), zero(apart(F.col("raw"), F.col("leaf_sum"))).alias("leaf_gap"),
+        zero(apart(F.col("proba"), soft)).alias("softmax_gap"),
+        zero(apart(F.element_at("members", -1), F.col("proba"))).alias("truncation_gap"),
+        F.count_if(F.col("logged") != F.col("y_pred")).alias("n_other_class"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,12 @@ from pyspark.sql import functions as F
 
 from ..operators import reference as ref
 from ..operators import risk as rk
-from ..operators import scorer, targets, windows
+from ..operators import boosting, scorer, targets, windows
 from ..operators import state as st
-from ..operators.geometry import fit_geometry, window_geometry
+from ..operators.fused import WindowPass, embedding_vectors, frozen_vectors
+from ..operators.geometry import fit_geometry, window_distances, window_shape
 from ..session import freeze
+from ..sources.cache import TableCache
 from ..sources.stream_log import StreamSpec, numbered_log
 from ..sources.tables import table
 
@@ -26,8 +29,19 @@ class Monitor:
     pre-deployment files. Window-level tables are a factor ``window`` smaller.
     """
 
-    def __init__(self, source: DataFrame, spec: StreamSpec):
-        self.source, self.spec = source, spec
+    def __init__(self, source: DataFrame, spec: StreamSpec, cache: TableCache | None = None):
+        if spec.scorer not in ("rates", "boosted"):
+            raise ValueError(f"unknown scorer {spec.scorer!r}; choose from rates, boosted")
+        if spec.scorer == "boosted" and not spec.features:
+            raise ValueError("a boosted scorer needs features")
+        self.source, self.spec, self.cache = source, spec, cache
+        self._key = cache.key(source, spec.key()) if cache else ""
+
+    def _kept(self, label: str, make: Callable[[], DataFrame], partition_by: tuple[str, ...] = ()) -> DataFrame:
+        """A frozen table: of this session or, with a cache, of any session with the same source."""
+        if self.cache:
+            return self.cache.table(self._key, label, make, partition_by)
+        return freeze(make(), label, partition_by=partition_by)
 
     # -- row level -------------------------------------------------------------------------
     @cached_property
@@ -36,8 +50,8 @@ class Monitor:
 
     @cached_property
     def sizes(self) -> DataFrame:
-        return freeze(windows.deployment_sizes(self._numbered, self.spec.window,
-                                               self.spec.pre_fraction), "sizes")
+        return self._kept("sizes", lambda: windows.deployment_sizes(
+            self._numbered, self.spec.window, self.spec.pre_fraction))
 
     def _require_streams(self) -> None:
         """Refuse the log if a stream is too short for one window on either side of deployment."""
@@ -59,14 +73,28 @@ class Monitor:
     @cached_property
     def scorer_tables(self) -> tuple[DataFrame, DataFrame]:
         """The frozen rate table by key and by stream, fitted on pre-deployment rows only."""
-        s, pre = self.spec, self._placed.filter("segment = 'pre'")
-        keyed, by_stream = (scorer.fit_class_rates(pre, s.classes, s.members) if s.classes
-                            else scorer.fit_means(pre))
-        return freeze(keyed, "key-rates"), freeze(by_stream, "stream-rates")
+        def fitted() -> tuple[DataFrame, DataFrame]:
+            s, pre = self.spec, self._placed.filter("segment = 'pre'")
+            return scorer.fit_class_rates(pre, s.classes, s.members) if s.classes else scorer.fit_means(pre)
+
+        return (self._kept("key-rates", lambda: fitted()[0]), self._kept("stream-rates", lambda: fitted()[1]))
+
+    @cached_property
+    def scorer_model(self) -> boosting.Boosted:
+        """The frozen boosted trees, fitted on pre-deployment rows of all streams."""
+        def fitted() -> boosting.Boosted:
+            settings = boosting.Settings(rounds=self.spec.rounds, depth=self.spec.depth)
+            return boosting.fit(self._placed.filter("segment = 'pre'"), classes=self.spec.classes, settings=settings)
+
+        if not self.cache:
+            return fitted()
+        spark = self.source.sparkSession
+        path, _ = self.cache.folder(self._key, "scorer-model", lambda path: fitted().save(spark, path))
+        return boosting.Boosted.load(spark, path)
 
     @cached_property
     def target_scale(self) -> DataFrame:
-        return freeze(scorer.target_scale(self._placed.filter("segment = 'pre'")), "target-scale")
+        return self._kept("target-scale", lambda: scorer.target_scale(self._placed.filter("segment = 'pre'")))
 
     def scored(self, rows: DataFrame) -> DataFrame:
         """Predictions and loss of any rows with stream_id, score_key and y (batch or streaming);
@@ -75,14 +103,18 @@ class Monitor:
         if s.given:
             return (scorer.given_classes(rows) if s.classes
                     else scorer.given_values(rows, self.target_scale))
+        if s.scorer == "boosted":
+            out = boosting.score(rows, self.scorer_model, members=s.members)
+            return (scorer.given_classes(out) if s.classes
+                    else scorer.given_values(out, self.target_scale))
         if s.classes:
             return scorer.score_classes(rows, *self.scorer_tables, s.members)
         return scorer.score_means(rows, *self.scorer_tables)
 
     @cached_property
     def rows(self) -> DataFrame:
-        scored = self.scored(self._placed).drop("n_rows", "n_pre_windows", "n_windows", "refused")
-        return freeze(scored, "scored", partition_by=("segment",))
+        return self._kept("scored", lambda: self.scored(self._placed).drop(
+            "n_rows", "n_pre_windows", "n_windows", "refused"), ("segment",))
 
     @property
     def pre(self) -> DataFrame:
@@ -96,11 +128,10 @@ class Monitor:
     # -- window level ----------------------------------------------------------------------
     @cached_property
     def all_risk(self) -> DataFrame:
-        grouped = self.rows.filter("window_idx is not null").groupBy(
-            "segment", "stream_id", "window_idx")
-        return freeze(grouped.agg(rk.window_risk(F.col("loss")).alias("risk"),
-                                  F.min("ts").alias("t_start"), F.max("ts").alias("t_stop")),
-                      "risk", partition_by=("segment",))
+        return self._kept("risk", lambda: self.rows.filter("window_idx is not null").groupBy(
+            "segment", "stream_id", "window_idx").agg(
+                rk.window_risk(F.col("loss")).alias("risk"), F.min("ts").alias("t_start"),
+                F.max("ts").alias("t_stop")), ("segment",))
 
     @property
     def risk(self) -> DataFrame:
@@ -113,7 +144,7 @@ class Monitor:
     # -- frozen reference ------------------------------------------------------------------
     @cached_property
     def reference_risk(self) -> DataFrame:
-        return freeze(rk.reference_risk(self.pre_risk), "reference-risk")
+        return self._kept("reference-risk", lambda: rk.reference_risk(self.pre_risk))
 
     @cached_property
     def eps(self) -> DataFrame:
@@ -121,69 +152,90 @@ class Monitor:
 
     @cached_property
     def reference_features(self) -> DataFrame:
-        return freeze(ref.feature_reference(self.pre, len(self.spec.features)),
-                      "reference-features")
+        return self._kept("reference-features", lambda: ref.feature_reference(
+            self.pre, len(self.spec.features)))
 
     @cached_property
     def reference_behaviour(self) -> DataFrame:
-        return freeze(ref.behaviour_reference(self.pre, self.spec.classes), "reference-behaviour")
+        return self._kept("reference-behaviour", lambda: ref.behaviour_reference(
+            self.pre, self.spec.classes))
 
     @cached_property
     def reference_sample(self) -> DataFrame:
-        return freeze(ref.reference_sample(self.pre, self.spec.sample_rows), "reference-sample")
+        return self._kept("reference-sample", lambda: ref.reference_sample(
+            self.pre, self.spec.sample_rows))
 
     @cached_property
     def geometry(self) -> DataFrame:
         width = len(self.spec.features)
-        return freeze(fit_geometry(self.reference_sample, self.reference_features, self.pre, width,
-                                   min(ref.COMPONENTS, width)), "reference-geometry")
+        return self._kept("reference-geometry", lambda: fit_geometry(
+            self.reference_sample, self.reference_features, self.pre, width,
+            min(ref.COMPONENTS, width)))
 
     # -- state blocks ----------------------------------------------------------------------
     @cached_property
     def scales(self) -> DataFrame:
-        return freeze(ref.scale_vectors(self.reference_features), "scales")
+        return self._kept("scales", lambda: ref.scale_vectors(self.reference_features))
+
+    @cached_property
+    def _pass(self) -> WindowPass:
+        width = 0
+        if self.spec.embedding or self.spec.scorer == "boosted":
+            width = self.embedding_reference.agg(F.max("feature")).first()[0] + 1
+        return WindowPass(self.spec.classes, len(self.spec.features), width)
+
+    @cached_property
+    def _frozen(self) -> DataFrame | None:
+        n = len(self.spec.features)
+        return self._kept("frozen-vectors", lambda: frozen_vectors(self.reference_features, n)) if n else None
+
+    @cached_property
+    def windows(self) -> DataFrame:
+        """What the row-level blocks need of each window: one scan of the deployment rows, one shuffle."""
+        return self._kept("windows", lambda: self._pass.run(self.deployment, self._frozen))
+
+    @cached_property
+    def row_blocks(self) -> DataFrame:
+        """Columns of the row-level blocks, without distances from the sample and the cloud's shape."""
+        s = self.spec
+        behaviour = self.reference_behaviour if s.classes else None
+        vectors = embedding_vectors(self.embedding_reference) if s.features or s.embedding else None
+        return self._kept("row-blocks", lambda: self._pass.blocks(self.windows, behaviour, self._frozen, vectors))
 
     @cached_property
     def geometry_block(self) -> DataFrame:
-        n_axes = min(ref.COMPONENTS, len(self.spec.features))
-        return freeze(window_geometry(self.deployment, self.reference_sample,
-                                      self.reference_features, self.geometry, self.sizes,
-                                      len(self.spec.features), n_axes),
-                      "geometry-block")
+        n = len(self.spec.features)
+        return self._kept("geometry-block", lambda: window_shape(
+            self._pass.moments(self.windows), self.geometry, n, min(ref.COMPONENTS, n)).join(
+            window_distances(self.windows, self.reference_sample, self.reference_features,
+                             self.geometry, self.sizes, n), st.KEY, "left"))
 
     def embedded(self, rows: DataFrame) -> DataFrame:
-        """Rows with ``z``: the logged embedding, or inputs in frozen reference units."""
-        if self.spec.embedding:
+        """Rows with ``z``: the logged embedding, the scorer's own, or inputs in frozen reference units."""
+        if self.spec.embedding or self.spec.scorer == "boosted":
             return rows.withColumn("z", F.col("embedding"))
         return ref.standardise(rows, self.scales)
 
     @cached_property
     def embedding_reference(self) -> DataFrame:
-        return freeze(st.embedding_reference(self.embedded(self.pre)), "embedding-reference")
+        return self._kept("embedding-reference", lambda: st.embedding_reference(self.embedded(self.pre)))
 
     def blocks(self, interventions: DataFrame | None = None) -> dict[str, DataFrame]:
         """The state blocks this stream supports, keyed by prefix; feature blocks need inputs."""
-        s = self.spec
-        if s.classes:
-            out = {"pred": st.class_prediction_block(self.deployment, self.reference_behaviour,
-                                                     s.classes),
-                   "unc": st.class_uncertainty_block(self.deployment)}
-            ece = st.calibration_error(self.deployment)
-        else:
-            out = {"pred": st.value_prediction_block(self.deployment),
-                   "unc": st.value_uncertainty_block(self.deployment)}
-            ece = None
-        if s.embedding and not s.features:
-            out["rep"] = st.representation_block(self.embedded(self.deployment),
-                                                 self.embedding_reference)
+        s, rows = self.spec, self.row_blocks
+
+        def own(prefix: str) -> DataFrame:
+            return rows.select(*st.KEY, *[c for c in rows.columns if c.startswith(f"{prefix}_")])
+
+        out = {"pred": own("pred"), "unc": own("unc")}
+        if s.embedding or s.features:
+            out["rep"] = own("rep")
         if s.features:
             cols = self.geometry_block.columns
-            own = st.representation_block(self.embedded(self.deployment), self.embedding_reference)
-            out["rep"] = own.join(self.geometry_block.select(
-                *st.KEY, *[c for c in cols if c.startswith("rep_")]), st.KEY)
-            out["dist"] = st.moment_block(self.deployment, self.reference_features).join(
-                self.geometry_block.select(*st.KEY, *[c for c in cols if c.startswith("dist_")]),
-                st.KEY)
+            for b in ("rep", "dist"):
+                out[b] = own(b).join(self.geometry_block.select(
+                    *st.KEY, *[c for c in cols if c.startswith(f"{b}_")]), st.KEY)
+        ece = rows.select(*st.KEY, "ece") if s.classes else None
         out["fb"] = st.feedback_block(self.risk, self.reference_risk, s.delay, ece=ece)
         out["ctx"] = st.context_block(self.risk)
         out["adapt"] = st.adaptation_block(self.risk, interventions)
@@ -199,7 +251,14 @@ class Monitor:
         chosen = {b: made[b] for b in blocks if b in made}
         if not chosen:
             raise ValueError("no state block was chosen")
-        base = st.assemble(list(chosen.values()))
+        # Blocks of one table are taken from it together, not joined with each other.
+        late = ("fb", "ctx", "adapt")
+        of_rows = tuple(f"{b}_" for b in chosen if b not in late)
+        parts = [made[b] for b in chosen if b in late]
+        if of_rows:
+            shared = [self.row_blocks] + ([self.geometry_block] if {"rep_", "dist_"} & set(of_rows) and self.spec.features else [])
+            parts = [t.select(*st.KEY, *[c for c in t.columns if c.startswith(of_rows)]) for t in shared] + parts
+        base = st.assemble(parts)
         heads = {"pred": "pred_msp_mean" if self.spec.classes else "pred_mean",
                  "rep": "rep_centroid_shift", "dist": "dist_mmd2",
                  "unc": "unc_entropy_mean" if self.spec.classes else "unc_pred_var"}
@@ -214,20 +273,24 @@ class Monitor:
 
     @cached_property
     def states(self) -> DataFrame:
-        return freeze(self.state(), "states")
+        return self._kept("states", self.state)
 
     # -- targets ---------------------------------------------------------------------------
     @cached_property
     def origins(self) -> DataFrame:
         """Censored targets with history and anchor; one row per valid origin."""
         s = self.spec
-        base = targets.censored_targets(self.risk, self.eps, s.horizon)
-        return freeze(targets.with_history(base, self.risk, s.context, s.delay), "origins")
+        return self._kept("origins", lambda: targets.with_history(
+            targets.censored_targets(self.risk, self.eps, s.horizon), self.risk, s.context, s.delay))
 
 
 def monitor(spark: SparkSession, folder: str, spec: StreamSpec) -> Monitor:
-    """Monitor a stored table; the same table and parameters share one set of frozen tables."""
+    """Monitor a stored table; the same table and parameters share one set of frozen tables.
+
+    With the session's setting ``spark.stillvalid.cache.dir`` they are shared by all sessions.
+    """
     at = (spark.sparkContext.applicationId, folder, spec.key())
     if at not in _BUILT:
-        _BUILT[at] = Monitor(table(spark, folder, spec.table), spec)
+        root = spark.conf.get("spark.stillvalid.cache.dir", None)
+        _BUILT[at] = Monitor(table(spark, folder, spec.table), spec, TableCache(spark, root) if root else None)
     return _BUILT[at]

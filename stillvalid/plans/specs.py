@@ -30,6 +30,9 @@ GIVEN = StreamSpec(
     y_pred="l_quantity * 1.5", embedding="array(l_quantity, l_discount * 10, l_tax * 10)",
     window=25, margin=0.02)
 
+# The same lines under a frozen model of boosted trees, 200 rounds for three classes.
+BOOSTED = replace(LINES, name="boosted", scorer="boosted")
+
 VECTORS = StreamSpec(
     name="vectors", table="embeddings", stream="concat('s', cast(vec_id % 2 as string))",
     order=("vec_id",), time="vec_id", target="label", score_key="cast(embedding[0] > 0 as string)",

@@ -10,7 +10,7 @@ from ..operators import state as st
 from ..operators.ordered import halo, own_rows
 from .catalog import query
 from .monitor import Monitor, monitor
-from .specs import EVENTS, GIVEN, LINES, VECTORS
+from .specs import BOOSTED, EVENTS, GIVEN, LINES, VECTORS
 from .targets_queries import split_origins
 
 KEY = st.KEY
@@ -277,3 +277,10 @@ def _(spark, folder):
     """The full state table of a classification stream in one call."""
     m = monitor(spark, folder, LINES)
     return m.states.join(m.risk.select(*KEY, "risk"), KEY)
+
+
+@query("s39_boosted")
+def _(spark, folder):
+    """The full state table under a frozen model of boosted trees with three classes."""
+    m = monitor(spark, folder, BOOSTED)
+    return m.states.join(m.risk.select(*KEY, "risk"), KEY)

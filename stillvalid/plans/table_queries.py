@@ -9,10 +9,11 @@ from ..operators import prepare as prep
 from ..operators import risk as rk
 from ..operators import windows
 from ..session import scratch_path
+from ..sources.cache import TableCache
 from ..sources.stream_log import number_rows
 from ..sources.tables import read_csv, table, write_results
 from .catalog import query
-from .monitor import monitor
+from .monitor import Monitor, monitor
 from .specs import EVENTS, LINES
 
 
@@ -46,6 +47,18 @@ def _(spark, folder):
     return first.sizes.select("stream_id", "n_rows", "boundary")
 
 
+@query("a3_shared_cache")
+def _(spark, folder):
+    """A3: the risk table of a stream that another session has published; nothing is built again."""
+    root = scratch_path(spark, "cache")
+    other = spark.newSession()
+    there = Monitor(table(other, folder, EVENTS.table), EVENTS, TableCache(other, root))
+    there.risk.limit(1).collect()
+    here = Monitor(table(spark, folder, EVENTS.table), EVENTS, TableCache(spark, root))
+    out = here.risk.groupBy("stream_id").agg(F.count(F.lit(1)).alias("n_windows"), F.max("window_idx").alias("last_window"))
+    return out.withColumn("n_built", F.lit(len(here.cache.built)))
+
+
 @query("a4_csv")
 def _(spark, folder):
     """A4: delimited text with a decimal comma, projected while reading."""

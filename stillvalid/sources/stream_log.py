@@ -40,6 +40,11 @@ class StreamSpec:
     context: int = 20
     delay: int = 1
     members: int = 5
+    # The frozen scorer: "rates" (a table of shares or means by key) or "boosted" (trees over the
+    # features, whose projected leaves are the representation).
+    scorer: str = "rates"
+    rounds: int = 200
+    depth: int = 4
     # A given prediction log: expressions for what a deployed model has written beside its inputs.
     # Empty: the frozen rate table predicts.
     y_pred: str = ""            # regression: the prediction

@@ -1,6 +1,7 @@
 """Streaming operators give one result however their rows are dealt over micro-batches."""
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stillvalid.plans.stream_queries import _stream
 from stillvalid.streaming import live
@@ -38,3 +39,53 @@ def test_feedback_features_by_hand():
     got = live.feedback_features(np.array([0.2, 0.5, 0.4, 0.6]), 9, 0.3)
     assert got == pytest.approx((1, 9, 0.6, 0.425, np.std([0.2, 0.5, 0.4, 0.6]), 0.2, 0.6, (0.1 + 0.4 / 3) / 2, 0.2, 0.3, 2, 1))
     assert set(live.feedback_features(np.array([]), 0, None)) == {0.0}
+
+
+def test_lost_window_after_patience(spark, risks):
+    lost = risks.filter("not (stream_id = 'a' and window_idx in (4, 5))")
+    unknown = risks.withColumn("risk", F.expr("if(stream_id = 'a' and window_idx in (4, 5), null, risk)"))
+    with live.keyed_state_store(spark):
+        want = rows_of(live.run_available(live.feedback(_stream(unknown, "u", 3), 2), "u"))
+        got = rows_of(live.run_available(live.feedback(_stream(lost, "l"), 2, patience=3), "l"))
+        stuck = rows_of(live.run_available(live.feedback(_stream(lost, "s", 3), 2), "s"))
+        alarms = [rows_of(live.run_available(live.alarms(_stream(df, "m", 1 if p else 3), 0.1, patience=p), "m")) for df, p in ((unknown, None), (lost, 3))]
+    assert got == want and len(got) == 28
+    assert [r for r in stuck if r[0] == "a"] == [r for r in want if r[0] == "a" and r[1] < 4]
+    assert alarms[0] == alarms[1]
+
+
+def test_lost_window_by_timer(spark, risks, tmp_path):
+    """The watermark passes the windows that wait behind a gap: they come out without a later row of their stream."""
+    timed = risks.withColumn("t", F.timestamp_seconds(F.col("window_idx") * 3600))
+    lost = timed.filter("not (stream_id = 'a' and window_idx = 11)")
+    mark = spark.createDataFrame([("end", 0, None, 0.6, 0.4)], "stream_id string, window_idx bigint, risk double, eps double, risk_mean double")
+    mark = mark.withColumn("t", F.timestamp_seconds(F.lit(10**7)))
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def run(df):
+        df.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(timed.schema).parquet(source).withWatermark("t", "1 hour")
+        return live.run_available(live.feedback(stream, 2, time="t"), "t", path=out)
+
+    with live.keyed_state_store(spark):
+        before = {r[1] for r in rows_of(run(lost)) if r[0] == "a"}
+        after = {r[1] for r in rows_of(run(mark)) if r[0] == "a"}
+    # The last time is hour 13, so the watermark has passed window 12 already: a timer gives up window 11.
+    assert before >= set(range(11)) and after == set(range(14))
+
+
+def test_window_table_counts_late_rows(spark):
+    table = live.WindowTable(spark, "1 hour", delay="10 minutes")
+
+    def batch(*rows):
+        return spark.createDataFrame([(s, m * 60, v) for s, m, v in rows], "stream_id string, s long, loss double").select(
+            "stream_id", F.timestamp_seconds("s").alias("ts"), "loss")
+
+    table(batch(("a", 5, 0.5), ("a", 50, None), ("a", 65, 0.25)), 0)
+    table(batch(("a", 59, 0.5), ("a", 130, 1.0)), 1)        # the mark is 55: the first hour is still open
+    table(batch(("a", 10, 0.5), ("a", 70, 0.75), ("b", 20, 0.1)), 2)  # the mark is 120: two hours have ended
+    table(batch(("a", 10, 0.5), ("a", 70, 0.75), ("b", 20, 0.1)), 2)  # a repeated batch replaces itself
+    got = {(r.stream_id, int(r.h)): (r.n, r.n_known, r.risk, r.n_late) for r in table.windows(final=True).withColumn(
+        "h", F.unix_seconds("w_start") / 3600).collect()}
+    assert got == {("a", 0): (3, 2, None, 1), ("a", 1): (1, 1, 0.25, 1), ("a", 2): (1, 1, 1.0, 0), ("b", 0): (0, 0, None, 1)}
+    assert {(r.stream_id) for r in table.windows().collect()} == {"a", "b"} and table.windows().count() == 3
