@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from stillvalid.plans.model_queries import STUMP_EDGES
 
-from .prelude import normal, r6, uniform
+from .prelude import r6
 from .streams import events, lines
 from .targets import SPLIT
 
@@ -90,14 +90,39 @@ SQL["m18_horizon_readouts"] = events(f"""SELECT stream_id, origin, method, {r6('
  coalesce(min(h) FILTER (WHERE s <= 0.5e0), 21) AS median_horizon,
  count(*) FILTER (WHERE s >= 1e0 - 0.1e0) AS lower_horizon FROM curves GROUP BY stream_id, origin, method""", CURVES)
 
-_FRESH = "sqrt(1 - 0.25e0)"
-PATHS = f"""base AS (SELECT stream_id, origin, eps, round(ln(least(greatest(anchor, 1e-6), 1 - 1e-6)
- / (1 - least(greatest(anchor, 1e-6), 1 - 1e-6))), 12) AS centre, unnest(range(0, 256)) AS draw FROM origins),
-z AS (SELECT *, """ + ", ".join(f"{normal(f'paths{h}', 'stream_id', 'origin', 'draw')} AS z{h}" for h in range(20)) + """
- FROM base),
-e AS (SELECT *, z0 AS e0, """ + ", ".join(f"0.5e0 * e{h - 1} + {_FRESH} * z{h} AS e{h}" for h in range(1, 20)) + """ FROM z),
+def _words() -> str:
+    """CTE w: four random words a, b, c, d for every origin, draw and block, by the counter-based generator."""
+    key = "md5(concat_ws('|', 'paths', stream_id, CAST(origin AS VARCHAR)))"
+    out = (f"SELECT stream_id, origin, eps, centre, draw, block, draw::UBIGINT AS a, block::UBIGINT AS b, 0::UBIGINT AS c, 0::UBIGINT AS d, "
+           f"CAST('0x' || substr({key}, 1, 8) AS UBIGINT) AS k0, CAST('0x' || substr({key}, 9, 8) AS UBIGINT) AS k1 "
+           "FROM base, range(0, 256) AS r(draw), range(0, 5) AS s(block)")
+    for _ in range(10):
+        out = (f"SELECT * EXCLUDE (p, q) REPLACE (xor(xor(q >> 32, b), k0) AS a, q % 4294967296 AS b, xor(xor(p >> 32, d), k1) AS c, "
+               f"p % 4294967296 AS d, (k0 + 2654435769) % 4294967296 AS k0, (k1 + 3144134277) % 4294967296 AS k1) "
+               f"FROM (SELECT *, 3528531795::UBIGINT * a AS p, 3449720151::UBIGINT * c AS q FROM ({out}))")
+    return f"w AS ({out})"
+
+
+def _pair(u: str, v: str) -> str:
+    r, t = f"sqrt(-2e0 * ln(({u} + 0.5e0) / 4294967296e0))", f"(6.283185307179586::DOUBLE * ({v} + 0.5e0) / 4294967296e0)"
+    return f"{r} * cos({t}), {r} * sin({t})"
+
+
+def _lg(x: str) -> str:
+    c = f"least(greatest({x}, 1e-6), 1 - 1e-6)"
+    return f"ln({c} / (1 - {c}))"
+
+
+PATHS = SPLIT + f""", missed AS (SELECT h, {_lg('risk_path[h]')} - {_lg('anchor')} AS e, CASE WHEN risk_path[h + 1] IS NOT NULL THEN {_lg('risk_path[h + 1]')} - {_lg('anchor')} END AS f
+ FROM (SELECT risk_path, anchor, unnest(range(1, 21)) AS h FROM parts WHERE split = 'train') WHERE risk_path[h] IS NOT NULL),
+fit AS (SELECT list(CASE WHEN s > 0 THEN s ELSE 1e-3 END ORDER BY h) AS sd, (SELECT least(greatest(coalesce(round(corr(e, f) FILTER (f IS NOT NULL), 12), 0), 0), 0.99e0)
+ FROM missed) AS rho FROM (SELECT h, round(stddev_pop(e), 12) AS s FROM missed GROUP BY h)),
+base AS (SELECT stream_id, origin, eps, round({_lg('anchor')}, 12) AS centre FROM origins),
+{_words()},
+z AS (SELECT stream_id, origin, eps, centre, draw, flatten(list([{_pair('a', 'b')}, {_pair('c', 'd')}] ORDER BY block)) AS z FROM w GROUP BY ALL),
+e AS (SELECT *, z[1] AS e0, """ + ", ".join(f"rho * e{h - 1} + sqrt(1 - rho * rho) * z[{h + 1}] AS e{h}" for h in range(1, 20)) + """ FROM z, fit),
 p AS (SELECT stream_id, origin, draw, eps, [""" + ", ".join(
-    f"1 / (1 + exp(-(0.25e0 * e{h} + centre)))" for h in range(20)) + """] AS path FROM e)"""
+    f"1 / (1 + exp(-(sd[{h + 1}] * e{h} + centre)))" for h in range(20)) + """] AS path FROM e)"""
 SQL["m15_first_passage"] = events(f"""SELECT stream_id, origin, h, {r6('avg(CAST(list_max(path[1:h]) <= eps AS INTEGER))')} AS s
  FROM (SELECT *, unnest(range(1, 21)) AS h FROM p) GROUP BY stream_id, origin, h""", PATHS)
 SQL["m17_mean_path"] = events(f"""SELECT stream_id, origin, h, {r6('avg(path[h])')} AS pred

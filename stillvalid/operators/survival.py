@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import bind, normal, total
+from ..functions.numeric import bind, clip, total
 from ..session import freeze
 from .ordered import exact_quantiles, index_bucket
 
@@ -242,28 +243,80 @@ def cox_predict(test: DataFrame, covariates: Sequence[str], beta: np.ndarray,
 
 
 # -- first passage ---------------------------------------------------------------------------
-def sample_paths(forecasts: DataFrame, spread: Sequence[float], persistence: float, draws: int,
-                 seed: str = "paths") -> DataFrame:
-    """Risk paths around a forecast on the logit scale with autoregressive Gaussian steps.
-
-    ``forecasts`` has stream_id, origin, eps and ``centre``, the logit forecast of each horizon.
-    One row per origin and draw; the path stays an array.
+# Fixed values of the counter-based generator (Philox, 4 words of 32 bits, 10 rounds).
+_MULTIPLY = (0xD2511F53, 0xCD9E8D57)
+_WEYL = (0x9E3779B9, 0xBB67AE85)
+_WORD = np.uint64(0xFFFFFFFF)
+#: Origins worked on at a time by one task.
+_ORIGINS = 64
+
+
+def counter_words(counter: Sequence[np.ndarray], key: Sequence[np.ndarray]) -> list[np.ndarray]:
+    """Four random words of 32 bits for every counter (four words) under its key (two words)."""
+    c, k = [np.asarray(x, np.uint64) for x in counter], [np.asarray(x, np.uint64) for x in key]
+    half = np.uint64(32)
+    for _ in range(10):
+        p, q = np.uint64(_MULTIPLY[0]) * c[0], np.uint64(_MULTIPLY[1]) * c[2]
+        c = [(q >> half) ^ c[1] ^ k[0], q & _WORD, (p >> half) ^ c[3] ^ k[1], p & _WORD]
+        k = [(k[0] + np.uint64(_WEYL[0])) & _WORD, (k[1] + np.uint64(_WEYL[1])) & _WORD]
+    return c
+
+
+def counter_normals(keys: np.ndarray, draws: int, n: int) -> np.ndarray:
+    """Standard normals (key, draw, n): a function of the key's two words and the position alone."""
+    blocks = -(-n // 4)
+    place = np.ix_(range(len(keys)), range(draws), range(blocks))
+    words = counter_words([np.broadcast_to(x, (len(keys), draws, blocks)) for x in (place[1], place[2], 0, 0)],
+                          [keys[:, i, None, None] for i in (0, 1)])
+    u = [(w.astype(float) + 0.5) / 4294967296.0 for w in words]
+    out = []
+    for a, b in ((u[0], u[1]), (u[2], u[3])):
+        r, angle = np.sqrt(-2.0 * np.log(a)), 6.283185307179586 * b
+        out += [r * np.cos(angle), r * np.sin(angle)]
+    return np.stack(out, axis=-1).reshape(len(keys), draws, -1)[:, :, :n]
+
+
+def sampled_paths(forecasts: DataFrame, spread: Sequence[float], persistence: float, draws: int,
+                  seed: str = "paths") -> DataFrame:
+    """First-passage survival (``surv``) and mean (``pred``) of risk paths sampled around a forecast.
+
+    ``forecasts`` has stream_id, origin, eps and ``centre``, the logit forecast of each horizon. Steps
+    are autoregressive Gaussian on the logit scale. Draws come from a counter-based generator keyed by
+    the origin, so paths are neither rows nor shuffled, and any layout gives the same ones.
     """
-    horizon = len(spread)
-    # Few small rows become many expensive ones here, so they are spread over all tasks first.
-    tasks = int(forecasts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = forecasts.repartition(tasks, "stream_id", "origin").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    z = [normal(f"{seed}{h}", "stream_id", "origin", "draw") for h in range(horizon)]
+    scale, horizon = np.array(spread, float), len(spread)
     fresh = float(np.sqrt(max(0.0, 1.0 - persistence ** 2)))
-    noise = F.aggregate(
-        F.array(*z), F.array().cast("array<double>"),
-        lambda a, v: F.concat(a, F.array(F.coalesce(
-            persistence * F.try_element_at(a, F.lit(-1)) + fresh * v, v))))
-    scale = F.array(*[F.lit(float(s)) for s in spread])
-    shifted = F.zip_with(F.zip_with(noise, scale, lambda e, s: e * s), "centre",
-                         lambda e, c: e + c)
-    path = F.transform(shifted, lambda v: 1.0 / (1.0 + F.exp(-v)))
-    return out.select("stream_id", "origin", "draw", "eps", path.alias("path"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in range(0, len(batch), _ORIGINS):
+                part = batch.iloc[i:i + _ORIGINS]
+                z = counter_normals(part[["_k0", "_k1"]].to_numpy(np.uint64), draws, horizon)
+                for h in range(1, horizon):
+                    z[:, :, h] = persistence * z[:, :, h - 1] + fresh * z[:, :, h]
+                path = 1.0 / (1.0 + np.exp(-(z * scale + np.stack(part["centre"].to_numpy())[:, None, :])))
+                above = path > part["eps"].to_numpy(float)[:, None, None]
+                alive = ~np.logical_or.accumulate(above, axis=2)
+                yield part[["stream_id", "origin"]].assign(surv=list(alive.mean(axis=1)), pred=list(path.mean(axis=1)))
+
+    digest = F.md5(F.concat_ws("|", F.lit(seed), "stream_id", F.col("origin").cast("string")))
+    words = [F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("bigint").alias(f"_k{i}") for i in (0, 1)]
+    # Few small rows become many costly draws here, so they are spread over all tasks first.
+    tasks = int(forecasts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = forecasts.select("stream_id", "origin", "eps", "centre", *words).repartition(tasks, "stream_id", "origin")
+    return rows.mapInPandas(run, "stream_id string, origin bigint, surv array<double>, pred array<double>")
+
+
+def anchor_residuals(train: DataFrame, horizon: int) -> tuple[list[float], float]:
+    """Spread per horizon and lag-one correlation of what the anchor misses on the logit scale."""
+    def logit(x: Column) -> Column:
+        return bind(clip(x, 1e-6, 1.0 - 1e-6), lambda p: F.log(p / (1.0 - p)))
+
+    path = train.select(F.transform("risk_path", lambda r: logit(r) - logit(F.col("anchor"))).alias("_e"))
+    long = path.select(F.posexplode("_e").alias("_h", "_v"), "_e").select("_h", "_v", F.get("_e", F.col("_h") + 1).alias("_next"))
+    spread = {r["_h"]: r["s"] for r in long.groupBy("_h").agg(F.round(F.stddev_pop("_v"), 12).alias("s")).collect()}  # H rows
+    rho = long.agg(F.round(F.corr("_v", "_next"), 12)).first()[0]
+    return [float(spread.get(h) or 1e-3) for h in range(horizon)], float(min(max(rho or 0.0, 0.0), 0.99))
 
 
 def first_passage(paths: DataFrame, eps: Column | None = None) -> DataFrame:

@@ -134,30 +134,27 @@ def _(spark, folder):
 def _(spark, folder):
     """First-passage survival from paths sampled around the fitted risk path."""
     out, sigma, rho = _risk_model(events_contest(spark, folder))
-    paths = survival.sample_paths(out.select("stream_id", "origin", "eps", "centre"), sigma, rho,
-                                  256)
-    return curve_rows(survival.first_passage(paths), "stream_id", "origin")
+    return curve_rows(survival.sampled_paths(out, sigma, rho, 256), "stream_id", "origin")
 
 
 def _anchor_paths(spark, folder):
-    o = monitor(spark, folder, EVENTS).origins
+    """Paths around the anchor of every origin; their spread is that of the training origins."""
+    c = events_contest(spark, folder)
+    sigma, rho = survival.anchor_residuals(c.part("train"), 20)
     centre = F.array_repeat(settle(learned.logit(F.col("anchor"))), 20)
-    return survival.sample_paths(o.select("stream_id", "origin", "eps", centre.alias("centre")),
-                                 [0.25] * 20, 0.5, 256)
+    return survival.sampled_paths(c.monitor.origins.withColumn("centre", centre), sigma, rho, 256)
 
 
 @query("m15_first_passage")
 def _(spark, folder):
     """First-passage survival from paths sampled around the anchor."""
-    return curve_rows(survival.first_passage(_anchor_paths(spark, folder)), "stream_id",
-                      "origin")
+    return curve_rows(_anchor_paths(spark, folder), "stream_id", "origin")
 
 
 @query("m17_mean_path")
 def _(spark, folder):
     """Mean of the sampled risk paths."""
-    out = survival.mean_path(_anchor_paths(spark, folder))
-    return out.select("stream_id", "origin", F.posexplode("pred").alias("_i", "pred")).select(
+    return _anchor_paths(spark, folder).select("stream_id", "origin", F.posexplode("pred").alias("_i", "pred")).select(
         "stream_id", "origin", (F.col("_i") + 1).alias("h"), "pred")
 
 

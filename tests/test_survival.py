@@ -289,3 +289,30 @@ def test_levinson_solves_each_row_alone():
         np.testing.assert_allclose(got[i], np.linalg.solve(system, gamma[i, 1:]))
     assert np.isnan(got[2]).any()
     assert np.isfinite(yule_walker_paths(np.abs(x) / 4, 3, 6)).all()
+
+
+def test_counter_generator_known_answer():
+    words = survival.counter_words([np.zeros(1)] * 4, [np.zeros(1)] * 2)
+    assert [int(w[0]) for w in words] == [0x6627E8D5, 0xE169C58D, 0xBC57AC4C, 0x9B00DBD8]
+    ones = [np.full(1, 0xFFFFFFFF, np.uint64)]
+    assert [int(w[0]) for w in survival.counter_words(ones * 4, ones * 2)] == [0x408F276D, 0x41C83B0E, 0xA20BC7C6, 0x6D5451FD]
+
+
+def test_sampled_paths_follow_their_model(spark):
+    rows = [("a", o, 0.4, [0.1 * o - 0.5] * 6) for o in range(5)]
+    df = spark.createDataFrame(rows, "stream_id string, origin long, eps double, centre array<double>")
+    spread, rho = [0.2, 0.3, 0.4, 0.4, 0.5, 0.5], 0.6
+    got = {r.origin: r for r in survival.sampled_paths(df, spread, rho, 4000).collect()}
+    again = {r.origin: r for r in survival.sampled_paths(df.repartition(3), spread, rho, 4000).collect()}
+    assert {o: (r.surv, r.pred) for o, r in got.items()} == {o: (r.surv, r.pred) for o, r in again.items()}
+    rng = np.random.default_rng(1)
+    z = rng.normal(size=(4000, 6))
+    for h in range(1, 6):
+        z[:, h] = rho * z[:, h - 1] + np.sqrt(1 - rho ** 2) * z[:, h]
+    for _, o, eps, centre in rows:
+        path = 1 / (1 + np.exp(-(z * spread + np.array(centre))))
+        alive = ~np.logical_or.accumulate(path > eps, axis=1)
+        assert np.allclose(got[o].pred, path.mean(0), atol=0.02) and np.allclose(got[o].surv, alive.mean(0), atol=0.04)
+    x = survival.counter_normals(np.array([[1, 2], [3, 4]], np.uint64), 20_000, 5)
+    assert x.shape == (2, 20_000, 5) and abs(x.mean()) < 0.01 and abs(x.std() - 1) < 0.01
+    assert np.abs(np.corrcoef(x.transpose(0, 2, 1).reshape(10, -1)) - np.eye(10)).max() < 0.04
