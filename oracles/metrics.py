@@ -100,20 +100,23 @@ blocks AS (SELECT method, sum(abs(pred - r)) AS s, count(*) AS n, row_number() O
  GROUP BY method, stream_id),
 picks AS (SELECT method, draw, CAST(floor({uniform('boot', 'method', 'draw', 'id')} * nb) AS BIGINT) AS pick
  FROM blocks, range(0, 2000) AS d(draw))""")
+# Bit draw % 128 of the digest of a block's name and draw // 128.
+_FLIP = ("(CAST('0x' || substr(md5(concat_ws('|', 'flip', CAST(h AS VARCHAR), baseline, stream_id, CAST(draw // 128 AS VARCHAR))), "
+         "CAST(1 + draw % 128 // 4 AS BIGINT), 1) AS INTEGER) >> CAST(3 - draw % 4 AS INTEGER)) % 2 = 1")
 MM = """,
 mm AS (SELECT *, avg(m) OVER (PARTITION BY h, baseline) AS obs, count(*) OVER (PARTITION BY h, baseline) AS nb FROM
  (SELECT h, baseline, stream_id, round(avg(a - b), 12) AS m FROM ab GROUP BY h, baseline, stream_id))"""
 SQL["e20_blocked_permutation"] = events(f"""SELECT h, baseline, {r6('any_value(obs)')} AS observed, any_value(nb) AS n_blocks,
  {r6('greatest(avg(CAST(abs(nul) >= abs(obs) - 1e-12 AS INTEGER)), 1 / 20000)')} AS p_value,
  {r6('pow(2e0, 1 - any_value(nb))')} AS min_attainable_p FROM (SELECT h, baseline, draw, any_value(obs) AS obs, any_value(nb)
- AS nb, avg(CASE WHEN {uniform('flip', 'h', 'baseline', 'draw', 'stream_id')} < 0.5e0 THEN -m ELSE m END) AS nul
+ AS nb, avg(CASE WHEN {_FLIP} THEN -m ELSE m END) AS nul
  FROM mm, range(0, 20000) AS d(draw) GROUP BY h, baseline, draw) GROUP BY h, baseline""", PAIRS + MM)
 SQL["e17_holm"] = events(f"""SELECT h, baseline, {r6('p')} AS p_raw, {r6('adj')} AS p_adjusted, CAST(adj <= 0.05e0 AS BIGINT)
  AS rejected FROM (SELECT *, least(max((n - i + 1) * p) OVER (PARTITION BY h ORDER BY i), 1e0) AS adj FROM (SELECT *,
  row_number() OVER (PARTITION BY h ORDER BY p) AS i, count(*) OVER (PARTITION BY h) AS n FROM flips))""", PAIRS + MM + f""",
 flips AS (SELECT h, baseline, greatest(avg(CAST(abs(nul) >= abs(obs) - 1e-12 AS INTEGER)), 1 / 20000) AS p FROM (
  SELECT h, baseline, draw, any_value(obs) AS obs,
- avg(CASE WHEN {uniform('flip', 'h', 'baseline', 'draw', 'stream_id')} < 0.5e0 THEN -m ELSE m END) AS nul
+ avg(CASE WHEN {_FLIP} THEN -m ELSE m END) AS nul
  FROM mm, range(0, 20000) AS d(draw) GROUP BY h, baseline, draw) GROUP BY h, baseline)""")
 TAGGED = CURVES + """, tagged AS (SELECT method || '|' || stream_id AS method, stream_id, origin, y_tilde, event, h, s FROM curves)"""
 RESULTS = (TAGGED + "," + pairs("tagged") + "," + dcal(11, "tagged") + "," + brier("tagged", "test") + f""",

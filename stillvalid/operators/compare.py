@@ -6,8 +6,13 @@ Ranks come from value counts and running sums, so no sample is sorted in one tas
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +23,8 @@ from .ordered import running_sum, unit_bucket
 # Significance level and smallest effect that counts.
 ALPHA = 0.05
 MIN_EFFECT = 0.147
+#: Draws in one vector of partial sums; keys that a task holds at once.
+PART, KEYS_HELD = 4096, 64
 
 
 def pair_methods(scores: DataFrame, method: str, value: str) -> DataFrame:
@@ -157,23 +164,56 @@ def blocked_bootstrap(values: DataFrame, keys: Sequence[str], value: str, block:
 
 def blocked_permutation(pairs: DataFrame, keys: Sequence[str], block: str = "stream_id",
                         draws: int = 20000, seed: str = "flip") -> DataFrame:
-    """Two-sided p of the mean block difference under random sign flips of whole blocks."""
+    """Two-sided p of the mean block difference under random sign flips of whole blocks.
+
+    Draws are vectors, never rows: every task adds its blocks' signed differences up.
+    """
     means = pairs.filter(F.col("a").isNotNull() & F.col("b").isNotNull()).groupBy(
         *keys, block).agg(settle(F.avg(F.col("a") - F.col("b"))).alias("_m"))
-    obs = means.groupBy(*keys).agg(F.avg("_m").alias("observed"),
-                                   F.count(F.lit(1)).alias("n_blocks"))
-    flips = means.select(*keys, block, "_m", F.explode(
-        F.sequence(F.lit(0), F.lit(draws - 1))).alias("_draw"))
-    sign = F.when(uniform(seed, *keys, "_draw", block) < 0.5, -1.0).otherwise(1.0)
-    null = flips.groupBy(*keys, "_draw").agg(F.avg(sign * F.col("_m")).alias("_null"))
-    extreme = (F.abs("_null") >= F.abs("observed") - 1e-12).cast("double")
-    p = null.join(obs, list(keys)).groupBy(*keys, "observed", "n_blocks").agg(
-        F.avg(extreme).alias("_p"))
+    text = F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") for k in keys], F.col(block).cast("string"))
+    rows = means.select(*keys, "_m", text.alias("_text"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:len(keys)])
+
+    def flipped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Sums over a task's blocks under every draw: one vector for each key, in parts."""
+        sums: dict[tuple, list] = {}
+        for batch in batches:
+            for *key, m, name in batch.itertuples(index=False, name=None):
+                own = sums.setdefault(tuple(key), [0, 0.0, np.zeros(draws)])
+                own[0], own[1] = own[0] + 1, own[1] + m
+                own[2] += np.where(sign_bits(name, draws), -m, m)
+            if len(sums) > KEYS_HELD:
+                yield parts(sums)
+                sums = {}
+        if sums:
+            yield parts(sums)
+
+    def parts(sums: dict[tuple, list]) -> pd.DataFrame:
+        out = [(*key, n, total, i, list(part)) for key, (n, total, draw) in sums.items()
+               for i, part in enumerate(np.array_split(draw, -(-draws // PART)))]
+        return pd.DataFrame(out, columns=[*keys, "_n", "_total", "_part", "_sums"])
+
+    # What is shuffled is a few vectors from each task, however many blocks there are.
+    vectors = rows.mapInPandas(flipped, f"{kinds}, _n bigint, _total double, _part int, _sums array<double>")
+    joint = vectors.groupBy(*keys, "_part").agg(
+        F.sum("_n").alias("n_blocks"), F.sum("_total").alias("_total"),
+        vector_to_array(Summarizer.sum(array_to_vector("_sums"))).alias("_sums"))
+    n = F.col("n_blocks")
+    extreme = F.size(F.filter("_sums", lambda v: F.abs(v / n) >= F.abs(F.col("_total") / n) - 1e-12))
+    p = joint.withColumn("_extreme", extreme).groupBy(*keys).agg(
+        F.first("n_blocks").alias("n_blocks"), (F.first("_total") / F.first("n_blocks")).alias("observed"),
+        (F.sum("_extreme") / draws).alias("_p"))
     return p.select(*keys, "observed", "n_blocks",
                     F.greatest(F.col("_p"), F.lit(1.0 / draws)).alias("p_value"),
                     F.pow(F.lit(2.0), 1 - F.col("n_blocks")).alias("min_attainable_p"))
 
 
+def sign_bits(name: str, draws: int) -> np.ndarray:
+    """Whether each draw flips a block: the bits of digests of its name, 128 draws from each."""
+    digests = b"".join(hashlib.md5(f"{name}|{i}".encode()).digest() for i in range(-(-draws // 128)))
+    return np.unpackbits(np.frombuffer(digests, np.uint8))[:draws].astype(bool)
+
+
 # -- summaries and verdicts ------------------------------------------------------------------
 def summarise_seeds(results: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per key over seeds: concordance and score spread, calibration rejections, seeds beaten.
