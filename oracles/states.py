@@ -300,3 +300,5 @@ SQL["s38_census"] = events("SELECT stream_id, 'pred' AS block, 8::BIGINT AS n_co
     "quantile_cont(y_pred, 0.75e0) - quantile_cont(y_pred, 0.25e0) AS iqr, "
     + ", ".join(f"quantile_cont(y_pred, {q}e0) AS q{i}" for i, (_, q) in enumerate(_QS))
     + f" FROM {_DEP} GROUP BY stream_id, window_idx)")
+SQL["s33_regime"] = events("""SELECT stream_id, window_idx, arg_min(CASE WHEN hour(ts) >= 12 THEN 1e0 ELSE 0e0 END, seg_row) AS ctx_regime
+ FROM scored WHERE segment = 'dep' AND window_idx IS NOT NULL GROUP BY stream_id, window_idx""")

@@ -188,7 +188,7 @@ def _(spark, folder):
     """Frozen random forest for three classes."""
     m = monitor(spark, folder, LINES)
     rows = m.rows.select("segment", "stream_id", "row_idx", "window_idx", "x", "y")
-    model = learned.fit_scorer(rows.filter("segment = 'pre'"), "forest", classes=3, numTrees=10)
+    model = learned.fit_scorer(rows.filter("segment = 'pre'"), "forest", classes=3, numTrees=200)
     return _by_window(learned.score(rows, model, 3), F.avg(F.col("proba")[2]).alias("mean_p"))
 
 

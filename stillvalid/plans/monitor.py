@@ -128,10 +128,11 @@ class Monitor:
     # -- window level ----------------------------------------------------------------------
     @cached_property
     def all_risk(self) -> DataFrame:
+        regime = [F.min_by("regime", "seg_row").alias("regime")] if self.spec.regime else []
         return self._kept("risk", lambda: self.rows.filter("window_idx is not null").groupBy(
             "segment", "stream_id", "window_idx").agg(
                 rk.window_risk(F.col("loss")).alias("risk"), F.min("ts").alias("t_start"),
-                F.max("ts").alias("t_stop")), ("segment",))
+                F.max("ts").alias("t_stop"), *regime), ("segment",))
 
     @property
     def risk(self) -> DataFrame:
@@ -237,7 +238,7 @@ class Monitor:
                     *st.KEY, *[c for c in cols if c.startswith(f"{b}_")]), st.KEY)
         ece = rows.select(*st.KEY, "ece") if s.classes else None
         out["fb"] = st.feedback_block(self.risk, self.reference_risk, s.delay, ece=ece)
-        out["ctx"] = st.context_block(self.risk)
+        out["ctx"] = st.context_block(self.risk, "regime" if s.regime else None)
         out["adapt"] = st.adaptation_block(self.risk, interventions)
         return out
 

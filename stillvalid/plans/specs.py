@@ -11,6 +11,9 @@ EVENTS = StreamSpec(
     order=("ts", "event_id"), time="ts", target="value", score_key="event_type",
     window=5, margin=0.05)
 
+# The events with a known operating regime: the second half of the day.
+SHIFTS = replace(EVENTS, name="shifts", regime="cast(hour(ts) >= 12 as double)")
+
 # Ties in the ship date are broken by every other column: the table has no unique key.
 _LINE_ORDER = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
                "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")

@@ -10,7 +10,7 @@ from ..operators import state as st
 from ..operators.ordered import halo, own_rows
 from .catalog import query
 from .monitor import Monitor, monitor
-from .specs import BOOSTED, EVENTS, GIVEN, LINES, VECTORS
+from .specs import BOOSTED, EVENTS, GIVEN, LINES, SHIFTS, VECTORS
 from .targets_queries import split_origins
 
 KEY = st.KEY
@@ -284,3 +284,9 @@ def _(spark, folder):
     """The full state table under a frozen model of boosted trees with three classes."""
     m = monitor(spark, folder, BOOSTED)
     return m.states.join(m.risk.select(*KEY, "risk"), KEY)
+
+
+@query("s33_regime")
+def _(spark, folder):
+    """The operating regime of each window, as the state table of a stream with regimes has it."""
+    return monitor(spark, folder, SHIFTS).state(("ctx",)).select(*KEY, "ctx_regime")

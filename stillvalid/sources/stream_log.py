@@ -40,6 +40,7 @@ class StreamSpec:
     context: int = 20
     delay: int = 1
     members: int = 5
+    regime: str = ""            # number that names the operating regime; a window has its first row's
     # The frozen scorer: "rates" (a table of shares or means by key) or "boosted" (trees over the
     # features, whose projected leaves are the representation).
     scorer: str = "rates"
@@ -71,6 +72,8 @@ def select_stream(df: DataFrame, spec: StreamSpec) -> DataFrame:
             F.expr(spec.score_key).cast("string").alias("score_key")]
     if spec.features:
         cols.append(F.array(*[finite(F.expr(f)) for f in spec.features]).alias("x"))
+    if spec.regime:
+        cols.append(finite(F.expr(spec.regime)).alias("regime"))
     if spec.given:
         if spec.classes:
             cols.append(F.expr(spec.proba).cast("array<double>").alias("proba"))
