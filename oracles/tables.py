@@ -106,3 +106,5 @@ SQL["l5_threshold"] = events("SELECT stream_id, " + r6("avg(risk)") + " AS risk_
 SQL["l6_rethreshold"] = events(" UNION ALL ".join(
     f"SELECT stream_id, {r6(f'least(quantile_cont(risk, 0.75e0) + {dbl(v)}, 1e0)')} AS eps, '{n}' AS margin "
     "FROM pre_risk GROUP BY stream_id" for n, v in (("m02", .02), ("m20", .2), ("m90", .9))))
+SQL["a5_doubled_keys"] = """SELECT 's' || CAST(l_suppkey % 5 AS VARCHAR) AS stream_id, count(*) - count(DISTINCT l_shipdate) AS n_doubled
+ FROM lineitem GROUP BY 1"""

@@ -10,7 +10,7 @@ from ..operators import risk as rk
 from ..operators import windows
 from ..session import scratch_path
 from ..sources.cache import TableCache
-from ..sources.stream_log import number_rows
+from ..sources.stream_log import doubled_keys, number_rows, ranged_rows
 from ..sources.tables import read_csv, table, write_results
 from .catalog import query
 from .monitor import Monitor, monitor
@@ -81,6 +81,13 @@ def _(spark, folder):
     return prep.stream_violations(numbered, ["value"])
 
 
+@query("a5_doubled_keys")
+def _(spark, folder):
+    """Rows that have the time of the row before them, per stream, also across range partitions."""
+    rows = table(spark, folder, "lineitem").select(F.expr(LINES.stream).alias("stream_id"), "l_shipdate")
+    return doubled_keys(ranged_rows(rows, ["stream_id"], ["l_shipdate"], "doubled"), ["stream_id"], ["l_shipdate"])
+
+
 @query("a6_long_enough")
 def _(spark, folder):
     """Enough rows and windows for one origin with a whole horizon."""

@@ -40,6 +40,7 @@ class StreamSpec:
     context: int = 20
     delay: int = 1
     members: int = 5
+    unique_order: bool = False  # refuse rows that no order column tells apart
     regime: str = ""            # number that names the operating regime; a window has its first row's
     # The frozen scorer: "rates" (a table of shares or means by key) or "boosted" (trees over the
     # features, whose projected leaves are the representation).
@@ -89,12 +90,29 @@ def select_stream(df: DataFrame, spec: StreamSpec) -> DataFrame:
     return df.select(*cols)
 
 
-def number_rows(df: DataFrame, keys: list[str], order: list[str], label: str,
+def doubled_keys(placed: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Per key: rows that have the same order columns as the row before them (``n_doubled``).
+
+    ``placed`` holds sorted ranges (``_part``) with positions (``_pos``). Neighbours are compared
+    inside a range, and the first row of a range with the last row of the range before it.
+    """
+    names = [*keys, *order]
+    rows = placed.select("_part", "_pos", *names, F.struct(*names).alias("_row"))
+    inside = Window.partitionBy("_part").orderBy("_pos")
+    same = F.coalesce(F.col("_row").eqNullSafe(F.lag("_row").over(inside)) & F.lag("_pos").over(inside).isNotNull(), F.lit(False))
+    found = rows.withColumn("_same", same).groupBy(*keys).agg(F.count_if("_same").alias("n"))
+    edges = rows.groupBy("_part").agg(F.min_by("_row", "_pos").alias("_first"), F.max_by("_row", "_pos").alias("_last"))
+    before = F.lag("_last").over(Window.orderBy("_part"))                  # one row for each range
+    cut = edges.withColumn("_before", before).filter(F.col("_first").eqNullSafe(F.col("_before"))).select(
+        *[F.col(f"_first.{k}").alias(k) for k in keys], F.lit(1).cast("bigint").alias("n"))
+    return found.unionByName(cut).groupBy(*keys).agg(F.sum("n").alias("n_doubled"))
+
+
+def ranged_rows(df: DataFrame, keys: list[str], order: list[str], label: str,
                 partitions: int | None = None) -> DataFrame:
-    """Add ``row_idx`` (0-based, dense) per key in the given order, for any stream size.
+    """Rows in sorted ranges, written once: ``_part`` and ``_pos``.
 
-    The random last sort key spreads rows that are equal in every order column over several
-    partitions; equal rows are interchangeable, so the numbering does not change.
+    The random last sort key spreads rows that are equal in every order column over several ranges.
     """
     by = [*keys, *order, "_salt"]
     salted = df.withColumn("_salt", F.rand(7))
@@ -107,7 +125,21 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str], label: str,
                 .withColumn("_part", F.spark_partition_id())
                 .withColumn("_pos", F.monotonically_increasing_id())
                 .drop("_salt"))
-    placed = freeze(ranged, f"{label}-ranged")
+    return freeze(ranged, f"{label}-ranged")
+
+
+def number_rows(df: DataFrame, keys: list[str], order: list[str], label: str,
+                partitions: int | None = None, unique: bool = False) -> DataFrame:
+    """Add ``row_idx`` (0-based, dense) per key in the given order, for any stream size.
+
+    Rows that are equal in every order column are numbered in any order; with ``unique`` they are
+    refused, and so is the whole table.
+    """
+    placed = ranged_rows(df, keys, order, label, partitions)
+    if unique:
+        bad = doubled_keys(placed, keys, order).filter("n_doubled > 0").orderBy(*keys).limit(10).collect()
+        if bad:
+            raise ValueError(f"doubled order keys: {[r.asDict() for r in bad]}")
     sizes = placed.groupBy(*keys, "_part").agg(F.min("_pos").alias("_first"),
                                                F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -121,4 +153,5 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str], label: str,
 
 def numbered_log(df: DataFrame, spec: StreamSpec) -> DataFrame:
     order = [f"_o{i}" for i in range(len(spec.order))]
-    return number_rows(select_stream(df, spec), ["stream_id"], order, spec.name).drop(*order)
+    return number_rows(select_stream(df, spec), ["stream_id"], order, spec.name,
+                       unique=spec.unique_order).drop(*order)

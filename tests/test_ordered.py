@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stillvalid.operators.ordered import (exact_quantiles, index_bucket, running_sum, unit_bucket)
-from stillvalid.sources.stream_log import number_rows
+from stillvalid.sources.stream_log import doubled_keys, number_rows, ranged_rows
 
 
 def test_row_numbers_of_a_hot_stream_span_partitions(spark):
@@ -58,3 +58,14 @@ def test_ranges_follow_concentrated_values(spark):
     assert max(sizes) < 4 * len(v) / 64
     got = exact_quantiles(df, ["k"], "v", {"a": 0.1, "b": 0.5, "c": 0.93}).first()
     np.testing.assert_allclose([got["a"], got["b"], got["c"]], np.quantile(v, [0.1, 0.5, 0.93]))
+
+
+@pytest.mark.parametrize("partitions", [1, 7, 40])
+def test_doubled_keys_across_range_edges(spark, partitions):
+    twice = spark.createDataFrame([(s, i // 2, i) for s in ("a", "b") for i in range(60)] + [("c", None, 1), ("c", None, 2), ("c", 5, 3)],
+                                  "s string, t long, v long")
+    found = {r.s: r.n_doubled for r in doubled_keys(ranged_rows(twice, ["s"], ["t"], "d", partitions), ["s"], ["t"]).collect()}
+    assert found == {"a": 30, "b": 30, "c": 1}
+    with pytest.raises(ValueError, match="doubled order keys.*'a'"):
+        number_rows(twice, ["s"], ["t"], "d", partitions, unique=True)
+    assert number_rows(twice, ["s"], ["t", "v"], "d", partitions, unique=True).count() == 123
