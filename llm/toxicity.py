@@ -216,7 +216,8 @@ def features(texts: pa.Array, m: list[tuple[Table, Table]], bits: int) -> np.nda
             continue
         code, first = words.coded(c)
         key, n = packed(c.raw, c.starts[first], c.ends[first] - c.starts[first])
-        own = np.add.reduceat(evidence(key, m, bits), np.cumsum(n) - n)
+        kinds, kind = np.unique(key, return_inverse=True)  # words share most of their strings
+        own = np.add.reduceat(evidence(kinds, m, bits)[kind], np.cumsum(n) - n)
         doc.append(c.docs)
         value.append(own[code])
         size.append((c.ends - c.starts + 1).astype(float))
