@@ -90,6 +90,32 @@ SQL["e16_signed_ranks"] = events(f"""SELECT h, baseline, {r6('sum(rk * CASE WHEN
  count(*) FILTER (WHERE far) AS n_far FROM (SELECT *, rank() OVER (PARTITION BY h, baseline ORDER BY abs(d))
  + (count(*) OVER (PARTITION BY h, baseline, abs(d)) - 1) / 2e0 AS rk, count(*) OVER (PARTITION BY h, baseline, abs(d)) AS t
  FROM (SELECT h, baseline, round(a - b, 12) AS d, abs(a - b) > 1e-8 + 1e-5 * abs(b) AS far FROM ab)) GROUP BY h, baseline""", PAIRS)
+
+
+def normal_tail(z: str) -> str:
+    """P(Z <= z) from a series of positive terms."""
+    x = f"(abs({z}) / sqrt(2e0))"
+    term = (f"exp(k * ln(2e0) + (2 * k + 1) * ln({x}) - {x} * {x} - (k + 1) * ln(2e0) - lgamma(k + 1.5e0) + 0.5e0 * ln(pi()))")
+    erf = f"CASE WHEN {z} = 0 THEN 0 ELSE least(2 / sqrt(pi()) * list_sum(list_transform(range(0, 2000), lambda k: {term})), 1e0) END"
+    return f"(0.5e0 * (1 + sign({z}) * ({erf})))"
+
+
+SQL["e19_comparison"] = events(f"""SELECT h, baseline, {r6('method_mean')} AS method_mean, {r6('baseline_mean')} AS baseline_mean, n_pairs,
+ {r6('p')} AS p_raw, {r6('effect_delta')} AS effect_delta, {r6('effect_d')} AS effect_d, {r6('adj')} AS p_adjusted,
+ CAST(adj <= 0.05e0 AS BIGINT) AS rejected, CAST(adj <= 0.05e0 AND abs(effect_delta) >= 0.147e0 AS BIGINT) AS beats
+ FROM (SELECT *, least(max((n - i + 1) * p) OVER (PARTITION BY h ORDER BY i), 1e0) AS adj FROM (SELECT *,
+ row_number() OVER (PARTITION BY h ORDER BY p) AS i, count(*) OVER (PARTITION BY h) AS n FROM tested))
+ JOIN means USING (h, baseline) JOIN delta USING (h, baseline)""", PAIRS + f""",
+ranked AS (SELECT *, rank() OVER (PARTITION BY h, baseline ORDER BY abs(d)) + (count(*) OVER (PARTITION BY h, baseline, abs(d)) - 1) / 2e0 AS rk,
+ count(*) OVER (PARTITION BY h, baseline, abs(d)) AS t FROM (SELECT h, baseline, round(a - b, 12) AS d, abs(a - b) > 1e-8 + 1e-5 * abs(b) AS far FROM ab)),
+w AS (SELECT h, baseline, sum(rk * CASE WHEN d > 0 THEN 1 WHEN d = 0 THEN 0.5e0 ELSE 0 END) AS w, CAST(count(*) AS DOUBLE) AS m,
+ CAST(sum(t * t - 1) AS DOUBLE) AS ties, count(*) FILTER (WHERE far) AS n_far FROM ranked GROUP BY h, baseline),
+zs AS (SELECT *, (w - m * (m + 1) / 4) / sqrt((m * (m + 1) * (2 * m + 1) - 0.5e0 * ties) / 24) AS z FROM w),
+tested AS (SELECT h, baseline, CAST(m AS BIGINT) AS n_pairs, CASE WHEN m < 5 OR n_far = 0 THEN 1e0 ELSE {normal_tail('z')} END AS p FROM zs),
+means AS (SELECT h, baseline, avg(a) AS method_mean, avg(b) AS baseline_mean, CASE WHEN count(*) < 2 THEN NULL WHEN stddev_samp(a - b) > 0 THEN
+ avg(a - b) / stddev_samp(a - b) ELSE 0 END AS effect_d FROM ab GROUP BY h, baseline),
+delta AS (SELECT x.h, x.baseline, avg(sign(round(x.a, 12) - round(y.b, 12))) AS effect_delta FROM ab x JOIN ab y ON x.h = y.h
+ AND x.baseline = y.baseline GROUP BY x.h, x.baseline)""")
 SQL["e18_blocked_bootstrap"] = events(f"""SELECT p.method, {r6('point')} AS point, {r6('lo')} AS lo, {r6('hi')} AS hi, n_blocks
  FROM (SELECT method, sum(s) / sum(n) AS point, count(*) AS n_blocks FROM blocks GROUP BY method) p JOIN (SELECT method,
  quantile_cont(m, (1e0 - 0.95e0) / 2) AS lo, quantile_cont(m, 1e0 - (1e0 - 0.95e0) / 2) AS hi FROM (SELECT k.method, draw,

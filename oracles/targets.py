@@ -54,6 +54,14 @@ SQL["t16_age_hazard"] = events(f"""SELECT part, {r6('any_value(e[part])')} AS ag
  GROUP BY part""", AGED + f""",
 edges AS (SELECT list_sort(list_distinct([{', '.join(f'quantile_cont(age, {i}/5e0)' for i in range(6))}])) AS e FROM aged),
 rr AS (SELECT corr(event, age) AS r FROM aged)""")
+# Student's t with a whole number v of degrees of freedom: finite sums over the angle u = atan(t / sqrt(v)).
+_EVEN = ("sin(u) * list_sum(list_transform(range(0, CAST(v / 2 AS BIGINT)), lambda k: exp(lgamma(k + 0.5e0) - lgamma(0.5e0) - lgamma(k + 1.0e0) "
+         "+ 2 * k * ln(cos(u)))))")
+_ODD = ("2 / pi() * (u + sin(u) * list_sum(list_transform(range(0, CAST((v - 1) / 2 AS BIGINT)), lambda k: exp(lgamma(k + 1.0e0) + lgamma(1.5e0) "
+        "- lgamma(k + 1.5e0) + (2 * k + 1) * ln(cos(u))))))")
+SQL["t16_age_association"] = events(f"""SELECT n AS n_origins, {r6('r')} AS point_biserial_r, {r6('t')} AS t_statistic,
+ {r6(f'1 - CASE WHEN v % 2 = 0 THEN {_EVEN} ELSE {_ODD} END')} AS p_value FROM (SELECT *, atan(abs(t) / sqrt(v)) AS u FROM (
+ SELECT n, r, n - 2 AS v, r * sqrt((n - 2) / (1 - r * r)) AS t FROM (SELECT count(*) AS n, corr(event, age) AS r FROM aged)))""", AGED)
 SQL["t17_transfer"] = events(f"""SELECT held_out, {r6('p')} AS pool_rate, {r6('e / n')} AS own_rate,
  {r6('(e * pow(1 - p, 2) + (n - e) * p * p) / n')} AS brier FROM (SELECT stream_id AS held_out, count(*) AS n, sum(event) AS e,
  (sum(sum(event)) OVER () - sum(event)) / (sum(count(*)) OVER () - count(*)) AS p FROM origins GROUP BY stream_id)""")

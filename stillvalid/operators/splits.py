@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.pvalues import correlation_p_col
 from ..functions.numeric import uniform
 from .ordered import exact_quantiles, index_bucket, running_sum, unit_bucket
 
@@ -119,6 +120,16 @@ def with_age(origins: DataFrame) -> DataFrame:
         "age", (F.col("origin") - F.col("_first")).cast("bigint")).drop("_first")
 
 
+def age_association(origins: DataFrame) -> DataFrame:
+    """Correlation of age and event over all origins, its t statistic and two-sided p (one row)."""
+    r = with_age(origins).agg(F.corr(F.col("event").cast("double"), F.col("age").cast("double")).alias("point_biserial_r"),
+                              F.count(F.lit(1)).alias("n_origins"))
+    rho = F.col("point_biserial_r")
+    t = rho * F.sqrt((F.col("n_origins") - 2) / (1.0 - rho * rho))
+    return r.select("n_origins", "point_biserial_r", t.alias("t_statistic"),
+                    correlation_p_col("point_biserial_r", "n_origins").alias("p_value"))
+
+
 def age_hazard(origins: DataFrame, parts: int = 5) -> DataFrame:
     """Event share by age quantile (bins closed above), with the overall age/event correlation.
 

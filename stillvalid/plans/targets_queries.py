@@ -109,6 +109,12 @@ def _(spark, folder):
     return splits.age_hazard(monitor(spark, folder, EVENTS).origins)
 
 
+@query("t16_age_association")
+def _(spark, folder):
+    """Correlation of deployment age and violation with its t statistic and p."""
+    return splits.age_association(monitor(spark, folder, EVENTS).origins)
+
+
 @query("t17_leave_one_out")
 def _(spark, folder):
     """Pools of all streams but one."""
