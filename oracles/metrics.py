@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 from .models import CURVES, TUNED, km
-from .prelude import r6, uniform
+from .prelude import normal_tail, r6, uniform
 from .streams import events, lines
 from .targets import SPLIT
 
@@ -57,9 +57,10 @@ dcal AS (SELECT method, sum(pow(c - e, 2) / e) AS chi2, max(abs(c - e)) / any_va
 
 SQL["e9_d_calibration"] = events(f"""SELECT method, {r6('chi2')} AS chi2, {r6('max_deviation')} AS max_deviation,
  9::BIGINT AS df FROM dcal""", CURVES + "," + dcal(10))
-_P10 = "exp(-chi2 / 2) * (1 + chi2 / 2 + pow(chi2 / 2, 2) / 2 + pow(chi2 / 2, 3) / 6 + pow(chi2 / 2, 4) / 24)"
+_P9 = (f"(2 * {normal_tail('(-sqrt(chi2))')} + sqrt(2 * chi2 / pi()) * exp(-chi2 / 2) * (1 + chi2 / 3 + pow(chi2, 2) / 15 "
+       "+ pow(chi2, 3) / 105))")
 SQL["e9_d_calibration_p"] = events(f"""SELECT method, {r6('chi2')} AS chi2, {r6('max_deviation')} AS max_deviation,
- 10::BIGINT AS df, {r6(_P10)} AS p FROM dcal""", CURVES + "," + dcal(11))
+ 9::BIGINT AS df, {r6(_P9)} AS p FROM dcal""", CURVES + "," + dcal(10))
 SQL["e10_calibration_curve"] = events(f"""SELECT method, bin, {r6('predicted')} AS predicted, {r6('observed')} AS observed, n,
  {r6('sum(n * abs(predicted - observed)) OVER (PARTITION BY method) / sum(n) OVER (PARTITION BY method)')} AS ece
  FROM per""", CURVES + f""", per AS (SELECT method, CAST(len(list_filter({[i * 0.1 for i in range(10)]!r}::DOUBLE[],
@@ -90,16 +91,6 @@ SQL["e16_signed_ranks"] = events(f"""SELECT h, baseline, {r6('sum(rk * CASE WHEN
  count(*) FILTER (WHERE far) AS n_far FROM (SELECT *, rank() OVER (PARTITION BY h, baseline ORDER BY abs(d))
  + (count(*) OVER (PARTITION BY h, baseline, abs(d)) - 1) / 2e0 AS rk, count(*) OVER (PARTITION BY h, baseline, abs(d)) AS t
  FROM (SELECT h, baseline, round(a - b, 12) AS d, abs(a - b) > 1e-8 + 1e-5 * abs(b) AS far FROM ab)) GROUP BY h, baseline""", PAIRS)
-
-
-def normal_tail(z: str) -> str:
-    """P(Z <= z) from a series of positive terms."""
-    x = f"(abs({z}) / sqrt(2e0))"
-    term = (f"exp(k * ln(2e0) + (2 * k + 1) * ln({x}) - {x} * {x} - (k + 1) * ln(2e0) - lgamma(k + 1.5e0) + 0.5e0 * ln(pi()))")
-    erf = f"CASE WHEN {z} = 0 THEN 0 ELSE least(2 / sqrt(pi()) * list_sum(list_transform(range(0, 2000), lambda k: {term})), 1e0) END"
-    return f"(0.5e0 * (1 + sign({z}) * ({erf})))"
-
-
 SQL["e19_comparison"] = events(f"""SELECT h, baseline, {r6('method_mean')} AS method_mean, {r6('baseline_mean')} AS baseline_mean, n_pairs,
  {r6('p')} AS p_raw, {r6('effect_delta')} AS effect_delta, {r6('effect_d')} AS effect_d, {r6('adj')} AS p_adjusted,
  CAST(adj <= 0.05e0 AS BIGINT) AS rejected, CAST(adj <= 0.05e0 AND abs(effect_delta) >= 0.147e0 AS BIGINT) AS beats
@@ -145,8 +136,8 @@ flips AS (SELECT h, baseline, greatest(avg(CAST(abs(nul) >= abs(obs) - 1e-12 AS
  avg(CASE WHEN {_FLIP} THEN -m ELSE m END) AS nul
  FROM mm, range(0, 20000) AS d(draw) GROUP BY h, baseline, draw) GROUP BY h, baseline)""")
 TAGGED = CURVES + """, tagged AS (SELECT method || '|' || stream_id AS method, stream_id, origin, y_tilde, event, h, s FROM curves)"""
-RESULTS = (TAGGED + "," + pairs("tagged") + "," + dcal(11, "tagged") + "," + brier("tagged", "test") + f""",
-results AS (SELECT split_part(method, '|', 1) AS method, concordance, ibs, {_P10} AS p FROM dcal JOIN (SELECT method,
+RESULTS = (TAGGED + "," + pairs("tagged") + "," + dcal(10, "tagged") + "," + brier("tagged", "test") + f""",
+results AS (SELECT split_part(method, '|', 1) AS method, concordance, ibs, {_P9} AS p FROM dcal JOIN (SELECT method,
  sum(good) / sum(n) AS concordance FROM conc GROUP BY method) USING (method) JOIN (SELECT method, avg(brier) AS ibs FROM brier
  GROUP BY method) USING (method))""")
 SQL["e21_seed_summary"] = events(f"""SELECT method, count(*) AS n_seeds, {r6('avg(concordance)')} AS c_mean,

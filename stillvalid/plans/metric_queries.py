@@ -71,8 +71,8 @@ def _(spark, folder):
 
 @query("e9_d_calibration_p")
 def _(spark, folder):
-    """The same with eleven bins and its p-value (ten degrees of freedom)."""
-    d = metrics.d_calibration(events_contest(spark, folder).reference_curves, 11)
+    """The same with its p-value (nine degrees of freedom)."""
+    d = metrics.d_calibration(events_contest(spark, folder).reference_curves)
     return d.withColumn("p", chi2_sf_col("chi2", "df"))
 
 
@@ -168,7 +168,7 @@ def _stream_results(spark, folder):
     """Scores of both reference curves on each stream, the stream standing for a seed."""
     c = events_contest(spark, folder)
     tagged = c.reference_curves.withColumn("method", F.concat("method", F.lit("|"), "stream_id"))
-    scores = metrics.concordance(tagged).join(metrics.d_calibration(tagged, 11), "method")
+    scores = metrics.concordance(tagged).join(metrics.d_calibration(tagged), "method")
     ibs = metrics.integrated_brier(metrics.brier_by_horizon(tagged, c.part("test"), 20))
     out = scores.join(ibs, "method").withColumn("d_cal_p", chi2_sf_col("chi2", "df"))
     parts = F.split("method", r"\|")
