@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from ..session import freeze
 from .learned import EMBED_DIM
 
-#: Rounds between updates of the stored scores; digits of a gain that count.
-REFRESH, DIGITS = 20, 9
+#: Rounds between updates of the stored scores; digits of a gain that count; rows of a task at least.
+REFRESH, DIGITS, ROWS = 20, 9, 50_000
 
 
 @dataclass(frozen=True)
@@ -261,7 +261,8 @@ def fit(pre: DataFrame, *, classes: int = 0, settings: Settings = Settings(), ed
                     np.zeros((s.rounds, outputs, inner + 1)))
     width = len(edges)
     rng = np.random.default_rng(s.seed)
-    rows = freeze(known.mapInArrow(_prepare(edges, base), "bins binary, y double, row long, scores binary"), "boosted-rows")
+    # Hundreds of passes follow: no more tasks than the rows are worth.
+    rows = freeze(known.coalesce(max(1, n // ROWS)).mapInArrow(_prepare(edges, base), "bins binary, y double, row long, scores binary"), "boosted-rows")
     at = 0
     for r in range(s.rounds):
         if r - at == REFRESH:
