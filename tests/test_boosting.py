@@ -105,3 +105,17 @@ def test_boosted_scorer_in_a_monitor(spark):
     assert np.array_equal(m.scorer_model.value, poisoned.scorer_model.value)
     with pytest.raises(ValueError, match="needs features"):
         Monitor(df, StreamSpec(name="t", table="t", stream="s", order=("i",), time="i", target="y", score_key="'k'", classes=3, scorer="boosted"))
+
+
+def test_a_fit_is_a_few_jobs_and_tasks_add_up_all_rows(spark, monkeypatch):
+    df, _ = table(spark, n=900)
+    s = boosting.Settings(rounds=6, depth=3, bins=12)
+    edges = boosting.quantile_edges(df, s.bins)
+    one = boosting.fit(df, classes=3, settings=s, edges=edges)
+    monkeypatch.setattr(boosting, "ROWS", 200)      # 4 tasks
+    spark.sparkContext.setJobGroup("boosted-jobs", "")
+    many = boosting.fit(df, classes=3, settings=s, edges=edges)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("boosted-jobs"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < s.rounds * s.depth        # not one for each level
+    assert (one.feature == many.feature).all() and (one.cut == many.cut).all() and np.allclose(one.value, many.value, atol=1e-9)
