@@ -59,8 +59,10 @@ SQL["e9_d_calibration"] = events(f"""SELECT method, {r6('chi2')} AS chi2, {r6('m
  9::BIGINT AS df FROM dcal""", CURVES + "," + dcal(10))
 _P9 = (f"(2 * {normal_tail('(-sqrt(chi2))')} + sqrt(2 * chi2 / pi()) * exp(-chi2 / 2) * (1 + chi2 / 3 + pow(chi2, 2) / 15 "
        "+ pow(chi2, 3) / 105))")
+# The series of normal_tail has 2,000 terms, too few for a statistic over 4,000; the tail beyond 1,400 is under 1e-290.
+_P9_LARGE = f"CASE WHEN chi2 > 1400 THEN 0e0 ELSE {_P9} END"
 SQL["e9_d_calibration_p"] = events(f"""SELECT method, {r6('chi2')} AS chi2, {r6('max_deviation')} AS max_deviation,
- 9::BIGINT AS df, {r6(_P9)} AS p FROM dcal""", CURVES + "," + dcal(10))
+ 9::BIGINT AS df, {r6(_P9_LARGE)} AS p FROM dcal""", CURVES + "," + dcal(10))
 SQL["e10_calibration_curve"] = events(f"""SELECT method, bin, {r6('predicted')} AS predicted, {r6('observed')} AS observed, n,
  {r6('sum(n * abs(predicted - observed)) OVER (PARTITION BY method) / sum(n) OVER (PARTITION BY method)')} AS ece
  FROM per""", CURVES + f""", per AS (SELECT method, CAST(len(list_filter({[i * 0.1 for i in range(10)]!r}::DOUBLE[],
@@ -144,7 +146,7 @@ SQL["e21_seed_summary"] = events(f"""SELECT method, count(*) AS n_seeds, {r6('av
  {r6('stddev_pop(concordance)')} AS c_sd, {r6('avg(ibs)')} AS ibs_mean, {r6('stddev_pop(ibs)')} AS ibs_sd,
  {r6('median(p)')} AS d_cal_p_median, count(*) FILTER (WHERE p < 0.05e0) AS d_cal_rejected_seeds,
  {r6('avg(concordance - 0.5e0)')} AS mean_delta, 0.01e0 AS mean_p_adj, count(*) FILTER (WHERE concordance > 0.5e0)
- AS seeds_beaten FROM results GROUP BY method""", RESULTS)
+ AS seeds_beaten FROM results GROUP BY method""", RESULTS.replace(_P9, _P9_LARGE))
 SQL["e23_equivalence"] = events(f"""SELECT method, {r6('avg(concordance)')} AS mean_value,
  {r6('abs(avg(concordance) - 0.5e0)')} AS deviation, CAST(abs(avg(concordance) - 0.5e0) > 0.1e0 AS BIGINT) AS outside_band
  FROM results GROUP BY method""", RESULTS)
