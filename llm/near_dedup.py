@@ -5,10 +5,14 @@ occurrence. For each of `BANDS` hash functions the `KEPT` smallest shingles are
 texts agree on such a key with a probability near the power `KEPT` of their shared shingles, less if the order
 differs. Texts of up to `SHORT` words, where one edit hits most shingles, have further keys of one shingle each. Texts
 with equal words are one class from the start and go on as one. Texts that share a key are compared with the first
-and the last text of that key (never all with all) by a banded alignment of their words: similarity is the number of
-aligned words over all words of both, each aligned pair counted once, and `SIMILARITY` or more is a link. The band
-is as wide as any alignment of that similarity can stray, so it loses none. Classes are the connected components of the
-links, found by alternating large-star and small-star steps in written tables.
+and the last text of that key by a banded alignment of their words: similarity is the number of aligned words over all
+words of both, each aligned pair counted once, and `SIMILARITY` or more is a link. The band is as wide as any alignment
+of that similarity can stray, so it loses none. Keys whose texts are not one component by then may hold more links.
+Where they have up to `BUCKET` texts, all their pairs of different components are compared; in larger ones those that
+share one of their rarest words (of up to `SHORT` words) or word pairs. That filter is exact: a text of n words has at
+least s n words, and (2 s - 1) n - 1 word pairs, in common with any text of similarity s, so both have one of these
+among their rarest others plus one. So every two texts with a common key that reach the similarity end in one class. Classes are the connected components of the links, found by alternating
+large-star and small-star steps in written tables.
 
 At similarity 0.8 by scattered single-word edits two texts still share some 0.39 of their shingles: all 32 keys of 2
 miss such a pair with a probability near 0.006; at 0.9 (0.6 of the shingles) near 1e-6.
@@ -24,13 +28,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import store, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, KEPT, SHORT = 32, 2, 64
+#: Texts of a key up to which all their pairs are compared.
+BUCKET = 32
 #: Shingles hashed by all functions at a time.
 CHUNK = 1 << 15
 _RNG = np.random.default_rng(8)
@@ -152,6 +158,57 @@ def candidates(reps: DataFrame) -> DataFrame:
     return pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
 
 
+def _rare(least: float):
+    """The labelled words of a short text, the word pairs of a long one, and of how many of its rarest it must share one
+    with any text that is similar. Texts near the border have both."""
+    border = SHORT if (2 * least - 1) * SHORT > 2 else np.inf
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in words.by_size(whole, 2):
+                h, off = words.hashes(b.column(2))
+                row, length, own, must, which = [], [], [np.zeros(0, np.uint64)], [], []
+                for i, n in enumerate(np.diff(off).tolist()):
+                    t = h[off[i]:off[i + 1]]
+                    made = [(labelled(t), np.ceil(least * n - 1e-6))] if n <= border / least else []
+                    made += [(labelled(shingles(t, 2)), np.ceil((2 * least - 1) * n - 1 - 1e-6))] if n > border else []
+                    for x, common in made:
+                        own.append(x)
+                        row += [i] * len(x)
+                        length += [n] * len(x)
+                        which += [int(t.sum().astype(np.int64))] * len(x)
+                        must += [len(x) - int(common) + 1] * len(x)
+                at = pa.array(row, pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(length, pa.int64()), pa.array(np.concatenate(own).astype(np.int64)),
+                                                  pa.array(must, pa.int64()), pa.array(which, pa.int64())], ["rep", "part", "length", "token", "must", "which"])
+
+    return task
+
+
+def _across(met: DataFrame, by: str, least: float = 0.0) -> DataFrame:
+    """Pairs a < b of texts that agree in a column, lie in different components and are not too different in length."""
+    split = met.groupBy(by).agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select(by)
+    met = met.join(split, by, "left_semi")
+    other = met.select(by, F.col("rep").alias("b"), F.col("part").alias("part_b"), F.col("length").alias("length_b"))
+    near = F.least("length", "length_b") >= least * F.greatest("length", "length_b") - 1e-6
+    return met.withColumnRenamed("rep", "a").join(other, by).where(F.expr("a < b and part <> part_b") & near).select("a", "b")
+
+
+def open_pairs(reps: DataFrame, root: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Pairs a < b with a common key whose texts are in different components (node, root) and could be similar."""
+    each = reps.select("rep", F.explode("keys").alias("key"))
+    parts = each.join(root, each["rep"] == root["node"], "left").select("key", "rep", F.coalesce("root", "rep").alias("part"))
+    split = parts.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi")
+    met = store.kept(parts.join(split.select("key", "n"), "key"), "near-open")
+    small = _across(met.where(F.col("n") <= BUCKET).select("key", "rep", "part", F.lit(0).alias("length")), "key")
+    large = met.where(F.col("n") > BUCKET).select("rep", "part").distinct().join(docs, F.col("rep") == F.col("doc_id")).select("rep", "part", "text")
+    found = store.kept(large.mapInArrow(_rare(least), "rep long, part long, length long, token long, must long, which long"), "near-tokens")
+    counted = found.join(found.groupBy("token").agg(F.count("*").alias("times")), "token")
+    rank = F.row_number().over(Window.partitionBy("rep", "which", "must").orderBy("times", "token"))
+    rare = counted.withColumn("rank", rank).where("rank <= must and times > 1").select("token", "rep", "part", "length").distinct()
+    return small.unionAll(_across(rare, "token", least)).distinct()
+
+
 def linked(pairs: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The pairs that the alignment confirms."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -197,10 +254,14 @@ def classes(df: DataFrame, *, key: str = "doc_id", text: str = "text", least: fl
     equal = seen.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys"))
     reps = store.kept(equal, "near-reps")
     twice = seen.groupBy("doc_id").agg(F.min("d1").alias("x"), F.max("d1").alias("y")).where("x <> y").select("doc_id")
-    links = linked(candidates(reps.select("rep", "keys")), docs, least)
+    first = store.kept(candidates(reps.select("rep", "keys")), "near-pairs")
     member = seen.select("doc_id", "d1", "d2").join(reps.select("d1", "d2", "rep"), ["d1", "d2"])
     ties = member.join(twice, "doc_id").where("rep < doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    root = components(links.unionAll(ties))
+    root = components(linked(first, docs, least).unionAll(ties))
+    rest = store.kept(open_pairs(reps.select("rep", "keys"), root, docs, least).join(first, ["a", "b"], "left_anti"), "near-rest")
+    more = store.kept(linked(rest, docs, least), "near-links")
+    if not more.isEmpty():
+        root = components(root.select(F.col("root").alias("a"), F.col("node").alias("b")).unionAll(more))
     own = member.groupBy("doc_id").agg(F.min("rep").alias("rep"))
     return (own.join(root, own["rep"] == root["node"], "left")
             .select("doc_id", F.coalesce("root", "rep").alias("class_id")))

@@ -156,6 +156,30 @@ def test_one_id_with_two_texts_and_null_ids(spark):
     assert {r.doc_id: r.class_id for r in near_dedup.classes(df).collect()} == {1: 1, 2: 1, 3: 1, 9: 9}
 
 
+@pytest.mark.parametrize("bucket", [1, 32])
+def test_no_link_inside_a_key_is_lost(spark, monkeypatch, bucket):
+    monkeypatch.setattr(near_dedup, "BUCKET", bucket)
+    rng, texts = np.random.default_rng(5), []
+    for n in (1, 2, 3, 12, 30, 58, 60, 61, 64, 75, 90):        # families of edited texts, all around one common passage
+        base = [f"w{w}" for w in rng.integers(0, 400, n)]
+        for _ in range(4):
+            own = [f"x{rng.integers(0, 400)}" if rng.random() < 0.08 else w for w in base]
+            texts.append(own[:n // 2] + ["so", "it", "goes"] * (n > 20) + own[n // 2:])
+    order = rng.permutation(len(texts)).tolist()
+    texts = [texts[i] for i in order]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    reps = spark.createDataFrame([(i, [7]) for i in range(len(texts))], "rep long, keys array<long>")
+    first = near_dedup.candidates(reps)
+    root = near_dedup.components(near_dedup.linked(first, docs))
+    more = near_dedup.linked(near_dedup.open_pairs(reps, root, docs), docs)
+    got = {(r.a, r.b) for r in more.collect()}
+    part = {r.node: r.root for r in root.collect()}
+    tokens = [words.hashes(pa.array([" ".join(t)]))[0] for t in texts]
+    want = {(a, b) for b in range(len(texts)) for a in range(b)
+            if part.get(a, a) != part.get(b, b) and near_dedup.similar(tokens[a], tokens[b])}
+    assert want and got == want
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (50, 101)], "a long, b long")
     got = {r.node: r.root for r in near_dedup.components(links).collect()}
