@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stillvalid.session import scratch_path
+from stillvalid.session import scratch_path, write_parquet
 
 from .pieces import flat_bytes
 from .store import kept
@@ -142,7 +142,7 @@ def tokenised(docs: DataFrame, core: list[bytes]) -> tuple[DataFrame, DataFrame]
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), held_out().alias("held"), F.monotonically_increasing_id().alias("key"))
     path, schema = scratch_path(spark, "class-lm"), f"key long, held boolean, doc_id {kind}, tokens binary, word binary, before int, n long"
     out = rows.mapInArrow(_numbered(core), f"kind int, {schema}")
-    out.write.partitionBy("kind").parquet(path)
+    write_parquet(out, path, partition_by=("kind",))
     both = spark.read.schema(f"{schema}, kind int").parquet(path)
     return (both.where(F.col("kind") == SEQUENCE).select("key", "held", "doc_id", "tokens"),
             both.where(F.col("kind") == OTHER).select("key", "held", "word", "before", "n"))
