@@ -4,8 +4,8 @@ P(word | history) = P(class | class of the history) * P(word | class). Words go
 likelihood is largest; the history is the class of the nearest earlier word of the clustered vocabulary in the document
 (or its begin). A document ends with an end token, which is a class of its own.
 
-1. The `CORE` most frequent words (a bound of the model's broadcast parts) are found from the most frequent words of all
-   slices of text. Texts are read a second time into two tables: core word numbers of each document in order, and its
+1. The `CORE` most frequent words (a bound of the model's broadcast parts; step 3 takes all others) are found from the
+   counts of all words of all slices of text. Texts are read a second time into two tables: core word numbers of each document in order, and its
    other words with the core word before them. Nothing else reads texts.
 2. Exchange clustering of the core: each word's neighbours with counts are one row (at most CORE entries). In a sweep
    every word finds the class that raises the likelihood of class bigrams most, given the class matrix of the sweep
@@ -77,17 +77,16 @@ def _tokens(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]
         i = j
 
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, code, vocabulary in _tokens(batch.column("text")):
             n = np.bincount(code, minlength=len(vocabulary))
-            most = np.argpartition(-n, CORE)[:CORE] if len(n) > CORE else np.arange(len(n))
-            yield pa.RecordBatch.from_arrays([vocabulary.take(pa.array(most)).cast(pa.binary()), pa.array(n[most])], names=["word", "n"])
+            yield pa.RecordBatch.from_arrays([vocabulary.cast(pa.binary()), pa.array(n)], names=["word", "n"])
 
 
 def core_words(docs: DataFrame) -> list[bytes]:
     """The most frequent words of the training texts, most frequent first; at most CORE."""
-    counted = docs.where(~held_out()).select("text").mapInArrow(_frequent, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = docs.where(~held_out()).select("text").mapInArrow(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return [bytes(r["word"]) for r in counted.orderBy(F.col("n").desc(), "word").limit(CORE).collect()]
 
 

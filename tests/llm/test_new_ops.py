@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from llm import class_lm, prefix_trie, spelling
@@ -226,3 +227,13 @@ def test_empty_and_untrained_tables(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     r, = class_lm.score(spark.createDataFrame([(held, "a b", "w", 1, 2, None)], ODD)).collect()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (3, 0, 0, True) and math.isfinite(r.score) and r.base_score == 0
+
+
+def test_core_words_are_counted_in_all_slices():
+    # More words than the core, all of them twice; the common word comes once in each slice.
+    n, found = class_lm.CORE + 10, Counter()
+    for c in "abc":
+        text = " ".join(f"{c}{i} {c}{i}" for i in range(n)) + " everywhere"
+        for batch in class_lm._counted(iter([pa.RecordBatch.from_arrays([pa.array([text])], names=["text"])])):
+            found.update(dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)))
+    assert found[b"everywhere"] == 3 and len(found) == 3 * n + 1
