@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import normal, spread, uniform
+from ..session import freeze
 from .ordered import index_bucket, running_sum
 from .reference import long_features
 
@@ -88,6 +89,10 @@ def severity(shift: Shift, n_rows: Column, start: Column | None = None,
     return F.least(F.greatest(w, F.lit(0.0)), F.lit(1.0))
 
 
+def _sizes(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("stream_id").agg(F.count(F.lit(1)).alias("_rows"))
+
+
 def _scales(rows: DataFrame) -> DataFrame:
     """Spread and mean of each feature over the unshifted table, one row per stream."""
     long = long_features(rows)
@@ -97,15 +102,16 @@ def _scales(rows: DataFrame) -> DataFrame:
     packed = per.groupBy("stream_id").agg(
         F.array_sort(F.collect_list(F.struct("feature", sd.alias("sd"), F.col("_m").alias("m"))))
         .alias("_f"))
-    sizes = rows.groupBy("stream_id").agg(F.count(F.lit(1)).alias("_rows"))
     return packed.select("stream_id", F.col("_f.sd").alias("_sd"),
-                         F.col("_f.m").alias("_mean")).join(sizes, "stream_id")
+                         F.col("_f.m").alias("_mean")).join(_sizes(rows), "stream_id")
 
 
 def apply_shift(rows: DataFrame, shift: Shift, seed: str = "shift",
                 start: str | None = None) -> DataFrame:
     """Apply one mechanism. Untouched features and, for label shifts, all inputs stay identical."""
-    base = rows.join(_scales(rows), "stream_id")
+    # Frozen: the optimizer knows the size then and does not sort all rows by the few streams.
+    own = _sizes(rows) if shift.mechanism in LABEL_MECHANISMS else _scales(rows)
+    base = rows.join(freeze(own, "shift-scales"), "stream_id")
     at = F.col(start) if start else None
     base = base.withColumn("_w", severity(shift, F.col("_rows"), at, f"{seed}/jump"))
     if shift.schedule == "gradual":
@@ -145,8 +151,8 @@ def _resample_rarer(base: DataFrame, seed: str) -> DataFrame:
     shares = base.groupBy("stream_id").agg(F.count_if(F.col("y") == 0).alias("_n0"),
                                            F.count_if(F.col("y") == 1).alias("_n1"))
     rare = F.when(F.col("_n1") < F.col("_n0"), 1).otherwise(0)
-    out = base.join(shares.select("stream_id", rare.alias("_rare"),
-                                  F.least("_n0", "_n1").alias("_pool")), "stream_id")
+    out = base.join(freeze(shares.select("stream_id", rare.alias("_rare"),
+                                         F.least("_n0", "_n1").alias("_pool")), "shift-shares"), "stream_id")
     member = F.col("y") == F.col("_rare")
     pool = running_sum(out.filter(member).select("stream_id", "row_idx", "x", "y"),
                        ["stream_id"], "row_idx", index_bucket(F.col("row_idx")),
@@ -155,11 +161,12 @@ def _resample_rarer(base: DataFrame, seed: str) -> DataFrame:
                        F.col("x").alias("_px"), F.col("y").alias("_py"))
     take = (uniform(f"{seed}/take", "stream_id", "row_idx") < F.col("_m")) & (F.col("_pool") > 0)
     pick = F.floor(uniform(f"{seed}/pick", "stream_id", "row_idx") * F.col("_pool"))
-    # Rows that keep their values get a key of their own range, so the join has no hot NULL key.
-    out = out.withColumn("_pick", F.when(take, pick).otherwise(-1 - F.col("row_idx"))
-                         .cast("bigint"))
-    out = out.join(pool, ["stream_id", "_pick"], "left")
-    return out.withColumn("x", F.coalesce("_px", "x")).withColumn("y", F.coalesce("_py", "y"))
+    out = out.withColumn("_take", F.coalesce(take, F.lit(False)))
+    # Only replaced rows meet the pool, without the values that they lose.
+    moved = out.filter("_take").drop("x", "y").withColumn("_pick", pick.cast("bigint"))
+    moved = moved.join(pool, ["stream_id", "_pick"], "left").withColumnsRenamed({"_px": "x", "_py": "y"})
+    stay = out.filter("not _take")
+    return stay.unionByName(moved.select(*stay.columns))
 
 
 def random_change_point(sizes: DataFrame, low: float = 0.15, high: float = 0.75,

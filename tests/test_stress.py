@@ -51,6 +51,16 @@ def test_prior_keeps_inputs_of_the_class(rows):
     assert all(tuple(r) in known for r in x1[changed]) and (y1[changed] == rare).all()
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_are_not_sorted_by_their_few_streams(rows):
+    for shift in (Shift("covariate", "abrupt", .5, 0, features=(0,)), Shift("conditional", "abrupt", .3, 0)):
+        made = plan(stress.apply_shift(rows, shift))
+        assert "BroadcastHashJoin" in made and "SortMergeJoin" not in made and "hashpartitioning" not in made
+
+
 def test_exogenous_shift_is_invisible_before_its_point(spark, rows):
     sizes = spark.createDataFrame([("a", 2000, 400)],
                                   "stream_id string, n_rows bigint, boundary bigint")
