@@ -65,6 +65,19 @@ def test_blocks_of_a_given_log_with_embedding(spark):
     same(values(made["pred"]), values(st.value_prediction_block(m.deployment)))
 
 
+def test_the_shape_needs_sums_only(spark, monkeypatch):
+    """No table of whole windows, no distances; and plain sums equal those of the vector aggregate."""
+    m = Monitor(log(spark, 3), StreamSpec(features=("a", "b", "c", "d"), classes=3, **SPEC))
+    made = values(m.shape_block)
+    assert made and not {"windows", "distance_block", "row_blocks"} & vars(m).keys()
+    z = m.embedded(m.deployment)
+    plan = geometry.second_moments(z, KEY, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and "HashAggregate" in plan
+    plain = values(geometry.second_moments(z, KEY, 4))
+    monkeypatch.setattr(geometry, "PLAIN_SUMS", 0)
+    same(plain, values(geometry.second_moments(z, KEY, 4)))
+
+
 def test_one_shuffle_of_rows(spark):
     m = Monitor(log(spark, 3), StreamSpec(features=("a", "b", "c", "d"), classes=3, **SPEC))
     plan = m._pass.run(m.deployment, m._frozen)._jdf.queryExecution().sparkPlan().toString()
