@@ -8,11 +8,14 @@ with equal words are one class from the start and go on as one. Texts that share
 and the last text of that key by a banded alignment of their words: similarity is the number of aligned words over all
 words of both, each aligned pair counted once, and `SIMILARITY` or more is a link. The band is as wide as any alignment
 of that similarity can stray, so it loses none. Keys whose texts are not one component by then may hold more links.
-Where they have up to `BUCKET` texts, all their pairs of different components are compared; in larger ones those that
-share one of their rarest words (of up to `SHORT` words) or word pairs. That filter is exact: a text of n words has at
-least s n words, and (2 s - 1) n - 1 word pairs, in common with any text of similarity s, so both have one of these
-among their rarest others plus one. So every two texts with a common key that reach the similarity end in one class. Classes are the connected components of the links, found by alternating
-large-star and small-star steps in written tables.
+Each text has a bag: its words counted in `BAG` slots
+by their hash. Slots shared by two bags bound their aligned words from above, so only pairs whose bags reach the
+similarity are aligned, and bags instead of texts meet (`close`): of keys with up to `BUCKET` texts all pairs, of larger
+ones those that share one of their rarest words (of up to `SHORT` words) or word pairs. That filter is exact: a text of
+n words has at least s n words, and (2 s - 1) n - 1 word pairs, in common with any text of similarity s, so both have one
+of these among their rarest others plus one. So every two texts with a common key that reach the similarity end in one
+class. Classes are the connected components of the links, found by alternating large-star and small-star steps in
+written tables.
 
 At similarity 0.8 by scattered single-word edits two texts still share some 0.39 of their shingles: all 32 keys of 2
 miss such a pair with a probability near 0.006; at 0.9 (0.6 of the shingles) near 1e-6.
@@ -35,8 +38,10 @@ from . import store, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, KEPT, SHORT = 32, 2, 64
-#: Texts of a key up to which all their pairs are compared.
-BUCKET = 32
+#: Texts of a key up to which the bags of all their pairs are compared; and texts of one block of a comparison.
+BUCKET, BLOCK = 4096, 1024
+#: Slots of a bag of words; texts that a group of comparisons holds on average.
+BAG, GROUP = 256, 8192
 #: Shingles hashed by all functions at a time.
 CHUNK = 1 << 15
 _RNG = np.random.default_rng(8)
@@ -185,28 +190,102 @@ def _rare(least: float):
     return task
 
 
-def _across(met: DataFrame, by: str, least: float = 0.0) -> DataFrame:
-    """Pairs a < b of texts that agree in a column, lie in different components and are not too different in length."""
-    split = met.groupBy(by).agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select(by)
-    met = met.join(split, by, "left_semi")
-    other = met.select(by, F.col("rep").alias("b"), F.col("part").alias("part_b"), F.col("length").alias("length_b"))
-    near = F.least("length", "length_b") >= least * F.greatest("length", "length_b") - 1e-6
-    return met.withColumnRenamed("rep", "a").join(other, by).where(F.expr("a < b and part <> part_b") & near).select("a", "b")
+def bags(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) to rep, the number of its words, their counts in slots (one byte each) and what is beyond a byte."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in words.by_size(whole, 1):
+                h, off = words.hashes(b.column(1))
+                n = np.diff(off)
+                slot = (h % np.uint64(BAG)).astype(np.int64) + np.repeat(np.arange(len(n)) * BAG, n)
+                count = np.bincount(slot, minlength=len(n) * BAG).reshape(-1, BAG)
+                low = np.minimum(count, 255)
+                ends = pa.py_buffer((np.arange(len(n) + 1) * BAG).astype(np.int32))
+                bag = pa.Array.from_buffers(pa.binary(), len(n), [None, ends, pa.py_buffer(low.astype(np.uint8))])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array((count - low).sum(axis=1)), bag],
+                                                 ["rep", "length", "over", "bag"])
+
+    return docs.select("doc_id", "text").mapInArrow(task, "rep long, length long, over long, bag binary")
 
 
-def open_pairs(reps: DataFrame, root: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    whole = pa.chunked_array([column]) if isinstance(column, pa.Array) else column
+    return np.frombuffer(b"".join(whole.to_pylist()), np.uint8).reshape(-1, BAG)
+
+
+def _need(total: np.ndarray, least: float) -> np.ndarray:
+    return least / (1 + least) * total - 1e-9
+
+
+def close_pairs(pairs: DataFrame, bag: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The pairs whose bags leave room for the similarity."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = {n: b.column(i).to_numpy() for i, n in enumerate(b.schema.names) if not n.startswith("bag")}
+            shared = np.minimum(_matrix(b.column("bag")), _matrix(b.column("bag_b"))).sum(axis=1, dtype=np.int64)
+            ok = shared + np.minimum(at["over"], at["over_b"]) >= _need(at["length"] + at["length_b"], least)
+            yield b.select([0, 1]).filter(pa.array(ok))
+
+    other = bag.select(F.col("rep").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("length", "over", "bag")])
+    met = pairs.join(bag.withColumnRenamed("rep", "a"), "a").join(other, "b")
+    return met.select("a", "b", "length", "over", "bag", "length_b", "over_b", "bag_b").mapInArrow(task, "a long, b long").distinct()
+
+
+def close(met: DataFrame, bag: DataFrame, by: str, least: float = SIMILARITY) -> DataFrame:
+    """Pairs a < b of texts that agree in a column, lie in different components, and whose bags leave room for the
+    similarity. A large group is dealt in blocks; every two blocks meet once, in one of many tasks."""
+    sizes = met.groupBy(by).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").drop("lo", "hi")
+    dealt = (met.join(sizes, by).withColumn("lot", F.pmod(F.xxhash64("rep"), "blocks"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select(F.col(by).alias("g"), F.least("lot", "other").alias("x"), F.greatest("lot", "other").alias("y"), "lot", "rep", "part"))
+    cells = store.kept(dealt, "near-cells")
+    groups = cells.count() // GROUP + 1
+
+    def task(t: pa.Table) -> pa.Table:
+        g, x, y, lot, rep, part, length, over = (t.column(c).to_numpy() for c in ("g", "x", "y", "lot", "rep", "part", "length", "over"))
+        own = _matrix(t.column("bag"))
+        order = np.lexsort((length, y, x, g))
+        g, x, y, lot, rep, part, length, over, own = (v[order] for v in (g, x, y, lot, rep, part, length, over, own))
+        new = (g[1:] != g[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        cuts = np.concatenate([[0], np.flatnonzero(new) + 1, [len(g)]]).tolist()
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+            # sorted by length: a text can only be similar to those that are not much longer
+            last = start + np.searchsorted(length[start:end], length[start:end] / least + 1e-6, side="right")
+            for i, stop in zip(range(start, end), last.tolist(), strict=True):
+                ok = part[i + 1:stop] != part[i]
+                if x[i] != y[i]:
+                    ok &= lot[i + 1:stop] != lot[i]
+                j = np.flatnonzero(ok) + i + 1
+                if len(j):
+                    shared = np.minimum(own[i], own[j]).sum(axis=1, dtype=np.int64) + np.minimum(over[i], over[j])
+                    j = j[shared >= _need(length[i] + length[j], least)]
+                    left.append(np.full(len(j), rep[i]))
+                    right.append(rep[j])
+        a, b = np.concatenate(left), np.concatenate(right)
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    rows = cells.join(bag, "rep").withColumn("task", F.pmod(F.xxhash64("g", "x", "y"), F.lit(groups)))
+    return rows.groupBy("task").applyInArrow(task, "a long, b long").where("a < b").distinct()
+
+
+def open_pairs(reps: DataFrame, root: DataFrame, docs: DataFrame, least: float = SIMILARITY, bag: DataFrame | None = None) -> DataFrame:
     """Pairs a < b with a common key whose texts are in different components (node, root) and could be similar."""
+    bag = bags(docs) if bag is None else bag
     each = reps.select("rep", F.explode("keys").alias("key"))
     parts = each.join(root, each["rep"] == root["node"], "left").select("key", "rep", F.coalesce("root", "rep").alias("part"))
     split = parts.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi")
     met = store.kept(parts.join(split.select("key", "n"), "key"), "near-open")
-    small = _across(met.where(F.col("n") <= BUCKET).select("key", "rep", "part", F.lit(0).alias("length")), "key")
-    large = met.where(F.col("n") > BUCKET).select("rep", "part").distinct().join(docs, F.col("rep") == F.col("doc_id")).select("rep", "part", "text")
-    found = store.kept(large.mapInArrow(_rare(least), "rep long, part long, length long, token long, must long, which long"), "near-tokens")
+    small = close(met.where(F.col("n") <= BUCKET), bag, "key", least)
+    large = met.where(F.col("n") > BUCKET)
+    if large.isEmpty():
+        return small
+    texts = large.select("rep", "part").distinct().join(docs, F.col("rep") == F.col("doc_id")).select("rep", "part", "text")
+    found = store.kept(texts.mapInArrow(_rare(least), "rep long, part long, length long, token long, must long, which long"), "near-tokens")
     counted = found.join(found.groupBy("token").agg(F.count("*").alias("times")), "token")
     rank = F.row_number().over(Window.partitionBy("rep", "which", "must").orderBy("times", "token"))
-    rare = counted.withColumn("rank", rank).where("rank <= must and times > 1").select("token", "rep", "part", "length").distinct()
-    return small.unionAll(_across(rare, "token", least)).distinct()
+    rare = counted.withColumn("rank", rank).where("rank <= must and times > 1").select("token", "rep", "part").distinct()
+    return small.unionAll(close(rare, bag, "token", least)).distinct()
 
 
 def linked(pairs: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -255,11 +334,15 @@ def classes(df: DataFrame, *, key: str = "doc_id", text: str = "text", least: fl
     reps = store.kept(equal, "near-reps")
     twice = seen.groupBy("doc_id").agg(F.min("d1").alias("x"), F.max("d1").alias("y")).where("x <> y").select("doc_id")
     first = store.kept(candidates(reps.select("rep", "keys")), "near-pairs")
+    # Every text that shares a key is in these pairs; what follows works on their texts alone.
+    ends = first.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = store.kept(docs.join(ends, "doc_id"), "near-met")
+    bag = store.kept(bags(texts), "near-bags")
     member = seen.select("doc_id", "d1", "d2").join(reps.select("d1", "d2", "rep"), ["d1", "d2"])
     ties = member.join(twice, "doc_id").where("rep < doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    root = components(linked(first, docs, least).unionAll(ties))
-    rest = store.kept(open_pairs(reps.select("rep", "keys"), root, docs, least).join(first, ["a", "b"], "left_anti"), "near-rest")
-    more = store.kept(linked(rest, docs, least), "near-links")
+    root = components(linked(store.kept(close_pairs(first, bag, least), "near-first"), texts, least).unionAll(ties))
+    rest = store.kept(open_pairs(reps.select("rep", "keys"), root, texts, least, bag).join(first, ["a", "b"], "left_anti"), "near-rest")
+    more = store.kept(linked(rest, texts, least), "near-links")
     if not more.isEmpty():
         root = components(root.select(F.col("root").alias("a"), F.col("node").alias("b")).unionAll(more))
     own = member.groupBy("doc_id").agg(F.min("rep").alias("rep"))

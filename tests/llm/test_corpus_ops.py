@@ -180,6 +180,24 @@ def test_no_link_inside_a_key_is_lost(spark, monkeypatch, bucket):
     assert want and got == want
 
 
+@pytest.mark.parametrize("block", [5, 1024])
+def test_dissimilar_texts_of_a_key_make_no_pairs(spark, monkeypatch, block):
+    """Bags keep every similar pair (counts over a byte too) and few others, in one block or many."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng = np.random.default_rng(6)
+    passage = [f"p{i}" for i in range(20)]
+    texts = [passage + [f"w{w}" for w in rng.integers(0, 300, 40)] for _ in range(60)]
+    texts += [t[:45] + ["new"] + t[46:] for t in texts[:4]] + [["a"] * 600 + ["b"], ["a"] * 500 + ["b"], ["a"] * 300]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    met = spark.createDataFrame([(7, i, i) for i in range(len(texts))], "key long, rep long, part long")
+    got = {(r.a, r.b) for r in near_dedup.close(met, near_dedup.bags(docs), "key").collect()}
+    tokens = [words.hashes(pa.array([" ".join(t)]))[0] for t in texts]
+    want = {(a, b) for b in range(len(texts)) for a in range(b) if near_dedup.similar(tokens[a], tokens[b])}
+    assert len(want) == 5 and want <= got and len(got) < 20
+    pairs = spark.createDataFrame([(a, b) for b in range(len(texts)) for a in range(b)], "a long, b long")
+    assert {(r.a, r.b) for r in near_dedup.close_pairs(pairs, near_dedup.bags(docs)).collect()} == got
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (50, 101)], "a long, b long")
     got = {r.node: r.root for r in near_dedup.components(links).collect()}
