@@ -42,6 +42,10 @@ BANDS, KEPT, SHORT = 32, 2, 64
 BUCKET, BLOCK = 4096, 1024
 #: Slots of a bag of words; texts that a group of comparisons holds on average.
 BAG, GROUP = 256, 8192
+#: Keys of a text by which a pair that shares several is compared once.
+LISTED = 64
+#: Bits of the filter that keeps texts of no pair out of a shuffle.
+BITS = 1 << 24
 #: Shingles hashed by all functions at a time.
 CHUNK = 1 << 15
 _RNG = np.random.default_rng(8)
@@ -154,6 +158,18 @@ def sketches(df: DataFrame) -> DataFrame:
     return df.mapInArrow(task, "doc_id long, d1 long, d2 long, keys array<long>")
 
 
+def texts_of(docs: DataFrame, ids: DataFrame, bits: int = BITS) -> DataFrame:
+    """The rows of docs with one of the ids. A bitmap of the ids' hashes, of bounded size, drops most others before the
+    texts are shuffled; the join drops the rest."""
+    def place(df: DataFrame) -> DataFrame:
+        at = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+        return df.withColumns({"_word": F.shiftright(at, 6), "_bit": F.expr("shiftleft(1L, cast(pmod(xxhash64(doc_id), 64) as int))")})
+
+    words_set = place(ids).groupBy("_word").agg(F.bit_or("_bit").alias("_set"))
+    some = place(docs).join(F.broadcast(words_set), "_word").where(F.col("_set").bitwiseAND(F.col("_bit")) != 0)
+    return some.select(*docs.columns).join(ids, "doc_id")
+
+
 def candidates(reps: DataFrame) -> DataFrame:
     """(rep, keys) to pairs a < b: each text with the first and the last text of every key it shares."""
     each = reps.select("rep", F.explode("keys").alias("key"))
@@ -232,26 +248,35 @@ def close_pairs(pairs: DataFrame, bag: DataFrame, least: float = SIMILARITY) ->
 
 
 def close(met: DataFrame, bag: DataFrame, by: str, least: float = SIMILARITY) -> DataFrame:
+    return meetings(met, bag, by, least).distinct()
+
+
+def meetings(met: DataFrame, bag: DataFrame, by: str, least: float = SIMILARITY) -> DataFrame:
     """Pairs a < b of texts that agree in a column, lie in different components, and whose bags leave room for the
-    similarity. A large group is dealt in blocks; every two blocks meet once, in one of many tasks."""
+    similarity. A large group is dealt in blocks; every two blocks meet once, in one of many tasks. Each pair comes from
+    the group of the least value that both have, of the `LISTED` least of each; pairs that share none of these meet more often."""
     sizes = met.groupBy(by).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").drop("lo", "hi")
     dealt = (met.join(sizes, by).withColumn("lot", F.pmod(F.xxhash64("rep"), "blocks"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select(F.col(by).alias("g"), F.least("lot", "other").alias("x"), F.greatest("lot", "other").alias("y"), "lot", "rep", "part"))
     cells = store.kept(dealt, "near-cells")
     groups = cells.count() // GROUP + 1
+    own_values = cells.groupBy("rep").agg(F.slice(F.sort_array(F.collect_set("g")), 1, LISTED).alias("values"))
 
     def task(t: pa.Table) -> pa.Table:
         g, x, y, lot, rep, part, length, over = (t.column(c).to_numpy() for c in ("g", "x", "y", "lot", "rep", "part", "length", "over"))
         own = _matrix(t.column("bag"))
         order = np.lexsort((length, y, x, g))
         g, x, y, lot, rep, part, length, over, own = (v[order] for v in (g, x, y, lot, rep, part, length, over, own))
+        lists, at = t.column("values").combine_chunks(), order.tolist()
+        ends, flat = lists.offsets.to_numpy().tolist(), lists.values.to_numpy()
         new = (g[1:] != g[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
         cuts = np.concatenate([[0], np.flatnonzero(new) + 1, [len(g)]]).tolist()
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for start, end in zip(cuts[:-1], cuts[1:], strict=True):
             # sorted by length: a text can only be similar to those that are not much longer
             last = start + np.searchsorted(length[start:end], length[start:end] / least + 1e-6, side="right")
+            lower: dict[int, frozenset[int]] = {}  # values below the group's own
             for i, stop in zip(range(start, end), last.tolist(), strict=True):
                 ok = part[i + 1:stop] != part[i]
                 if x[i] != y[i]:
@@ -260,13 +285,18 @@ def close(met: DataFrame, bag: DataFrame, by: str, least: float = SIMILARITY) ->
                 if len(j):
                     shared = np.minimum(own[i], own[j]).sum(axis=1, dtype=np.int64) + np.minimum(over[i], over[j])
                     j = j[shared >= _need(length[i] + length[j], least)]
+                    for k in (i, *j.tolist()) if len(j) else ():
+                        if k not in lower:
+                            values = flat[ends[at[k]]:ends[at[k] + 1]]
+                            lower[k] = frozenset(values[values < g[k]].tolist())
+                    j = j[[lower[i].isdisjoint(lower[k]) for k in j.tolist()]] if len(j) else j
                     left.append(np.full(len(j), rep[i]))
                     right.append(rep[j])
         a, b = np.concatenate(left), np.concatenate(right)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    rows = cells.join(bag, "rep").withColumn("task", F.pmod(F.xxhash64("g", "x", "y"), F.lit(groups)))
-    return rows.groupBy("task").applyInArrow(task, "a long, b long").where("a < b").distinct()
+    rows = cells.join(bag.join(own_values, "rep"), "rep").withColumn("task", F.pmod(F.xxhash64("g", "x", "y"), F.lit(groups)))
+    return rows.groupBy("task").applyInArrow(task, "a long, b long").where("a < b")
 
 
 def open_pairs(reps: DataFrame, root: DataFrame, docs: DataFrame, least: float = SIMILARITY, bag: DataFrame | None = None) -> DataFrame:
@@ -291,7 +321,7 @@ def open_pairs(reps: DataFrame, root: DataFrame, docs: DataFrame, least: float =
 def linked(pairs: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The pairs that the alignment confirms."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = store.kept(docs.join(ends, "doc_id"), "near-texts")
+    texts = store.kept(texts_of(docs, ends), "near-texts")
     left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
 
@@ -336,7 +366,7 @@ def classes(df: DataFrame, *, key: str = "doc_id", text: str = "text", least: fl
     first = store.kept(candidates(reps.select("rep", "keys")), "near-pairs")
     # Every text that shares a key is in these pairs; what follows works on their texts alone.
     ends = first.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = store.kept(docs.join(ends, "doc_id"), "near-met")
+    texts = store.kept(texts_of(docs, ends), "near-met")
     bag = store.kept(bags(texts), "near-bags")
     member = seen.select("doc_id", "d1", "d2").join(reps.select("d1", "d2", "rep"), ["d1", "d2"])
     ties = member.join(twice, "doc_id").where("rep < doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))

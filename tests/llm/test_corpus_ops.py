@@ -198,6 +198,29 @@ def test_dissimilar_texts_of_a_key_make_no_pairs(spark, monkeypatch, block):
     assert {(r.a, r.b) for r in near_dedup.close_pairs(pairs, near_dedup.bags(docs)).collect()} == got
 
 
+@pytest.mark.parametrize("listed", [2, 64])
+def test_a_pair_with_many_common_keys_is_made_once(spark, monkeypatch, listed):
+    """Of 30 keys that all texts share, one makes the pairs; keys beyond the listed ones repeat pairs, and lose none."""
+    monkeypatch.setattr(near_dedup, "LISTED", listed)
+    texts = [[f"w{j}" for j in range(40)] + [f"x{i}"] for i in range(12)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    keys = [(k, i) for k in range(30) for i in range(12)] + [(100 + i, j) for i in range(0, 12, 2) for j in (i, 12 + i // 2)]
+    more = spark.createDataFrame([(12 + i, " ".join(texts[2 * i])) for i in range(6)], "doc_id long, text string")
+    met = spark.createDataFrame([(k, i, i) for k, i in keys], "key long, rep long, part long")
+    got = [(r.a, r.b) for r in near_dedup.meetings(met, near_dedup.bags(docs.unionAll(more)), "key").collect()]
+    want = {(a, b) for b in range(12) for a in range(b)} | {(2 * i, 12 + i) for i in range(6)}
+    assert set(got) == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 24])
+def test_texts_of_ids(spark, bits):
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(500)] + [(7, "again"), (None, "no id")], "doc_id long, text string")
+    ids = spark.createDataFrame([(i,) for i in (3, 7, 499, 1000)], "doc_id long")
+    got = sorted((r.doc_id, r.text) for r in near_dedup.texts_of(docs, ids, bits).collect())
+    assert got == [(3, "t3"), (7, "again"), (7, "t7"), (499, "t499")]
+    assert near_dedup.texts_of(docs, ids.limit(0), bits).count() == 0
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (50, 101)], "a long, b long")
     got = {r.node: r.root for r in near_dedup.components(links).collect()}
