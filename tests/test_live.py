@@ -1,5 +1,6 @@
 """Streaming operators give one result however their rows are dealt over micro-batches."""
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,6 +36,35 @@ def test_count_windows_by_position(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("block", [1, 4, 512])
+def test_count_windows_share_keys(spark, monkeypatch, block):
+    """A key serves a block of windows: far fewer calls, the same windows, open ones kept for later batches."""
+    monkeypatch.setattr(live, "WINDOWS_PER_KEY", block)
+    df = spark.range(103).selectExpr("concat('s', id % 2) as stream_id", "id div 2 as row_idx", "if(id = 40, null, id / 7D) as loss")
+    stream = _stream(df, "k", 3)
+    with live.keyed_state_store(spark):
+        got = rows_of(live.run_available(live.count_window_risk(stream, 5, "row_idx"), "k"))
+    want = [(f"s{s}", w, None if (s, w) == (0, 4) else pytest.approx(np.mean([(2 * i + s) / 7 for i in range(5 * w, 5 * w + 5)])))
+            for s in (0, 1) for w in range(10)]
+    assert got == want
+
+
+def test_state_of_a_block_of_count_windows():
+    class Value:
+        def __init__(self): self.v = None
+        def exists(self): return self.v is not None
+        def get(self): return self.v
+        def update(self, v): self.v = v
+        def clear(self): self.v = None
+
+    p, value = live._PlacedWindows(2, 3), Value()
+    p.sums = value
+    first = pd.concat(p.handleInputRows(("a", 1), [pd.DataFrame({"place": [3, 3, 4], "loss": [1.0, 2.0, np.nan]})], None))
+    assert first.values.tolist() == [["a", 3, 1.5]] and value.v == ([0, 1, 0], [0.0, 0.0, 0.0], [0, 1, 0])
+    second = pd.concat(p.handleInputRows(("a", 1), [pd.DataFrame({"place": [4], "loss": [1.0]})], None))
+    assert second.values.tolist() == [["a", 4, None]] and value.v is None
+
+
 def test_feedback_features_by_hand():
     got = live.feedback_features(np.array([0.2, 0.5, 0.4, 0.6]), 9, 0.3)
     assert got == pytest.approx((1, 9, 0.6, 0.425, np.std([0.2, 0.5, 0.4, 0.6]), 0.2, 0.6, (0.1 + 0.4 / 3) / 2, 0.2, 0.3, 2, 1))
