@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stillvalid.functions import pvalues as pv
-from stillvalid.operators import compare, forecast, metrics, survival
+from stillvalid.operators import compare, forecast, learned, metrics, survival
 
 ORIGINS = "stream_id string, origin bigint, y_tilde int, event int"
 
@@ -316,3 +316,19 @@ def test_sampled_paths_follow_their_model(spark):
     x = survival.counter_normals(np.array([[1, 2], [3, 4]], np.uint64), 20_000, 5)
     assert x.shape == (2, 20_000, 5) and abs(x.mean()) < 0.01 and abs(x.std() - 1) < 0.01
     assert np.abs(np.corrcoef(x.transpose(0, 2, 1).reshape(10, -1)) - np.eye(10)).max() < 0.04
+
+
+def test_risk_path_residuals_need_no_join(spark, monkeypatch):
+    """Spread and persistence of what the path misses come from each origin's own array, with gaps."""
+    rng = np.random.default_rng(2)
+    rows = [("a", i, 0.3, float(rng.random()), [None if rng.random() < 0.1 else float(rng.uniform(0.1, 0.6)) for _ in range(4)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "stream_id string, origin bigint, anchor double, u double, risk_path array<double>")
+    monkeypatch.setattr(type(df), "join", lambda *a, **k: pytest.fail("a join of steps"))
+    model, sigma, rho = learned.fit_risk_path(df, ["u"], 4)
+    w = model.coefficients.toArray()
+    e = np.array([[np.nan if r is None else np.log(r / (1 - r)) - np.log(0.3 / 0.7) - model.intercept - w[3] * u - (w[h - 1] if h else 0.0)
+                   for h, r in enumerate(path)] for _, _, _, u, path in rows])
+    a, b = e[:, :-1].ravel(), e[:, 1:].ravel()
+    both = ~np.isnan(a + b)
+    assert sigma == pytest.approx(np.nanstd(e, axis=0))
+    assert rho == pytest.approx(max(np.corrcoef(a[both], b[both])[0, 1], 0.0))
