@@ -56,5 +56,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
     for name, stage in STAGES:
-        docs = store.kept(stage(spark, docs, sf_dir), f"stage-{name}")
+        with store.small_batches(spark):
+            docs = store.kept(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs

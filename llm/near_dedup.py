@@ -4,14 +4,15 @@ A text is a sequence of words; its k-mers are its five-word shingles, and a repe
 occurrence. For each of `BANDS` hash functions the `KEPT` smallest shingles are taken and put back into text order: two
 texts agree on such a key with a probability near the power `KEPT` of their shared shingles, less if the order
 differs. Texts of up to `SHORT` words, where one edit hits most shingles, have further keys of one shingle each. Texts
-with equal words are one class from the start and go on as one. Texts that share a key are compared with the first
-and the last text of that key by a banded alignment of their words: similarity is the number of aligned words over all
+with equal words are one class from the start and go on as one. Each text is compared with the first of all texts that
+share a key with it by a banded alignment of their words: similarity is the number of aligned words over all
 words of both, each aligned pair counted once, and `SIMILARITY` or more is a link. The band is as wide as any alignment
 of that similarity can stray, so it loses none. Keys whose texts are not one component by then may hold more links.
 Each text has a bag: its words counted in `BAG` slots
 by their hash. Slots shared by two bags bound their aligned words from above, so only pairs whose bags reach the
-similarity are aligned, and bags instead of texts meet (`close`): of keys with up to `BUCKET` texts all pairs, of larger
-ones those that share one of their rarest words (of up to `SHORT` words) or word pairs. That filter is exact: a text of
+similarity are aligned: first each text with the `CLOSEST` ones, which have most keys in common with it, then, once these
+links have joined components, all pairs that are still apart. Bags instead of texts meet (`close`): of keys with up to
+`BUCKET` texts all pairs, of larger ones those that share one of their rarest words (of up to `SHORT` words) or word pairs. That filter is exact: a text of
 n words has at least s n words, and (2 s - 1) n - 1 word pairs, in common with any text of similarity s, so both have one
 of these among their rarest others plus one. So every two texts with a common key that reach the similarity end in one
 class. Classes are the connected components of the links, found by alternating large-star and small-star steps in
@@ -40,6 +41,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, KEPT, SHORT = 32, 2, 64
 #: Texts of a key up to which the bags of all their pairs are compared; and texts of one block of a comparison.
 BUCKET, BLOCK = 4096, 1024
+#: Texts of other components with which each text is aligned before all close pairs are.
+CLOSEST = 4
 #: Slots of a bag of words; texts that a group of comparisons holds on average.
 BAG, GROUP = 256, 8192
 #: Keys of a text by which a pair that shares several is compared once.
@@ -171,12 +174,16 @@ def texts_of(docs: DataFrame, ids: DataFrame, bits: int = BITS) -> DataFrame:
 
 
 def candidates(reps: DataFrame) -> DataFrame:
-    """(rep, keys) to pairs a < b: each text with the first and the last text of every key it shares."""
+    """(rep, keys) to pairs a < b: each text with the first text of its keys, one pair a text at most."""
     each = reps.select("rep", F.explode("keys").alias("key"))
     shared = each.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where(F.col("first") < F.col("last"))
-    met = each.join(shared, "key")
-    pairs = met.select("rep", F.explode(F.array("first", "last")).alias("other")).where("rep <> other")
-    return pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+    return each.join(shared.select("key", "first"), "key").groupBy("rep").agg(F.min("first").alias("a")).where("a < rep").select("a", F.col("rep").alias("b"))
+
+
+def _parts(reps: DataFrame, root: DataFrame) -> DataFrame:
+    """(key, rep, part): each text under each of its keys with its component."""
+    each = reps.select("rep", F.explode("keys").alias("key"))
+    return each.join(root, each["rep"] == root["node"], "left").select("key", "rep", F.coalesce("root", "rep").alias("part"))
 
 
 def _rare(least: float):
@@ -251,14 +258,29 @@ def close(met: DataFrame, bag: DataFrame, by: str, least: float = SIMILARITY) ->
     return meetings(met, bag, by, least).distinct()
 
 
-def meetings(met: DataFrame, bag: DataFrame, by: str, least: float = SIMILARITY) -> DataFrame:
+def _top(u: np.ndarray, v: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each u the `CLOSEST` pairs of the largest share."""
+    order = np.lexsort((-share, u))
+    u, v, share = u[order], v[order], share[order]
+    first = np.searchsorted(u, u)
+    ok = np.arange(len(u)) - first < CLOSEST
+    return u[ok], v[ok], share[ok]
+
+
+def closest(met: DataFrame, bag: DataFrame, by: str, least: float = SIMILARITY) -> DataFrame:
+    """Of the pairs of `meetings` those of each text that have most values, then words, in common, as (rep, other, share).
+    Blocks of a large group don't meet each other here."""
+    return meetings(met, bag, by, least, best=True)
+
+
+def meetings(met: DataFrame, bag: DataFrame, by: str, least: float = SIMILARITY, *, best: bool = False) -> DataFrame:
     """Pairs a < b of texts that agree in a column, lie in different components, and whose bags leave room for the
     similarity. A large group is dealt in blocks; every two blocks meet once, in one of many tasks. Each pair comes from
     the group of the least value that both have, of the `LISTED` least of each; pairs that share none of these meet more often."""
     sizes = met.groupBy(by).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").drop("lo", "hi")
-    dealt = (met.join(sizes, by).withColumn("lot", F.pmod(F.xxhash64("rep"), "blocks"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select(F.col(by).alias("g"), F.least("lot", "other").alias("x"), F.greatest("lot", "other").alias("y"), "lot", "rep", "part"))
+    dealt = met.join(sizes, by).withColumn("lot", F.pmod(F.xxhash64("rep"), "blocks"))
+    dealt = dealt.withColumn("other", F.col("lot")) if best else dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(F.col(by).alias("g"), F.least("lot", "other").alias("x"), F.greatest("lot", "other").alias("y"), "lot", "rep", "part")
     cells = store.kept(dealt, "near-cells")
     groups = cells.count() // GROUP + 1
     own_values = cells.groupBy("rep").agg(F.slice(F.sort_array(F.collect_set("g")), 1, LISTED).alias("values"))
@@ -273,10 +295,12 @@ def meetings(met: DataFrame, bag: DataFrame, by: str, least: float = SIMILARITY)
         new = (g[1:] != g[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
         cuts = np.concatenate([[0], np.flatnonzero(new) + 1, [len(g)]]).tolist()
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        near = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         for start, end in zip(cuts[:-1], cuts[1:], strict=True):
             # sorted by length: a text can only be similar to those that are not much longer
             last = start + np.searchsorted(length[start:end], length[start:end] / least + 1e-6, side="right")
-            lower: dict[int, frozenset[int]] = {}  # values below the group's own
+            of_cell = len(near)
+            lower, whole = {}, {}  # values below the group's own
             for i, stop in zip(range(start, end), last.tolist(), strict=True):
                 ok = part[i + 1:stop] != part[i]
                 if x[i] != y[i]:
@@ -284,38 +308,61 @@ def meetings(met: DataFrame, bag: DataFrame, by: str, least: float = SIMILARITY)
                 j = np.flatnonzero(ok) + i + 1
                 if len(j):
                     shared = np.minimum(own[i], own[j]).sum(axis=1, dtype=np.int64) + np.minimum(over[i], over[j])
-                    j = j[shared >= _need(length[i] + length[j], least)]
+                    ok = shared >= _need(length[i] + length[j], least)
+                    j, shared = j[ok], shared[ok]
                     for k in (i, *j.tolist()) if len(j) else ():
                         if k not in lower:
                             values = flat[ends[at[k]]:ends[at[k] + 1]]
-                            lower[k] = frozenset(values[values < g[k]].tolist())
-                    j = j[[lower[i].isdisjoint(lower[k]) for k in j.tolist()]] if len(j) else j
+                            lower[k], whole[k] = frozenset(values[values < g[k]].tolist()), frozenset(values.tolist())
+                    ok = [lower[i].isdisjoint(lower[k]) for k in j.tolist()]
+                    j, shared = (j[ok], shared[ok]) if len(j) else (j, shared)
+                    if best and len(j):
+                        common = np.array([len(whole[i] & whole[k]) for k in j.tolist()])
+                        near.append((np.full(len(j), i), j, common + shared / (length[i] + length[j] + 1)))
                     left.append(np.full(len(j), rep[i]))
                     right.append(rep[j])
+            if len(near) > of_cell:
+                u, v, share = (np.concatenate(c) for c in zip(*near[of_cell:], strict=True))
+                near[of_cell:] = [_top(np.concatenate([u, v]), np.concatenate([v, u]), np.concatenate([share, share]))]
+        if best:
+            u, v, share = (np.concatenate(c) for c in zip(*near, strict=True))
+            return pa.table({"rep": rep[u], "other": rep[v], "share": share})
         a, b = np.concatenate(left), np.concatenate(right)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     rows = cells.join(bag.join(own_values, "rep"), "rep").withColumn("task", F.pmod(F.xxhash64("g", "x", "y"), F.lit(groups)))
+    if best:
+        return rows.groupBy("task").applyInArrow(task, "rep long, other long, share double").where("rep <> other")
     return rows.groupBy("task").applyInArrow(task, "a long, b long").where("a < b")
 
 
-def open_pairs(reps: DataFrame, root: DataFrame, docs: DataFrame, least: float = SIMILARITY, bag: DataFrame | None = None) -> DataFrame:
-    """Pairs a < b with a common key whose texts are in different components (node, root) and could be similar."""
+def open_pairs(reps: DataFrame, root: DataFrame, docs: DataFrame, least: float = SIMILARITY, bag: DataFrame | None = None, *,
+               best: bool = False) -> DataFrame:
+    """Pairs a < b with a common key whose texts are in different components (node, root) and could be similar; with best
+    only the `CLOSEST` ones of each text."""
     bag = bags(docs) if bag is None else bag
-    each = reps.select("rep", F.explode("keys").alias("key"))
-    parts = each.join(root, each["rep"] == root["node"], "left").select("key", "rep", F.coalesce("root", "rep").alias("part"))
+
+    def chosen(found: DataFrame) -> DataFrame:
+        if not best:
+            return found.distinct()
+        top = found.groupBy("rep").agg(F.slice(F.sort_array(F.collect_set(F.struct("share", "other")), asc=False), 1, CLOSEST).alias("_o"))
+        top = top.select("rep", F.explode("_o.other").alias("other"))
+        return top.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+
+    pick = closest if best else close
+    parts = _parts(reps, root)
     split = parts.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi")
     met = store.kept(parts.join(split.select("key", "n"), "key"), "near-open")
-    small = close(met.where(F.col("n") <= BUCKET), bag, "key", least)
+    small = pick(met.where(F.col("n") <= BUCKET), bag, "key", least)
     large = met.where(F.col("n") > BUCKET)
     if large.isEmpty():
-        return small
+        return chosen(small)
     texts = large.select("rep", "part").distinct().join(docs, F.col("rep") == F.col("doc_id")).select("rep", "part", "text")
     found = store.kept(texts.mapInArrow(_rare(least), "rep long, part long, length long, token long, must long, which long"), "near-tokens")
     counted = found.join(found.groupBy("token").agg(F.count("*").alias("times")), "token")
     rank = F.row_number().over(Window.partitionBy("rep", "which", "must").orderBy("times", "token"))
     rare = counted.withColumn("rank", rank).where("rank <= must and times > 1").select("token", "rep", "part").distinct()
-    return small.unionAll(close(rare, bag, "token", least)).distinct()
+    return chosen(small.unionAll(pick(rare, bag, "token", least)))
 
 
 def linked(pairs: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -357,24 +404,34 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
 
 def classes(df: DataFrame, *, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """doc_id and class_id for each document."""
+    with store.small_batches(df.sparkSession):
+        return _classes(df, key, text, least)
+
+
+def _classes(df: DataFrame, key: str, text: str, least: float) -> DataFrame:
     docs = (df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
             .where("doc_id is not null"))
     seen = store.kept(sketches(docs), "near-sketches")
     equal = seen.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys"))
     reps = store.kept(equal, "near-reps")
     twice = seen.groupBy("doc_id").agg(F.min("d1").alias("x"), F.max("d1").alias("y")).where("x <> y").select("doc_id")
-    first = store.kept(candidates(reps.select("rep", "keys")), "near-pairs")
-    # Every text that shares a key is in these pairs; what follows works on their texts alone.
-    ends = first.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = store.kept(texts_of(docs, ends), "near-met")
+    each = reps.select("rep", "keys")
+    # Every two texts that share a key are in these; what follows works on their texts alone.
+    shared = each.select("rep", F.explode("keys").alias("key")).groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last")
+    ends = each.select(F.col("rep").alias("doc_id"), F.explode("keys").alias("key")).join(shared.select("key"), "key", "left_semi").select("doc_id").distinct()
+    texts = store.kept(texts_of(docs, store.kept(ends, "near-ends")), "near-met")
     bag = store.kept(bags(texts), "near-bags")
     member = seen.select("doc_id", "d1", "d2").join(reps.select("d1", "d2", "rep"), ["d1", "d2"])
-    ties = member.join(twice, "doc_id").where("rep < doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    root = components(linked(store.kept(close_pairs(first, bag, least), "near-first"), texts, least).unionAll(ties))
-    rest = store.kept(open_pairs(reps.select("rep", "keys"), root, texts, least, bag).join(first, ["a", "b"], "left_anti"), "near-rest")
-    more = store.kept(linked(rest, texts, least), "near-links")
-    if not more.isEmpty():
-        root = components(root.select(F.col("root").alias("a"), F.col("node").alias("b")).unionAll(more))
+    links = member.join(twice, "doc_id").where("rep < doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    first = store.kept(candidates(each), "near-pairs")
+    root = components(linked(store.kept(close_pairs(first, bag, least), "near-first"), texts, least).unionAll(links))
+    # The closest texts first: they join most of what the complete round after them would align pair by pair.
+    for best in (True, False):
+        found = store.kept(open_pairs(each, root, texts, least, bag, best=best).join(first, ["a", "b"], "left_anti"), "near-rest")
+        more = store.kept(linked(found, texts, least), "near-links")
+        if not more.isEmpty():
+            root = components(root.select(F.col("root").alias("a"), F.col("node").alias("b")).unionAll(more))
+        first = first.unionAll(found)
     own = member.groupBy("doc_id").agg(F.min("rep").alias("rep"))
     return (own.join(root, own["rep"] == root["node"], "left")
             .select("doc_id", F.coalesce("root", "rep").alias("class_id")))

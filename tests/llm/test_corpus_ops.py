@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from llm import decontaminate, near_dedup, suffix_dedup, toxicity, warc, words
+from llm import decontaminate, near_dedup, store, suffix_dedup, toxicity, warc, words
 
 SYL = ["ba", "ko", "mi", "ter", "lun", "sha", "vor", "dil", "en", "qua", "pre", "zo", "ti", "gra", "fel", "hum"]
 
@@ -406,3 +406,36 @@ def test_pipeline(spark, tmp_path):
     assert {0, 3, 10, 39} <= kept and not kept & {40, 41, 42, 44, 45} and 43 in kept  # 45 is near base[2]
     assert not [i for i in kept if i >= n] and len(kept & set(range(40))) == 40
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "secrets", "packing"]
+
+
+def test_a_group_of_near_copies_is_joined_by_few_alignments(spark, monkeypatch):
+    """Copies whose similarity lies around the threshold share keys in every combination; few pairs of them are aligned."""
+    rng, seen, linked = np.random.default_rng(12), [], near_dedup.linked
+    base = [f"w{i}" for i in range(120)]
+    texts = [[f"x{i}-{j}" if rng.random() < 0.055 else w for j, w in enumerate(base)] for i in range(80)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+
+    def counted(pairs, *rest):
+        seen.append(pairs.count())
+        return linked(pairs, *rest)
+
+    monkeypatch.setattr(near_dedup, "linked", counted)
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(df).collect()}
+    tokens = [words.hashes(pa.array([" ".join(t)]))[0] for t in texts]
+    keys = [set(near_dedup.keys(t).tolist()) for t in tokens]
+    want = list(range(len(texts)))
+    for _ in texts:
+        for b in range(len(texts)):
+            for a in range(b):
+                if want[a] != want[b] and keys[a] & keys[b] and near_dedup.similar(tokens[a], tokens[b]):
+                    want[a] = want[b] = min(want[a], want[b])
+    assert got == dict(enumerate(want))
+    assert sum(seen) < 6 * len(texts), seen
+
+
+def test_batches_of_whole_texts_are_small(spark):
+    sizes = lambda d: d.mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in bs), "n long")
+    df = spark.range(0, 3_000, 1, 1)
+    with store.small_batches(spark):
+        assert sizes(df).agg({"n": "max"}).first()[0] <= store.BATCH_ROWS
+    assert sizes(df).agg({"n": "max"}).first()[0] == 3_000
