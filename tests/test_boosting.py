@@ -119,3 +119,54 @@ def test_a_fit_is_a_few_jobs_and_tasks_add_up_all_rows(spark, monkeypatch):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert jobs < s.rounds * s.depth        # not one for each level
     assert (one.feature == many.feature).all() and (one.cut == many.cut).all() and np.allclose(one.value, many.value, atol=1e-9)
+
+
+@pytest.mark.parametrize("depth", [1, 2, 4, 6, 7])
+def test_masks_find_the_leaves_of_a_descent(depth):
+    rng, inner = np.random.default_rng(depth), (1 << depth) - 1
+    feature = rng.integers(-1, 3, (5, 2, inner))
+    feature[:, :, 0] = 1
+    cut = rng.integers(0, 12, feature.shape)
+    model = boosting.Boosted(2, boosting.Settings(rounds=5, depth=depth), [np.arange(11.0)] * 3, np.array([0.5, -0.5]), feature, cut,
+                             rng.normal(size=(5, 2, inner + 1)))
+    bins = rng.integers(0, 13, (2 * boosting.TILE + 7, 3)).astype(np.uint8)
+    want = np.stack([[boosting.descend(bins, feature[r, k], cut[r, k], depth) for k in range(2)] for r in range(5)]).transpose(2, 0, 1)
+    assert np.array_equal(model.leaves(bins), want) and np.array_equal(model.leaves(bins, 2, 4), want[:, 2:4])
+    scores = np.tile(model.base, (len(bins), 1))
+    for r, k in np.ndindex(5, 2):
+        scores[:, k] += model.value[r, k][want[:, r, k]]
+    assert np.array_equal(model.add(np.tile(model.base, (len(bins), 1)), bins, 0, 5), scores)
+    assert np.allclose(boosting.leaf_totals(want.reshape(len(bins), -1), model), scores)
+
+
+def test_copies_of_a_row_are_one_cell(spark, monkeypatch):
+    """A task keeps distinct rows with counts, and a cell of many rows is dealt over all tasks."""
+    df, rows = table(spark, n=600)
+    copies = df.select("x", "y", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i"), "row").withColumn("row", F.col("row") * 4 + F.col("i"))
+    many = copies.unionByName(df.limit(1).select("x", "y", F.explode(F.sequence(F.lit(0), F.lit(2_000))).alias("i"), "row").withColumn(
+        "row", F.col("i") + 10_000)).select("x", "y", "row")
+    s = boosting.Settings(rounds=3, depth=2, bins=12)
+    edges = boosting.quantile_edges(many, s.bins)
+    cells = many.withColumn("y", F.col("y").cast("double")).mapInArrow(boosting._prepare(edges), "cell binary, row long")
+    bins, y, row, place = boosting._cells(iter(cells.toArrow().to_batches()), 3)
+    assert len(row) == 4_401 and len(bins) == cells.select("cell").distinct().count() < 600
+    drawn = boosting._drawn_of(place, row, len(bins), 1, s)
+    assert drawn.sum() == boosting._drawn(row, 1, s.row_share, s.seed).sum()
+    sizes = [r["count"] for r in boosting.dealt(cells, 4_401, 4).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 2_000
+    one = boosting.fit(many, classes=3, settings=s, edges=edges)
+    monkeypatch.setattr(boosting, "ROWS", 1_000)
+    more = boosting.fit(many, classes=3, settings=s, edges=edges)
+    assert (one.feature == more.feature).all() and np.allclose(one.value, more.value, atol=1e-9)
+    all_rows = [(r.x, r.y, r.row) for r in many.collect()]
+    want = grown(all_rows, 3, s, edges)
+    got = {r.row: r.raw for r in boosting.score(many, more).collect()}
+    assert np.allclose([got[r[2]] for r in all_rows], want, atol=1e-8)
+
+
+def test_leaf_sums_need_no_leaves_outside_the_scorer(spark):
+    df, _ = table(spark)
+    model = boosting.fit(df, classes=3, settings=boosting.Settings(rounds=4, depth=2))
+    got = boosting.score(df, model, embedding=False, sums=True)
+    assert not {"leaf", "embedding"} & set(got.columns)
+    assert all(np.allclose(r.raw, r.leaf_sum) for r in got.collect())
