@@ -332,3 +332,27 @@ def test_risk_path_residuals_need_no_join(spark, monkeypatch):
     both = ~np.isnan(a + b)
     assert sigma == pytest.approx(np.nanstd(e, axis=0))
     assert rho == pytest.approx(max(np.corrcoef(a[both], b[both])[0, 1], 0.0))
+
+
+def test_a_failed_cox_fit_does_not_look_like_a_result(spark, monkeypatch):
+    """Every row of the query says that its curve is no estimate, and scores go by a method of their own."""
+    from types import SimpleNamespace
+
+    from stillvalid.plans import model_queries
+    from stillvalid.plans.catalog import QUERIES
+    from stillvalid.plans.contest import Contest
+
+    states = spark.createDataFrame([("a", i, float(i % 3), float(i % 2)) for i in range(20)], "stream_id string, window_idx bigint, u double, v double")
+    m = SimpleNamespace(states=states, spec=SimpleNamespace(horizon=5))
+    origins = spark.createDataFrame([("a", i, 1 + i % 5, 0, "train" if i < 12 else "test") for i in range(20)],
+                                    "stream_id string, origin bigint, y_tilde bigint, event int, split string")
+    c = Contest(m)
+    c.__dict__["split"] = origins
+    assert {r["method"] for r in c.cox_curves(["u", "v"]).select("method").collect()} == {"cox_failed"}
+    monkeypatch.setattr(model_queries, "monitor", lambda *a: m)
+    monkeypatch.setattr(model_queries, "contest", lambda *a: c)
+    rows = QUERIES["m11_cox"](spark, "").collect()
+    assert len(rows) == 8 * 5 and {(r["status"], r["reason"]) for r in rows} == {("estimation_failed", "no event in training")}
+    c.__dict__["split"] = origins.withColumn("event", (F.col("origin") % 2).cast("int"))
+    rows = QUERIES["m11_cox"](spark, "").collect()
+    assert len(rows) == 8 * 5 and {(r["method"], r["status"], r["reason"]) for r in rows} == {("cox", "ok", None)}
