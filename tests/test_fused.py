@@ -1,6 +1,7 @@
 """The one-pass state blocks equal the blocks computed one by one."""
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stillvalid.operators import geometry
 from stillvalid.operators import state as st
@@ -84,3 +85,45 @@ def test_one_shuffle_of_rows(spark):
     full = m._pass.run(m.deployment, m._frozen)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 2 and "BroadcastHashJoin" in plan      # the rows, and one row per stream
     assert full.count("Exchange hashpartitioning") == 1
+
+
+def flat(df):
+    """Rows by window with arrays as they are, missing values as NaN."""
+    def plain(v):
+        return [np.nan if u is None else u for u in v] if isinstance(v, list) else np.nan if v is None else v
+    return {(r["stream_id"], r["window_idx"]): {c: plain(v) for c, v in r.asDict().items() if c not in KEY} for r in df.collect()}
+
+
+def test_whole_windows_as_arrays_equal_the_aggregate(spark):
+    """In order, in any order, and one by one by Spark's own aggregate; only rows of cut windows are shuffled as rows."""
+    from stillvalid.operators import packed
+    from stillvalid.operators.fused import WindowPass, _Q
+
+    m = Monitor(log(spark, 3), StreamSpec(features=("a", "b", "c", "d"), classes=3, **SPEC))
+    rows = m.deployment.coalesce(1)
+    want = flat(WindowPass(3, 4).run(rows, m._frozen))
+    for some in (rows, rows.repartition(5, "row_idx"), rows.orderBy("seg_row")):
+        got = flat(WindowPass(3, 4, window=10).run(some, m._frozen))
+        assert set(next(iter(got.values()))) == set(next(iter(want.values())))
+        same(got, want)
+    # With an embedding that has gaps.
+    with_gaps = rows.withColumn("embedding", F.array(F.get("x", F.lit(0)), F.lit(1.5), F.get("x", F.lit(1))))
+    same(flat(WindowPass(3, 4, 3, 10).run(with_gaps, m._frozen)), flat(WindowPass(3, 4, 3).run(with_gaps, m._frozen)))
+    w = packed.Windows(3, 4, 0, _Q, 10)
+    assert {n for n, _ in w.fields} | set(KEY) == set(WindowPass(3, 4, window=10).run(rows, m._frozen).columns)
+
+
+def test_distinct_rows_meet_the_sample_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    z, sample = rng.integers(0, 3, (8, 10, 2)).astype(float), rng.normal(size=(50, 2))
+    met = []
+    plain = geometry.squared_distances
+    monkeypatch.setattr(geometry, "squared_distances", lambda a, b: met.append(len(a)) or plain(a, b))
+    got = geometry.compare_windows(z, sample, 1.0, 0.2)
+    assert sum(met[:-1]) <= 9       # the last call is that of the windows with themselves
+    d2 = ((z[:, :, None] - sample) ** 2).sum(-1)
+    near = np.sqrt(np.sort(d2, axis=2)[:, :, :10]).mean(2)
+    own = np.exp(-0.5 * ((z[:, :, None] - z[:, None]) ** 2).sum(-1))
+    inner = (own.sum((1, 2)) - 10) / 90
+    assert np.allclose(got["rep_knn_dist_mean"], near.mean(1)) and np.allclose(got["rep_knn_dist_max"], near.max(1))
+    assert np.allclose(got["dist_mmd2"], inner + 0.2 - 2 * np.exp(-0.5 * d2).mean((1, 2)))
